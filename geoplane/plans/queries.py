@@ -420,3 +420,237 @@ def _prj10_text(spark, sf_dir):
 
 query("prj10_text_cast", "SELECT o_orderkey AS id, CAST(o_totalprice AS VARCHAR) AS price, "
       "CAST(o_custkey AS VARCHAR) AS customer FROM orders")(_prj10_text)
+
+
+# ============================================================ JN: batch joins
+from ..operators import joins as J  # noqa: E402
+
+
+def _supplier_boxes(spark, sf_dir):
+    s = T.suppliers(spark, sf_dir).df
+    hw = F.lit(0.1) + (F.col("id") % 7).cast("double") * F.lit(0.05)
+    hh = F.lit(0.08) + (F.col("id") % 5).cast("double") * F.lit(0.04)
+    return s.select(F.col("id").alias("req_id"), (F.col("_xmin") - hw).alias("_xmin"),
+                    (F.col("_ymin") - hh).alias("_ymin"), (F.col("_xmax") + hw).alias("_xmax"),
+                    (F.col("_ymax") + hh).alias("_ymax"))
+
+
+SBOX = (f"(SELECT id AS req_id, x - (0.1 + CAST(id % 7 AS DOUBLE) * 0.05) AS xmin, "
+        f"y - (0.08 + CAST(id % 5 AS DOUBLE) * 0.04) AS ymin, x + (0.1 + CAST(id % 7 AS DOUBLE) * 0.05) AS xmax, "
+        f"y + (0.08 + CAST(id % 5 AS DOUBLE) * 0.04) AS ymax FROM {SUPP})")
+
+
+def _jn6(spark, sf_dir):
+    return J.batch_bbox(T.orders(spark, sf_dir), _supplier_boxes(spark, sf_dir))
+
+
+query("jn6_batch_bbox", f"SELECT r.req_id, o.id FROM {SBOX} r JOIN {ORD} o "
+      f"ON o.x BETWEEN r.xmin AND r.xmax AND o.y BETWEEN r.ymin AND r.ymax")(_jn6)
+
+
+def _customer_boxes(spark, sf_dir):
+    c = T.customers(spark, sf_dir)
+    h = F.lit(0.02) + (F.col("id") % 11).cast("double") * F.lit(0.01)
+    df = c.df.select("id", (F.col("_xmin") - h).alias("_xmin"), (F.col("_ymin") - h).alias("_ymin"),
+                     (F.col("_xmax") + h).alias("_xmax"), (F.col("_ymax") + h).alias("_ymax"))
+    return C.Collection(df, name="customer_areas", geometry_type="Polygon")
+
+
+CBOX = (f"(SELECT id, x - (0.02 + CAST(id % 11 AS DOUBLE) * 0.01) AS xmin, y - (0.02 + CAST(id % 11 AS DOUBLE) * 0.01) AS ymin, "
+        f"x + (0.02 + CAST(id % 11 AS DOUBLE) * 0.01) AS xmax, y + (0.02 + CAST(id % 11 AS DOUBLE) * 0.01) AS ymax FROM {CUST})")
+
+
+def _jn6_boxes(spark, sf_dir):
+    return J.batch_bbox(_customer_boxes(spark, sf_dir), _supplier_boxes(spark, sf_dir))
+
+
+query("jn6_batch_bbox_box_features", f"SELECT r.req_id, c.id FROM {SBOX} r JOIN {CBOX} c "
+      f"ON c.xmin <= r.xmax AND c.xmax >= r.xmin AND c.ymin <= r.ymax AND c.ymax >= r.ymin")(_jn6_boxes)
+
+
+def _jn7(spark, sf_dir):
+    o = T.orders(spark, sf_dir).df.select(F.col("id").alias("pid"), F.col("_xmin").alias("x"), F.col("_ymin").alias("y"))
+    return J.batch_point_lookup(T.nations(spark, sf_dir), o)
+
+
+query("jn7_batch_point_in_polygon", f"""SELECT o.id AS pid, e.pid AS id FROM {ORD} o JOIN {T.nation_edges_sql()} e
+ON (e.y1 > o.y) <> (e.y2 > o.y) AND o.x < (e.x2 - e.x1) * (o.y - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY o.id, e.pid HAVING count(*) % 2 = 1""")(_jn7)
+
+
+def _jn8(spark, sf_dir):
+    s = T.suppliers(spark, sf_dir).df.select(
+        F.col("id").alias("pid"), F.col("_xmin").alias("lon"), F.col("_ymin").alias("lat"),
+        (F.lit(20000.0) + (F.col("id") % 10).cast("double") * F.lit(5000.0)).alias("radius_m"))
+    out = J.batch_radius(T.customers(spark, sf_dir), s)
+    return out.select("pid", "id", F.round("distance_m", 3).alias("distance_m"))
+
+
+query("jn8_batch_radius", f"""SELECT s.id AS pid, c.id, round({s_haversine('c.x', 'c.y', 's.x', 's.y')}, 3) AS distance_m
+FROM {SUPP} s JOIN {CUST} c ON {s_haversine('c.x', 'c.y', 's.x', 's.y')} <= 20000.0 + CAST(s.id % 10 AS DOUBLE) * 5000.0""")(_jn8)
+
+
+def _jn9(spark, sf_dir):
+    ids = T.read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 49).select(F.col("l_orderkey").alias("id"))
+    return C.features_by_ids(T.orders(spark, sf_dir), ids).select("id", "o_totalprice")
+
+
+query("jn9_batch_ids", f"SELECT id, o_totalprice FROM {ORD} WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")(_jn9)
+
+
+def _jn10(spark, sf_dir):
+    n = T.nations(spark, sf_dir).df.select(F.col("id").alias("gid"), "geom")
+    return J.batch_predicate(T.customers(spark, sf_dir), n, "s_within")
+
+
+query("jn10_batch_within", f"""SELECT e.pid AS gid, c.id FROM {CUST} c JOIN {T.nation_edges_sql()} e
+ON (e.y1 > c.y) <> (e.y2 > c.y) AND c.x < (e.x2 - e.x1) * (c.y - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY e.pid, c.id HAVING count(*) % 2 = 1""")(_jn10)
+
+
+def _jn10_disjoint(spark, sf_dir):
+    n = T.nations(spark, sf_dir).df.select(F.col("id").alias("gid"), "geom")
+    return J.batch_disjoint_counts(T.customers(spark, sf_dir), n)
+
+
+query("jn10_batch_disjoint_counts", f"""SELECT n.n_nationkey AS gid, (SELECT count(*) FROM customer) - count(h.id) AS n_disjoint
+FROM nation n LEFT JOIN (SELECT e.pid, c.id FROM {CUST} c JOIN {T.nation_edges_sql()} e
+ON (e.y1 > c.y) <> (e.y2 > c.y) AND c.x < (e.x2 - e.x1) * (c.y - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY e.pid, c.id HAVING count(*) % 2 = 1) h ON h.pid = n.n_nationkey GROUP BY n.n_nationkey""")(_jn10_disjoint)
+
+
+# ============================================================ AGG: aggregations
+from ..operators import classify as CL  # noqa: E402
+from ..operators import profile as PF  # noqa: E402
+
+
+def _agg1(spark, sf_dir):
+    c = T.customers(spark, sf_dir)
+    return PF.number_matched(c.df.filter(C.items_filter(c, P.eq(c.df, "c_mktsegment", "MACHINERY"),
+                                                        bbox=[-2.0, 43.0, 7.5, 50.0])))
+
+
+query("agg1_number_matched", f"SELECT count(*) AS number_matched FROM {CUST} WHERE c_mktsegment = 'MACHINERY' "
+      f"AND x <= 7.5 AND x >= -2.0 AND y <= 50.0 AND y >= 43.0")(_agg1)
+
+_PROFILE_TYPES = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "text"),
+                  ("o_totalprice", "double precision"), ("o_orderdate", "timestamp without time zone"),
+                  ("o_orderpriority", "text")]
+query("agg2_column_profile", " UNION ALL ".join(
+    f"SELECT (SELECT count(*) FROM orders) AS total_count, CAST({i} AS INTEGER) AS ordinal, '{c}' AS column_name, "
+    f"'{t}' AS data_type, true AS nullable, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, "
+    f"count(DISTINCT {c}) AS distinct_count, min(CAST({c} AS VARCHAR)) AS min_value, "
+    f"max(CAST({c} AS VARCHAR)) AS max_value FROM orders" for i, (c, t) in enumerate(_PROFILE_TYPES)))(
+    lambda spark, sf_dir: PF.column_profile(T.read(spark, sf_dir, "orders")))
+
+
+def _agg4(spark, sf_dir):
+    o = T.orders(spark, sf_dir)
+    return PF.extent(o).select(*[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+query("agg4_extent", f"SELECT round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax, "
+      f"round(max(y), 6) AS ymax FROM {ORD}")(_agg4)
+
+
+def _agg4_l93(spark, sf_dir):
+    """Extent in 4326 of a collection stored in Lambert-93 (vertices go back to 4326 first)."""
+    c = T.customers(spark, sf_dir)
+    x, y = CRS.transform_xy(F.col("_xmin"), F.col("_ymin"), 4326, 2154)
+    df = c.df.select("id", G.point(x, y, 2154).alias("geom")).transform(G.with_bbox)
+    stored = C.Collection(df, name="customers_l93", geometry_type="MultiPoint", srid=2154)
+    return PF.extent(stored).select(*[F.round(cc, 6).alias(cc) for cc in ("xmin", "ymin", "xmax", "ymax")])
+
+
+query("agg4_extent_from_2154", f"SELECT round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax, "
+      f"round(max(y), 6) AS ymax FROM {CUST}")(_agg4_l93)
+
+
+def _agg5(spark, sf_dir):
+    return PF.sample_extent(T.orders(spark, sf_dir), 1000)
+
+
+query("agg5_sample_extent", f"SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax "
+      f"FROM (SELECT * FROM {ORD} ORDER BY id LIMIT 1000)")(_agg5)
+query("agg6_numeric_range", "SELECT CAST(min(l_extendedprice) AS DOUBLE) AS min, CAST(max(l_extendedprice) AS DOUBLE) AS max "
+      "FROM lineitem")(lambda spark, sf_dir: PF.numeric_range(T.read(spark, sf_dir, "lineitem"), "l_extendedprice"))
+
+
+def _agg7(spark, sf_dir):
+    li = T.read(spark, sf_dir, "lineitem")
+    qs = PF.quantile_breaks(li, "l_extendedprice", 5)
+    return spark.createDataFrame([(i, float(q)) for i, q in enumerate(qs)], "i int, value double").select(
+        "i", F.round("value", 6).alias("value"))
+
+
+query("agg7_quantile_breaks", "SELECT CAST(i - 1 AS INTEGER) AS i, round(q[i], 6) AS value FROM "
+      "(SELECT quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM lineitem), range(1, 5) t(i)")(_agg7)
+query("agg8_distinct_values", "SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL ORDER BY 1 LIMIT 50")(
+    lambda spark, sf_dir: PF.distinct_values(T.read(spark, sf_dir, "part"), "p_name"))
+query("agg14_temporal_extent", "SELECT min(o_orderdate) AS start, max(o_orderdate) AS \"end\" FROM orders")(
+    lambda spark, sf_dir: PF.temporal_extent(T.orders(spark, sf_dir)))
+
+
+# ============================================================ CLS: classification
+query("cls1_categories", "SELECT DISTINCT c_mktsegment AS value FROM customer ORDER BY 1 LIMIT 50")(
+    lambda spark, sf_dir: CL.categorized(T.read(spark, sf_dir, "customer"), "c_mktsegment"))
+
+_BLUES5 = "['#eff3ff', '#bdd7e7', '#6baed6', '#3182bd', '#08519c']"
+
+
+def _cls2(spark, sf_dir):
+    cls = CL.with_colors(CL.graduated(T.read(spark, sf_dir, "customer"), "c_acctbal", 5), "blues")
+    return spark.createDataFrame([(c["class_index"], float(c["min"]), float(c["max"]), c["color"]) for c in cls],
+                                 "class_index int, min double, max double, color string").select(
+        "class_index", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), "color")
+
+
+_CLS_BOUNDS = ("(SELECT list_concat([min(c_acctbal)], quantile_cont(c_acctbal, [0.2, 0.4, 0.6, 0.8]), [max(c_acctbal)]) "
+               "AS b FROM customer)")
+query("cls2_quantile_classes", f"SELECT CAST(i - 1 AS INTEGER) AS class_index, round(b[i], 6) AS min, round(b[i + 1], 6) AS max, "
+      f"{_BLUES5}[i] AS color FROM {_CLS_BOUNDS}, range(1, 6) t(i)")(_cls2)
+
+
+def _cls3(spark, sf_dir):
+    cls = CL.graduated(T.read(spark, sf_dir, "lineitem"), "l_quantity", 4, method="equal_interval")
+    return spark.createDataFrame([(c["class_index"], float(c["min"]), float(c["max"])) for c in cls],
+                                 "class_index int, min double, max double").select(
+        "class_index", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+
+
+query("cls3_equal_interval", "SELECT CAST(i AS INTEGER) AS class_index, round(lo + i * (hi - lo) / 4, 6) AS min, "
+      "round(lo + (i + 1) * (hi - lo) / 4, 6) AS max FROM (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), "
+      "range(0, 4) t(i)")(_cls3)
+
+
+def _cls4(spark, sf_dir):
+    cust = T.read(spark, sf_dir, "customer")
+    cats = [r["value"] for r in CL.categorized(cust, "c_mktsegment").collect()]   # <= 50 rows
+    colors = CL.interpolate_palette("qualitative", len(cats))
+    cat_df = spark.createDataFrame(list(zip(cats, colors)), "value string, color string")
+    return CL.style_categorized(cust.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "c_mktsegment", cat_df)
+
+
+query("cls4_match_color", """WITH cats AS (SELECT value, row_number() OVER (ORDER BY value) AS i
+  FROM (SELECT DISTINCT c_mktsegment AS value FROM customer ORDER BY 1 LIMIT 50)),
+pal AS (SELECT ['#e41a1c', '#377eb8', '#4daf4a', '#984ea3', '#ff7f00', '#ffff33', '#a65628', '#f781bf', '#999999', '#66c2a5'] AS p,
+  (SELECT count(*) FROM cats) AS n)
+SELECT c.c_custkey AS id, c.c_mktsegment, coalesce(
+  (SELECT CASE WHEN n = 1 THEN p[5 + 1] ELSE p[CAST(floor((cats.i - 1) / (n - 1) * 9 + 0.5) AS INTEGER) + 1] END
+   FROM cats, pal WHERE cats.value = c.c_mktsegment), '#cccccc') AS color
+FROM customer c""")(_cls4)
+
+
+def _cls8(spark, sf_dir):
+    cust = T.read(spark, sf_dir, "customer")
+    cls = CL.with_colors(CL.graduated(cust, "c_acctbal", 5), "blues")
+    return CL.style_graduated(cust.select(F.col("c_custkey").alias("id"), "c_acctbal"), "c_acctbal", cls).select(
+        "id", "class_index", "color")
+
+
+query("cls5_cls8_styled_features", f"""SELECT c_custkey AS id,
+  CAST(CASE WHEN c_acctbal >= b[5] THEN 4 WHEN c_acctbal >= b[4] THEN 3 WHEN c_acctbal >= b[3] THEN 2
+       WHEN c_acctbal >= b[2] THEN 1 WHEN c_acctbal >= b[1] THEN 0 END AS INTEGER) AS class_index,
+  coalesce({_BLUES5}[CASE WHEN c_acctbal >= b[5] THEN 5 WHEN c_acctbal >= b[4] THEN 4 WHEN c_acctbal >= b[3] THEN 3
+       WHEN c_acctbal >= b[2] THEN 2 WHEN c_acctbal >= b[1] THEN 1 END], '#cccccc') AS color
+FROM customer, {_CLS_BOUNDS}""")(_cls8)
