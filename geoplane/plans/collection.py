@@ -243,3 +243,18 @@ def features_by_ids(coll: Collection, ids: DataFrame, id_col: str = "id") -> Dat
 
 def n_pages(n: int, limit: int) -> int:
     return math.ceil(n / limit) if limit else 0
+
+
+def batch_pages(pairs: DataFrame, group_col: str, order_col: str = "id", limit: int = DEFAULT_LIMIT,
+                offset: int = 0) -> DataFrame:
+    """PAG-1 batch form: the page (offset, limit) of every request, ordered by id.
+
+    ``row_number() <= k`` over a window lets Spark insert a per-partition
+    group limit before the shuffle, so a request matching a huge share of
+    the features still ships at most ``offset + limit`` rows per map task.
+    """
+    from pyspark.sql import Window
+    lim, off = clamp_limit(limit), clamp_offset(offset)
+    w = Window.partitionBy(group_col).orderBy(F.col(order_col).asc_nulls_last())
+    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    return ranked.filter((F.col("rank") > off) & (F.col("rank") <= off + lim)).select(group_col, order_col, "rank")

@@ -654,3 +654,228 @@ query("cls5_cls8_styled_features", f"""SELECT c_custkey AS id,
   coalesce({_BLUES5}[CASE WHEN c_acctbal >= b[5] THEN 5 WHEN c_acctbal >= b[4] THEN 4 WHEN c_acctbal >= b[3] THEN 3
        WHEN c_acctbal >= b[2] THEN 2 WHEN c_acctbal >= b[1] THEN 1 END], '#cccccc') AS color
 FROM customer, {_CLS_BOUNDS}""")(_cls8)
+
+
+# ============================================================ catalog, history, paging shapes
+from ..operators import catalog as CT  # noqa: E402
+
+WS, COLS, HIST = T.WORKSPACES_SQL, T.CATALOG_COLLECTIONS_SQL, T.HISTORY_FULL_SQL
+
+
+def _cat(spark, sf_dir):
+    return T.workspaces(spark, sf_dir), T.catalog_collections(spark, sf_dir), T.history(spark, sf_dir)
+
+
+def _jn1(spark, sf_dir):
+    ws, cols, _ = _cat(spark, sf_dir)
+    return CT.collections_with_workspace(cols, ws).select("collection_id", "workspace_name", "name", "feature_count")
+
+
+query("jn1_srt1_collection_listing", f"SELECT w.name || ':' || c.name AS collection_id, w.name AS workspace_name, c.name, "
+      f"c.feature_count FROM {COLS} c JOIN {WS} w ON c.workspace_id = w.id")(_jn1)
+
+
+def _jn2(spark, sf_dir):
+    _, cols, hist = _cat(spark, sf_dir)
+    return CT.jobs_with_collection(hist, cols).select("id", "collection_id", "collection_name")
+
+
+query("jn2_jobs_left_collections", f"SELECT h.id, h.collection_id, c.name AS collection_name FROM {HIST} h "
+      f"LEFT JOIN {COLS} c ON h.collection_id = c.id")(_jn2)
+
+
+def _jn3(spark, sf_dir):
+    """The page of a filter matching nothing still carries its count (right join)."""
+    o = T.orders(spark, sf_dir)
+    o.exposed_fields = [("o_totalprice", None)]
+    res = C.items(o, P.gt(o.df, "o_totalprice", 1e12), limit=10)
+    return C.page_with_count(res).select("id", "o_totalprice", "number_matched", "number_returned")
+
+
+query("jn3_empty_page_count", "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS o_totalprice, "
+      "(SELECT count(*) FROM orders WHERE o_totalprice > 1e12) AS number_matched, CAST(0 AS BIGINT) AS number_returned")(_jn3)
+
+
+def _jn4(spark, sf_dir):
+    ws, cols, hist = _cat(spark, sf_dir)
+    _, _, h2 = CT.cascade_delete(ws, cols, hist, ws.filter(F.col("region") == 4))
+    return h2.select("id", "collection_id")
+
+
+query("jn4_cascade_delete", f"SELECT h.id, h.collection_id FROM {HIST} h WHERE h.collection_id NOT IN "
+      f"(SELECT c.id FROM {COLS} c JOIN {WS} w ON c.workspace_id = w.id WHERE w.region = 4)")(_jn4)
+
+
+def _jn5_orphans(spark, sf_dir):
+    _, cols, hist = _cat(spark, sf_dir)
+    orphans = hist.join(cols.select(F.col("id").alias("collection_id")), "collection_id", "left_anti")
+    return orphans.select("id", "collection_id")
+
+
+query("jn5_orphan_jobs", f"SELECT id, collection_id FROM {HIST} WHERE collection_id NOT IN (SELECT id FROM {COLS})")(_jn5_orphans)
+query("jn5_duplicate_names", f"SELECT workspace_id, name, count(*) AS n FROM {COLS} GROUP BY ALL HAVING count(*) > 1")(
+    lambda spark, sf_dir: CT.duplicate_names(T.catalog_collections(spark, sf_dir)))
+
+
+def _ing18(spark, sf_dir):
+    """Re-import: urgent orders of each customer replace its stats; customers with at
+    least 3 urgent orders publish a new '<name>_hot' collection (insert)."""
+    cols = T.catalog_collections(spark, sf_dir)
+    o = T.read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    lon, lat = F.expr(T.lon_sql("o_orderkey")), F.expr(T.lat_sql("o_orderkey"))
+    agg = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("feature_count"), F.min(lon).alias("xmin"),
+                                     F.min(lat).alias("ymin"), F.max(lon).alias("xmax"), F.max(lat).alias("ymax"),
+                                     F.max("o_orderdate").alias("updated_at"))
+    keyed = agg.join(cols.select(F.col("id").alias("o_custkey"), "workspace_id", "name"), "o_custkey")
+    upd = keyed.select("workspace_id", F.when(F.col("feature_count") >= 3, F.concat("name", F.lit("_hot")))
+                       .otherwise(F.col("name")).alias("name"),
+                       F.lit("data_x").alias("table_name"), F.lit("MultiPoint").alias("geometry_type"),
+                       "feature_count", "xmin", "ymin", "xmax", "ymax", "updated_at")
+    out = CT.upsert_collections(cols, upd)
+    return out.select("id", "workspace_id", "name", "feature_count", F.round("xmin", 6).alias("xmin"), "updated_at")
+
+
+query("ing18_catalog_upsert", f"""WITH u0 AS (SELECT c.workspace_id, CASE WHEN count(*) >= 3 THEN c.name || '_hot' ELSE c.name END AS name,
+    count(*) AS feature_count, min({s_lon('o.o_orderkey')}) AS xmin, max(o.o_orderdate) AS updated_at
+  FROM orders o JOIN {COLS} c ON c.id = o.o_custkey WHERE o.o_orderpriority = '1-URGENT' GROUP BY c.id, c.workspace_id, c.name),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, name ORDER BY updated_at DESC NULLS LAST) AS rn FROM u0) WHERE rn = 1)
+SELECT c.id, coalesce(c.workspace_id, u.workspace_id) AS workspace_id, coalesce(c.name, u.name) AS name,
+  coalesce(u.feature_count, c.feature_count) AS feature_count, round(coalesce(u.xmin, c.xmin), 6) AS xmin,
+  coalesce(u.updated_at, c.updated_at) AS updated_at
+FROM {COLS} c FULL OUTER JOIN u ON c.workspace_id = u.workspace_id AND c.name = u.name""")(_ing18)
+
+query("agg9_job_status_counts", f"SELECT count(*) FILTER (WHERE status = 'pending') AS pending, "
+      f"count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, "
+      f"count(*) FILTER (WHERE status = 'failed') AS failed FROM {HIST}")(
+    lambda spark, sf_dir: CT.job_status_counts(T.history(spark, sf_dir)))
+query("agg10_collections_per_workspace", f"SELECT workspace_id, count(*) AS n_collections FROM {COLS} GROUP BY 1")(
+    lambda spark, sf_dir: CT.collections_per_workspace(T.catalog_collections(spark, sf_dir)))
+query("agg11_dashboard_totals", f"SELECT CAST(sum(coalesce(feature_count, 0)) AS BIGINT) AS total_features, "
+      f"count(*) AS n_collections, (SELECT count(*) FROM {WS}) AS n_workspaces, (SELECT count(*) FROM {HIST}) AS n_jobs "
+      f"FROM {COLS}")(lambda spark, sf_dir: CT.dashboard_totals(*_cat(spark, sf_dir)))
+
+
+def _srt2(spark, sf_dir):
+    _, cols, hist = _cat(spark, sf_dir)
+    return CT.list_jobs(hist, cols, status="failed", limit=20, offset=5).select("id", "status", "created_at", "collection_name")
+
+
+query("srt2_job_listing", f"SELECT h.id, h.status, h.created_at, c.name AS collection_name FROM {HIST} h "
+      f"LEFT JOIN {COLS} c ON h.collection_id = c.id WHERE h.status = 'failed' "
+      f"ORDER BY h.created_at DESC NULLS LAST, h.id DESC LIMIT 20 OFFSET 5")(_srt2)
+
+
+def _srt3(spark, sf_dir):
+    return CT.collection_history(T.history(spark, sf_dir), 7).select("id", "status", "created_at")
+
+
+query("srt3_collection_history", f"SELECT id, status, created_at FROM {HIST} WHERE collection_id = 7")(_srt3)
+query("srt4_last_completed", f"SELECT id, collection_id, completed_at FROM {HIST} WHERE completed_at IS NOT NULL "
+      f"ORDER BY completed_at DESC, id DESC LIMIT 1")(lambda spark, sf_dir: CT.last_completed(T.history(spark, sf_dir)))
+
+
+def _srt5(spark, sf_dir):
+    o = T.orders(spark, sf_dir)
+    return (o.df.filter(C.items_filter(o, P.eq(o.df, "o_orderstatus", "P"), bbox=[0, 45, 5, 48]))
+            .select("id", G.to_wkt(F.col("geom")).alias("geom_wkt")).orderBy("id").limit(40))
+
+
+query("srt5_export_order_limit", f"SELECT id, {s_wkt_point('x', 'y')} AS geom_wkt FROM {ORD} WHERE o_orderstatus = 'P' "
+      f"AND x <= 5 AND x >= 0 AND y <= 48 AND y >= 45 ORDER BY id LIMIT 40")(_srt5)
+query("srt6_workspaces_by_name", f"SELECT id, name FROM {WS} ORDER BY name")(
+    lambda spark, sf_dir: CT.workspaces_by_name(T.workspaces(spark, sf_dir)).select("id", "name"))
+
+
+def _job2(spark, sf_dir):
+    return CT.job_summary(T.history(spark, sf_dir))
+
+
+query("job2_status_summary", f"SELECT count(*) FILTER (WHERE status = 'pending') AS pending, "
+      f"count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, "
+      f"count(*) FILTER (WHERE status = 'failed') AS failed, "
+      f"arg_max(id, (completed_at, id)) FILTER (WHERE completed_at IS NOT NULL) AS last_job_id, "
+      f"max(completed_at) AS last_completed_at FROM {HIST}")(_job2)
+
+
+def _job3(spark, sf_dir):
+    h = T.history(spark, sf_dir)
+    return h.select("id", CT.job_duration_ms(F.col("created_at"), F.col("completed_at")).alias("duration_ms"),
+                    CT.progress_pct(F.col("imported_features"), F.col("total_features")).alias("progress"))
+
+
+query("job3_job5_duration_progress", f"SELECT id, date_diff('millisecond', created_at, completed_at) AS duration_ms, "
+      f"CAST(CASE WHEN total_features > 0 THEN round(imported_features / total_features * 100) ELSE 0 END AS INTEGER) AS progress "
+      f"FROM {HIST}")(_job3)
+query("job4_log_explode", f"SELECT id, CAST(generate_subscripts(logs, 1) - 1 AS INTEGER) AS pos, unnest(logs).ts AS ts, "
+      f"unnest(logs).level AS level, unnest(logs).message AS message FROM {HIST}")(
+    lambda spark, sf_dir: CT.explode_logs(T.history(spark, sf_dir)))
+query("job4_level_counts", f"SELECT id, count(*) FILTER (WHERE e.level = 'warn') AS warnings, "
+      f"count(*) FILTER (WHERE e.level = 'error') AS errors FROM (SELECT id, unnest(logs) AS e FROM {HIST}) GROUP BY id")(
+    lambda spark, sf_dir: CT.log_level_counts(T.history(spark, sf_dir)))
+
+
+def _prj8(spark, sf_dir):
+    ws, cols, _ = _cat(spark, sf_dir)
+    m = CT.collection_metadata(cols, ws)
+    return m.select("id", "title", F.size("crs").alias("n_crs"), "storage_crs",
+                    F.round(F.col("extent_bbox")[0], 6).alias("extent_xmin"))
+
+
+query("prj8_collection_metadata", f"SELECT w.name || ':' || c.name AS id, c.name AS title, "
+      f"CAST(CASE WHEN c.srid IN (4326, 3857, 2154) THEN 4 ELSE 5 END AS INTEGER) AS n_crs, "
+      f"'http://www.opengis.net/def/crs/EPSG/0/' || CAST(c.srid AS VARCHAR) AS storage_crs, round(c.xmin, 6) AS extent_xmin "
+      f"FROM {COLS} c JOIN {WS} w ON c.workspace_id = w.id")(_prj8)
+
+
+# ---------------------------------------------------------------- paging
+def _pag1(spark, sf_dir):
+    o = T.orders(spark, sf_dir)
+    o.exposed_fields = [("o_orderstatus", None)]
+    res = C.items(o, bbox=[-1, 43, 8, 50], limit=25, offset=50)
+    return res.page.select("id", "o_orderstatus", "geometry")
+
+
+query("pag1_page_offset", f"SELECT id, o_orderstatus, {s_geojson_point('x', 'y')} AS geometry FROM {ORD} "
+      f"WHERE x <= 8 AND x >= -1 AND y <= 50 AND y >= 43 ORDER BY id LIMIT 25 OFFSET 50")(_pag1)
+
+
+def _pag2(spark, sf_dir):
+    o = T.orders(spark, sf_dir)
+    o.exposed_fields = []
+    res = C.items(o, P.eq(o.df, "o_orderpriority", "2-HIGH"), limit=0, offset=2980)   # limit 0 -> 25
+    return C.page_with_count(res).select("id", "number_matched", "number_returned")
+
+
+query("pag2_envelope", """WITH m AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '2-HIGH'),
+p AS (SELECT id FROM m ORDER BY id LIMIT 25 OFFSET 2980)
+SELECT p.id, c.number_matched, c.number_returned FROM p RIGHT JOIN
+ (SELECT (SELECT count(*) FROM m) AS number_matched, (SELECT count(*) FROM p) AS number_returned) c ON true""")(_pag2)
+
+
+def _pag3(spark, sf_dir):
+    """Links of many requests at once: each supplier box request with its own limit/offset."""
+    reqs = _supplier_boxes(spark, sf_dir)
+    counts = J.batch_bbox(T.orders(spark, sf_dir), reqs).groupBy("req_id").agg(F.count(F.lit(1)).alias("n"))
+    r = reqs.select("req_id", (F.lit(10) + (F.col("req_id") % 5) * 10).alias("lim"),
+                    ((F.col("req_id") % 4) * 15).alias("off"))
+    r = r.join(counts, "req_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    links = CT.page_links_columns(F.col("n"), F.col("lim"), F.col("off"))
+    return r.select("req_id", "n", *[v.alias(k) for k, v in links.items()])
+
+
+query("pag3_batch_links", f"""WITH cnt AS (SELECT r.req_id, count(o.id) AS n FROM {SBOX} r LEFT JOIN {ORD} o
+  ON o.x BETWEEN r.xmin AND r.xmax AND o.y BETWEEN r.ymin AND r.ymax GROUP BY r.req_id),
+q AS (SELECT req_id, n, 10 + (req_id % 5) * 10 AS lim, (req_id % 4) * 15 AS off FROM cnt)
+SELECT req_id, n, off AS self_offset, CASE WHEN off + lim < n THEN off + lim END AS next_offset,
+  CASE WHEN off > 0 THEN greatest(off - lim, 0) END AS prev_offset, 0 AS first_offset,
+  CASE WHEN n > 0 THEN CAST(floor((n - 1) / lim) AS BIGINT) * lim END AS last_offset FROM q""")(_pag3)
+
+
+def _pag1_batch(spark, sf_dir):
+    pairs = J.batch_bbox(T.orders(spark, sf_dir), _supplier_boxes(spark, sf_dir))
+    return C.batch_pages(pairs, "req_id", "id", limit=10, offset=5)
+
+
+query("pag1_batch_pages", f"""SELECT req_id, id, CAST(rn AS INTEGER) AS rank FROM (SELECT r.req_id, o.id,
+  row_number() OVER (PARTITION BY r.req_id ORDER BY o.id) AS rn FROM {SBOX} r JOIN {ORD} o
+  ON o.x BETWEEN r.xmin AND r.xmax AND o.y BETWEEN r.ymin AND r.ymax) WHERE rn > 5 AND rn <= 15""")(_pag1_batch)

@@ -123,3 +123,105 @@ def nation_edges_sql() -> str:
     return (f"(SELECT n.n_nationkey AS pid, {x0} + {w} * a.fx AS x1, {y0} + {h} * a.fy AS y1, "
             f"{x0} + {w} * b.fx AS x2, {y0} + {h} * b.fy AS y2 "
             f"FROM nation n, (VALUES {pts}) a(i, fx, fy), (VALUES {pts}) b(i, fx, fy) WHERE b.i = a.i + 1)")
+
+
+# ---------------------------------------------------------------- catalog fixture
+# Workspaces, collections and import jobs derived from the driver's tables so
+# catalog operators scale with them: one workspace per nation, one published
+# collection per customer (its orders are the features), one import job per
+# order (its line items are the job's log entries).
+def workspaces(spark, sf_dir) -> DataFrame:
+    n = read(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"),
+                    F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description"),
+                    F.col("n_regionkey").alias("region"))
+
+
+def catalog_collections(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    o = read(spark, sf_dir, "orders")
+    lon, lat = F.expr(lon_sql("o_orderkey")), F.expr(lat_sql("o_orderkey"))
+    stats = o.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("feature_count"), F.min(lon).alias("xmin"), F.min(lat).alias("ymin"),
+        F.max(lon).alias("xmax"), F.max(lat).alias("ymax"),
+        F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at"))
+    name = F.concat(F.lower("c_mktsegment"), F.lit("_"), (F.col("c_custkey") % 97).cast("string"))
+    base = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("workspace_id"), name.alias("name"),
+                    F.concat(F.lit("data_"), name).alias("table_name"), F.lit("MultiPoint").alias("geometry_type"),
+                    F.element_at(F.array(F.lit(4326), F.lit(3857), F.lit(2154)),
+                                 (F.col("c_custkey") % 3 + 1).cast("int")).alias("srid"))
+    return base.join(stats, "id", "left")
+
+
+CATALOG_COLLECTIONS_SQL = f"""(SELECT c.c_custkey AS id, c.c_nationkey AS workspace_id,
+  lower(c.c_mktsegment) || '_' || CAST(c.c_custkey % 97 AS VARCHAR) AS name,
+  'data_' || lower(c.c_mktsegment) || '_' || CAST(c.c_custkey % 97 AS VARCHAR) AS table_name,
+  'MultiPoint' AS geometry_type, CAST([4326, 3857, 2154][c.c_custkey % 3 + 1] AS INTEGER) AS srid,
+  s.feature_count, s.xmin, s.ymin, s.xmax, s.ymax, s.created_at, s.updated_at
+FROM customer c LEFT JOIN (SELECT o_custkey AS id, count(*) AS feature_count, min({lon_sql('o_orderkey')}) AS xmin,
+  min({lat_sql('o_orderkey')}) AS ymin, max({lon_sql('o_orderkey')}) AS xmax, max({lat_sql('o_orderkey')}) AS ymax,
+  min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at FROM orders GROUP BY o_custkey) s ON s.id = c.c_custkey)"""
+
+WORKSPACES_SQL = ("(SELECT n_nationkey AS id, lower(n_name) AS name, 'region ' || CAST(n_regionkey AS VARCHAR) AS description, "
+                  "n_regionkey AS region FROM nation)")
+
+
+def history(spark, sf_dir) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    li = read(spark, sf_dir, "lineitem")
+    status = (F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed")
+              .when(F.col("o_orderpriority") == "1-URGENT", "pending").otherwise("running"))
+    jobs = o.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_custkey") + 1000000000)
+        .otherwise(F.col("o_custkey")).alias("collection_id"),
+        F.concat(F.lit("upload_"), F.col("o_orderkey").cast("string"), F.lit(".geojson")).alias("source_file"),
+        status.alias("status"), F.col("o_orderstatus"), F.col("o_orderdate").alias("created_at"),
+        F.col("o_totalprice"))
+    jobs = jobs.withColumn("started_at", F.when(F.col("status") != "pending", F.expr(
+        "timestampadd(SECOND, CAST(id % 600 AS INT), created_at)")))
+    jobs = jobs.withColumn("completed_at", F.when(F.col("status").isin("completed", "failed"), F.expr(
+        "timestampadd(SECOND, CAST(floor(o_totalprice) % 3600 AS INT), started_at)")))
+    level = (F.when(F.col("l_returnflag") == "R", "warn")
+             .when((F.col("l_returnflag") == "A") & (F.col("o_orderstatus") == "P"), "error").otherwise("info"))
+    logs = (li.join(o.select("o_orderkey", "o_orderstatus"), li["l_orderkey"] == o["o_orderkey"])
+            .groupBy(F.col("l_orderkey").alias("id"))
+            .agg(F.count(F.lit(1)).alias("total_features"),
+                 F.sort_array(F.collect_list(F.struct(
+                     F.col("l_linenumber").alias("pos"), F.col("l_shipdate").cast("string").alias("ts"),
+                     level.alias("level"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("message")
+                 ))).alias("__logs")))
+    out = jobs.join(logs, "id", "left").withColumn("total_features", F.coalesce("total_features", F.lit(0)).cast("bigint"))
+    imported = (F.when(F.col("status") == "completed", F.col("total_features"))
+                .when(F.col("status") == "failed", F.floor(F.col("total_features") / 2))
+                .when(F.col("status") == "running", F.floor(F.col("total_features") / 3)).otherwise(F.lit(0)))
+    return out.select("id", "collection_id", "source_file", "status", "total_features",
+                      imported.cast("bigint").alias("imported_features"),
+                      F.transform(F.coalesce("__logs", F.array().cast(
+                          "array<struct<pos:int,ts:string,level:string,message:string>>")),
+                          lambda e: F.struct(e["ts"].alias("ts"), e["level"].alias("level"),
+                                             e["message"].alias("message"))).alias("logs"),
+                      "created_at", "started_at", "completed_at")
+
+
+HISTORY_SQL = """(SELECT o.o_orderkey AS id,
+  CASE WHEN o.o_orderpriority = '5-LOW' THEN o.o_custkey + 1000000000 ELSE o.o_custkey END AS collection_id,
+  'upload_' || CAST(o.o_orderkey AS VARCHAR) || '.geojson' AS source_file,
+  CASE WHEN o.o_orderstatus = 'F' THEN 'completed' WHEN o.o_orderstatus = 'P' THEN 'failed'
+       WHEN o.o_orderpriority = '1-URGENT' THEN 'pending' ELSE 'running' END AS status,
+  o.o_orderstatus, o.o_orderdate AS created_at, o.o_totalprice,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS total_features, l.logs
+FROM orders o LEFT JOIN (SELECT li.l_orderkey, count(*) AS n,
+  list({'ts': CAST(li.l_shipdate AS VARCHAR), 'level': CASE WHEN li.l_returnflag = 'R' THEN 'warn'
+        WHEN li.l_returnflag = 'A' AND oo.o_orderstatus = 'P' THEN 'error' ELSE 'info' END,
+        'message': 'line ' || CAST(li.l_linenumber AS VARCHAR)} ORDER BY li.l_linenumber, CAST(li.l_shipdate AS VARCHAR),
+        CASE WHEN li.l_returnflag = 'R' THEN 'warn' WHEN li.l_returnflag = 'A' AND oo.o_orderstatus = 'P' THEN 'error' ELSE 'info' END) AS logs
+  FROM lineitem li JOIN orders oo ON li.l_orderkey = oo.o_orderkey GROUP BY li.l_orderkey) l ON l.l_orderkey = o.o_orderkey)"""
+
+HISTORY_FULL_SQL = f"""(SELECT h.*,
+  CASE WHEN status <> 'pending' THEN created_at + to_seconds(CAST(id % 600 AS BIGINT)) END AS started_at,
+  CASE WHEN status IN ('completed', 'failed') THEN created_at + to_seconds(CAST(id % 600 AS BIGINT))
+       + to_seconds(CAST(floor(o_totalprice) % 3600 AS BIGINT)) END AS completed_at,
+  CAST(CASE WHEN status = 'completed' THEN total_features WHEN status = 'failed' THEN floor(total_features / 2)
+       WHEN status = 'running' THEN floor(total_features / 3) ELSE 0 END AS BIGINT) AS imported_features
+FROM {HISTORY_SQL} h)"""
