@@ -879,3 +879,65 @@ def _pag1_batch(spark, sf_dir):
 query("pag1_batch_pages", f"""SELECT req_id, id, CAST(rn AS INTEGER) AS rank FROM (SELECT r.req_id, o.id,
   row_number() OVER (PARTITION BY r.req_id ORDER BY o.id) AS rn FROM {SBOX} r JOIN {ORD} o
   ON o.x BETWEEN r.xmin AND r.xmax AND o.y BETWEEN r.ymin AND r.ymax) WHERE rn > 5 AND rn <= 15""")(_pag1_batch)
+
+
+# ============================================================ TIL: tiles
+from ..operators import tiles as TL  # noqa: E402
+
+_H = repr(TL.H)
+_2H = repr(2 * TL.H)
+
+
+def s_tiles(src: str, zooms, extra: str = "") -> str:
+    """DuckDB brute force of tile assignment: per zoom, every tile index in the buffered range."""
+    z_list = ", ".join(str(int(z)) for z in zooms)
+    extra = (", " + extra) if extra else ""
+    return f"""(WITH p AS (SELECT id{extra}, 6378137.0 * radians(x) AS mx, 6378137.0 * ln(tan(pi() / 4 + radians(y) / 2)) AS my
+  FROM {src}), pz AS (SELECT p.*, CAST(z AS INTEGER) AS z, {_2H} / pow(2.0, z) AS w, CAST(pow(2, z) AS BIGINT) AS n
+  FROM p, unnest([{z_list}]) t(z)),
+xr AS (SELECT pz.*, unnest(range(CAST(greatest(ceil((mx + {_H}) / w - 1 - 0.0625), 0) AS BIGINT),
+  CAST(least(floor((mx + {_H}) / w + 0.0625), n - 1) AS BIGINT) + 1)) AS x FROM pz)
+SELECT xr.*, unnest(range(CAST(greatest(ceil(({_H} - my) / w - 1 - 0.0625), 0) AS BIGINT),
+  CAST(least(floor(({_H} - my) / w + 0.0625), n - 1) AS BIGINT) + 1)) AS y FROM xr)"""
+
+
+def _til3(spark, sf_dir):
+    return TL.assign_tiles(T.orders(spark, sf_dir), [5, 8, 11]).select("id", "z", "x", "y")
+
+
+query("til2_til3_tile_assignment", f"SELECT id, z, x, y FROM {s_tiles(ORD, [5, 8, 11])}")(_til3)
+
+
+def _til4(spark, sf_dir):
+    return TL.point_tile_features(T.lineitems(spark, sf_dir), [9], ["l_returnflag"])
+
+
+query("til4_quantized_points", f"""SELECT z, x, y, id, CAST(floor((mx - (x * w - {_H})) / w * 4096 + 0.5) AS INTEGER) AS qx,
+  CAST(floor(({_H} - y * w - my) / w * 4096 + 0.5) AS INTEGER) AS qy, l_returnflag
+FROM {s_tiles(LINE, [9], 'l_returnflag')}""")(_til4)
+
+
+def _til7(spark, sf_dir):
+    return TL.pyramid_counts(T.lineitems(spark, sf_dir), range(0, 11))
+
+
+query("til7_pyramid_counts", f"SELECT z, x, y, count(*) AS n_features FROM {s_tiles(LINE, range(0, 11))} "
+      f"GROUP BY z, x, y")(_til7)
+
+
+def _til6(spark, sf_dir):
+    o = T.read(spark, sf_dir, "orders")
+    reqs = o.select((F.col("o_orderkey") % 33).cast("int").alias("z"),
+                    ((F.col("o_custkey") * 7) % 40 - 3).alias("x"), ((F.col("o_orderkey") * 3) % 40 - 3).alias("y")).distinct()
+    counts = TL.pyramid_counts(T.customers(spark, sf_dir), range(0, 31))
+    return TL.tile_requests(reqs, counts).select("z", "x", "y", "valid", "n_features")
+
+
+query("til6_tile_requests", f"""WITH r AS (SELECT DISTINCT CAST(o_orderkey % 33 AS INTEGER) AS z, (o_custkey * 7) % 40 - 3 AS x,
+  (o_orderkey * 3) % 40 - 3 AS y FROM orders),
+c AS (SELECT z, x, y, count(*) AS n_features FROM {s_tiles(CUST, range(0, 31))} GROUP BY z, x, y)
+SELECT r.z, r.x, r.y, (r.z >= 0 AND r.z <= 30 AND r.x >= 0 AND r.y >= 0 AND r.x < CAST(pow(2, r.z) AS BIGINT)
+  AND r.y < CAST(pow(2, r.z) AS BIGINT)) AS valid,
+  CASE WHEN r.z >= 0 AND r.z <= 30 AND r.x >= 0 AND r.y >= 0 AND r.x < CAST(pow(2, r.z) AS BIGINT)
+  AND r.y < CAST(pow(2, r.z) AS BIGINT) THEN c.n_features END AS n_features
+FROM r LEFT JOIN c ON r.z = c.z AND r.x = c.x AND r.y = c.y""")(_til6)
