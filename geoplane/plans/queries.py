@@ -941,3 +941,151 @@ SELECT r.z, r.x, r.y, (r.z >= 0 AND r.z <= 30 AND r.x >= 0 AND r.y >= 0 AND r.x
   CASE WHEN r.z >= 0 AND r.z <= 30 AND r.x >= 0 AND r.y >= 0 AND r.x < CAST(pow(2, r.z) AS BIGINT)
   AND r.y < CAST(pow(2, r.z) AS BIGINT) THEN c.n_features END AS n_features
 FROM r LEFT JOIN c ON r.z = c.z AND r.x = c.x AND r.y = c.y""")(_til6)
+
+
+# ============================================================ ING / SNK: import and export shapes
+from ..sources import text as TX  # noqa: E402
+from ..sources.ids import with_sequential_id  # noqa: E402
+
+query("ing1_sanitize_names", """SELECT p_partkey AS id, CASE WHEN lower(regexp_replace(p_name || '-' || p_brand, '[^a-zA-Z0-9_]', '_', 'g'))
+  IN ('id', 'geom') THEN '_' ELSE '' END || lower(regexp_replace(p_name || '-' || p_brand, '[^a-zA-Z0-9_]', '_', 'g')) AS column_name,
+  'data_' || lower(regexp_replace(p_type, '[^a-zA-Z0-9_]', '_', 'g')) AS table_name FROM part""")(
+    lambda spark, sf_dir: T.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), TX.sanitize_name(F.concat_ws("-", "p_name", "p_brand")).alias("column_name"),
+        TX.table_name(F.col("p_type")).alias("table_name")))
+
+
+def _ing3(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents")
+    header = F.substring_index(F.col("text"), "\n", 1)
+    return d.select(F.col("doc_id").alias("id"), TX.detect_separator(header).alias("separator"))
+
+
+_SEP_COUNTS = ("length(h) - length(replace(h, ';', '')) AS a, length(h) - length(replace(h, ',', '')) AS b, "
+               "length(h) - length(replace(h, chr(9), '')) AS c")
+query("ing3_separator_detect", f"""SELECT id, CASE WHEN greatest(a, b, c) = 0 THEN ';' WHEN a = greatest(a, b, c) THEN ';'
+  WHEN b = greatest(a, b, c) THEN ',' ELSE chr(9) END AS separator
+FROM (SELECT doc_id AS id, {_SEP_COUNTS} FROM (SELECT doc_id, split_part(text, chr(10), 1) AS h FROM documents))""")(_ing3)
+
+
+def _csv_text(spark, sf_dir) -> DataFrame:
+    """Customers rendered as CSV lines, one 'file' per nation (derived import input)."""
+    c = T.read(spark, sf_dir, "customer")
+    lon = F.expr(T.lon_sql("c_custkey")).cast("string")
+    lat = F.when(F.col("c_custkey") % 17 == 0, F.lit("abc")).otherwise(F.expr(T.lat_sql("c_custkey")).cast("string"))
+    mixed = F.when(F.col("c_custkey") % 13 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string"))
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", lon, lat,
+                       F.col("c_acctbal").cast("string"), "c_mktsegment", mixed)
+    return c.select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"), F.lit(".csv")).alias("file"),
+                    F.col("c_custkey").alias("row_key"), line.alias("line"))
+
+
+_CSV_SCHEMA = "code string, name string, lon string, lat string, balance string, segment string, mixed string"
+_CSV_TEXT_SQL = f"""(SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) || '.csv' AS file, c_custkey AS row_key,
+  CAST(c_custkey AS VARCHAR) AS code, c_name AS name, CAST({T.lon_sql('c_custkey')} AS VARCHAR) AS lon,
+  CASE WHEN c_custkey % 17 = 0 THEN 'abc' ELSE CAST({T.lat_sql('c_custkey')} AS VARCHAR) END AS lat,
+  CAST(c_acctbal AS VARCHAR) AS balance, c_mktsegment AS segment,
+  CASE WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE CAST(c_nationkey AS VARCHAR) END AS mixed FROM customer)"""
+
+
+def _parsed_csv(spark, sf_dir):
+    t = _csv_text(spark, sf_dir)
+    return t.select("file", "row_key", F.from_csv("line", _CSV_SCHEMA, {"sep": ";"}).alias("r")).select(
+        "file", "row_key", "r.*")
+
+
+def _ing5(spark, sf_dir):
+    from pyspark.sql import Window
+    rows = _parsed_csv(spark, sf_dir)
+    w = Window.partitionBy("file").orderBy("row_key")
+    first = rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 100)
+    cols = ["code", "name", "balance", "segment", "mixed"]
+    aggs = []
+    for c in cols:
+        aggs += TX.infer_type_aggs(F.col(c), c)
+    wide = first.groupBy("file").agg(*aggs)
+    stacked = F.array(*[F.struct(F.lit(c).alias("column_name"), TX.infer_type_column(
+        F.col(f"{c}__num"), F.col(f"{c}__dot"), F.col(f"{c}__n")).alias("inferred_type")) for c in cols])
+    return wide.select("file", F.inline(stacked))
+
+
+query("ing5_csv_type_inference", " UNION ALL ".join(
+    f"""SELECT file, '{c}' AS column_name, CASE WHEN count(*) FILTER (WHERE {c} <> '') > 0
+      AND bool_and(TRY_CAST({c} AS DOUBLE) IS NOT NULL) FILTER (WHERE {c} <> '') IS NOT FALSE THEN
+      CASE WHEN coalesce(bool_or(contains({c}, '.')) FILTER (WHERE {c} <> ''), false) THEN 'DOUBLE PRECISION' ELSE 'INTEGER' END
+      ELSE 'TEXT' END AS inferred_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_key) AS rn FROM {_CSV_TEXT_SQL}) WHERE rn <= 100 GROUP BY file"""
+    for c in ["code", "name", "balance", "segment", "mixed"]))(_ing5)
+
+
+def _ing9(spark, sf_dir):
+    rows = _parsed_csv(spark, sf_dir)
+    x = F.trim("lon").try_cast("double")
+    y = F.trim("lat").try_cast("double")
+    ok = x.isNotNull() & y.isNotNull()
+    return rows.groupBy("file").agg(F.count_if(ok).alias("imported"), F.count_if(~ok).alias("skipped"),
+                                    F.round(F.min(F.when(ok, y)), 6).alias("ymin"))
+
+
+query("ing9_agg13_point_build_counts", f"""SELECT file, count(*) FILTER (WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL AND TRY_CAST(lat AS DOUBLE) IS NOT NULL) AS imported,
+  count(*) FILTER (WHERE NOT (TRY_CAST(lon AS DOUBLE) IS NOT NULL AND TRY_CAST(lat AS DOUBLE) IS NOT NULL)) AS skipped,
+  round(min(TRY_CAST(lat AS DOUBLE)) FILTER (WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL), 6) AS ymin
+FROM {_CSV_TEXT_SQL} GROUP BY file""")(_ing9)
+
+
+def _ing14(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    return with_sequential_id(e.select("event_id"), "id")
+
+
+query("ing14_sequential_ids", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS id FROM events WHERE event_type <> 'error'")(_ing14)
+
+
+def _geojson_text(spark, sf_dir):
+    """Orders as GeoJSON geometry text: points, and boxes for urgent orders (derived import input)."""
+    o = T.orders(spark, sf_dir).df
+    x, y = F.col("_xmin"), F.col("_ymin")
+    pt = F.concat(F.lit('{"type":"Point","coordinates":['), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]}"))
+    x2, y2 = (x + 0.5).cast("string"), (y + 0.25).cast("string")
+    ring = F.concat(F.lit("[["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("],["), x2, F.lit(","),
+                    y.cast("string"), F.lit("],["), x2, F.lit(","), y2, F.lit("],["), x.cast("string"), F.lit(","),
+                    y.cast("string"), F.lit("]]"))
+    poly = F.concat(F.lit('{"type":"Polygon","coordinates":['), ring, F.lit("]}"))
+    return o.select("id", F.when(F.col("o_orderpriority") == "1-URGENT", poly).otherwise(pt).alias("geometry"))
+
+
+def _ing10(spark, sf_dir):
+    g = G.promote_multi(G.from_geojson(F.col("geometry")))
+    bb = G.bbox_columns(g)
+    return _geojson_text(spark, sf_dir).select(
+        "id", g["type"].alias("geometry_type"), F.size(G.vertices(g)).alias("n_vertices"),
+        F.round(bb["_xmax"], 6).alias("xmax"), F.round(bb["_ymax"], 6).alias("ymax"))
+
+
+query("ing10_ing11_geojson_parse_promote", f"""SELECT id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'MultiPolygon' ELSE 'MultiPoint' END AS geometry_type,
+  CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN 4 ELSE 1 END AS INTEGER) AS n_vertices,
+  round(CASE WHEN o_orderpriority = '1-URGENT' THEN x + 0.5 ELSE x END, 6) AS xmax,
+  round(CASE WHEN o_orderpriority = '1-URGENT' THEN y + 0.25 ELSE y END, 6) AS ymax FROM {ORD}""")(_ing10)
+
+
+def _ing17(spark, sf_dir):
+    g = G.promote_multi(G.from_geojson(F.col("geometry")))
+    t = _geojson_text(spark, sf_dir).select("id", g["type"].alias("t"))
+    return t.agg(F.count(F.lit(1)).alias("feature_count"),
+                 F.min_by("t", "id").alias("geometry_type"))
+
+
+query("ing17_count_and_type", f"""SELECT count(*) AS feature_count, arg_min(CASE WHEN o_orderpriority = '1-URGENT'
+  THEN 'MultiPolygon' ELSE 'MultiPoint' END, o_orderkey) AS geometry_type FROM orders""")(_ing17)
+
+
+def _snk2(spark, sf_dir):
+    from ..sources.export import csv_lines
+    c = T.customers(spark, sf_dir)
+    c.exposed_fields = [("c_name", "name"), ("c_acctbal", "balance"), ("c_mktsegment", "segment")]
+    _, lines = csv_lines(c, P.eq(c.df, "c_mktsegment", "AUTOMOBILE"))
+    return lines
+
+
+query("snk2_csv_export_lines", f"""SELECT id, CAST(id AS VARCHAR) || ',' || c_name || ',' || CAST(c_acctbal AS VARCHAR) || ',' ||
+  c_mktsegment || ',' || {s_wkt_point('x', 'y')} AS line FROM {CUST} WHERE c_mktsegment = 'AUTOMOBILE'""")(_snk2)
