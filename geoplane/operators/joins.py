@@ -147,6 +147,10 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
         rc = F.broadcast(rc)
     elif bounded_count(fc, broadcast_max_rows) is not None:
         fc = F.broadcast(fc)
+    else:
+        # neither side is provably small: a shuffled sort-merge join on the cell key,
+        # whose hot partitions AQE splits (spark.sql.adaptive.skewJoin.enabled)
+        rc = rc.hint("merge")
 
     joined = fc.join(rc, keys, "inner")
     m = F.greatest(F.col("__flv"), F.col("__rlv"))

@@ -136,19 +136,27 @@ def exact_quantiles(df: DataFrame, field: str, probs: list[float]) -> list[float
 
 
 def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
-    """Values at 0-based ranks of the ascending order of ``col`` (distributed selection)."""
+    """Values at 0-based ranks of the ascending order of ``col`` (distributed selection).
+
+    Each rank keeps an open/closed value interval known to hold it and the
+    number of values below that interval.  A round brackets the rank with two
+    approximate quantiles a <= b, then counts values < and <= each of them:
+    ties at a or b settle the rank at once, otherwise the interval shrinks to
+    one of (lo, a), (a, b), (b, hi) -- which excludes a and b, so every round
+    makes progress even on heavily duplicated data.
+    """
     v = F.col(col)
-    # state per rank: interval (lo, hi] (None = unbounded), values below lo
-    state = {k: [None, None, 0] for k in ranks}
+    # state per rank: [lo, lo_inclusive, hi, hi_inclusive, values below the interval]
+    state = {k: [None, False, None, True, 0] for k in ranks}
     result: dict[int, float] = {}
-    for _ in range(12):
+    for _ in range(64):
         todo = [k for k in ranks if k not in result]
         if not todo:
             break
         # pass 1: size of each open interval (+ min/max to settle runs of equal values)
         aggs = []
         for k in todo:
-            cond = _in_interval(v, *state[k][:2])
+            cond = _in_interval(v, *state[k][:4])
             aggs += [F.count_if(cond).alias(f"c{k}"), F.min(F.when(cond, v)).alias(f"mn{k}"),
                      F.max(F.when(cond, v)).alias(f"mx{k}")]
         row = base.agg(*aggs).first()
@@ -164,12 +172,12 @@ def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[in
         if small:
             cond = None
             for k in small:
-                c = _in_interval(v, *state[k][:2])
+                c = _in_interval(v, *state[k][:4])
                 cond = c if cond is None else (cond | c)
-            vals = sorted(r[0] for r in base.filter(cond).select(col).collect())
+            vals = sorted(r[0] for r in base.filter(cond).select(col).collect())   # <= COLLECT_MAX per rank
             for k in small:
-                lo, hi, below = state[k]
-                inside = [x for x in vals if (lo is None or x > lo) and (hi is None or x <= hi)]
+                lo, lo_in, hi, hi_in, below = state[k]
+                inside = [x for x in vals if _inside(x, lo, lo_in, hi, hi_in)]
                 result[k] = float(inside[k - below])
         if not big:
             continue
@@ -177,43 +185,57 @@ def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[in
         margin = 3.0 / APPROX_ACCURACY
         aggs = []
         for k, cnt in big:
-            lo, hi, below = state[k]
+            lo, lo_in, hi, hi_in, below = state[k]
             rel = (k - below) / max(cnt - 1, 1)
             ps = [max(rel - margin, 0.0), min(rel + margin, 1.0)]
-            aggs.append(F.percentile_approx(F.when(_in_interval(v, lo, hi), v), ps, APPROX_ACCURACY).alias(f"q{k}"))
+            aggs.append(F.percentile_approx(F.when(_in_interval(v, lo, lo_in, hi, hi_in), v), ps,
+                                            APPROX_ACCURACY).alias(f"q{k}"))
         qrow = base.agg(*aggs).first()
-        # pass 3: exact counts at the bracket ends decide the sub-interval holding the rank
+        # pass 3: exact counts below / at the bracket values
         aggs = []
         for k, _ in big:
             a, b = qrow[f"q{k}"]
-            lo, hi, _b = state[k]
-            aggs += [F.count_if(_in_interval(v, lo, a)).alias(f"a{k}"), F.count_if(_in_interval(v, lo, b)).alias(f"b{k}")]
+            inner = _in_interval(v, *state[k][:4])
+            aggs += [F.count_if(inner & (v < a)).alias(f"la{k}"), F.count_if(inner & (v <= a)).alias(f"ea{k}"),
+                     F.count_if(inner & (v < b)).alias(f"lb{k}"), F.count_if(inner & (v <= b)).alias(f"eb{k}")]
         crow = base.agg(*aggs).first()
-        for k, cnt in big:
-            a, b = qrow[f"q{k}"]
-            lo, hi, below = state[k]
-            ca, cb = crow[f"a{k}"], crow[f"b{k}"]
-            if k < below + ca:            # rank in (lo, a]
-                state[k] = [lo, a, below]
-            elif k < below + cb:          # rank in (a, b]
-                state[k] = [a, b, below + ca]
-            else:                         # rank in (b, hi]
-                state[k] = [b, hi, below + cb]
+        for k, _ in big:
+            a, b = (float(x) for x in qrow[f"q{k}"])
+            lo, lo_in, hi, hi_in, below = state[k]
+            la, ea, lb, eb = (crow[f"{p}{k}"] for p in ("la", "ea", "lb", "eb"))
+            if below + la <= k < below + ea:
+                result[k] = a
+            elif below + lb <= k < below + eb:
+                result[k] = b
+            elif k < below + la:
+                state[k] = [lo, lo_in, a, False, below]
+            elif k < below + lb:
+                state[k] = [a, False, b, False, below + ea]
+            else:
+                state[k] = [b, False, hi, hi_in, below + eb]
     missing = [k for k in ranks if k not in result]
     if missing:
         raise RuntimeError(f"rank selection did not converge for ranks {missing[:5]}")
     return result
 
 
-def _in_interval(v: Column, lo, hi) -> Column:
+def _in_interval(v: Column, lo, lo_in, hi, hi_in) -> Column:
     cond = F.lit(True)
     if lo is not None:
-        cond = cond & (v > F.lit(float(lo)))
+        cond = cond & ((v >= F.lit(float(lo))) if lo_in else (v > F.lit(float(lo))))
     if hi is not None:
-        cond = cond & (v <= F.lit(float(hi)))
+        cond = cond & ((v <= F.lit(float(hi))) if hi_in else (v < F.lit(float(hi))))
     return cond
 
 
+def _inside(x, lo, lo_in, hi, hi_in) -> bool:
+    if lo is not None and (x < lo or (x == lo and not lo_in)):
+        return False
+    if hi is not None and (x > hi or (x == hi and not hi_in)):
+        return False
+    return True
+
+
 def quantile_breaks(df: DataFrame, field: str, classes: int = 5, exact: bool = True) -> list[float]:
     """AGG-7: breakpoints at i/n for i = 1..n-1 (``percentile_approx`` when not exact)."""
     fracs = [(i + 1) / classes for i in range(classes - 1)]
