@@ -1089,3 +1089,87 @@ def _snk2(spark, sf_dir):
 
 query("snk2_csv_export_lines", f"""SELECT id, CAST(id AS VARCHAR) || ',' || c_name || ',' || CAST(c_acctbal AS VARCHAR) || ',' ||
   c_mktsegment || ',' || {s_wkt_point('x', 'y')} AS line FROM {CUST} WHERE c_mktsegment = 'AUTOMOBILE'""")(_snk2)
+
+
+# ============================================================ STR: streams (run with availableNow into a sink)
+from ..streaming import streams as ST  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    # the stream source watches the table directory; a glob selects the events files in it
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    raw = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
+           .option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")))
+    lon, lat = F.expr(T.lon_sql("event_id")), F.expr(T.lat_sql("event_id"))
+    return raw.select(F.col("event_id").alias("id"), "ts", "event_type", "value",
+                      lon.alias("_xmin"), lat.alias("_ymin"), lon.alias("_xmax"), lat.alias("_ymax"))
+
+
+def _sink(spark, name):
+    return f"{ST.checkpoint_location(spark, name)}-sink"
+
+
+def _str2(spark, sf_dir):
+    s = _event_stream(spark, sf_dir)
+    coll = C.Collection(s, name="events", datetime_column="ts")
+    cond = C.items_filter(coll, P.in_list(s, "event_type", ["click", "error"]), lon=2.35, lat=48.86, radius=250000.0,
+                          datetime="2024-01-05/2024-01-20")
+    out = ST.run_available_now(ST.stream_filter(s, cond, ["id", "event_type", "ts"]), _sink(spark, "str2"), name="str2")
+    return spark.read.parquet(out)
+
+
+query("str2_stream_filter", f"""SELECT id, event_type, ts FROM {EVT} WHERE event_type IN ('click', 'error')
+  AND {s_haversine('x', 'y', '2.35', '48.86')} <= 250000.0
+  AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'""")(_str2)
+
+
+def _str3(spark, sf_dir):
+    s = _event_stream(spark, sf_dir).withColumnRenamed("event_type", "collection")
+    out = ST.run_available_now(ST.running_collection_stats(s), _sink(spark, "str3"), mode="complete", name="str3")
+    return spark.read.parquet(out)
+
+
+query("str3_running_stats", f"SELECT event_type AS collection, count(*) AS feature_count, min(x) AS xmin, min(y) AS ymin, "
+      f"max(x) AS xmax, max(y) AS ymax FROM {EVT} GROUP BY event_type")(_str3)
+
+
+def _str4(spark, sf_dir):
+    s = _event_stream(spark, sf_dir).select(F.col("id").alias("pid"), F.col("_xmin").alias("x"), F.col("_ymin").alias("y"))
+    out = ST.run_available_now(ST.stream_point_lookup(T.nations(spark, sf_dir), s), _sink(spark, "str4"), name="str4")
+    return spark.read.parquet(out)
+
+
+query("str4_stream_point_lookup", f"""SELECT ev.id AS pid, e.pid AS id FROM {EVT} ev JOIN {T.nation_edges_sql()} e
+ON (e.y1 > ev.y) <> (e.y2 > ev.y) AND ev.x < (e.x2 - e.x1) * (ev.y - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY ev.id, e.pid HAVING count(*) % 2 = 1""")(_str4)
+
+
+def _str1(spark, sf_dir):
+    """Customers exported as one CSV file per market segment into a drop folder, then imported by the stream."""
+    base = ST.checkpoint_location(spark, "str1")
+    drop, tables, hist = f"{base}/drop", f"{base}/tables", f"{base}/history"
+    c = T.read(spark, sf_dir, "customer").select(
+        "c_mktsegment", F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name",
+                                    F.expr(T.lon_sql("c_custkey")).cast("string"),
+                                    F.expr(T.lat_sql("c_custkey")).cast("string")).alias("line"))
+    for seg in [r[0] for r in c.select("c_mktsegment").distinct().collect()]:      # 5 segments
+        body = c.filter(F.col("c_mktsegment") == seg).select("line")
+        header = spark.createDataFrame([("code;name;longitude;latitude",)], "line string")
+        header.unionByName(body).coalesce(1).write.mode("overwrite").text(f"{base}/stage/{seg.lower()}")
+        part = [f for f in spark.read.text(f"{base}/stage/{seg.lower()}").inputFiles()][0]
+        _hadoop_rename(spark, part, f"{drop}/{seg.lower()}.csv")
+    ST.drop_folder_ingest(spark, drop, tables, hist, delete_source=True).awaitTermination()
+    return spark.read.parquet(hist).select("collection", "status", "feature_count")
+
+
+def _hadoop_rename(spark, src: str, dst: str) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p_src, p_dst = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = p_src.getFileSystem(conf)
+    fs.mkdirs(p_dst.getParent())
+    fs.rename(p_src, p_dst)
+
+
+query("str1_drop_folder_ingest", "SELECT lower(c_mktsegment) AS collection, 'completed' AS status, count(*) AS feature_count "
+      "FROM customer GROUP BY c_mktsegment")(_str1)

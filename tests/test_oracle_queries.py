@@ -53,4 +53,4 @@ def test_every_query_has_oracle_or_is_listed():
     no_oracle = set(E.queries()) - set(E.oracle_sql())
     assert no_oracle <= {"str1_drop_folder_ingest", "til5_mvt_tiles", "spa9_s_crosses_lines",
                          "spa10_s_overlaps_polygons", "jn10_batch_relate_polygons", "str3_running_stats",
-                         "str4_stream_point_lookup", "str2_stream_filter", "src4_shapefile_scan"}
+                         "src4_shapefile_scan"}
