@@ -1173,3 +1173,44 @@ def _hadoop_rename(spark, src: str, dst: str) -> None:
 
 query("str1_drop_folder_ingest", "SELECT lower(c_mktsegment) AS collection, 'completed' AS status, count(*) AS feature_count "
       "FROM customer GROUP BY c_mktsegment")(_str1)
+
+
+# ============================================================ SPA-5..11 on polygon features (relate kernel)
+AREA_RECT = Geom.from_wkt("POLYGON((1 44, 3 44, 3 46, 1 46, 1 44))")
+CROSS_LINE = Geom.from_wkt("LINESTRING(0 45.0005, 4 45.0005)")
+_INTER = "xmin <= 3 AND xmax >= 1 AND ymin <= 46 AND ymax >= 44"
+_INT_INT = "xmin < 3 AND xmax > 1 AND ymin < 46 AND ymax > 44"
+_WITHIN = "xmin >= 1 AND xmax <= 3 AND ymin >= 44 AND ymax <= 46"
+_CONTAINS = "xmin <= 1 AND xmax >= 3 AND ymin <= 44 AND ymax >= 46"
+
+
+def _areas(op, g):
+    return _spatial(T.customer_areas, lambda c: S.relate_literal(c, op, g))
+
+
+query("spa5_s_intersects_areas", f"SELECT id FROM {CBOX} WHERE {_INTER}")(_areas("s_intersects", AREA_RECT))
+query("spa6_s_within_areas", f"SELECT id FROM {CBOX} WHERE {_WITHIN}")(_areas("s_within", AREA_RECT))
+query("spa8_s_touches_areas", f"SELECT id FROM {CBOX} WHERE ({_INTER}) AND NOT ({_INT_INT})")(_areas("s_touches", AREA_RECT))
+query("spa9_s_crosses_line_areas", f"SELECT id FROM {CBOX} WHERE ymin < 45.0005 AND ymax > 45.0005 AND xmin < 4 AND xmax > 0")(
+    _areas("s_crosses", CROSS_LINE))
+query("spa10_s_overlaps_areas", f"SELECT id FROM {CBOX} WHERE ({_INT_INT}) AND NOT ({_WITHIN}) AND NOT ({_CONTAINS})")(
+    _areas("s_overlaps", AREA_RECT))
+query("spa11_s_equals_areas", f"SELECT id FROM {CBOX} WHERE xmin = 1 AND xmax = 3 AND ymin = 44 AND ymax = 46")(
+    _areas("s_equals", AREA_RECT))
+query("spa12_s_disjoint_areas", f"SELECT id FROM {CBOX} WHERE NOT ({_INTER})")(_areas("s_disjoint", AREA_RECT))
+
+
+def _spa4_areas(spark, sf_dir):
+    c = T.customer_areas(spark, sf_dir)
+    return c.df.filter(S.radius(c, 2.35, 48.86, 60000.0)).select("id")
+
+
+query("spa4_radius_areas_rows", None)(_spa4_areas)
+
+
+def _jn10_relate(spark, sf_dir):
+    n = T.nations(spark, sf_dir).df.select(F.col("id").alias("gid"), "geom")
+    return J.batch_predicate(T.customer_areas(spark, sf_dir), n, "s_within")
+
+
+query("jn10_batch_relate_polygons")(_jn10_relate)

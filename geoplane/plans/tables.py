@@ -225,3 +225,20 @@ HISTORY_FULL_SQL = f"""(SELECT h.*,
   CAST(CASE WHEN status = 'completed' THEN total_features WHEN status = 'failed' THEN floor(total_features / 2)
        WHEN status = 'running' THEN floor(total_features / 3) ELSE 0 END AS BIGINT) AS imported_features
 FROM {HISTORY_SQL} h)"""
+
+
+def customer_areas(spark, sf_dir) -> Collection:
+    """One axis-aligned square polygon per customer (half side 0.02..0.12 degrees)."""
+    c = customers(spark, sf_dir).df
+    h = F.lit(0.02) + (F.col("id") % 11).cast("double") * F.lit(0.01)
+    x1, y1 = F.col("_xmin") - h, F.col("_ymin") - h
+    x2, y2 = F.col("_xmax") + h, F.col("_ymax") + h
+
+    def v(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    ring = F.array(v(x1, y1), v(x2, y1), v(x2, y2), v(x1, y2), v(x1, y1))
+    geom = F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.array(F.array(ring)).alias("parts"))
+    df = c.select("id", "c_mktsegment", geom.alias("geom"), x1.alias("_xmin"), y1.alias("_ymin"),
+                  x2.alias("_xmax"), y2.alias("_ymax"))
+    return Collection(df, name="customer_areas", geometry_type="Polygon", workspace="sales")
