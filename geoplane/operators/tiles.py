@@ -52,8 +52,9 @@ def tile_envelope(z: Column, x: Column, y: Column, margin: float = 0.0) -> dict[
 
 def is_valid_tile(z: Column, x: Column, y: Column) -> Column:
     """TIL-6: integers with 0 <= z <= 30 and 0 <= x, y < 2^z."""
-    n = F.pow(F.lit(2.0), z.cast("double")).cast("bigint")
-    return (z >= 0) & (z <= MAX_ZOOM) & (x >= 0) & (y >= 0) & (x < n) & (y < n)
+    in_range = (z >= 0) & (z <= MAX_ZOOM)
+    n = F.when(in_range, F.pow(F.lit(2.0), z.cast("double")).cast("bigint"))
+    return F.when(in_range, (x >= 0) & (y >= 0) & (x < n) & (y < n)).otherwise(F.lit(False))
 
 
 def mercator_bbox(coll) -> dict[str, Column]:

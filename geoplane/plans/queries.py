@@ -1214,3 +1214,17 @@ def _jn10_relate(spark, sf_dir):
 
 
 query("jn10_batch_relate_polygons")(_jn10_relate)
+
+
+# ============================================================ TIL-5 / AGG-12: vector tile bytes
+from ..operators import mvt as MV  # noqa: E402
+
+
+def _til5(spark, sf_dir):
+    li = T.lineitems(spark, sf_dir)
+    li.exposed_fields = [("l_returnflag", "flag"), ("l_quantity", "qty")]
+    blobs = MV.tile_blobs(li, range(0, 9), salt=8)
+    return blobs.select("z", "x", "y")
+
+
+query("til5_agg12_mvt_tiles", f"SELECT DISTINCT z, x, y FROM {s_tiles(LINE, range(0, 9))}")(_til5)
