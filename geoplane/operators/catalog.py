@@ -223,3 +223,35 @@ def page_links_columns(n: Column, limit: Column, offset: Column) -> dict[str, Co
         "first_offset": F.lit(0),
         "last_offset": F.when(n > 0, F.floor((n - 1) / limit).cast("bigint") * limit),
     }
+
+
+# ---------------------------------------------------------------- ING-19
+PROGRESS_BATCH = 500
+
+
+def progress_rows(spark, total: int, batch: int = PROGRESS_BATCH) -> DataFrame:
+    """ING-19: the progress updates an import emits: every ``batch`` features and at the last one."""
+    if total <= 0:
+        return spark.createDataFrame([], "done bigint, progress int")
+    steps = spark.range(1, total // batch + 1).select((F.col("id") * batch).alias("done"))
+    if total % batch:
+        steps = steps.unionByName(spark.range(1).select(F.lit(total).cast("bigint").alias("done")))
+    return steps.select("done", progress_pct(F.col("done"), F.lit(total)).alias("progress"))
+
+
+def import_history_row(spark, collection_id, source_file: str, report: DataFrame, started, completed,
+                       status: str = "completed", error: str | None = None) -> DataFrame:
+    """ING-19: one history row for an import: counts from the import report, duration, logs."""
+    r = report.first()
+    imported, skipped = int(r["imported"]), int(r["skipped"])
+    logs = [(str(started), "info", f"import started: {source_file}")]
+    if skipped:
+        logs.append((str(completed), "warn", f"{skipped} rows skipped (invalid coordinates)"))
+    logs.append((str(completed), "error" if status == "failed" else "info",
+                 error or f"{imported} features imported"))
+    row = [(collection_id, source_file, status, imported + skipped, imported, logs, started, completed)]
+    df = spark.createDataFrame(row, "collection_id bigint, source_file string, status string, total_features bigint, "
+                                    "imported_features bigint, logs array<struct<ts:string,level:string,message:string>>, "
+                                    "started_at timestamp, completed_at timestamp")
+    return df.withColumn("duration_ms", job_duration_ms(F.col("started_at"), F.col("completed_at"))).withColumn(
+        "progress", progress_pct(F.col("imported_features") + F.lit(skipped), F.col("total_features")))

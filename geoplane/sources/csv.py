@@ -111,3 +111,16 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
                         F.col("__x").alias("_xmin"), F.col("__y").alias("_ymin"),
                         F.col("__x").alias("_xmax"), F.col("__y").alias("_ymax"))
     return feats, report, plan
+
+
+def preview_csv(spark: SparkSession, path: str, separator: str | None = None, lon: str | None = None,
+                lat: str | None = None, sample: int = CSV_SAMPLE_ROWS) -> dict:
+    """SRC-10: fields (trimmed then sanitised headers) with types from <= 100 rows, 5 typed
+    sample rows, points and bbox of the first 100 rows, separator, geo columns, type Point."""
+    feats, report, plan = read_csv_points(spark, path, separator, lon, lat, sample=sample)
+    first = feats.orderBy("id").limit(sample)
+    bbox = first.agg(F.min("_xmin"), F.min("_ymin"), F.max("_xmax"), F.max("_ymax")).first()
+    return {"separator": plan.separator, "lon_column": plan.lon_column, "lat_column": plan.lat_column,
+            "fields": plan.types, "geometry_type": "Point",
+            "sample_rows": first.drop("geom").limit(5).collect(), "points": first,
+            "bbox": list(bbox) if bbox and bbox[0] is not None else None}
