@@ -38,6 +38,7 @@ LEVEL_FACTOR = 8
 N_LEVELS = 10
 MAX_CELLS = 1024
 BROADCAST_MAX_ROWS = 2_000_000
+SMALL_BROADCAST_ROWS = 200_000   # proven this small: broadcast without sizing the other side
 DEFAULT_CELL = 0.05            # degrees, when neither side suggests a size
 
 _BOX = ("_xmin", "_ymin", "_xmax", "_ymax")
@@ -97,10 +98,45 @@ def explode_cells(df: DataFrame, box_cols, base: float, own_level: Column, extra
             .withColumn("__cy", F.col("__cell.cy")).drop("__cell"))
 
 
+def explode_point_cells(df: DataFrame, x: Column, y: Column, base: float, levels: list[int], prefix: str) -> DataFrame:
+    """Point side: one cell per level in ``levels`` as plain arithmetic (no array lambdas)."""
+    lv = prefix + "lv"
+    levels = sorted(set(levels)) or [0]
+    if len(levels) == 1:
+        return df.withColumns({lv: F.lit(0), "__clv": F.lit(levels[0]),
+                               "__cx": F.floor(x / _cell_size(base, F.lit(levels[0]))),
+                               "__cy": F.floor(y / _cell_size(base, F.lit(levels[0])))})
+    cells = F.array(*[F.struct(F.lit(l).alias("lv"), F.floor(x / _cell_size(base, F.lit(l))).alias("cx"),
+                               F.floor(y / _cell_size(base, F.lit(l))).alias("cy")) for l in levels])
+    return (df.withColumn(lv, F.lit(0)).withColumn("__cell", F.explode(cells))
+            .withColumn("__clv", F.col("__cell.lv")).withColumn("__cx", F.col("__cell.cx"))
+            .withColumn("__cy", F.col("__cell.cy")).drop("__cell"))
+
+
 def cells_type() -> str:
     return "array<struct<lv:int,cx:bigint,cy:bigint>>"
 
 
+def side_stats(df: DataFrame, box_cols, level: Column, base: float) -> tuple[list[int], int]:
+    """Levels used by one side and its total number of own-level cells (one aggregate row)."""
+    xmin, ymin, xmax, ymax = box_cols
+    g = _cell_size(base, level)
+    cells = (F.floor(xmax / g) - F.floor(xmin / g) + 1) * (F.floor(ymax / g) - F.floor(ymin / g) + 1)
+    row = df.select(level.alias("__l"), cells.alias("__c")).agg(
+        F.collect_set("__l").alias("l"), F.sum("__c").alias("c")).first()
+    return sorted(row["l"] or []), int(row["c"] or 0)
+
+
+def _exploded_bound(df: DataFrame, own_cells: int | None, other_levels: list[int], max_rows: int) -> int | None:
+    """Upper bound of a side's exploded rows, or None when it exceeds ``max_rows``."""
+    extra = len([lv for lv in other_levels if lv > 0])
+    if own_cells is None:                      # point side: one cell per level
+        n = bounded_count(df, max_rows)
+        return None if n is None else n * (1 + extra)
+    bound = own_cells * (1 + extra)
+    return bound if bound <= max_rows else None
+
+
 def _levels_used(df: DataFrame, level: Column) -> list[int]:
     """Distinct grid levels of one side (at most N_LEVELS values)."""
     row = df.select(F.collect_set(level).alias("l")).first()
@@ -129,11 +165,14 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
             suggest_cell(features) if not features_are_points else DEFAULT_CELL)
     f_level = F.lit(0) if features_are_points else level_of(fbox, cell)
     r_level = F.lit(0) if requests_are_points else level_of(rbox, cell)
-    f_levels = [0] if features_are_points else _levels_used(features, f_level)
-    r_levels = [0] if requests_are_points else _levels_used(req, r_level)
-
-    fc = explode_cells(features, fbox, cell, f_level, r_levels, "__f")
-    rc = explode_cells(req, rbox, cell, r_level, f_levels, "__r")
+    # one statistics pass per extended side: levels used, own-level cell count (bounded driver data)
+    f_levels, f_cells = ([0], None) if features_are_points else side_stats(features, fbox, f_level, cell)
+    r_levels, r_cells = ([0], None) if requests_are_points else side_stats(req, rbox, r_level, cell)
+
+    fc = (explode_point_cells(features, fbox[0], fbox[1], cell, [0, *r_levels], "__f") if features_are_points
+          else explode_cells(features, fbox, cell, f_level, r_levels, "__f"))
+    rc = (explode_point_cells(req, rbox[0], rbox[1], cell, [0, *f_levels], "__r") if requests_are_points
+          else explode_cells(req, rbox, cell, r_level, f_levels, "__r"))
     fc = fc.withColumnRenamed("__clv", "__f_clv").withColumnRenamed("__cx", "__f_cx").withColumnRenamed("__cy", "__f_cy")
 
     keys = [F.col("__f_clv") == F.col("__clv"), F.col("__f_cx") == F.col("__cx"), F.col("__f_cy") == F.col("__cy")]
@@ -141,11 +180,25 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
         fc = fc.withColumn("__f_salt", F.pmod(F.xxhash64(*[F.col(c) for c in features.columns[:1]]), F.lit(salt)))
         rc = rc.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys.append(F.col("__f_salt") == F.col("__salt"))
-    # broadcast a side only when a bounded count proves it small; requests first,
-    # then the features (e.g. few polygons probed by many points); else shuffle both
-    if bounded_count(rc, broadcast_max_rows) is not None:
+    # Broadcast a side only behind a proven bound on its exploded rows: an extended
+    # side emits at most its own-level cells again at each coarser level of the
+    # other side; a point side emits one row per level.  The smaller bounded side
+    # wins (e.g. few polygons probed by many points); else both sides shuffle.
+    # an extended side's bound is free (from its stats); when it is small, skip counting the other side
+    bound_r = _exploded_bound(req, r_cells, f_levels, broadcast_max_rows) if r_cells is not None else None
+    bound_f = _exploded_bound(features, f_cells, r_levels, broadcast_max_rows) if f_cells is not None else None
+    if bound_r is not None:
+        bound_r *= salt
+    small = SMALL_BROADCAST_ROWS
+    if not ((bound_r is not None and bound_r <= small) or (bound_f is not None and bound_f <= small)):
+        if r_cells is None:
+            bound_r = _exploded_bound(req, None, f_levels, broadcast_max_rows)
+            bound_r = None if bound_r is None else bound_r * salt
+        if f_cells is None:
+            bound_f = _exploded_bound(features, None, r_levels, broadcast_max_rows)
+    if bound_r is not None and bound_r <= broadcast_max_rows and (bound_f is None or bound_r <= bound_f):
         rc = F.broadcast(rc)
-    elif bounded_count(fc, broadcast_max_rows) is not None:
+    elif bound_f is not None and bound_f <= broadcast_max_rows:
         fc = F.broadcast(fc)
     else:
         # neither side is provably small: a shuffled sort-merge join on the cell key,

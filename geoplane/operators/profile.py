@@ -29,27 +29,46 @@ def number_matched(df: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, exclude=("geom", *BBOX_COLUMNS), approx_distinct: bool = False) -> DataFrame:
     """Per column: type, non-null / null counts, distinct count, min / max as text.
 
-    One aggregate pass; text min/max compare lexicographically ('10' < '9') as
-    the reference's ``::text`` does.  ``approx_distinct`` switches the exact
-    distinct counts (Catalyst expands them into one shuffle) to HyperLogLog++.
+    Text min/max compare lexicographically ('10' < '9') as the reference's
+    ``::text`` does.  Exact plan: every row is stacked into (column ordinal,
+    value as text) pairs, aggregated by (ordinal, value) -- map-side
+    partial aggregation collapses repeated values, hot values included --
+    and then by ordinal, again partially aggregated, so no task ever receives
+    a column's distinct values.  One scan, two shuffles of de-duplicated
+    pairs.  ``approx_distinct`` uses one HyperLogLog++ aggregate instead.
     """
     cols = [f for f in df.schema.fields if f.name not in exclude]
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    for i, f in enumerate(cols):
-        c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"nn{i}"),
-                 (F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)).alias(f"nd{i}"),
-                 F.min(c.cast("string")).alias(f"mn{i}"), F.max(c.cast("string")).alias(f"mx{i}")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"),
+    meta = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"),
                               F.lit(pg_type(f.dataType)).alias("data_type"),
-                              F.lit(bool(f.nullable)).alias("nullable"),
-                              F.col(f"nn{i}").alias("non_null_count"),
-                              (F.col("__total") - F.col(f"nn{i}")).alias("null_count"),
-                              F.col(f"nd{i}").alias("distinct_count"),
-                              F.col(f"mn{i}").alias("min_value"), F.col(f"mx{i}").alias("max_value"))
-                     for i, f in enumerate(cols)])
-    return wide.select(F.col("__total").alias("total_count"), F.inline(rows))
+                              F.lit(bool(f.nullable)).alias("nullable")) for i, f in enumerate(cols)])
+    if approx_distinct:
+        aggs = [F.count(F.lit(1)).alias("__total")]
+        for i, f in enumerate(cols):
+            c = F.col(f"`{f.name}`")
+            aggs += [F.count(c).alias(f"nn{i}"), F.approx_count_distinct(c).alias(f"nd{i}"),
+                     F.min(c.cast("string")).alias(f"mn{i}"), F.max(c.cast("string")).alias(f"mx{i}")]
+        wide = df.agg(*aggs)
+        rows = F.array(*[F.struct(F.col(f"nn{i}").alias("non_null_count"),
+                                  (F.col("__total") - F.col(f"nn{i}")).alias("null_count"),
+                                  F.col(f"nd{i}").alias("distinct_count"),
+                                  F.col(f"mn{i}").alias("min_value"), F.col(f"mx{i}").alias("max_value"))
+                         for i in range(len(cols))])
+        z = F.arrays_zip(meta.alias("m"), rows.alias("r"))
+        return wide.select(F.col("__total").alias("total_count"), F.explode(z).alias("e")).select(
+            "total_count", "e.m.*", "e.r.*")
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{f.name}`").cast("string").alias("v"))
+                                         for i, f in enumerate(cols)])))
+    per_value = pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    per_col = per_value.groupBy("k").agg(
+        F.sum("n").alias("total_count"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("non_null_count"),
+        F.count("v").alias("distinct_count"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
+    info = df.sparkSession.range(1).select(F.inline(meta))           # one row per column, a literal
+    out = per_col.join(F.broadcast(info), per_col["k"] == info["ordinal"]).drop("k")
+    return out.select("total_count", "ordinal", "column_name", "data_type", "nullable",
+                      F.col("non_null_count").cast("bigint").alias("non_null_count"),
+                      (F.col("total_count") - F.col("non_null_count")).cast("bigint").alias("null_count"),
+                      "distinct_count", "min_value", "max_value")
 
 
 def geometry_profile(coll) -> dict:
@@ -138,37 +157,25 @@ def exact_quantiles(df: DataFrame, field: str, probs: list[float]) -> list[float
 def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
     """Values at 0-based ranks of the ascending order of ``col`` (distributed selection).
 
-    Each rank keeps an open/closed value interval known to hold it and the
-    number of values below that interval.  A round brackets the rank with two
-    approximate quantiles a <= b, then counts values < and <= each of them:
-    ties at a or b settle the rank at once, otherwise the interval shrinks to
-    one of (lo, a), (a, b), (b, hi) -- which excludes a and b, so every round
-    makes progress even on heavily duplicated data.
+    Each rank keeps an open/closed value interval known to hold it, the
+    number of values below that interval and the number inside it.  While an
+    interval holds more than ``COLLECT_MAX`` values, one pass brackets the
+    rank with two approximate quantiles a <= b and a second pass counts the
+    values < and <= each of them: ties at a or b settle the rank at once,
+    otherwise the interval shrinks to (lo, a), (a, b) or (b, hi), whose size
+    those counts already give -- every round excludes a and b, so it makes
+    progress even on heavily duplicated data.  Small intervals are fetched.
     """
     v = F.col(col)
-    # state per rank: [lo, lo_inclusive, hi, hi_inclusive, values below the interval]
-    state = {k: [None, False, None, True, 0] for k in ranks}
+    # state per rank: [lo, lo_inclusive, hi, hi_inclusive, values below, values inside]
+    state = {k: [None, False, None, True, 0, n] for k in ranks}
     result: dict[int, float] = {}
     for _ in range(64):
         todo = [k for k in ranks if k not in result]
         if not todo:
             break
-        # pass 1: size of each open interval (+ min/max to settle runs of equal values)
-        aggs = []
-        for k in todo:
-            cond = _in_interval(v, *state[k][:4])
-            aggs += [F.count_if(cond).alias(f"c{k}"), F.min(F.when(cond, v)).alias(f"mn{k}"),
-                     F.max(F.when(cond, v)).alias(f"mx{k}")]
-        row = base.agg(*aggs).first()
-        small, big = [], []
-        for k in todo:
-            cnt, mn, mx = row[f"c{k}"], row[f"mn{k}"], row[f"mx{k}"]
-            if mn is not None and mn == mx:
-                result[k] = float(mn)
-            elif cnt <= COLLECT_MAX:
-                small.append(k)
-            else:
-                big.append((k, cnt))
+        small = [k for k in todo if state[k][5] <= COLLECT_MAX]
+        big = [k for k in todo if state[k][5] > COLLECT_MAX]
         if small:
             cond = None
             for k in small:
@@ -176,43 +183,43 @@ def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[in
                 cond = c if cond is None else (cond | c)
             vals = sorted(r[0] for r in base.filter(cond).select(col).collect())   # <= COLLECT_MAX per rank
             for k in small:
-                lo, lo_in, hi, hi_in, below = state[k]
+                lo, lo_in, hi, hi_in, below, _cnt = state[k]
                 inside = [x for x in vals if _inside(x, lo, lo_in, hi, hi_in)]
                 result[k] = float(inside[k - below])
         if not big:
             continue
-        # pass 2: approximate bracket of the rank inside its interval
+        # pass 1: approximate bracket of each rank inside its interval
         margin = 3.0 / APPROX_ACCURACY
         aggs = []
-        for k, cnt in big:
-            lo, lo_in, hi, hi_in, below = state[k]
+        for k in big:
+            lo, lo_in, hi, hi_in, below, cnt = state[k]
             rel = (k - below) / max(cnt - 1, 1)
             ps = [max(rel - margin, 0.0), min(rel + margin, 1.0)]
             aggs.append(F.percentile_approx(F.when(_in_interval(v, lo, lo_in, hi, hi_in), v), ps,
                                             APPROX_ACCURACY).alias(f"q{k}"))
         qrow = base.agg(*aggs).first()
-        # pass 3: exact counts below / at the bracket values
+        # pass 2: exact counts below / at the bracket values
         aggs = []
-        for k, _ in big:
+        for k in big:
             a, b = qrow[f"q{k}"]
             inner = _in_interval(v, *state[k][:4])
             aggs += [F.count_if(inner & (v < a)).alias(f"la{k}"), F.count_if(inner & (v <= a)).alias(f"ea{k}"),
                      F.count_if(inner & (v < b)).alias(f"lb{k}"), F.count_if(inner & (v <= b)).alias(f"eb{k}")]
         crow = base.agg(*aggs).first()
-        for k, _ in big:
+        for k in big:
             a, b = (float(x) for x in qrow[f"q{k}"])
-            lo, lo_in, hi, hi_in, below = state[k]
+            lo, lo_in, hi, hi_in, below, cnt = state[k]
             la, ea, lb, eb = (crow[f"{p}{k}"] for p in ("la", "ea", "lb", "eb"))
             if below + la <= k < below + ea:
                 result[k] = a
             elif below + lb <= k < below + eb:
                 result[k] = b
             elif k < below + la:
-                state[k] = [lo, lo_in, a, False, below]
+                state[k] = [lo, lo_in, a, False, below, la]
             elif k < below + lb:
-                state[k] = [a, False, b, False, below + ea]
+                state[k] = [a, False, b, False, below + ea, lb - ea]
             else:
-                state[k] = [b, False, hi, hi_in, below + eb]
+                state[k] = [b, False, hi, hi_in, below + eb, cnt - eb]
     missing = [k for k in ranks if k not in result]
     if missing:
         raise RuntimeError(f"rank selection did not converge for ranks {missing[:5]}")
