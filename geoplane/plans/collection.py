@@ -258,3 +258,10 @@ def batch_pages(pairs: DataFrame, group_col: str, order_col: str = "id", limit:
     w = Window.partitionBy(group_col).orderBy(F.col(order_col).asc_nulls_last())
     ranked = pairs.withColumn("rank", F.row_number().over(w))
     return ranked.filter((F.col("rank") > off) & (F.col("rank") <= off + lim)).select(group_col, order_col, "rank")
+
+
+def exposed_columns_with_types(coll: Collection) -> list[tuple[str, str]]:
+    """PRJ-3: (output name, column type) of the published properties in order;
+    an exposed source that is not a column is published as text."""
+    types = {f.name: f.dataType.simpleString() for f in coll.df.schema.fields}
+    return [(alias, types.get(src, "string")) for src, alias in coll.exposed_columns()]
