@@ -1145,21 +1145,24 @@ GROUP BY ev.id, e.pid HAVING count(*) % 2 = 1""")(_str4)
 
 
 def _str1(spark, sf_dir):
-    """Customers exported as one CSV file per market segment into a drop folder, then imported by the stream."""
+    """Customers exported as CSV part files per market segment into a drop folder, then
+    imported by the drop-folder stream; the history is summed per segment."""
     base = ST.checkpoint_location(spark, "str1")
-    drop, tables, hist = f"{base}/drop", f"{base}/tables", f"{base}/history"
+    drop, tables, hist, stage = f"{base}/drop", f"{base}/tables", f"{base}/history", f"{base}/stage"
     c = T.read(spark, sf_dir, "customer").select(
-        "c_mktsegment", F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name",
-                                    F.expr(T.lon_sql("c_custkey")).cast("string"),
-                                    F.expr(T.lat_sql("c_custkey")).cast("string")).alias("line"))
-    for seg in [r[0] for r in c.select("c_mktsegment").distinct().collect()]:      # 5 segments
-        body = c.filter(F.col("c_mktsegment") == seg).select("line")
-        header = spark.createDataFrame([("code;name;longitude;latitude",)], "line string")
-        header.unionByName(body).coalesce(1).write.mode("overwrite").text(f"{base}/stage/{seg.lower()}")
-        part = [f for f in spark.read.text(f"{base}/stage/{seg.lower()}").inputFiles()][0]
-        _hadoop_rename(spark, part, f"{drop}/{seg.lower()}.csv")
+        F.lower("c_mktsegment").alias("segment"), F.col("c_custkey").cast("string").alias("code"), "c_name",
+        F.expr(T.lon_sql("c_custkey")).cast("string").alias("longitude"),
+        F.expr(T.lat_sql("c_custkey")).cast("string").alias("latitude"))
+    # every task writes its own part file (with a header line) per segment: no single-task file
+    c.write.mode("overwrite").partitionBy("segment").option("header", "true").option("sep", ";").csv(stage)
+    for part in spark.read.option("header", "true").option("sep", ";").csv(stage).inputFiles():   # file names only
+        seg = part.split("segment=")[1].split("/")[0]
+        name = part.rsplit("/", 1)[1].split(".")[0].replace("-", "_")
+        _hadoop_rename(spark, part, f"{drop}/{seg}__{name}.csv")
     ST.drop_folder_ingest(spark, drop, tables, hist, delete_source=True).awaitTermination()
-    return spark.read.parquet(hist).select("collection", "status", "feature_count")
+    h = spark.read.parquet(hist)
+    return h.groupBy(F.substring_index("collection", "__", 1).alias("collection")).agg(
+        F.min("status").alias("status"), F.sum("feature_count").alias("feature_count"))
 
 
 def _hadoop_rename(spark, src: str, dst: str) -> None:
