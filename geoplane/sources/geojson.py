@@ -11,13 +11,16 @@ Two input shapes:
 ``geometry`` and ``properties`` are read as raw JSON text and parsed with
 ``from_json``: the geometry by :func:`geoplane.functions.geometry.from_geojson`,
 the properties with a schema inferred from the first feature (ING-6).
-Gzip input is decompressed by the source when the name ends in ``.gz``.
+Gzip input is decompressed by the source when the name ends in ``.gz``; a gzip
+file under another name is recognised by its magic bytes and decompressed in
+the task that reads it.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +43,55 @@ def json_type_to_pg(value) -> str:
     return "TEXT"
 
 
+def head_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes | None:
+    """First bytes of one file through the session's Hadoop FileSystem (None for dirs/globs)."""
+    if any(ch in path for ch in "*?[{"):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes((stream.read() & 0xFF) for _ in range(n))
+    finally:
+        stream.close()
+
+
+def is_hidden_gzip(spark: SparkSession, path: str) -> bool:
+    """SRC-2: gzip magic 1f 8b on a file whose name does not end in .gz."""
+    return not path.lower().endswith(".gz") and head_bytes(spark, path) == b"\x1f\x8b"
+
+
+def _gunzip_docs(batches):
+    import gzip
+    for pdf in batches:
+        yield pd.DataFrame({"value": [gzip.decompress(bytes(c)).decode("utf-8") for c in pdf["content"]]})
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """FeatureCollection documents as parsed structs (one document per task)."""
+    if is_hidden_gzip(spark, path):
+        raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_gunzip_docs, "value string")
+        return raw.select(F.from_json("value", _FC_SCHEMA + ", _corrupt_record string",
+                                      {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).select("d.*")
+    return spark.read.schema(_FC_SCHEMA + ", _corrupt_record string").option("multiLine", "true").json(path)
+
+
 def read_feature_rows(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
     """(pos, geometry json, properties json) in file order, validated as a FeatureCollection."""
     if line_delimited:
         raw = spark.read.schema(_FEATURE_SCHEMA).json(path)
         return with_sequential_id(raw, "pos", start=0).select("pos", "geometry", "properties")
-    doc = spark.read.schema(_FC_SCHEMA).option("multiLine", "true").json(path)
+    doc = _documents(spark, path)
     return doc.select(F.col("type").alias("__t"), F.posexplode("features").alias("pos", "f")).select(
         "__t", "pos", "f.geometry", "f.properties")
 
 
 def validate_collection(spark: SparkSession, path: str) -> None:
     """SRC-8: must parse, be a FeatureCollection and hold a non-empty features array."""
-    doc = spark.read.schema(_FC_SCHEMA + ", _corrupt_record string").option("multiLine", "true").json(path)
+    doc = _documents(spark, path)
     r = doc.select("type", F.size("features").alias("n"), "_corrupt_record").first()
     if r is None or r["_corrupt_record"] is not None:
         raise ValueError("Invalid JSON")

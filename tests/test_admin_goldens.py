@@ -201,3 +201,15 @@ def test_feature_table_write_prunes(spark, tmp_dir):
     from geoplane.functions.spatial import bbox_overlaps
     plan = stored.filter(bbox_overlaps(0, 42, 1, 43))._jdf.queryExecution().executedPlan().toString()
     assert "_xmin" in plan and "PushedFilters" in plan
+
+
+def test_geojson_gzip_without_extension(spark, tmp_dir):
+    import gzip
+    doc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"a": "x"}},
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [3, 4]}, "properties": {"a": "y"}}]}
+    p = os.path.join(tmp_dir, "hidden.geojson")
+    with open(p, "wb") as f:
+        f.write(gzip.compress(json.dumps(doc).encode()))
+    df, info = read_geojson(spark, p)
+    assert df.count() == 2 and info["types"] == {"a": "TEXT"}
