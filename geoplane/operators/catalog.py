@@ -160,12 +160,14 @@ def collections_per_workspace(collections: DataFrame) -> DataFrame:
 
 
 def dashboard_totals(workspaces: DataFrame, collections: DataFrame, history: DataFrame) -> DataFrame:
-    """AGG-11: total features (null -> 0) and object counts (three one-row aggregates, joined on a constant)."""
-    a = collections.agg(F.sum(F.coalesce(F.col("feature_count"), F.lit(0))).cast("bigint").alias("total_features"),
-                        F.count(F.lit(1)).alias("n_collections")).withColumn("__k", F.lit(1))
-    b = workspaces.agg(F.count(F.lit(1)).alias("n_workspaces")).withColumn("__k", F.lit(1))
-    c = history.agg(F.count(F.lit(1)).alias("n_jobs")).withColumn("__k", F.lit(1))
-    return a.join(F.broadcast(b), "__k").join(F.broadcast(c), "__k").drop("__k")
+    """AGG-11: total features (null -> 0) and object counts in one aggregate over a tagged union."""
+    parts = (collections.select(F.lit("c").alias("__t"), F.coalesce(F.col("feature_count"), F.lit(0)).cast("bigint").alias("__v"))
+             .unionByName(workspaces.select(F.lit("w").alias("__t"), F.lit(0).cast("bigint").alias("__v")))
+             .unionByName(history.select(F.lit("h").alias("__t"), F.lit(0).cast("bigint").alias("__v"))))
+    return parts.agg(F.coalesce(F.sum(F.when(F.col("__t") == "c", F.col("__v"))), F.lit(0)).cast("bigint").alias("total_features"),
+                     F.count_if(F.col("__t") == "c").alias("n_collections"),
+                     F.count_if(F.col("__t") == "w").alias("n_workspaces"),
+                     F.count_if(F.col("__t") == "h").alias("n_jobs"))
 
 
 # ---------------------------------------------------------------- JOB-3..5

@@ -311,11 +311,8 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
 def batch_disjoint_counts(coll, geoms: DataFrame, geom_id: str = "gid", geom_col: str = "geom", **kw) -> DataFrame:
     """S_DISJOINT in batch form: per request geometry, the number of disjoint features
     (= non-null features minus intersecting ones), without emitting all pairs."""
-    total = (coll.df.filter(F.col(coll.geometry_column).isNotNull())
-             .agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.lit(1)))
+    total = coll.df.filter(F.col(coll.geometry_column).isNotNull()).count()     # one scalar
     hits = batch_predicate(coll, geoms, "s_intersects", geom_id, geom_col, **kw).groupBy(geom_id).agg(
         F.count(F.lit(1)).alias("__hits"))
-    # the total is one row: joined on a constant key as a broadcast hash join
-    return (geoms.select(geom_id).join(hits, geom_id, "left").withColumn("__k", F.lit(1))
-            .join(F.broadcast(total), "__k")
+    return (geoms.select(geom_id).join(hits, geom_id, "left").withColumn("__n", F.lit(total).cast("bigint"))
             .select(geom_id, (F.col("__n") - F.coalesce(F.col("__hits"), F.lit(0))).alias("n_disjoint")))

@@ -212,16 +212,21 @@ def items(coll: Collection, where: Column | None = None, *, bbox=None, bbox_crs=
 
 
 def page_with_count(result: ItemsResult) -> DataFrame:
-    """JN-3 / SNK-3 as one frame: the page right-joined to its one-row counts.
+    """JN-3 / SNK-3 as one frame: the page plus numberMatched / numberReturned columns.
 
-    Both sides are bounded (page <= 100 rows, counts = 1 row), so the join on
-    a constant key is a broadcast hash join and the counts survive an empty
-    page (one row with null feature columns).
+    numberMatched is one aggregate (a scalar action over the filtered frame
+    without geometry); numberReturned follows from it, the limit and the
+    offset.  An empty page still reports its counts: one row whose feature
+    columns are null, as the reference's ``RIGHT JOIN ... ON TRUE`` does.
     """
-    page = result.page.withColumn("__k", F.lit(1))
-    counts = (result.matched.withColumn("__k", F.lit(1))
-              .join(result.page.agg(F.count(F.lit(1)).alias("number_returned")).withColumn("__k", F.lit(1)), "__k"))
-    return page.join(F.broadcast(counts), "__k", "right").drop("__k")
+    n = result.number_matched()
+    returned = max(0, min(result.limit, n - result.offset))
+    counts = {"number_matched": F.lit(n).cast("bigint"), "number_returned": F.lit(returned).cast("bigint")}
+    if returned > 0:
+        return result.page.withColumns(counts)
+    spark = result.page.sparkSession
+    empty = spark.createDataFrame([tuple(None for _ in result.page.columns)], result.page.schema)
+    return empty.withColumns(counts)
 
 
 # ---------------------------------------------------------------- SNK-4 / JN-9

@@ -39,6 +39,8 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
     cols = df.columns
     rows = Counter(repr(tuple(_norm(r[c]) for c in cols)) for r in df.collect())
     cur = con.execute(E.oracle_sql()[name])
