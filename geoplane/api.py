@@ -113,8 +113,9 @@ def tiles(coll: C.Collection, zooms=None, requests: DataFrame | None = None, pro
     if requests is not None:
         valid = requests.filter(TL.is_valid_tile(F.col("z"), F.col("x"), F.col("y")))
         zs = sorted({r[0] for r in valid.select("z").distinct().collect()})        # at most 31 zooms
-        blobs = MV.tile_blobs(coll, zs, props, salt=salt)
-        return valid.select("z", "x", "y").distinct().join(blobs, ["z", "x", "y"], "left")
+        wanted = valid.select("z", "x", "y").distinct()
+        blobs = MV.tile_blobs(coll, zs, props, salt=salt, only=wanted)
+        return wanted.join(blobs, ["z", "x", "y"], "left")
     return MV.tile_blobs(coll, zooms if zooms is not None else range(0, 15), props, salt=salt)
 
 

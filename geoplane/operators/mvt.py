@@ -202,8 +202,10 @@ def encode_geometry(gtype: str, parts, tx: float, ty: float, w: float) -> tuple[
 
 
 # ---------------------------------------------------------------- Spark plan
-def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None) -> DataFrame:
-    """TIL-5 / AGG-12: (z, x, y, mvt binary) for every non-empty tile of the zoom range."""
+def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None,
+               only: DataFrame | None = None) -> DataFrame:
+    """TIL-5 / AGG-12: (z, x, y, mvt binary) for every non-empty tile of the zoom range
+    (or only the tiles listed in ``only``: a semi-join before any encoding work)."""
     if props is None:
         props = [a for _, a in coll.exposed_columns()]
     sources = dict((a, s) for s, a in coll.exposed_columns())
@@ -214,6 +216,8 @@ def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer
     t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), merc.alias("__g"),
                  *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props])
     t = t.filter(F.col("__g").isNotNull())
+    if only is not None:
+        t = t.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
     t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(int(salt))).cast("int"))
     nvals = sum((F.col(p).isNotNull().cast("int") for p in props), F.lit(0))
     # per-chunk value counts -> value-index offset of every chunk inside its tile (<= salt rows per tile)
