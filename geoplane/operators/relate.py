@@ -171,15 +171,15 @@ def _matrix(a: Shape, b: Shape) -> dict:
             m["II_dim"] = max(m["II_dim"], dim)
 
     # --- a's parts against b
-    _side(a, b, mark, first=True)
-    _side(b, a, lambda cell, dim=None: mark(cell[::-1], dim), first=False)
+    _side(a, b, mark)
+    _side(b, a, lambda cell, dim=None: mark(cell[::-1], dim))
     # polygons: interior-interior also when one boundary piece of a lies on b's boundary with
     # both interiors on the same side (handled in _side); exterior of a always meets
     # interior of b unless b within a -- covered by b's pieces being located in a
     return m
 
 
-def _side(a: Shape, b: Shape, mark, first: bool) -> None:
+def _side(a: Shape, b: Shape, mark) -> None:
     eps = b.scale * EPS_REL * 100 + a.scale * EPS_REL * 100
     if a.dim == 0:
         for p in a.points:
@@ -336,10 +336,8 @@ def within_distance(coll, point: Geom, radius_m: float) -> Column:
             out.append(None if s is None else min_distance_m(s, lon, lat) <= radius_m)
         return pd.Series(out, dtype="boolean")
 
-    from ..functions import crs as _crs
     col = F.col(coll.geometry_column)
     if coll.srid != 4326:
         from ..functions.geometry import transform_geom
         col = transform_geom(col, coll.srid, 4326)
-    _ = _crs
     return _near(col)

@@ -22,8 +22,8 @@ def _filtered(coll, where: Column | None, bbox) -> DataFrame:
     return coll.df.filter(C.items_filter(coll, where, bbox=bbox))
 
 
-def _allowed_export_filter(coll):
-    """Export filters may use every column but the geometry (unlike items, which hide the id)."""
+def export_filter_columns(coll) -> list[str]:
+    """Export filters may use every column but the geometry (items hide the id instead)."""
     return [c for c in coll.df.columns if c != coll.geometry_column]
 
 
@@ -64,8 +64,11 @@ def csv_lines(coll, where: Column | None = None, bbox=None) -> tuple[str, DataFr
     props = coll.exposed_columns()
     header = ",".join(["id", *[alias for _, alias in props], "geom_wkt"])
     fields = [TX.csv_escape(F.col(coll.id_column))]
+    types = dict(coll.df.dtypes)
     for src, _ in props:
-        fields.append(TX.csv_escape(F.col(f"`{src}`")))
+        c = F.col(f"`{src}`")
+        nested = types.get(src, "").startswith(("struct", "array", "map"))
+        fields.append(TX.csv_escape(F.to_json(c) if nested else c))      # objects as JSON
     fields.append(TX.csv_escape(G.to_wkt(C.output_geometry(coll, 4326))))
     return header, df.select(F.col(coll.id_column).alias("id"), F.concat_ws(",", *fields).alias("line"))
 

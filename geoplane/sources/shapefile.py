@@ -229,8 +229,9 @@ def read_shapefile(spark: SparkSession, path: str, target_srid: int = 4326) -> t
     geom = G.promote_multi(G.transform_geom(geom, int(src), int(target_srid)))
     props = [TX.coerce(F.col("props")[n], t).alias(TX.sanitize_name(n)) for n, t in fields]
     out = G.with_bbox(raw.select(F.col("fid").alias("id"), *props, geom.alias("geom")))
+    first = out.filter(F.col("geom").isNotNull()).orderBy("id").select("geom.type").limit(1).collect()
     return out, {"format": "shapefile", "srid": src, "fields": fields, "warnings": warnings,
-                 "geometry_type": None}
+                 "geometry_type": first[0][0] if first else None}
 
 
 def preview_shapefile(spark: SparkSession, path: str) -> dict:
