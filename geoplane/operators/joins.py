@@ -32,6 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import spatial as K
 
 LEVEL_FACTOR = 8
@@ -283,7 +284,10 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     from ..functions.geometry import bbox_columns
     bb = bbox_columns(F.col(geom_col))
     req = geoms.select(geom_id, F.col(geom_col).alias("__rgeom"), *[bb[c].alias(c) for c in _BOX])
+    from .relate import relate_pair_column
     if coll.geometry_type == "Point":
+        # polygon requests: ray casting as Catalyst expressions; other request kinds: relate kernel
+        is_poly = F.col("__rgeom")["type"].isin("Polygon", "MultiPolygon")
         feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
 
         def refine():
@@ -291,17 +295,27 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
             px, py = F.col("_xmin"), F.col("_ymin")
             inside = K.pip_inside(parts, px, py)
             edge = K.on_boundary(parts, px, py)
-            is_poly = F.col("__rgeom")["type"].isin("Polygon", "MultiPolygon")
             if op == "s_intersects":
-                return F.when(is_poly, inside | edge).otherwise(edge)
+                return inside | edge
             if op == "s_within":
-                return F.when(is_poly, inside & ~edge).otherwise(F.lit(False))
+                return inside & ~edge
             if op == "s_touches":
-                return F.when(is_poly, edge).otherwise(F.lit(False))
-            return F.lit(False)
-        out = grid_join(feats, req, refine, cell=cell, features_are_points=True, **kw)
-        return out.select(geom_id, "id")
-    from .relate import relate_pair_column
+                return edge
+            return F.lit(False)                 # contains / crosses / overlaps / equals: point vs area
+        parts = []
+        if req.filter(is_poly).limit(1).count():
+            parts.append(grid_join(feats, req.filter(is_poly), refine, cell=cell, features_are_points=True, **kw))
+        if req.filter(~is_poly).limit(1).count():
+            pfeats = feats.withColumn("__fgeom", G.point(F.col("_xmin"), F.col("_ymin")))
+            parts.append(grid_join(pfeats, req.filter(~is_poly),
+                                   lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),
+                                   cell=cell, features_are_points=True, **kw))
+        if not parts:
+            return geoms.sparkSession.createDataFrame([], geoms.select(geom_id).schema.add("id", "long"))
+        out = parts[0].select(geom_id, "id")
+        for extra in parts[1:]:
+            out = out.unionByName(extra.select(geom_id, "id"))
+        return out
     feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"), *_BOX)
     out = grid_join(feats, req, lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),
                     cell=cell, **kw)

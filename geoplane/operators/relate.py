@@ -218,8 +218,7 @@ def _side(a: Shape, b: Shape, mark) -> None:
         mark("I" + iloc, 2) if iloc == "I" else mark("I" + iloc)
     # a polygon entirely inside the other one without boundary contact: its interior is b's
     for r in a.rings[:1]:
-        loc = b.locate(r[0])
-        if loc == "I":
+        if b.dim == 2 and b.locate(r[0]) == "I":
             mark("II", 2)
     for p in _contacts(a, b):
         loc = b.locate(p)

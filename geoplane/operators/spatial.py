@@ -79,6 +79,13 @@ def radius(coll, lon: float, lat: float, radius_m: float) -> Column:
         if coll.srid != 4326:
             px, py = _crs.transform_xy(px, py, coll.srid, 4326)
         return pre & (K.haversine_m(px, py, lon, lat) <= F.lit(float(radius_m)))
+    if coll.geometry_type == "MultiPoint":
+        vs = F.flatten(F.flatten(F.col(coll.geometry_column)["parts"]))
+
+        def near(v):
+            x, y = _crs.transform_xy(v["x"], v["y"], coll.srid, 4326) if coll.srid != 4326 else (v["x"], v["y"])
+            return K.haversine_m(x, y, lon, lat) <= F.lit(float(radius_m))
+        return pre & F.exists(vs, near)
     from . import relate
     return pre & relate.within_distance(coll, Geom.point(lon, lat), radius_m)
 
@@ -111,6 +118,8 @@ def relate_literal(coll, op: str, g: Geom) -> Column:
 def _refine(coll, op: str, g: Geom) -> Column:
     if coll.geometry_type == "Point":
         return _refine_point_feature(op, g, *_point_xy(coll))
+    if coll.geometry_type == "MultiPoint":
+        return _refine_multipoint_feature(op, g, F.flatten(F.flatten(F.col(coll.geometry_column)["parts"])))
     if g.type == "Point" and coll.geometry_type in ("Polygon", "MultiPolygon"):
         return _refine_polygon_feature_point_literal(coll, op, g)
     from . import relate
@@ -157,6 +166,63 @@ def _refine_point_feature(op: str, g: Geom, px: Column, py: Column) -> Column:
     return F.lit(False)
 
 
+def _point_locations(g: Geom):
+    """(interior, boundary) Column predicates of a point against the literal."""
+    dim = g.dimension
+    if dim == 0:
+        return (lambda x, y: K.point_equals_literal(g, x, y)), (lambda x, y: F.lit(False))
+    if dim == 1:
+        ends = K.line_endpoints(g)
+
+        def at_end(x, y):
+            out = F.lit(False)
+            for ex, ey in ends:
+                out = out | ((x == F.lit(ex)) & (y == F.lit(ey)))
+            return out
+        return (lambda x, y: K.on_boundary_literal(g, x, y) & ~at_end(x, y)), at_end
+    return ((lambda x, y: K.pip_inside_literal(g, x, y) & ~K.on_boundary_literal(g, x, y)),
+            (lambda x, y: K.on_boundary_literal(g, x, y)))
+
+
+def _refine_multipoint_feature(op: str, g: Geom, vs: Column) -> Column:
+    """DE-9IM outcomes for a (multi)point feature given as its vertex array, against any literal.
+
+    Quantifiers over the vertices (``exists`` / ``forall``) with the unrolled
+    literal tests inside -- Catalyst expressions, no Python.
+    """
+    interior, boundary = _point_locations(g)
+
+    def any_(f):
+        return F.exists(vs, lambda v: f(v["x"], v["y"]))
+
+    def all_(f):
+        return F.forall(vs, lambda v: f(v["x"], v["y"]))
+
+    hit = (lambda x, y: interior(x, y) | boundary(x, y))
+    if op == "s_intersects":
+        return any_(hit)
+    if op == "s_within":
+        return all_(hit) & any_(interior)
+    if op == "s_touches":
+        return any_(boundary) & ~any_(interior)
+    if op == "s_crosses":
+        return F.lit(g.dimension > 0) & any_(interior) & ~all_(hit)
+    if g.dimension == 0:
+        lit_pts = set(g.vertices)
+        covers_lit = F.lit(True)
+        def same(x, y):
+            return lambda v: (v["x"] == F.lit(x)) & (v["y"] == F.lit(y))
+        for x, y in lit_pts:
+            covers_lit = covers_lit & F.exists(vs, same(x, y))
+        if op == "s_contains":
+            return covers_lit
+        if op == "s_equals":
+            return covers_lit & all_(hit)
+        if op == "s_overlaps":
+            return any_(hit) & ~all_(hit) & ~covers_lit
+    return F.lit(False)             # contains / equals / overlaps against lines or polygons
+
+
 def _refine_polygon_feature_point_literal(coll, op: str, g: Geom) -> Column:
     parts = F.col(coll.geometry_column)["parts"]
     x, y = g.vertices[0]
