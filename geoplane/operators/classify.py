@@ -66,14 +66,16 @@ def graduated(df: DataFrame, field: str, classes=DEFAULT_CLASSES, method: str =
     if not is_numeric(f.dataType):
         raise ValueError(f"Column '{field}' is not numeric (type: {f.dataType.simpleString()})")
     n = clamp_classes(classes)
-    rng = PF.numeric_range(df, field).first()
+    v = F.col(f"`{field}`").cast("double")
+    rng = df.agg(F.min(v).alias("min"), F.max(v).alias("max"),
+                 F.count_if(v.isNotNull() & ~F.isnan(v)).alias("n")).first()        # one aggregate row
     lo, hi = rng["min"], rng["max"]
     if lo is None:
         return []
     if method == "equal_interval":
         breaks = [lo + (i + 1) * (hi - lo) / n for i in range(n - 1)]
     else:
-        breaks = PF.quantile_breaks(df, field, n, exact=exact)
+        breaks = PF.quantile_breaks(df, field, n, exact=exact, n=int(rng["n"]))
     out, prev = [], lo
     for i in range(n):
         nxt = breaks[i] if i < n - 1 else hi

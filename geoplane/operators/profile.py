@@ -124,7 +124,7 @@ def temporal_extent(coll) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG-7 exact quantiles
-def exact_quantiles(df: DataFrame, field: str, probs: list[float]) -> list[float | None]:
+def exact_quantiles(df: DataFrame, field: str, probs: list[float], n: int | None = None) -> list[float | None]:
     """Exact ``percentile_cont`` (linear interpolation, nulls excluded).
 
     Iterative narrowing: an approximate-percentile pass brackets every needed
@@ -135,7 +135,7 @@ def exact_quantiles(df: DataFrame, field: str, probs: list[float]) -> list[float
     """
     v = F.col(f"`{field}`").cast("double")
     base = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = base.count()
+    n = base.count() if n is None else n
     if n == 0:
         return [None for _ in probs]
     ranks = set()
@@ -243,10 +243,14 @@ def _inside(x, lo, lo_in, hi, hi_in) -> bool:
     return True
 
 
-def quantile_breaks(df: DataFrame, field: str, classes: int = 5, exact: bool = True) -> list[float]:
-    """AGG-7: breakpoints at i/n for i = 1..n-1 (``percentile_approx`` when not exact)."""
+def quantile_breaks(df: DataFrame, field: str, classes: int = 5, exact: bool = True,
+                    n: int | None = None) -> list[float]:
+    """AGG-7: breakpoints at i/n for i = 1..n-1 (``percentile_approx`` when not exact).
+
+    ``n``: the number of non-null, non-NaN values when the caller already has it.
+    """
     fracs = [(i + 1) / classes for i in range(classes - 1)]
     if exact:
-        return exact_quantiles(df, field, fracs)
+        return exact_quantiles(df, field, fracs, n)
     row = df.agg(F.percentile_approx(F.col(f"`{field}`").cast("double"), fracs, APPROX_ACCURACY).alias("q")).first()
     return list(row["q"] or [])
