@@ -1231,3 +1231,15 @@ def _til5(spark, sf_dir):
 
 
 query("til5_agg12_mvt_tiles", f"SELECT DISTINCT z, x, y FROM {s_tiles(LINE, range(0, 9))}")(_til5)
+
+
+def _snk1(spark, sf_dir):
+    from ..sources.export import geojson_features
+    c = T.customers(spark, sf_dir)
+    c.exposed_fields = [("c_name", "name"), ("c_acctbal", "balance")]
+    return geojson_features(c, P.eq(c.df, "c_mktsegment", "FURNITURE"), bbox=[-1.0, 43.0, 7.0, 50.0])
+
+
+query("snk1_geojson_export_features", f"""SELECT id, '{{"type":"Feature","id":' || CAST(id AS VARCHAR) || ',"geometry":' ||
+  {s_geojson_point('x', 'y')} || ',"properties":{{"name":"' || c_name || '","balance":' || CAST(c_acctbal AS VARCHAR) || '}}}}' AS feature
+FROM {CUST} WHERE c_mktsegment = 'FURNITURE' AND x <= 7.0 AND x >= -1.0 AND y <= 50.0 AND y >= 43.0""")(_snk1)
