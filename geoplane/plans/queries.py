@@ -1208,7 +1208,10 @@ def _spa4_areas(spark, sf_dir):
     return c.df.filter(S.radius(c, 2.35, 48.86, 60000.0)).select("id")
 
 
-query("spa4_radius_areas_rows", None)(_spa4_areas)
+_KM = "radians(1.0) * 6371008.8"
+query("spa4_radius_areas", f"""SELECT id FROM {CBOX} WHERE sqrt(
+  pow(greatest(xmin - 2.35, 0.0, 2.35 - xmax) * cos(radians(48.86)) * {_KM}, 2) +
+  pow(greatest(ymin - 48.86, 0.0, 48.86 - ymax) * {_KM}, 2)) <= 60000.0""")(_spa4_areas)
 
 
 def _jn10_relate(spark, sf_dir):
@@ -1216,7 +1219,33 @@ def _jn10_relate(spark, sf_dir):
     return J.batch_predicate(T.customer_areas(spark, sf_dir), n, "s_within")
 
 
-query("jn10_batch_relate_polygons")(_jn10_relate)
+def _cross_x(bx, lo, hi):
+    """A polygon edge properly crosses the vertical box side x = bx between y = lo and hi."""
+    return (f"((e.x1 - {bx}) * (e.x2 - {bx}) < 0 AND e.y1 + ({bx} - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) > {lo} "
+            f"AND e.y1 + ({bx} - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) < {hi})")
+
+
+def _cross_y(by, lo, hi):
+    return (f"((e.y1 - {by}) * (e.y2 - {by}) < 0 AND e.x1 + ({by} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) > {lo} "
+            f"AND e.x1 + ({by} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) < {hi})")
+
+
+_CORNERS = " UNION ALL ".join(f"SELECT id, pid, {x} AS cx, {y} AS cy FROM p" for x, y in
+                              (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")))
+query("jn10_batch_relate_polygons", f"""WITH e AS {T.nation_edges_sql()},
+nb AS (SELECT pid, min(least(x1, x2)) AS nx1, max(greatest(x1, x2)) AS nx2, min(least(y1, y2)) AS ny1,
+       max(greatest(y1, y2)) AS ny2 FROM e GROUP BY pid),
+p AS (SELECT b.id, nb.pid, b.xmin, b.ymin, b.xmax, b.ymax FROM {CBOX} b JOIN nb
+      ON b.xmin >= nb.nx1 AND b.xmax <= nb.nx2 AND b.ymin >= nb.ny1 AND b.ymax <= nb.ny2),
+c AS ({_CORNERS}),
+cin AS (SELECT c.id, c.pid, (SELECT count(*) FROM e WHERE e.pid = c.pid AND (e.y1 > c.cy) <> (e.y2 > c.cy)
+        AND c.cx < (e.x2 - e.x1) * (c.cy - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1 AS inside FROM c),
+allin AS (SELECT id, pid FROM cin GROUP BY id, pid HAVING bool_and(inside)),
+bad AS (SELECT DISTINCT p.id, p.pid FROM p JOIN e ON e.pid = p.pid WHERE
+        (e.x1 > p.xmin AND e.x1 < p.xmax AND e.y1 > p.ymin AND e.y1 < p.ymax)
+        OR {_cross_x('p.xmin', 'p.ymin', 'p.ymax')} OR {_cross_x('p.xmax', 'p.ymin', 'p.ymax')}
+        OR {_cross_y('p.ymin', 'p.xmin', 'p.xmax')} OR {_cross_y('p.ymax', 'p.xmin', 'p.xmax')})
+SELECT a.pid AS gid, a.id FROM allin a WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.id = a.id AND bad.pid = a.pid)""")(_jn10_relate)
 
 
 # ============================================================ TIL-5 / AGG-12: vector tile bytes

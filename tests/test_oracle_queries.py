@@ -54,5 +54,5 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = set(E.queries()) - set(E.oracle_sql())
     assert no_oracle <= {"str1_drop_folder_ingest", "spa9_s_crosses_lines",
-                         "spa10_s_overlaps_polygons", "jn10_batch_relate_polygons", "spa4_radius_areas_rows",
+                         "spa10_s_overlaps_polygons",
                          "src4_shapefile_scan"}
