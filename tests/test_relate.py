@@ -70,3 +70,38 @@ def test_distance():
     d = min_distance_m(line, 2.5, 48.01)
     assert 1100 < d < 1125
     assert min_distance_m(box(2, 48, 3, 49), 2.5, 48.5) == 0.0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+coord = st.integers(-6, 6).map(float)
+
+
+@st.composite
+def shapes(draw):
+    kind = draw(st.sampled_from(["box", "line", "point"]))
+    if kind == "box":
+        x1, x2 = sorted(draw(st.lists(coord, min_size=2, max_size=2, unique=True)))
+        y1, y2 = sorted(draw(st.lists(coord, min_size=2, max_size=2, unique=True)))
+        return box(x1, y1, x2, y2)
+    if kind == "line":
+        a = (draw(coord), draw(coord))
+        b = draw(st.tuples(coord, coord).filter(lambda p: p != a))
+        return S(f"LINESTRING({a[0]} {a[1]},{b[0]} {b[1]})")
+    return S(f"POINT({draw(coord)} {draw(coord)})")
+
+
+@settings(max_examples=300, deadline=None)
+@given(shapes(), shapes())
+def test_relate_symmetries(a, b):
+    assert relate(a, b, "s_within") == relate(b, a, "s_contains")
+    assert relate(a, b, "s_disjoint") == (not relate(a, b, "s_intersects"))
+    assert relate(a, b, "s_intersects") == relate(b, a, "s_intersects")
+    assert relate(a, b, "s_touches") == relate(b, a, "s_touches")
+    assert relate(a, b, "s_overlaps") == relate(b, a, "s_overlaps")
+    assert relate(a, b, "s_equals") == relate(b, a, "s_equals")
+    if relate(a, b, "s_within"):
+        assert relate(a, b, "s_intersects") and not relate(a, b, "s_touches")
+    if relate(a, b, "s_equals"):
+        assert relate(a, b, "s_within") and relate(a, b, "s_contains")
