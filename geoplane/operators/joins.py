@@ -48,8 +48,14 @@ _RBOX = ("__r_xmin", "__r_ymin", "__r_xmax", "__r_ymax")
 
 # ---------------------------------------------------------------- sizing helpers
 def bounded_count(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows`` (reads at most max_rows+1 rows), else None."""
-    n = df.limit(max_rows + 1).count()
+    """Row count if it is at most ``max_rows``, else None.
+
+    A plain ``count()``: one pass whose partial counts leave each task as a
+    single row (and a bare Parquet scan is counted from footers).  A
+    ``limit(n).count()`` would instead funnel up to n rows per partition
+    through one single-partition exchange.
+    """
+    n = df.count()
     return n if n <= max_rows else None
 
 
@@ -215,7 +221,8 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
             & (F.col("__cx") == own_x) & (F.col("__cy") == own_y))
     if refine is not None:
         cond = cond & refine()
-    internal = [c for c in joined.columns if c.startswith("__f") or c in ("__clv", "__cx", "__cy", "__rlv", "__salt")]
+    grid_cols = {"__flv", "__f_clv", "__f_cx", "__f_cy", "__f_salt", "__clv", "__cx", "__cy", "__rlv", "__salt"}
+    internal = [c for c in joined.columns if c in grid_cols]
     return joined.filter(cond).drop(*internal)
 
 
@@ -255,17 +262,30 @@ def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str =
 # ---------------------------------------------------------------- JN-8
 def batch_radius(coll, probes: DataFrame, probe_id: str = "pid", lon: str = "lon", lat: str = "lat",
                  radius: str = "radius_m", cell: float | None = None, **kw) -> DataFrame:
-    """JN-8: probes(pid, lon, lat, radius_m) x point features -> (pid, id, distance_m) within the radius."""
-    if coll.geometry_type != "Point":
-        raise ValueError("batch_radius refines on point features; use batch_predicate for other kinds")
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+    """JN-8: probes(pid, lon, lat, radius_m) x features (4326) -> (pid, id, distance_m) within the radius.
+
+    Points: haversine; MultiPoints: the nearest vertex (Catalyst ``aggregate``);
+    lines and polygons: true minimum distance from the relate kernel (D1),
+    evaluated only on grid candidates.
+    """
     bx = K.radius_box_columns(F.col(lon), F.col(lat), F.col(radius))
     req = probes.select(probe_id, F.col(lon).alias("__plon"), F.col(lat).alias("__plat"),
                         F.col(radius).alias("__prad"),
                         bx[0].alias("_xmin"), bx[1].alias("_ymin"), bx[2].alias("_xmax"), bx[3].alias("_ymax"))
-    dist = K.haversine_m(F.col("_xmin"), F.col("_ymin"), F.col("__plon"), F.col("__plat"))
-    out = grid_join(feats, req, lambda: dist <= F.col("__prad"), cell=cell, features_are_points=True, **kw)
-    return out.select(probe_id, "id", dist.alias("distance_m"))
+    if coll.geometry_type == "Point":
+        feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+        dist = K.haversine_m(F.col("_xmin"), F.col("_ymin"), F.col("__plon"), F.col("__plat"))
+        out = grid_join(feats, req, lambda: dist <= F.col("__prad"), cell=cell, features_are_points=True, **kw)
+        return out.select(probe_id, "id", dist.alias("distance_m"))
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"), *_BOX)
+    if coll.geometry_type == "MultiPoint":
+        vs = F.flatten(F.flatten(F.col("__fgeom")["parts"]))
+        dist = F.array_min(F.transform(vs, lambda v: K.haversine_m(v["x"], v["y"], F.col("__plon"), F.col("__plat"))))
+    else:
+        from .relate import distance_to_point_column
+        dist = distance_to_point_column(F.col("__fgeom"), F.col("__plon"), F.col("__plat"))
+    out = grid_join(feats, req, None, cell=cell, **kw).withColumn("distance_m", dist)
+    return out.filter(F.col("distance_m") <= F.col("__prad")).select(probe_id, "id", "distance_m")
 
 
 # ---------------------------------------------------------------- JN-10
@@ -303,9 +323,9 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
                 return edge
             return F.lit(False)                 # contains / crosses / overlaps / equals: point vs area
         parts = []
-        if req.filter(is_poly).limit(1).count():
+        if not req.filter(is_poly).isEmpty():
             parts.append(grid_join(feats, req.filter(is_poly), refine, cell=cell, features_are_points=True, **kw))
-        if req.filter(~is_poly).limit(1).count():
+        if not req.filter(~is_poly).isEmpty():
             pfeats = feats.withColumn("__fgeom", G.point(F.col("_xmin"), F.col("_ymin")))
             parts.append(grid_join(pfeats, req.filter(~is_poly),
                                    lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),

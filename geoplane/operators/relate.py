@@ -340,3 +340,17 @@ def within_distance(coll, point: Geom, radius_m: float) -> Column:
         from ..functions.geometry import transform_geom
         col = transform_geom(col, coll.srid, 4326)
     return _near(col)
+
+
+def distance_to_point_column(geom: Column, lon: Column, lat: Column) -> Column:
+    """Metres from each geometry to a per-row lon/lat point (batch radius on extended features)."""
+
+    @F.pandas_udf("double")
+    def _dist(g: pd.DataFrame, lo: pd.Series, la: pd.Series) -> pd.Series:
+        out = []
+        for t, parts, x, y in zip(g["type"], g["parts"], lo, la):
+            shp = _shape_from_row(t, parts)
+            out.append(None if shp is None else min_distance_m(shp, float(x), float(y)))
+        return pd.Series(out, dtype="float64")
+
+    return _dist(geom, lon, lat)

@@ -62,3 +62,16 @@ def test_batch_predicate_mixed_request_kinds(spark):
         for k, g in lits.items():
             want |= {(k, r["id"]) for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
         assert got == want, op
+
+
+def test_batch_radius_on_polygons_matches_literal(spark):
+    from geoplane.operators import joins as J
+    from geoplane.plans import tables as T
+    areas = T.customer_areas(spark, "/root/testdata/sf0.001")
+    probes = [(1, 2.35, 48.86, 60000.0), (2, 0.5, 45.0, 30000.0), (3, 7.0, 43.5, 5000.0)]
+    pdf = spark.createDataFrame(probes, "pid int, lon double, lat double, radius_m double")
+    got = {(r["pid"], r["id"]) for r in J.batch_radius(areas, pdf).collect()}
+    want = set()
+    for pid, lon, lat, r in probes:
+        want |= {(pid, x["id"]) for x in areas.df.filter(S.radius(areas, lon, lat, r)).select("id").collect()}
+    assert got == want and len(got) > 0
