@@ -1012,7 +1012,7 @@ def _ing5(spark, sf_dir):
 query("ing5_csv_type_inference", " UNION ALL ".join(
     f"""SELECT file, '{c}' AS column_name, CASE WHEN count(*) FILTER (WHERE {c} <> '') > 0
       AND bool_and(TRY_CAST({c} AS DOUBLE) IS NOT NULL) FILTER (WHERE {c} <> '') IS NOT FALSE THEN
-      CASE WHEN coalesce(bool_or(contains({c}, '.')) FILTER (WHERE {c} <> ''), false) THEN 'DOUBLE PRECISION' ELSE 'INTEGER' END
+      CASE WHEN coalesce(bool_or(regexp_matches({c}, '[.eE]')) FILTER (WHERE {c} <> ''), false) THEN 'DOUBLE PRECISION' ELSE 'INTEGER' END
       ELSE 'TEXT' END AS inferred_type
     FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_key) AS rn FROM {_CSV_TEXT_SQL}) WHERE rn <= 100 GROUP BY file"""
     for c in ["code", "name", "balance", "segment", "mixed"]))(_ing5)

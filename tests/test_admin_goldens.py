@@ -213,3 +213,11 @@ def test_geojson_gzip_without_extension(spark, tmp_dir):
         f.write(gzip.compress(json.dumps(doc).encode()))
     df, info = read_geojson(spark, p)
     assert df.count() == 2 and info["types"] == {"a": "TEXT"}
+
+
+def test_csv_inference_deviations(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "d4.csv"), "lon;lat;a;b;c;d\n1;2;1e3;0x10;12;\n3;4;2;5;99999999999;\n")
+    feats, rep, plan = read_csv_points(spark, p)
+    assert plan.types == {"a": "DOUBLE PRECISION", "b": "TEXT", "c": "BIGINT", "d": "TEXT"}
+    rows = feats.orderBy("id").collect()
+    assert rows[0]["a"] == 1000.0 and rows[1]["c"] == 99999999999 and rows[0]["d"] is None
