@@ -105,7 +105,8 @@ def quadkey(x: Column, y: Column, level: int = 16) -> Column:
     return key
 
 
-def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | None = None) -> str:
+def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | None = None,
+                        version: str | None = None) -> str:
     """Write a feature table as a new version directory and return its path.
 
     ING-20 (re-aim of the GIST index): rows are range-partitioned and sorted
@@ -113,9 +114,10 @@ def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | N
     compact area and its min/max statistics on ``_xmin.._ymax`` let bbox
     filters skip most of the file.  ING-15: a re-import writes a fresh
     version (never appends); readers switch by path, so a running query keeps
-    its files.
+    its files.  A caller-given ``version`` makes the write idempotent (a
+    replayed stream batch overwrites its own version, nothing else).
     """
-    path = f"{root.rstrip('/')}/{name}/version-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}/version-{version or uuid.uuid4().hex[:12]}"
     cx = (F.col("_xmin") + F.col("_xmax")) / 2
     cy = (F.col("_ymin") + F.col("_ymax")) / 2
     keyed = df.withColumn("__qk", quadkey(cx, cy))

@@ -12,6 +12,7 @@ Checkpoints live under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -54,23 +55,26 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
     files = reader.load(folder).select("path", "modificationTime", "length")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # foreachBatch is at-least-once: every write below is keyed by the batch id,
+        # so a replayed batch overwrites its own outputs instead of duplicating them
         rows = batch.select("path").collect()          # <= max_files_per_trigger paths
         records = []
         for r in rows:
             path = r["path"]
-            started = F.current_timestamp()
             try:
                 feats, info = (importer or detect.import_file)(spark, path)
                 name = detect.collection_name(path)
-                table = write_feature_table(feats, out_root, name)
+                tag = hashlib.sha1(path.encode()).hexdigest()[:10]          # two files may share a name
+                table = write_feature_table(feats, out_root, name, version=f"batch{batch_id}-{tag}")
                 n = spark.read.parquet(table).count()
-                records.append((path, name, table, "completed", n, None, batch_id))
+                records.append((path, name, table, "completed", n, None))
             except Exception as e:  # noqa: BLE001 - one bad file must not stop the stream
-                records.append((path, detect.collection_name(path), None, "failed", 0, str(e)[:500], batch_id))
+                records.append((path, detect.collection_name(path), None, "failed", 0, str(e)[:500]))
         if records:
             hist = spark.createDataFrame(records, "source_file string, collection string, table_path string, "
-                                                  "status string, feature_count bigint, error string, batch_id bigint")
-            hist.withColumn("completed_at", started).write.mode("append").parquet(history_path)
+                                                  "status string, feature_count bigint, error string")
+            (hist.withColumn("completed_at", F.current_timestamp())
+             .write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}"))
 
     q = (files.writeStream.foreachBatch(handle)
          .option("checkpointLocation", checkpoint or checkpoint_location(spark, "drop-folder")))

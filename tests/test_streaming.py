@@ -6,7 +6,6 @@ import os
 from pyspark.sql import functions as F
 
 from geoplane.operators import predicates as P
-from geoplane.plans import tables as T
 from geoplane.streaming import streams as ST
 
 SF = "/root/testdata/sf0.001"
