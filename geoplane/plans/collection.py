@@ -270,3 +270,9 @@ def exposed_columns_with_types(coll: Collection) -> list[tuple[str, str]]:
     an exposed source that is not a column is published as text."""
     types = {f.name: f.dataType.simpleString() for f in coll.df.schema.fields}
     return [(alias, types.get(src, "string")) for src, alias in coll.exposed_columns()]
+
+
+def items_filter_columns(coll: Collection) -> list[str]:
+    """Properties an items filter may name: every column but the id (hidden ones included,
+    aliases not) -- pass as ``allowed=`` to the predicate builders."""
+    return [c for c in coll.df.columns if c not in (coll.id_column, *BBOX_COLUMNS)]

@@ -95,3 +95,15 @@ def test_sites_sample_extent(spark):
     from geoplane.operators import profile as PF
     r = PF.sample_extent(sites(spark), 2).first()
     assert (r["xmin"], r["xmax"]) == (2.35, 4.83)
+
+
+def test_filter_column_sets(spark):
+    from geoplane.operators import predicates as P
+    from geoplane.sources.export import export_filter_columns
+    s = sites(spark)
+    allowed = C.items_filter_columns(s)
+    assert "id" not in allowed and "name" in allowed
+    with pytest.raises(ValueError, match="Unknown property"):
+        P.eq(s.df, "id", 1, allowed=allowed)
+    assert "id" in export_filter_columns(s) and "geom" not in export_filter_columns(s)
+    assert s.df.filter(P.eq(s.df, "id", 1, allowed=export_filter_columns(s))).count() == 1
