@@ -85,11 +85,11 @@ def register_collection(df: DataFrame, name: str, geometry_column: str = "geom",
 
 
 def parse_collection_id(cid: str) -> tuple[str, str]:
-    """``ws:name`` split at the first colon; no colon -> default workspace."""
-    if ":" in cid:
-        ws, name = cid.split(":", 1)
-        return ws, name
-    return "default", cid
+    """``ws:name`` split at the first colon; an id without a colon names no collection."""
+    if ":" not in cid:
+        raise ValueError("Collection not found")
+    ws, name = cid.split(":", 1)
+    return ws, name
 
 
 # ---------------------------------------------------------------- projections

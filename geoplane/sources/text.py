@@ -155,8 +155,8 @@ def csv_escape(value: Column) -> Column:
 
 
 def split_collection_id(cid: Column) -> tuple[Column, Column]:
-    """``workspace:name`` split at the first colon."""
+    """``workspace:name`` split at the first colon; no colon -> both null (not found)."""
     has = F.instr(cid, ":") > 0
-    ws = F.when(has, F.substring_index(cid, ":", 1)).otherwise(F.lit("default"))
-    name = F.when(has, F.regexp_extract(cid, r"(?s)^[^:]*:(.*)$", 1)).otherwise(cid)
+    ws = F.when(has, F.substring_index(cid, ":", 1))
+    name = F.when(has, F.regexp_extract(cid, r"(?s)^[^:]*:(.*)$", 1))
     return ws, name

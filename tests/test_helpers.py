@@ -40,8 +40,10 @@ def test_collection_id_split(spark):
     df = spark.createDataFrame([("ws:name:x",), ("plain",)], "cid string")
     ws, name = TX.split_collection_id(F.col("cid"))
     out = [tuple(r) for r in df.select(ws, name).collect()]
-    assert out == [("ws", "name:x"), ("default", "plain")]
+    assert out == [("ws", "name:x"), (None, None)]
     assert C.parse_collection_id("a:b:c") == ("a", "b:c")
+    with pytest.raises(ValueError, match="not found"):
+        C.parse_collection_id("plain")
 
 
 def test_register_and_exposed_types(spark):
@@ -107,3 +109,18 @@ def test_filter_column_sets(spark):
         P.eq(s.df, "id", 1, allowed=allowed)
     assert "id" in export_filter_columns(s) and "geom" not in export_filter_columns(s)
     assert s.df.filter(P.eq(s.df, "id", 1, allowed=export_filter_columns(s))).count() == 1
+
+
+def test_literal_transformed_to_storage_srid(spark):
+    """s_contains / s_intersects / bbox on a collection stored in EPSG:2154 with 4326 literals."""
+    from geoplane.functions.geometry import Geom, point, with_bbox
+    from geoplane.operators import predicates as P
+    s = sites(spark)
+    x, y = CRS.transform_xy(F.col("_xmin"), F.col("_ymin"), 4326, 2154)
+    df = with_bbox(s.df.select("id", "name", point(x, y, 2154).alias("geom")))
+    l93 = C.Collection(df, name="sites_l93", srid=2154)
+    paris_area = Geom.from_wkt("POLYGON((2 48.5, 2.7 48.5, 2.7 49.2, 2 49.2, 2 48.5))")
+    assert [r["name"] for r in l93.df.filter(S.relate_literal(l93, "s_intersects", paris_area)).collect()] == ["Paris"]
+    assert C.items(l93, bbox=[1, 48, 3, 49]).page.first()["name"] == "Paris"
+    assert C.items(l93, lat=45.76, lon=4.83, radius=1000).page.first()["name"] == "Lyon"
+    assert l93.df.filter(P.eq(l93.df, "name", "it's")).count() == 0       # quotes need no escaping
