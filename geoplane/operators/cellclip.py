@@ -1,0 +1,160 @@
+"""Polygons clipped to grid cells for point lookups against large polygons (JN-7, STR-4).
+
+The grid join pairs a point with every polygon whose cells it falls in; the
+refine then ray-casts against the *whole* polygon.  For polygons with
+hundreds of vertices that refine dominates.  Here each (polygon, cell) row
+instead carries
+
+* ``clip``: the polygon's rings clipped to the cell (Sutherland-Hodgman),
+  which decide inside/outside for every point owned by that cell, and
+* ``edges``: the polygon's real edges that meet the cell, which decide the
+  on-boundary case exactly (the artificial cell-border edges are left out),
+* ``full``: the cell lies entirely inside the polygon (no test needed).
+
+Cell ownership is half-open (``floor(x / g)``), like the ray casting, so a
+point on a shared cell border is tested in exactly one cell, with the same
+result the whole polygon would give.  Cells the polygon does not touch are
+dropped.  The clipping runs once on the polygon side (``mapInArrow``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import spatial as K
+
+CLIP_SCHEMA = ("id bigint, lv int, cx bigint, cy bigint, full boolean, "
+               "clip array<array<struct<x:double,y:double>>>, edges array<array<struct<x:double,y:double>>>")
+
+
+def _clip_ring(ring, x0, y0, x1, y1):
+    def clip(pts, inside, inter):
+        out = []
+        for i, cur in enumerate(pts):
+            prev = pts[i - 1]
+            if inside(cur):
+                if not inside(prev):
+                    out.append(inter(prev, cur))
+                out.append(cur)
+            elif inside(prev):
+                out.append(inter(prev, cur))
+        return out
+
+    def ix(a, b, x):
+        return (x, a[1] + (x - a[0]) * (b[1] - a[1]) / (b[0] - a[0]))
+
+    def iy(a, b, y):
+        return (a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]), y)
+
+    pts = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else list(ring)
+    for inside, inter in ((lambda p: p[0] >= x0, lambda a, b: ix(a, b, x0)),
+                          (lambda p: p[0] <= x1, lambda a, b: ix(a, b, x1)),
+                          (lambda p: p[1] >= y0, lambda a, b: iy(a, b, y0)),
+                          (lambda p: p[1] <= y1, lambda a, b: iy(a, b, y1))):
+        if not pts:
+            return []
+        pts = clip(pts, inside, inter)
+    return pts + pts[:1] if pts else []
+
+
+def _clip_segment(a, b, x0, y0, x1, y1):
+    t0, t1 = 0.0, 1.0
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    for p, q in ((-dx, a[0] - x0), (dx, x1 - a[0]), (-dy, a[1] - y0), (dy, y1 - a[1])):
+        if p == 0:
+            if q < 0:
+                return None
+        else:
+            t = q / p
+            if p < 0:
+                t0 = max(t0, t)
+            else:
+                t1 = min(t1, t)
+    if t0 > t1:
+        return None
+    return (a[0] + t0 * dx, a[1] + t0 * dy), (a[0] + t1 * dx, a[1] + t1 * dy)
+
+
+def _inside(p, rings) -> bool:
+    x, y = p
+    odd = False
+    for r in rings:
+        for (x1, y1), (x2, y2) in zip(r, r[1:]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def clip_cells(rows: list[dict], base: float, factor: int) -> list[tuple]:
+    out = []
+    for row in rows:
+        pid, parts, lv, cells = row["id"], row["parts"], row["lv"], row["cells"]
+        rings = [[(float(v["x"]), float(v["y"])) for v in ring] for part in parts for ring in part]
+        g = base * factor ** int(lv)
+        for c in cells:
+            cx, cy = int(c["cx"]), int(c["cy"])
+            x0, y0, x1, y1 = cx * g, cy * g, (cx + 1) * g, (cy + 1) * g
+            clipped = [r for r in (_clip_ring(ring, x0, y0, x1, y1) for ring in rings) if len(r) >= 4]
+            edges = []
+            for ring in rings:
+                for a, b in zip(ring, ring[1:]):
+                    if _clip_segment(a, b, x0, y0, x1, y1) is not None:
+                        # the original edge (exact on-boundary test), not its clipped piece
+                        edges.append([{"x": a[0], "y": a[1]}, {"x": b[0], "y": b[1]}])
+            if not edges:
+                # no boundary in the cell: all inside or all outside
+                if _inside(((x0 + x1) / 2, (y0 + y1) / 2), rings):
+                    out.append((int(pid), int(lv), cx, cy, True, [], []))
+                continue
+            clip_json = [[{"x": x, "y": y} for x, y in r] for r in clipped]
+            out.append((int(pid), int(lv), cx, cy, False, clip_json, edges))
+    return out
+
+
+def clipped_polygon_cells(polys: DataFrame, base: float, level: Column, factor: int) -> DataFrame:
+    """(id, lv, cx, cy, full, clip, edges) for every cell a polygon touches, at its own level."""
+    from .joins import _cells_at
+    box = [F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")]
+    staged = polys.select(F.col("id").cast("bigint").alias("id"), F.col("__geom")["parts"].alias("parts"),
+                          level.alias("lv"), *box).select(
+        "id", "parts", "lv", F.transform(_cells_at(box, base, F.col("lv")),
+                                         lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"))).alias("cells"))
+
+    def run(batches):
+        import pyarrow as pa
+        xy = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        schema = pa.schema([("id", pa.int64()), ("lv", pa.int32()), ("cx", pa.int64()), ("cy", pa.int64()),
+                            ("full", pa.bool_()), ("clip", pa.list_(pa.list_(xy))), ("edges", pa.list_(pa.list_(xy)))])
+        names = schema.names
+        for batch in batches:
+            rows = clip_cells(batch.to_pylist(), base, factor)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
+
+    return staged.mapInArrow(run, CLIP_SCHEMA)
+
+
+def refine_clipped(px: Column, py: Column) -> Column:
+    """Point vs its cell's clipped polygon: full cell, ray casting on the clip, or on a real edge."""
+    inside = _pip_rings(F.col("clip"), px, py)
+    edge = F.exists(F.col("edges"), lambda s: _on_seg(s, px, py))
+    return F.col("full") | inside | edge
+
+
+def _pip_rings(rings: Column, px: Column, py: Column) -> Column:
+    n = F.aggregate(rings, F.lit(0), lambda acc, ring: acc + K.ring_crossings(ring, px, py))
+    return (n % 2) == 1
+
+
+def _on_seg(s: Column, px: Column, py: Column) -> Column:
+    a, b = s[0], s[1]
+    cross = (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
+    return ((cross == 0) & (px >= F.least(a["x"], b["x"])) & (px <= F.greatest(a["x"], b["x"]))
+            & (py >= F.least(a["y"], b["y"])) & (py <= F.greatest(a["y"], b["y"])))
+
+
+def mean_vertices(polys: DataFrame, geom_col: str = "__geom") -> float:
+    """Average vertex count of a polygon side (one aggregate row)."""
+    v = polys.agg(F.avg(F.size(F.flatten(F.flatten(F.col(geom_col)["parts"])))).alias("v")).first()["v"]
+    return float(v or 0.0)
+

@@ -237,13 +237,24 @@ def batch_bbox(coll, requests: DataFrame, req_id: str = "req_id", cell: float |
 
 
 # ---------------------------------------------------------------- JN-7
+CLIP_MIN_VERTICES = 48
+
+
 def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str = "x", y: str = "y",
-                       op: str = "s_intersects", cell: float | None = None, **kw) -> DataFrame:
+                       op: str = "s_intersects", cell: float | None = None, clip: bool | None = None,
+                       **kw) -> DataFrame:
     """JN-7: probe points x (multi)polygon features -> (pid, id) of the feature(s) containing each point.
 
     ``op``: ``s_intersects`` (boundary counts, SPA-3) or ``s_contains``
-    (feature contains the point: interior only, SPA-7).
+    (feature contains the point: interior only, SPA-7).  ``clip``: test points
+    against the polygons clipped to their grid cells (:mod:`cellclip`);
+    by default on when the polygons average at least ``CLIP_MIN_VERTICES``.
     """
+    if clip is None:
+        from .cellclip import mean_vertices
+        clip = mean_vertices(coll.df, coll.geometry_column) >= CLIP_MIN_VERTICES
+    if clip:
+        return _clipped_point_lookup(coll, points, point_id, x, y, op, cell)
     feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"), *_BOX)
     probes = points.select(point_id, F.col(x).alias("__px"), F.col(y).alias("__py"),
                            F.col(x).alias("_xmin"), F.col(y).alias("_ymin"),
@@ -259,6 +270,31 @@ def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str =
     return out.select(point_id, "id")
 
 
+def _clipped_point_lookup(coll, points, point_id, x, y, op, cell):
+    from .cellclip import clipped_polygon_cells, refine_clipped
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"), *_BOX)
+    fbox = [F.col(c) for c in _BOX]
+    # cells about a quarter of the median polygon side keep each clipped piece small
+    cell = cell or suggest_cell(feats) / 4
+    level = level_of(fbox, cell)
+    cells = clipped_polygon_cells(feats, cell, level, LEVEL_FACTOR)
+    levels, _ = side_stats(feats, fbox, level, cell)
+    px, py = F.col(x), F.col(y)
+    pcells = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(px / _cell_size(cell, F.lit(lv))).alias("cx"),
+                                F.floor(py / _cell_size(cell, F.lit(lv))).alias("cy")) for lv in (levels or [0])])
+    probes = points.select(point_id, px.alias("__px"), py.alias("__py"), F.explode(pcells).alias("__c")).select(
+        point_id, "__px", "__py", F.col("__c.lv").alias("lv"), F.col("__c.cx").alias("cx"), F.col("__c.cy").alias("cy"))
+    n_cells = bounded_count(cells, BROADCAST_MAX_ROWS)
+    side = F.broadcast(cells) if n_cells is not None else cells.hint("merge")
+    joined = probes.join(side, ["lv", "cx", "cy"], "inner")
+    hit = refine_clipped(F.col("__px"), F.col("__py"))
+    if op != "s_intersects":
+        from .cellclip import _on_seg
+        on_edge = F.exists(F.col("edges"), lambda s: _on_seg(s, F.col("__px"), F.col("__py")))
+        hit = hit & ~on_edge
+    return joined.filter(hit).select(point_id, "id")
+
+
 # ---------------------------------------------------------------- JN-8
 def batch_radius(coll, probes: DataFrame, probe_id: str = "pid", lon: str = "lon", lat: str = "lat",
                  radius: str = "radius_m", cell: float | None = None, **kw) -> DataFrame:

@@ -108,6 +108,10 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     to the exploded static cells (a stream-static equi-join), then refined
     by ray casting.  The static side is broadcast only behind a row count.
     """
+    from ..operators.cellclip import mean_vertices
+    if mean_vertices(polygons.df, polygons.geometry_column) >= J.CLIP_MIN_VERTICES:
+        # large polygons: clipped per cell once on the static side (it never sizes the stream)
+        return J._clipped_point_lookup(polygons, points, point_id, x, y, "s_intersects", cell)
     feats = polygons.df.select(F.col(polygons.id_column).alias("id"), F.col(polygons.geometry_column).alias("__geom"),
                                "_xmin", "_ymin", "_xmax", "_ymax")
     box = [F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")]

@@ -75,3 +75,27 @@ def test_batch_radius_on_polygons_matches_literal(spark):
     for pid, lon, lat, r in probes:
         want |= {(pid, x["id"]) for x in areas.df.filter(S.radius(areas, lon, lat, r)).select("id").collect()}
     assert got == want and len(got) > 0
+
+
+def test_clipped_point_lookup_equals_whole_polygon(spark):
+    """Large polygons: cell-clipped refine == whole-polygon refine (with holes, concave, boundaries)."""
+    import math as _m
+    from geoplane.functions.geometry import with_bbox
+    from geoplane.operators import joins as J
+    polys = []
+    for k in range(6):
+        cx, cy, r = 1.0 + k * 1.7, 45.0 + (k % 2) * 1.3, 0.9
+        star = [(cx + (r if i % 2 == 0 else r / 2.2) * _m.cos(i * _m.pi / 40), cy + (r if i % 2 == 0 else r / 2.2) * _m.sin(i * _m.pi / 40))
+                for i in range(80)]
+        star.append(star[0])
+        hole = [(cx - 0.1, cy - 0.1), (cx + 0.1, cy - 0.1), (cx + 0.1, cy + 0.1), (cx - 0.1, cy + 0.1), (cx - 0.1, cy - 0.1)]
+        polys.append((k, [[[{"x": a, "y": b} for a, b in star], [{"x": a, "y": b} for a, b in hole]]]))
+    df = spark.createDataFrame(polys, "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    df = with_bbox(df.withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.col("parts"))).drop("parts"))
+    coll = Collection(df, name="stars", geometry_type="Polygon")
+    pts = spark.range(20000).select(F.col("id").alias("pid"), (F.lit(-0.5) + (F.col("id") * 7919 % 12000) / 1000.0).alias("x"),
+                                    (F.lit(43.5) + (F.col("id") * 104729 % 4000) / 1000.0).alias("y"))
+    for op in ("s_intersects", "s_contains"):
+        a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=True).collect()}
+        b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=False).collect()}
+        assert a == b and len(a) > 100, op
