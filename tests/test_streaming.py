@@ -40,3 +40,29 @@ def test_stream_filter_equals_batch(spark, tmp_dir):
     got = {r[0] for r in spark.read.parquet(out).collect()}
     want = {r[0] for r in spark.read.parquet(path).filter(F.col("event_type") == "click").select("event_id").collect()}
     assert got == want
+
+
+def test_stream_lookup_large_polygons(spark, tmp_dir):
+    import math
+    from geoplane.functions.geometry import with_bbox
+    from geoplane.operators import joins as J
+    from geoplane.plans.collection import Collection
+    polys = []
+    for k in range(3):
+        cx, cy = 1.0 + 2.5 * k, 45.0
+        ring = [(cx + (1.0 if i % 2 == 0 else 0.6) * math.cos(i * math.pi / 40),
+                 cy + (1.0 if i % 2 == 0 else 0.6) * math.sin(i * math.pi / 40)) for i in range(80)]
+        ring.append(ring[0])
+        polys.append((k, [[[{"x": a, "y": b} for a, b in ring]]]))
+    df = spark.createDataFrame(polys, "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    df = with_bbox(df.withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.col("parts"))).drop("parts"))
+    coll = Collection(df, name="stars", geometry_type="Polygon")
+    pts = spark.range(5000).select(F.col("id").alias("pid"), (F.lit(-0.5) + (F.col("id") * 7919 % 8000) / 1000.0).alias("x"),
+                                   (F.lit(43.8) + (F.col("id") * 104729 % 2400) / 1000.0).alias("y"))
+    src = os.path.join(tmp_dir, "pts")
+    pts.write.parquet(src)
+    stream = spark.readStream.schema(pts.schema).parquet(src)
+    out = ST.run_available_now(ST.stream_point_lookup(coll, stream), os.path.join(tmp_dir, "o"), name="t4")
+    got = {tuple(r) for r in spark.read.parquet(out).select("pid", "id").collect()}
+    want = {tuple(r) for r in J.batch_point_lookup(coll, pts, clip=False).collect()}
+    assert got == want and len(got) > 100
