@@ -287,10 +287,12 @@ def _clipped_point_lookup(coll, points, point_id, x, y, op, cell):
     n_cells = bounded_count(cells, BROADCAST_MAX_ROWS)
     side = F.broadcast(cells) if n_cells is not None else cells.hint("merge")
     joined = probes.join(side, ["lv", "cx", "cy"], "inner")
+    from .cellclip import _on_seg
     hit = refine_clipped(F.col("__px"), F.col("__py"))
-    if op != "s_intersects":
-        from .cellclip import _on_seg
-        on_edge = F.exists(F.col("edges"), lambda s: _on_seg(s, F.col("__px"), F.col("__py")))
+    on_edge = F.exists(F.col("edges"), lambda s: _on_seg(s, F.col("__px"), F.col("__py")))
+    if op == "s_touches":                     # boundary only
+        hit = on_edge
+    elif op != "s_intersects":                # interior only (contains / within)
         hit = hit & ~on_edge
     return joined.filter(hit).select(point_id, "id")
 
@@ -359,8 +361,19 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
                 return edge
             return F.lit(False)                 # contains / crosses / overlaps / equals: point vs area
         parts = []
-        if not req.filter(is_poly).isEmpty():
-            parts.append(grid_join(feats, req.filter(is_poly), refine, cell=cell, features_are_points=True, **kw))
+        polys_req = req.filter(is_poly)
+        if not polys_req.isEmpty():
+            from .cellclip import mean_vertices
+            if op in ("s_intersects", "s_within", "s_touches") and mean_vertices(polys_req, "__rgeom") >= CLIP_MIN_VERTICES:
+                # large request polygons: clipped to cells once, points tested against local edges
+                from ..plans.collection import Collection
+                rp = Collection(polys_req.select(F.col(geom_id).alias("id"), F.col("__rgeom").alias("geom"), *_BOX),
+                                name="requests", geometry_type="Polygon")
+                pts = feats.select(F.col("id").alias("__pid"), F.col("_xmin").alias("__x"), F.col("_ymin").alias("__y"))
+                hits = _clipped_point_lookup(rp, pts, "__pid", "__x", "__y", op, cell)
+                parts.append(hits.select(F.col("id").alias(geom_id), F.col("__pid").alias("id")))
+            else:
+                parts.append(grid_join(feats, polys_req, refine, cell=cell, features_are_points=True, **kw))
         if not req.filter(~is_poly).isEmpty():
             pfeats = feats.withColumn("__fgeom", G.point(F.col("_xmin"), F.col("_ymin")))
             parts.append(grid_join(pfeats, req.filter(~is_poly),

@@ -99,3 +99,20 @@ def test_clipped_point_lookup_equals_whole_polygon(spark):
         a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=True).collect()}
         b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=False).collect()}
         assert a == b and len(a) > 100, op
+
+
+def test_batch_predicate_large_polygon_requests(spark):
+    import math as _m
+    from geoplane.operators import joins as J
+    from geoplane.plans import tables as T
+    c = T.customers(spark, "/root/testdata/sf0.001")
+    ring = [(2.0 + 2.0 * _m.cos(i * _m.pi / 30) * (1 if i % 2 else 0.55), 46.0 + 2.0 * _m.sin(i * _m.pi / 30) * (1 if i % 2 else 0.55))
+            for i in range(60)]
+    ring.append(ring[0])
+    g = Geom("Polygon", ((tuple(ring),),))
+    geoms = spark.createDataFrame([(1,)], "gid int").withColumn("geom", g.to_column())
+    for op in ("s_intersects", "s_within", "s_touches"):
+        got = {r["id"] for r in J.batch_predicate(c, geoms, op).collect()}
+        want = {r["id"] for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
+        assert got == want, op
+    assert len(want) >= 0
