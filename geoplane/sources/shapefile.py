@@ -235,9 +235,18 @@ def read_shapefile(spark: SparkSession, path: str, target_srid: int = 4326) -> t
 
 
 def preview_shapefile(spark: SparkSession, path: str) -> dict:
-    """SRC-11: metadata + up to 100 features in 4326, first 5 rows, bbox of the sample."""
+    """SRC-11: metadata + up to 100 features in 4326, first 5 rows, bbox of the sample.
+
+    A failing sample (bad geometry, unsupported projection) still returns the
+    layer metadata, with an empty sample and the error as a warning.
+    """
     feats, info = read_shapefile(spark, path, 4326)
-    sample = feats.orderBy("id").limit(100)
-    bbox = sample.agg(F.min("_xmin"), F.min("_ymin"), F.max("_xmax"), F.max("_ymax")).first()
-    return {**info, "features": sample, "sample_rows": sample.drop("geom").limit(5).collect(),
+    try:
+        sample = feats.orderBy("id").limit(100)
+        rows = sample.drop("geom").limit(5).collect()
+        bbox = sample.agg(F.min("_xmin"), F.min("_ymin"), F.max("_xmax"), F.max("_ymax")).first()
+    except Exception as e:  # noqa: BLE001 - the preview degrades to metadata only
+        return {**info, "features": None, "sample_rows": [], "bbox": None,
+                "warnings": info["warnings"] + [f"sample failed: {str(e)[:200]}"]}
+    return {**info, "features": sample, "sample_rows": rows,
             "bbox": list(bbox) if bbox and bbox[0] is not None else None}
