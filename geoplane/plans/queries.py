@@ -782,8 +782,14 @@ def _srt5(spark, sf_dir):
 
 query("srt5_export_order_limit", f"SELECT id, {s_wkt_point('x', 'y')} AS geom_wkt FROM {ORD} WHERE o_orderstatus = 'P' "
       f"AND x <= 5 AND x >= 0 AND y <= 48 AND y >= 45 ORDER BY id LIMIT 40")(_srt5)
-query("srt6_workspaces_by_name", f"SELECT id, name FROM {WS} ORDER BY name")(
-    lambda spark, sf_dir: CT.workspaces_by_name(T.workspaces(spark, sf_dir)).select("id", "name"))
+def _srt6(spark, sf_dir):
+    """Workspaces holding at least one collection, by name (semi-join with the collections)."""
+    ws, cols, _ = _cat(spark, sf_dir)
+    used = ws.join(cols.select(F.col("workspace_id").alias("id")), "id", "left_semi")
+    return CT.workspaces_by_name(used).select("id", "name")
+
+
+query("srt6_workspaces_by_name", f"SELECT id, name FROM {WS} WHERE id IN (SELECT workspace_id FROM {COLS}) ORDER BY name")(_srt6)
 
 
 def _job2(spark, sf_dir):
