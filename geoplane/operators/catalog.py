@@ -74,6 +74,16 @@ def collection_history(history: DataFrame, collection_id) -> DataFrame:
             .orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()))
 
 
+def collection_histories(history: DataFrame) -> DataFrame:
+    """SRT-3 batch form: every collection's imports, grouped by collection, newest first.
+
+    A global sort (range-partitioned on the sort keys), so a collection with
+    a huge history is spread over several tasks instead of one window group.
+    """
+    return history.orderBy(F.col("collection_id").asc_nulls_last(), F.col("created_at").desc_nulls_last(),
+                           F.col("id").desc())
+
+
 # ---------------------------------------------------------------- JN-4
 def cascade_delete(workspaces: DataFrame, collections: DataFrame, history: DataFrame,
                    deleted_workspaces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

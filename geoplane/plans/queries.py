@@ -766,10 +766,11 @@ query("srt2_job_listing", f"SELECT h.id, h.status, h.created_at, c.name AS colle
 
 
 def _srt3(spark, sf_dir):
-    return CT.collection_history(T.history(spark, sf_dir), 7).select("id", "status", "created_at")
+    return CT.collection_histories(T.history(spark, sf_dir)).select("collection_id", "id", "status", "created_at")
 
 
-query("srt3_collection_history", f"SELECT id, status, created_at FROM {HIST} WHERE collection_id = 7")(_srt3)
+query("srt3_collection_histories", f"SELECT collection_id, id, status, created_at FROM {HIST} "
+      f"ORDER BY collection_id, created_at DESC, id DESC")(_srt3)
 query("srt4_last_completed", f"SELECT id, collection_id, completed_at FROM {HIST} WHERE completed_at IS NOT NULL "
       f"ORDER BY completed_at DESC, id DESC LIMIT 1")(lambda spark, sf_dir: CT.last_completed(T.history(spark, sf_dir)))
 

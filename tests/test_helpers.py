@@ -124,3 +124,11 @@ def test_literal_transformed_to_storage_srid(spark):
     assert C.items(l93, bbox=[1, 48, 3, 49]).page.first()["name"] == "Paris"
     assert C.items(l93, lat=45.76, lon=4.83, radius=1000).page.first()["name"] == "Lyon"
     assert l93.df.filter(P.eq(l93.df, "name", "it's")).count() == 0       # quotes need no escaping
+
+
+def test_collection_history_literal_and_batch(spark):
+    from geoplane.plans import tables as T
+    h = T.history(spark, "/root/testdata/sf0.001")
+    one = [r["id"] for r in CT.collection_history(h, 7).collect()]
+    allh = [r["id"] for r in CT.collection_histories(h).filter("collection_id = 7").collect()]
+    assert one == allh and len(one) > 0
