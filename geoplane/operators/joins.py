@@ -124,14 +124,21 @@ def cells_type() -> str:
     return "array<struct<lv:int,cx:bigint,cy:bigint>>"
 
 
-def side_stats(df: DataFrame, box_cols, level: Column, base: float) -> tuple[list[int], int]:
-    """Levels used by one side and its total number of own-level cells (one aggregate row)."""
+def side_stats(df: DataFrame, box_cols, level: Column, base: float, with_envelope: bool = False):
+    """Levels used by one side and its total number of own-level cells (one aggregate row);
+    with ``with_envelope`` also the side's overall bbox (None when empty)."""
     xmin, ymin, xmax, ymax = box_cols
     g = _cell_size(base, level)
     cells = (F.floor(xmax / g) - F.floor(xmin / g) + 1) * (F.floor(ymax / g) - F.floor(ymin / g) + 1)
-    row = df.select(level.alias("__l"), cells.alias("__c")).agg(
-        F.collect_set("__l").alias("l"), F.sum("__c").alias("c")).first()
-    return sorted(row["l"] or []), int(row["c"] or 0)
+    row = df.select(level.alias("__l"), cells.alias("__c"), xmin.alias("__a"), ymin.alias("__b"),
+                    xmax.alias("__d"), ymax.alias("__e")).agg(
+        F.collect_set("__l").alias("l"), F.sum("__c").alias("c"), F.min("__a").alias("a"), F.min("__b").alias("b"),
+        F.max("__d").alias("d"), F.max("__e").alias("e")).first()
+    levels, n = sorted(row["l"] or []), int(row["c"] or 0)
+    if not with_envelope:
+        return levels, n
+    env = None if row["a"] is None else (row["a"], row["b"], row["d"], row["e"])
+    return levels, n, env
 
 
 def _exploded_bound(df: DataFrame, own_cells: int | None, other_levels: list[int], max_rows: int) -> int | None:
@@ -173,8 +180,16 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
     f_level = F.lit(0) if features_are_points else level_of(fbox, cell)
     r_level = F.lit(0) if requests_are_points else level_of(rbox, cell)
     # one statistics pass per extended side: levels used, own-level cell count (bounded driver data)
-    f_levels, f_cells = ([0], None) if features_are_points else side_stats(features, fbox, f_level, cell)
-    r_levels, r_cells = ([0], None) if requests_are_points else side_stats(req, rbox, r_level, cell)
+    f_levels, f_cells, f_env = ([0], None, None) if features_are_points else side_stats(
+        features, fbox, f_level, cell, with_envelope=True)
+    r_levels, r_cells, r_env = ([0], None, None) if requests_are_points else side_stats(
+        req, rbox, r_level, cell, with_envelope=True)
+    # An extended side's envelope (free from its statistics pass) bounds the other side:
+    # a literal bbox filter that Parquet statistics prune on, before any explode or shuffle.
+    if not requests_are_points:
+        features = features.filter(K.bbox_overlaps(*r_env) if r_env else F.lit(False))
+    if not features_are_points:
+        req = req.filter(K.bbox_overlaps(*f_env, prefix="__r") if f_env else F.lit(False))
 
     fc = (explode_point_cells(features, fbox[0], fbox[1], cell, [0, *r_levels], "__f") if features_are_points
           else explode_cells(features, fbox, cell, f_level, r_levels, "__f"))
@@ -278,8 +293,11 @@ def _clipped_point_lookup(coll, points, point_id, x, y, op, cell):
     cell = cell or suggest_cell(feats) / 4
     level = level_of(fbox, cell)
     cells = clipped_polygon_cells(feats, cell, level, LEVEL_FACTOR)
-    levels, _ = side_stats(feats, fbox, level, cell)
+    levels, _, env = side_stats(feats, fbox, level, cell, with_envelope=True)
     px, py = F.col(x), F.col(y)
+    # probe points outside the polygons' envelope can match nothing: a pushable literal filter
+    points = points.filter((px >= env[0]) & (px <= env[2]) & (py >= env[1]) & (py <= env[3])) if env else \
+        points.filter(F.lit(False))
     pcells = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(px / _cell_size(cell, F.lit(lv))).alias("cx"),
                                 F.floor(py / _cell_size(cell, F.lit(lv))).alias("cy")) for lv in (levels or [0])])
     probes = points.select(point_id, px.alias("__px"), py.alias("__py"), F.explode(pcells).alias("__c")).select(

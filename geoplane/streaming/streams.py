@@ -117,7 +117,9 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     box = [F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")]
     cell = cell or J.suggest_cell(feats)
     level = J.level_of(box, cell)
-    levels = J._levels_used(feats, level)
+    levels, _, env = J.side_stats(feats, box, level, cell, with_envelope=True)
+    if env:
+        points = points.filter((F.col(x) >= env[0]) & (F.col(x) <= env[2]) & (F.col(y) >= env[1]) & (F.col(y) <= env[3]))
     static = J.explode_cells(feats, box, cell, level, [], "__f").select(
         "id", "__geom", F.col("__clv").alias("__lv"), F.col("__cx").alias("__kx"), F.col("__cy").alias("__ky"))
     if J.bounded_count(static, J.BROADCAST_MAX_ROWS) is not None:
