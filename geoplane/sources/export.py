@@ -106,7 +106,7 @@ def quadkey(x: Column, y: Column, level: int = 16) -> Column:
 
 
 def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | None = None,
-                        version: str | None = None) -> str:
+                        version: str | None = None, srid: int = 4326) -> str:
     """Write a feature table as a new version directory and return its path.
 
     ING-20 (re-aim of the GIST index): rows are range-partitioned and sorted
@@ -120,6 +120,9 @@ def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | N
     path = f"{root.rstrip('/')}/{name}/version-{version or uuid.uuid4().hex[:12]}"
     cx = (F.col("_xmin") + F.col("_xmax")) / 2
     cy = (F.col("_ymin") + F.col("_ymax")) / 2
+    if int(srid) != 4326:                       # the key grid is in lon/lat whatever the storage SRID
+        from ..functions.crs import transform_xy
+        cx, cy = transform_xy(cx, cy, srid, 4326)
     keyed = df.withColumn("__qk", quadkey(cx, cy))
     keyed = keyed.repartitionByRange(partitions, "__qk") if partitions else keyed.repartitionByRange("__qk")
     keyed.sortWithinPartitions("__qk").drop("__qk").write.mode("overwrite").parquet(path)
