@@ -17,12 +17,19 @@ grid* equi-join, so Catalyst plans a hash join instead of a nested loop:
    lower-left corner of the two boxes' intersection -- exactly one cell, so
    no ``distinct`` shuffle is needed.
 
-Join strategy: the exploded request side is broadcast only when a row count
-proves it small (:func:`bounded_count`); otherwise both sides are shuffled on
-the cell key.  Hot cells (one cell holding a large share of the features) are
-split by AQE's skew-join handling, and ``salt > 1`` additionally spreads
-every cell's features over ``salt`` buckets while replicating the request
-rows ``salt`` times.
+Join strategy:
+
+* one statistics pass per extended side gives its grid levels, its exact
+  number of own-level cells and its envelope; the envelope filters the other
+  side with a literal bbox predicate that reaches the Parquet scan;
+* a side is broadcast only behind a proven bound on its exploded rows (exact
+  cell totals for extended sides, ``count()`` for point sides) -- the
+  smaller bounded side wins; otherwise both sides are shuffled on the cell
+  key in a sort-merge join;
+* hot cells (one cell holding a large share of the features) are split by
+  AQE's skew-join handling, and ``salt > 1`` additionally spreads every
+  cell's features over ``salt`` buckets while replicating the request rows
+  ``salt`` times.
 """
 
 from __future__ import annotations
@@ -204,9 +211,8 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
         keys.append(F.col("__f_salt") == F.col("__salt"))
     # Broadcast a side only behind a proven bound on its exploded rows: an extended
     # side emits at most its own-level cells again at each coarser level of the
-    # other side; a point side emits one row per level.  The smaller bounded side
-    # wins (e.g. few polygons probed by many points); else both sides shuffle.
-    # an extended side's bound is free (from its stats); when it is small, skip counting the other side
+    # other side (bound free from its stats); a point side emits one row per level
+    # (bound from a count, skipped when the other side is already proven small).
     bound_r = _exploded_bound(req, r_cells, f_levels, broadcast_max_rows) if r_cells is not None else None
     bound_f = _exploded_bound(features, f_cells, r_levels, broadcast_max_rows) if f_cells is not None else None
     if bound_r is not None:
