@@ -2,9 +2,10 @@
 
 Every builder returns ``bbox prefilter AND exact refine``.  The prefilter is
 four comparisons on the top-level bbox columns, which Catalyst pushes into
-the Parquet scan; the refine is a Catalyst expression for point features and
-for point literals against (multi)polygon features, and the vectorised relate
-kernel (:mod:`geoplane.operators.relate`) for line/polygon pairs.
+the Parquet scan.  The refine is a Catalyst expression for Point and
+MultiPoint features (unrolled literal tests, quantified over the vertices)
+and for point literals against (multi)polygon features; line/polygon pairs
+use the vectorised relate kernel (:mod:`geoplane.operators.relate`).
 
 The literal is transformed to the storage SRID on the driver (the column is
 never transformed), as the reference does to keep its index usable.
