@@ -58,3 +58,27 @@ def test_null_geometry_rows(spark):
     lit = Geom.from_wkt("POLYGON((0 40,10 40,10 50,0 50,0 40))")
     assert c.df.filter(S.relate_literal(c, "s_disjoint", lit)).count() == 0     # null is not disjoint
     assert TL.pyramid_counts(c, [0]).first()["n_features"] == 3
+
+
+def test_point_pyramid_equals_per_feature_assignment(spark):
+    """Pre-aggregated point pyramid == explode per feature, including points exactly on tile/margin edges."""
+    from geoplane.functions import crs as CRS
+    from geoplane.functions.geometry import point, with_bbox
+    from geoplane.plans.collection import Collection
+    H = CRS.MERC_HALF_WORLD
+    edge_pts = []
+    for z in (3, 5, 7):                                  # exact tile edges and margin edges, in 3857
+        w = 2 * H / 2 ** z
+        for k in (3, 4):
+            for f in (0.0, 1 / 16, 15 / 16, 0.5):
+                x = -H + (k + f) * w
+                lon, lat = CRS.mercator_to_lonlat(x, H - (k + f) * w)
+                edge_pts.append((lon, lat))
+    rnd = [(-170 + (i * 7919 % 34000) / 100.0, -80 + (i * 104729 % 16000) / 100.0) for i in range(3000)]
+    rows = [(i, lo, la) for i, (lo, la) in enumerate(edge_pts + rnd + [(2.35, 48.86)] * 500)]
+    df = spark.createDataFrame(rows, "id int, lon double, lat double")
+    df = with_bbox(df.withColumn("geom", point(F.col("lon"), F.col("lat"))).drop("lon", "lat"))
+    c = Collection(df, name="p", geometry_type="Point")
+    fast = {tuple(r) for r in TL.pyramid_counts(c, range(0, 9)).collect()}
+    slow = {tuple(r) for r in TL.assign_tiles(c, range(0, 9)).groupBy("z", "x", "y").count().collect()}
+    assert fast == slow
