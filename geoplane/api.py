@@ -105,7 +105,7 @@ def apply_style(df: DataFrame, style: dict) -> DataFrame:
     if kind == "graduated" and style.get("field") and style.get("classes"):
         classes = [{"class_index": i, **c} for i, c in enumerate(style["classes"])]
         return CL.style_graduated(df, style["field"], classes, default)
-    return df.withColumn("color", F.lit(style.get("fill_color", "#1B4F72")))
+    return df.withColumn("color", F.lit(style.get("fill_color", CL.DEFAULT_FILL_COLOR)))
 
 
 def tiles(coll: C.Collection, zooms=None, requests: DataFrame | None = None, props=None, salt: int = 8) -> DataFrame:

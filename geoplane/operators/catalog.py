@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as _crs
 
+# Job statuses, job listing default and maximum limit.
 JOB_STATUSES = ("pending", "running", "completed", "failed")
 JOB_DEFAULT_LIMIT, JOB_MAX_LIMIT = 20, 100
 
@@ -238,6 +239,7 @@ def page_links_columns(n: Column, limit: Column, offset: Column) -> dict[str, Co
 
 
 # ---------------------------------------------------------------- ING-19
+# Fixed value: progress is reported every 500 features.
 PROGRESS_BATCH = 500
 
 

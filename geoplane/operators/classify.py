@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..schema import is_numeric
 from . import profile as PF
 
+# Default (unmatched) colour, category cap, class count bounds and default,
+# single-style fill colour.
 DEFAULT_COLOR = "#cccccc"
 MAX_CATEGORIES = 50
 MIN_CLASSES, MAX_CLASSES, DEFAULT_CLASSES = 2, 20, 5
+DEFAULT_FILL_COLOR = "#1B4F72"
 
 # The seven named colour palettes (ColorBrewer-inspired).
 PALETTES = {

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as _crs
 
+# Tile extent and buffer (tile units), highest valid zoom.
 EXTENT = 4096
 BUFFER = 256
 MARGIN = BUFFER / EXTENT           # 1/16 of a tile on each side

@@ -22,6 +22,7 @@ from ..operators import predicates as P
 from ..operators import spatial as S
 from ..schema import BBOX_COLUMNS, json_type
 
+# Page size default and maximum.
 DEFAULT_LIMIT = 25
 MAX_LIMIT = 100
 

@@ -20,6 +20,7 @@ from ..functions import geometry as G
 from . import text as TX
 from .ids import with_sequential_id
 
+# Fixed value: rows sampled for CSV type inference.
 CSV_SAMPLE_ROWS = 100
 
 

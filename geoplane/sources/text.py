@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Reserved column names; candidate separators in tie-break order.
 RESERVED_COLUMNS = ("id", "geom")
-SEPARATORS = (";", ",", "\t")          # tie-break order
+SEPARATORS = (";", ",", "\t")
 # Longitude / latitude header names by priority group.
 LON_NAMES_BY_PRIORITY = (("longitude", "lon", "lng", "long"), ("x_wgs84",), ("x", "centroid_x"))
 LAT_NAMES_BY_PRIORITY = (("latitude", "lat"), ("y_wgs84",), ("y", "centroid_y"))
