@@ -42,14 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is.  Only when it is unset (local tests) do we create one under the system
     temporary directory.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="geoplane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if sc is None:
+        return conf_dir
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -63,8 +69,11 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per application and distributed with
     ``addPyFile`` -- the same as ``spark-submit --py-files``.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: ship as a session artifact instead
+        sc, app = None, f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     import zipfile
@@ -80,5 +89,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
     _SHIPPED.add(app)
