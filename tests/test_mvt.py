@@ -55,3 +55,12 @@ def test_polygon_clipped_and_oriented(spark):
         assert f["type"] == 3
         g = f["geometry"]
         assert g[0] == 9 and g[-1] == 15           # MoveTo(1) ... ClosePath
+
+
+def test_jvm_point_tiles_byte_identical(spark):
+    from .test_skew import _hot_points
+    c = _hot_points(spark)
+    for salt in (1, 5):
+        py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [3, 6], salt=salt, engine="python").collect()}
+        jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.point_tile_blobs(c, [3, 6], salt=salt).collect()}
+        assert py == jvm and len(py) > 3

@@ -46,5 +46,6 @@ def test_hot_tile_same_under_salt(spark):
     c = _hot_points(spark)
     one = _decoded(M.tile_blobs(c, [6], salt=1).collect())
     many = _decoded(M.tile_blobs(c, [6], salt=7).collect())
+    assert one == _decoded(M.tile_blobs(c, [6], salt=3, engine="python").collect())
     assert one == many
     assert max(len(v) for v in one.values()) >= 1000
