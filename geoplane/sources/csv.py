@@ -95,7 +95,8 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
 
     ``features``: id (1..n in file order over kept rows), typed properties,
     ``geom`` (MultiPoint, tagged ``srid``, no reprojection) and bbox columns.
-    ``report``: one row with imported / skipped counts (AGG-13).
+    ``report``: one row with imported / skipped row counts (AGG-13) and the
+    number of values nulled because they did not fit their inferred type (D2).
     """
     plan, rows = plan_csv(spark, path, separator, lon, lat, sample)
     lon_i, lat_i = plan.headers.index(plan.lon_column), plan.headers.index(plan.lat_column)
@@ -104,9 +105,15 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
     ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     props = [TX.coerce(F.col(f"c{i}"), plan.types[n]).alias(n)
              for i, n in enumerate(plan.columns) if i not in (lon_i, lat_i)]
-    staged = rows.select("__mid", ok.alias("__ok"), x.alias("__x"), y.alias("__y"), *props)
-    report = staged.agg(F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"))
-    kept = with_sequential_id(staged.filter("__ok").drop("__mid"), "id")
+    # D2: a non-empty value that does not fit its inferred type becomes null and is counted
+    rejected = [(F.col(f"c{i}") != "") & TX.coerce(F.col(f"c{i}"), plan.types[n]).isNull()
+                for i, n in enumerate(plan.columns) if i not in (lon_i, lat_i)]
+    n_rejected = sum((r.cast("int") for r in rejected), F.lit(0))
+    staged = rows.select("__mid", ok.alias("__ok"), x.alias("__x"), y.alias("__y"), n_rejected.alias("__rej"), *props)
+    report = staged.agg(F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"),
+                        F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__rej"))), F.lit(0)).cast("bigint")
+                        .alias("rejected_values"))
+    kept = with_sequential_id(staged.filter("__ok").drop("__mid", "__rej"), "id")
     geom = G.point(F.col("__x"), F.col("__y"), srid, multi=True)
     feats = kept.select("id", *[p for p in plan.columns if p in plan.types], geom.alias("geom"),
                         F.col("__x").alias("_xmin"), F.col("__y").alias("_ymin"),

@@ -106,7 +106,8 @@ def quadkey(x: Column, y: Column, level: int = 16) -> Column:
 
 
 def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | None = None,
-                        version: str | None = None, srid: int = 4326, id_column: str = "id") -> str:
+                        version: str | None = None, srid: int = 4326, id_column: str = "id",
+                        workspace: str | None = None) -> str:
     """Write a feature table as a new version directory and return its path.
 
     ING-20 (re-aim of the GIST index): rows are range-partitioned and sorted
@@ -117,7 +118,9 @@ def write_feature_table(df: DataFrame, root: str, name: str, partitions: int | N
     its files.  A caller-given ``version`` makes the write idempotent (a
     replayed stream batch overwrites its own version, nothing else).
     """
-    path = f"{root.rstrip('/')}/{name}/version-{version or uuid.uuid4().hex[:12]}"
+    # D5: the table identity includes the workspace, so equal names in two workspaces never collide
+    table = f"{workspace}/{name}" if workspace else name
+    path = f"{root.rstrip('/')}/{table}/version-{version or uuid.uuid4().hex[:12]}"
     cx = (F.col("_xmin") + F.col("_xmax")) / 2
     cy = (F.col("_ymin") + F.col("_ymax")) / 2
     if int(srid) != 4326:                       # the key grid is in lon/lat whatever the storage SRID

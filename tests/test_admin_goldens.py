@@ -221,3 +221,13 @@ def test_csv_inference_deviations(spark, tmp_dir):
     assert plan.types == {"a": "DOUBLE PRECISION", "b": "TEXT", "c": "BIGINT", "d": "TEXT"}
     rows = feats.orderBy("id").collect()
     assert rows[0]["a"] == 1000.0 and rows[1]["c"] == 99999999999 and rows[0]["d"] is None
+    assert rep.first()["rejected_values"] == 0
+
+
+def test_csv_rejected_values_counted(spark, tmp_dir):
+    lines = "lon;lat;n\n" + "".join(f"{i};{i};{i}\n" for i in range(100)) + "1;1;abc\n2;2;7\n"
+    p = _write(os.path.join(tmp_dir, "late.csv"), lines)
+    feats, rep, plan = read_csv_points(spark, p)
+    r = rep.first()
+    assert plan.types["n"] == "INTEGER" and r["imported"] == 102 and r["rejected_values"] == 1
+    assert feats.filter("n IS NULL").count() == 1

@@ -48,3 +48,6 @@ def test_reimport_writes_new_version(spark, tmp_dir):
     p1 = write_feature_table(s.df, tmp_dir, "sites")
     p2 = write_feature_table(s.df.limit(2), tmp_dir, "sites")
     assert p1 != p2 and spark.read.parquet(p1).count() == 3 and spark.read.parquet(p2).count() == 2
+    a = write_feature_table(s.df, tmp_dir, "sites", workspace="ws1", version="v1")
+    b = write_feature_table(s.df, tmp_dir, "sites", workspace="ws2", version="v1")
+    assert a != b and "/ws1/sites/" in a and "/ws2/sites/" in b
