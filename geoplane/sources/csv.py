@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -110,10 +110,15 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
                 for i, n in enumerate(plan.columns) if i not in (lon_i, lat_i)]
     n_rejected = sum((r.cast("int") for r in rejected), F.lit(0))
     staged = rows.select("__mid", ok.alias("__ok"), x.alias("__x"), y.alias("__y"), n_rejected.alias("__rej"), *props)
-    report = staged.agg(F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"),
-                        F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__rej"))), F.lit(0)).cast("bigint")
-                        .alias("rejected_values"))
+    # AGG-13 / ING-19 counts are observed while the id pass scans the rows: no extra pass
+    obs = Observation("csv_import")
+    staged = staged.observe(obs, F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"),
+                            F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__rej"))), F.lit(0)).cast("bigint")
+                            .alias("rejected_values"))
     kept = with_sequential_id(staged.filter("__ok").drop("__mid", "__rej"), "id")
+    m = obs.get
+    report = spark.createDataFrame([(int(m["imported"]), int(m["skipped"]), int(m["rejected_values"]))],
+                                   "imported bigint, skipped bigint, rejected_values bigint")
     geom = G.point(F.col("__x"), F.col("__y"), srid, multi=True)
     feats = kept.select("id", *[p for p in plan.columns if p in plan.types], geom.alias("geom"),
                         F.col("__x").alias("_xmin"), F.col("__y").alias("_ymin"),
