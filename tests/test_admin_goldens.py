@@ -231,3 +231,11 @@ def test_csv_rejected_values_counted(spark, tmp_dir):
     r = rep.first()
     assert plan.types["n"] == "INTEGER" and r["imported"] == 102 and r["rejected_values"] == 1
     assert feats.filter("n IS NULL").count() == 1
+
+
+def test_profile_typed_min_max(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (None, None)], "v int, s string")
+    rows = {r["column_name"]: r for r in PF.column_profile(df, typed=True).collect()}
+    assert (rows["v"]["min_value"], rows["v"]["max_value"]) == ("10", "9")           # text order kept
+    assert (rows["v"]["min_typed"], rows["v"]["max_typed"]) == ("9", "10")           # typed order added
+    assert rows["s"]["min_typed"] == "a"
