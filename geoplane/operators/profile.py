@@ -26,7 +26,8 @@ def number_matched(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG-2
-def column_profile(df: DataFrame, exclude=("geom", *BBOX_COLUMNS), approx_distinct: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, exclude=("geom", *BBOX_COLUMNS), approx_distinct: bool = False,
+                   typed: bool = False) -> DataFrame:
     """Per column: type, non-null / null counts, distinct count, min / max as text.
 
     Text min/max compare lexicographically ('10' < '9') as the reference's
@@ -36,7 +37,25 @@ def column_profile(df: DataFrame, exclude=("geom", *BBOX_COLUMNS), approx_distin
     and then by ordinal, again partially aggregated, so no task ever receives
     a column's distinct values.  One scan, two shuffles of de-duplicated
     pairs.  ``approx_distinct`` uses one HyperLogLog++ aggregate instead.
+    ``typed`` adds ``min_typed`` / ``max_typed``: min / max in the column's own
+    order (numbers numerically, dates chronologically), shown as text.
     """
+    out = _column_profile(df, exclude, approx_distinct)
+    if not typed:
+        return out
+    cols = [f for f in df.schema.fields if f.name not in exclude]
+    aggs = []
+    for i, f in enumerate(cols):
+        c = F.col(f"`{f.name}`")
+        aggs += [F.min(c).cast("string").alias(f"tn{i}"), F.max(c).cast("string").alias(f"tx{i}")]
+    wide = df.agg(*aggs)                                        # one row
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"tn{i}").alias("min_typed"),
+                              F.col(f"tx{i}").alias("max_typed")) for i in range(len(cols))])
+    typed_rows = wide.select(F.inline(rows))                    # one row per column
+    return out.join(F.broadcast(typed_rows), "ordinal", "left")
+
+
+def _column_profile(df: DataFrame, exclude, approx_distinct: bool) -> DataFrame:
     cols = [f for f in df.schema.fields if f.name not in exclude]
     meta = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"),
                               F.lit(pg_type(f.dataType)).alias("data_type"),
