@@ -84,7 +84,9 @@ def level_of(box_cols, base: float) -> Column:
     expr = None
     for lvl in range(N_LEVELS):
         g = float(base) * LEVEL_FACTOR ** lvl
-        n = ((F.floor(xmax / g) - F.floor(xmin / g) + 1) * (F.floor(ymax / g) - F.floor(ymin / g) + 1))
+        # counted in double: a huge box at a fine level would overflow a bigint product
+        n = ((F.floor(xmax / g) - F.floor(xmin / g) + 1).cast("double")
+             * (F.floor(ymax / g) - F.floor(ymin / g) + 1).cast("double"))
         expr = F.when(n <= MAX_CELLS, F.lit(lvl)) if expr is None else expr.when(n <= MAX_CELLS, F.lit(lvl))
     return expr.otherwise(F.lit(N_LEVELS - 1))
 
