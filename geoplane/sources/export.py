@@ -48,12 +48,22 @@ def export_geojson(coll, path: str, where: Column | None = None, bbox=None, limi
     else:
         rows = rows.repartitionByRange("id").sortWithinPartitions("id")
     if single_file:
-        if limit is None:
-            raise ValueError("single_file export needs a limit (one document is one task)")
-        doc = rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
-                                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "feature"))),
-                                                         lambda r: r["feature"]), ","), F.lit("]}")).alias("value"))
-        doc.coalesce(1).write.mode("overwrite").text(path)
+        if limit is not None:
+            # bounded by the limit: one small document from one task
+            doc = rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                                    F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "feature"))),
+                                                             lambda r: r["feature"]), ","), F.lit("]}")).alias("value"))
+            doc.coalesce(1).write.mode("overwrite").text(path)
+            return
+        # unlimited: ordered part files that concatenate (in name order) into one document --
+        # a header part, features with a leading comma except the first, a footer part
+        spark = coll.df.sparkSession
+        first = rows.agg(F.min("id").alias("m")).first()["m"]               # one scalar
+        body = rows.select(F.when(F.col("id") == F.lit(first), F.col("feature"))
+                           .otherwise(F.concat(F.lit(","), F.col("feature"))).alias("value"))
+        head = spark.createDataFrame([('{"type":"FeatureCollection","features":[',)], "value string")
+        foot = spark.createDataFrame([("]}",)], "value string")
+        head.unionByName(body).unionByName(foot).write.mode("overwrite").text(path)
         return
     rows.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
 

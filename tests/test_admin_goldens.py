@@ -239,3 +239,18 @@ def test_profile_typed_min_max(spark):
     assert (rows["v"]["min_value"], rows["v"]["max_value"]) == ("10", "9")           # text order kept
     assert (rows["v"]["min_typed"], rows["v"]["max_typed"]) == ("9", "10")           # typed order added
     assert rows["s"]["min_typed"] == "a"
+
+
+def test_geojson_export_documents(spark, tmp_dir):
+    c = _export_collection(spark)
+    for limit in (None, 2):
+        out = os.path.join(tmp_dir, f"fc{limit}")
+        EX.export_geojson(c, out, single_file=True, limit=limit)
+        text = "".join(open(f).read() for f in sorted(glob.glob(out + "/part-*")))
+        doc = json.loads(text)
+        assert doc["type"] == "FeatureCollection"
+        assert [f["id"] for f in doc["features"]] == ([1, 2, 3, 5] if limit is None else [1, 2])
+    lines_dir = os.path.join(tmp_dir, "lines")
+    EX.export_geojson(c, lines_dir)
+    feats = [json.loads(line) for f in sorted(glob.glob(lines_dir + "/part-*")) for line in open(f) if line.strip()]
+    assert [f["id"] for f in feats] == [1, 2, 3, 5]
