@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 from ..functions import crs as CRS
 from ..functions import geometry as G
 from ..functions.geometry import Geom
+from ..operators import catalog as CT
+from ..operators import classify as CL
+from ..operators import joins as J
+from ..operators import mvt as MV
 from ..operators import predicates as P
+from ..operators import profile as PF
 from ..operators import spatial as S
+from ..operators import tiles as TL
+from ..sources import text as TX
+from ..sources.ids import with_sequential_id
+from ..streaming import streams as ST
 from . import collection as C
 from . import tables as T
 
@@ -423,7 +432,6 @@ query("prj10_text_cast", "SELECT o_orderkey AS id, CAST(o_totalprice AS VARCHAR)
 
 
 # ============================================================ JN: batch joins
-from ..operators import joins as J  # noqa: E402
 
 
 def _supplier_boxes(spark, sf_dir):
@@ -520,8 +528,6 @@ GROUP BY e.pid, c.id HAVING count(*) % 2 = 1) h ON h.pid = n.n_nationkey GROUP B
 
 
 # ============================================================ AGG: aggregations
-from ..operators import classify as CL  # noqa: E402
-from ..operators import profile as PF  # noqa: E402
 
 
 def _agg1(spark, sf_dir):
@@ -657,7 +663,6 @@ FROM customer, {_CLS_BOUNDS}""")(_cls8)
 
 
 # ============================================================ catalog, history, paging shapes
-from ..operators import catalog as CT  # noqa: E402
 
 WS, COLS, HIST = T.WORKSPACES_SQL, T.CATALOG_COLLECTIONS_SQL, T.HISTORY_FULL_SQL
 
@@ -889,7 +894,6 @@ query("pag1_batch_pages", f"""SELECT req_id, id, CAST(rn AS INTEGER) AS rank FRO
 
 
 # ============================================================ TIL: tiles
-from ..operators import tiles as TL  # noqa: E402
 
 _H = repr(TL.H)
 _2H = repr(2 * TL.H)
@@ -951,8 +955,6 @@ FROM r LEFT JOIN c ON r.z = c.z AND r.x = c.x AND r.y = c.y""")(_til6)
 
 
 # ============================================================ ING / SNK: import and export shapes
-from ..sources import text as TX  # noqa: E402
-from ..sources.ids import with_sequential_id  # noqa: E402
 
 query("ing1_sanitize_names", """SELECT p_partkey AS id, CASE WHEN lower(regexp_replace(p_name || '-' || p_brand, '[^a-zA-Z0-9_]', '_', 'g'))
   IN ('id', 'geom') THEN '_' ELSE '' END || lower(regexp_replace(p_name || '-' || p_brand, '[^a-zA-Z0-9_]', '_', 'g')) AS column_name,
@@ -1099,7 +1101,6 @@ query("snk2_csv_export_lines", f"""SELECT id, CAST(id AS VARCHAR) || ',' || c_na
 
 
 # ============================================================ STR: streams (run with availableNow into a sink)
-from ..streaming import streams as ST  # noqa: E402
 
 
 def _event_stream(spark, sf_dir):
@@ -1256,7 +1257,6 @@ SELECT a.pid AS gid, a.id FROM allin a WHERE NOT EXISTS (SELECT 1 FROM bad WHERE
 
 
 # ============================================================ TIL-5 / AGG-12: vector tile bytes
-from ..operators import mvt as MV  # noqa: E402
 
 
 def _til5(spark, sf_dir):
