@@ -153,6 +153,8 @@ def items_filter(coll: Collection, where: Column | None = None, bbox=None, bbox_
     conds = []
     if bbox is not None:
         conds.append(S.bbox(coll, bbox, bbox_crs))
+    if radius is not None and (lon is None or lat is None):
+        raise ValueError("radius requires lat and lon")
     if lon is not None or lat is not None:
         if lon is None or lat is None:
             raise ValueError("lat and lon are both required")

@@ -46,6 +46,10 @@ def test_point_query_and_range_check(spark):
         C.items(s, lat=91, lon=2.35)
     with pytest.raises(ValueError):
         C.items(s, lat=48.0, lon=2.0, radius=-5)
+    with pytest.raises(ValueError, match="radius requires"):
+        C.items(s, radius=1000)
+    with pytest.raises(ValueError):
+        C.items(s, lat=48.0)
 
 
 def test_paging_links(spark):
@@ -148,3 +152,11 @@ def test_spatial_literal_predicates(spark):
     line = Geom.from_wkt("LINESTRING(2.35 48.86, 4.83 45.76)")
     assert names(c.df.filter(S.relate_literal(c, "s_touches", line))) == ["Lyon", "Paris"]
     assert names(c.df.filter(S.relate_literal(c, "s_equals", Geom.point(4.83, 45.76)))) == ["Lyon"]
+
+
+def test_collection_metadata_lists_crs(spark):
+    from geoplane.functions import crs as CRS
+    assert CRS.supported_crs(2154) == [CRS.CRS84_URI] + [CRS.srid_to_uri(x) for x in (4326, 3857, 2154)]
+    s = sites(spark)
+    assert CRS.check_supported(s.srid, None) == 4326
+    assert CRS.check_supported(s.srid, "http://www.opengis.net/def/crs/EPSG/0/2154") == 2154
