@@ -155,7 +155,6 @@ def test_spatial_literal_predicates(spark):
 
 
 def test_collection_metadata_lists_crs(spark):
-    from geoplane.functions import crs as CRS
     assert CRS.supported_crs(2154) == [CRS.CRS84_URI] + [CRS.srid_to_uri(x) for x in (4326, 3857, 2154)]
     s = sites(spark)
     assert CRS.check_supported(s.srid, None) == 4326
