@@ -122,7 +122,11 @@ def upsert_collections(existing: DataFrame, updates: DataFrame) -> DataFrame:
     feature_count, xmin..ymax, updated_at (one row per key; later duplicates
     resolved by the newest ``updated_at``).
     """
-    w = Window.partitionBy("workspace_id", "name").orderBy(F.col("updated_at").desc_nulls_last())
+    # newest first; equal timestamps fall back to the refreshed values themselves, so
+    # the choice is deterministic and rows that still tie are identical where it matters
+    w = Window.partitionBy("workspace_id", "name").orderBy(
+        F.col("updated_at").desc_nulls_last(), F.col("feature_count").desc_nulls_last(),
+        *[F.col(c).asc_nulls_last() for c in ("xmin", "ymin", "xmax", "ymax")])
     upd = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     refreshed = ("geometry_type", "feature_count", "xmin", "ymin", "xmax", "ymax", "updated_at")
     u = upd.select("workspace_id", "name", *[F.col(c).alias(f"__u_{c}") for c in refreshed],

@@ -743,7 +743,8 @@ def _ing18(spark, sf_dir):
 query("ing18_catalog_upsert", f"""WITH u0 AS (SELECT c.workspace_id, CASE WHEN count(*) >= 3 THEN c.name || '_hot' ELSE c.name END AS name,
     count(*) AS feature_count, min({s_lon('o.o_orderkey')}) AS xmin, max(o.o_orderdate) AS updated_at
   FROM orders o JOIN {COLS} c ON c.id = o.o_custkey WHERE o.o_orderpriority = '1-URGENT' GROUP BY c.id, c.workspace_id, c.name),
-u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, name ORDER BY updated_at DESC NULLS LAST) AS rn FROM u0) WHERE rn = 1)
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, name ORDER BY updated_at DESC NULLS LAST,
+  feature_count DESC NULLS LAST, xmin ASC NULLS LAST) AS rn FROM u0) WHERE rn = 1)
 SELECT c.id, coalesce(c.workspace_id, u.workspace_id) AS workspace_id, coalesce(c.name, u.name) AS name,
   coalesce(u.feature_count, c.feature_count) AS feature_count, round(coalesce(u.xmin, c.xmin), 6) AS xmin,
   coalesce(u.updated_at, c.updated_at) AS updated_at
