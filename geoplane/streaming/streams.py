@@ -41,7 +41,9 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
     with the batch importers (each one a distributed job), writes every
     feature table as a fresh clustered Parquet version and appends one
     import-history row per file.  ``cleanSource=delete`` removes a source
-    file once its batch has committed, as the reference unlinks it.
+    file once its batch has committed, as the reference unlinks it after a
+    successful import; a file that failed is first copied to
+    ``<history_path>_failed/batch_id=N`` so it can be retried.
     """
     from ..sources import detect
     from ..sources.export import write_feature_table
@@ -69,6 +71,9 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
                 n = spark.read.parquet(table).count()
                 records.append((path, name, table, "completed", n, None))
             except Exception as e:  # noqa: BLE001 - one bad file must not stop the stream
+                # the source is removed once the batch commits (cleanSource): keep a failed
+                # file for a retry, as the reference keeps it when an import fails
+                _quarantine(spark, path, f"{history_path.rstrip('/')}_failed/batch_id={batch_id}")
                 records.append((path, detect.collection_name(path), None, "failed", 0, str(e)[:500]))
         if records:
             hist = spark.createDataFrame(records, "source_file string, collection string, table_path string, "
@@ -82,6 +87,17 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
     return q.start()
 
 
+def _quarantine(spark: SparkSession, path: str, folder: str) -> None:
+    """Copy one file into ``folder`` with the session's Hadoop FileSystem."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src = jvm.org.apache.hadoop.fs.Path(path)
+    dst = jvm.org.apache.hadoop.fs.Path(folder)
+    fs_src, fs_dst = src.getFileSystem(conf), dst.getFileSystem(conf)
+    fs_dst.mkdirs(dst)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs_src, src, fs_dst, dst, False, conf)
+
+
 # ---------------------------------------------------------------- STR-2
 def stream_filter(stream: DataFrame, condition: Column, columns: list[str] | None = None) -> DataFrame:
     """The same predicate Columns as the batch items query, on a stream."""

@@ -29,6 +29,8 @@ def test_drop_folder_ingest(spark, tmp_dir):
     assert rows["towns"]["status"] == "completed" and rows["towns"]["feature_count"] == 2
     assert rows["ports"]["feature_count"] == 1
     assert rows["broken"]["status"] == "failed"
+    kept = [f for _, _, fs in os.walk(hist + "_failed") for f in fs if f.endswith(".csv")]
+    assert kept == ["broken.csv"]
 
 
 def test_stream_filter_equals_batch(spark, tmp_dir):
