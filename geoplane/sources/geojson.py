@@ -137,8 +137,9 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimite
     geom = G.promote_multi(G.from_geojson(F.col("geometry"), srid))
     out = rows.select((F.col("pos") + 1).cast("bigint").alias("id"), *props, geom.alias("geom"))
     out = G.with_bbox(out)
-    first_type = rows.orderBy("pos").select(
-        G.promote_multi(G.from_geojson(F.col("geometry"), srid))["type"].alias("t")).limit(1).collect()
+    # D6: a first feature without geometry is accepted; the type comes from the first one that has one
+    first_type = (rows.select("pos", G.promote_multi(G.from_geojson(F.col("geometry"), srid))["type"].alias("t"))
+                  .filter(F.col("t").isNotNull()).orderBy("pos").limit(1).collect())
     info = {"types": {s: t for (n, s, _), t in zip(fields, types.values())},
             "geometry_type": first_type[0]["t"] if first_type else None}
     return out, info

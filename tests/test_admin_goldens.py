@@ -254,3 +254,12 @@ def test_geojson_export_documents(spark, tmp_dir):
     EX.export_geojson(c, lines_dir)
     feats = [json.loads(line) for f in sorted(glob.glob(lines_dir + "/part-*")) for line in open(f) if line.strip()]
     assert [f["id"] for f in feats] == [1, 2, 3, 5]
+
+
+def test_geojson_first_feature_without_geometry(spark, tmp_dir):
+    doc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "geometry": None, "properties": {}},
+        {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, "properties": {}}]}
+    p = _write(os.path.join(tmp_dir, "d6.geojson"), json.dumps(doc))
+    df, info = read_geojson(spark, p)
+    assert df.count() == 2 and info["geometry_type"] == "MultiLineString" and info["types"] == {}
