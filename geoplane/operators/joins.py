@@ -273,9 +273,21 @@ def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str =
     against the polygons clipped to their grid cells (:mod:`cellclip`);
     by default on when the polygons average at least ``CLIP_MIN_VERTICES``.
     """
-    if clip is None:
-        from .cellclip import mean_vertices
-        clip = mean_vertices(coll.df, coll.geometry_column) >= CLIP_MIN_VERTICES
+    if clip is None or cell is None:
+        # one aggregate: median polygon side (cell size) and mean vertex count (clip or not)
+        g = F.col(coll.geometry_column)
+        side = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"))
+        row = coll.df.agg(F.percentile_approx(side, 0.5, 1000).alias("m"),
+                          F.avg(F.size(F.flatten(F.flatten(g["parts"])))).alias("v")).first()
+        if cell is None:
+            cell = float(row["m"]) if row["m"] and row["m"] > 0 else DEFAULT_CELL
+            cell_given = False
+        else:
+            cell_given = True
+        if clip is None:
+            clip = float(row["v"] or 0.0) >= CLIP_MIN_VERTICES
+        if clip and not cell_given:
+            cell = cell / 4          # clipped pieces: cells a quarter of the median polygon side
     if clip:
         return _clipped_point_lookup(coll, points, point_id, x, y, op, cell)
     feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"), *_BOX)
