@@ -51,7 +51,9 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
     reader = (spark.readStream.format("binaryFile")
               .schema("path string, modificationTime timestamp, length bigint, content binary")
               .option("pathGlobFilter", "*.{csv,CSV,geojson,json,gz,zip}")
+              .option("recursiveFileLookup", "true")          # drop/<workspace>/<file>
               .option("maxFilesPerTrigger", max_files_per_trigger))
+    root = folder.rstrip("/")
     if delete_source:
         reader = reader.option("cleanSource", "delete")
     files = reader.load(folder).select("path", "modificationTime", "length")
@@ -66,18 +68,21 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
             try:
                 feats, info = (importer or detect.import_file)(spark, path)
                 name = detect.collection_name(path)
+                ws = _workspace_of(path, root)
                 tag = hashlib.sha1(path.encode()).hexdigest()[:10]          # two files may share a name
-                table = write_feature_table(feats, out_root, name, version=f"batch{batch_id}-{tag}")
+                table = write_feature_table(feats, out_root, name, version=f"batch{batch_id}-{tag}", workspace=ws)
                 n = spark.read.parquet(table).count()
-                records.append((path, name, table, "completed", n, None))
+                records.append((path, ws, name, table, "completed", n, None))
             except Exception as e:  # noqa: BLE001 - one bad file must not stop the stream
                 # the source is removed once the batch commits (cleanSource): keep a failed
                 # file for a retry, as the reference keeps it when an import fails
                 _quarantine(spark, path, f"{history_path.rstrip('/')}_failed/batch_id={batch_id}")
-                records.append((path, detect.collection_name(path), None, "failed", 0, str(e)[:500]))
+                records.append((path, _workspace_of(path, root), detect.collection_name(path), None, "failed", 0,
+                                str(e)[:500]))
         if records:
-            hist = spark.createDataFrame(records, "source_file string, collection string, table_path string, "
-                                                  "status string, feature_count bigint, error string")
+            hist = spark.createDataFrame(records, "source_file string, workspace string, collection string, "
+                                                  "table_path string, status string, feature_count bigint, "
+                                                  "error string")
             (hist.withColumn("completed_at", F.current_timestamp())
              .write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}"))
 
@@ -87,6 +92,14 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
     return q.start()
 
 
+def _workspace_of(path: str, root: str) -> str | None:
+    """``drop/<workspace>/<file>`` -> workspace (D5: table identity includes it); None at the top."""
+    marker = root.split("://")[-1].rstrip("/") + "/"
+    rest = path.split("://")[-1]
+    rest = rest[rest.find(marker) + len(marker):] if marker in rest else rest.rsplit("/", 1)[-1]
+    return rest.split("/", 1)[0] if "/" in rest else None
+
+
 def _quarantine(spark: SparkSession, path: str, folder: str) -> None:
     """Copy one file into ``folder`` with the session's Hadoop FileSystem."""
     jvm = spark.sparkContext._jvm

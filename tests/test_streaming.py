@@ -22,11 +22,17 @@ def test_drop_folder_ingest(spark, tmp_dir):
         f.write(json.dumps(fc))
     with open(os.path.join(drop, "broken.csv"), "w") as f:
         f.write("a;b\n1;2\n")
+    os.makedirs(os.path.join(drop, "north"))
+    with open(os.path.join(drop, "north", "towns.csv"), "w") as f:
+        f.write("name;lon;lat\nLille;3.06;50.63\n")
     hist = os.path.join(tmp_dir, "history")
     q = ST.drop_folder_ingest(spark, drop, os.path.join(tmp_dir, "tables"), hist, delete_source=False)
     q.awaitTermination()
-    rows = {r["collection"]: r for r in spark.read.parquet(hist).collect()}
+    all_rows = spark.read.parquet(hist).collect()
+    rows = {r["collection"]: r for r in all_rows if r["workspace"] is None}
     assert rows["towns"]["status"] == "completed" and rows["towns"]["feature_count"] == 2
+    north = [r for r in all_rows if r["workspace"] == "north"]
+    assert len(north) == 1 and north[0]["feature_count"] == 1 and "/north/towns/" in north[0]["table_path"]
     assert rows["ports"]["feature_count"] == 1
     assert rows["broken"]["status"] == "failed"
     kept = [f for _, _, fs in os.walk(hist + "_failed") for f in fs if f.endswith(".csv")]
