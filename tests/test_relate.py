@@ -105,3 +105,27 @@ def test_relate_symmetries(a, b):
         assert relate(a, b, "s_intersects") and not relate(a, b, "s_touches")
     if relate(a, b, "s_equals"):
         assert relate(a, b, "s_within") and relate(a, b, "s_contains")
+
+
+@st.composite
+def boxes(draw):
+    x1, x2 = sorted(draw(st.lists(coord, min_size=2, max_size=2, unique=True)))
+    y1, y2 = sorted(draw(st.lists(coord, min_size=2, max_size=2, unique=True)))
+    return (x1, y1, x2, y2)
+
+
+@settings(max_examples=400, deadline=None)
+@given(boxes(), boxes())
+def test_box_predicates_closed_form(a, b):
+    sa, sb = box(*a), box(*b)
+    inter = a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1]
+    int_int = a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1]
+    within = a[0] >= b[0] and a[2] <= b[2] and a[1] >= b[1] and a[3] <= b[3]
+    contains = b[0] >= a[0] and b[2] <= a[2] and b[1] >= a[1] and b[3] <= a[3]
+    assert relate(sa, sb, "s_intersects") == inter
+    assert relate(sa, sb, "s_touches") == (inter and not int_int)
+    assert relate(sa, sb, "s_within") == within
+    assert relate(sa, sb, "s_contains") == contains
+    assert relate(sa, sb, "s_equals") == (a == b)
+    assert relate(sa, sb, "s_overlaps") == (int_int and not within and not contains)
+    assert relate(sa, sb, "s_crosses") is False
