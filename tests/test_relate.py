@@ -129,3 +129,24 @@ def test_box_predicates_closed_form(a, b):
     assert relate(sa, sb, "s_equals") == (a == b)
     assert relate(sa, sb, "s_overlaps") == (int_int and not within and not contains)
     assert relate(sa, sb, "s_crosses") is False
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(coord, min_size=2, max_size=2, unique=True), st.lists(coord, min_size=2, max_size=2, unique=True),
+       st.booleans())
+def test_collinear_segments_closed_form(ia, ib, diagonal):
+    (a1, a2), (b1, b2) = sorted(ia), sorted(ib)
+
+    def seg(u, v):
+        return S(f"LINESTRING({u} {u if diagonal else 0},{v} {v if diagonal else 0})")
+    sa, sb = seg(a1, a2), seg(b1, b2)
+    inter = a1 <= b2 and a2 >= b1
+    int_int = a1 < b2 and a2 > b1
+    within = b1 <= a1 and a2 <= b2
+    contains = a1 <= b1 and b2 <= a2
+    assert relate(sa, sb, "s_intersects") == inter
+    assert relate(sa, sb, "s_touches") == (inter and not int_int)
+    assert relate(sa, sb, "s_within") == within
+    assert relate(sa, sb, "s_equals") == (a1 == b1 and a2 == b2)
+    assert relate(sa, sb, "s_overlaps") == (int_int and not within and not contains)
+    assert relate(sa, sb, "s_crosses") is False
