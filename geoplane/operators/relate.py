@@ -99,10 +99,22 @@ def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
+REL_TOL = 1e-12
+
+
 def _on_segment(p, a, b) -> bool:
-    if _cross(a, b, p) != 0:
+    """p on segment ab, within a distance of REL_TOL x |ab| (intersection points are
+    computed by division, so they may miss the exact line by an ulp)."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    length2 = dx * dx + dy * dy
+    cross = _cross(a, b, p)
+    if length2 == 0:
+        return p == a
+    if cross != 0 and abs(cross) > REL_TOL * length2:
         return False
-    return min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+    eps = REL_TOL * (abs(a[0]) + abs(a[1]) + abs(b[0]) + abs(b[1]) + 1.0)
+    return (min(a[0], b[0]) - eps <= p[0] <= max(a[0], b[0]) + eps
+            and min(a[1], b[1]) - eps <= p[1] <= max(a[1], b[1]) + eps)
 
 
 def _split_params(a, b, other: Shape) -> list[float]:
@@ -147,7 +159,8 @@ def _contacts(s: Shape, o: Shape):
     pts = []
     for a, b in s.segments():
         for t in _split_params(a, b, o):
-            p = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+            # the segment's own vertices exactly (a + 1 * (b - a) need not equal b)
+            p = a if t == 0.0 else b if t == 1.0 else (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
             if o.locate(p) != "E":
                 pts.append(p)
     for p in s.points:

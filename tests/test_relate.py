@@ -150,3 +150,22 @@ def test_collinear_segments_closed_form(ia, ib, diagonal):
     assert relate(sa, sb, "s_equals") == (a1 == b1 and a2 == b2)
     assert relate(sa, sb, "s_overlaps") == (int_int and not within and not contains)
     assert relate(sa, sb, "s_crosses") is False
+
+
+def _orient(p, q, r):
+    v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return (v > 0) - (v < 0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.tuples(coord, coord), st.tuples(coord, coord), st.tuples(coord, coord), st.tuples(coord, coord))
+def test_segment_crossing_orientation(p1, p2, q1, q2):
+    if p1 == p2 or q1 == q2:
+        return
+    a = S(f"LINESTRING({p1[0]} {p1[1]},{p2[0]} {p2[1]})")
+    b = S(f"LINESTRING({q1[0]} {q1[1]},{q2[0]} {q2[1]})")
+    o1, o2, o3, o4 = _orient(p1, p2, q1), _orient(p1, p2, q2), _orient(q1, q2, p1), _orient(q1, q2, p2)
+    proper = o1 * o2 < 0 and o3 * o4 < 0              # interiors meet in one point
+    assert relate(a, b, "s_crosses") == proper
+    if proper:
+        assert relate(a, b, "s_intersects") and not relate(a, b, "s_touches")
