@@ -169,3 +169,21 @@ def test_segment_crossing_orientation(p1, p2, q1, q2):
     assert relate(a, b, "s_crosses") == proper
     if proper:
         assert relate(a, b, "s_intersects") and not relate(a, b, "s_touches")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(coord, min_size=2, max_size=2, unique=True), coord, boxes())
+def test_horizontal_segment_vs_box_closed_form(xs, c, b):
+    x1, x2 = sorted(xs)
+    line = S(f"LINESTRING({x1} {c},{x2} {c})")
+    bx1, by1, bx2, by2 = b
+    inter = by1 <= c <= by2 and x1 <= bx2 and x2 >= bx1
+    ii = by1 < c < by2 and x1 < bx2 and x2 > bx1
+    within = by1 <= c <= by2 and bx1 <= x1 and x2 <= bx2 and ii
+    shp = box(*b)
+    assert relate(line, shp, "s_intersects") == inter
+    assert relate(line, shp, "s_touches") == (inter and not ii)
+    assert relate(line, shp, "s_within") == within
+    assert relate(line, shp, "s_crosses") == (ii and (x1 < bx1 or x2 > bx2))
+    assert relate(shp, line, "s_contains") == within
+    assert relate(line, shp, "s_overlaps") is False and relate(line, shp, "s_equals") is False
