@@ -116,3 +116,30 @@ def test_batch_predicate_large_polygon_requests(spark):
         want = {r["id"] for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
         assert got == want, op
     assert len(want) >= 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=3, max_size=7, unique=True))
+def test_point_kernels_equal_relate_kernel(spark, verts):
+    import math as _m
+    cx = sum(v[0] for v in verts) / len(verts)
+    cy = sum(v[1] for v in verts) / len(verts)
+    ring = sorted(verts, key=lambda v: _m.atan2(v[1] - cy, v[0] - cx))       # star-shaped, simple
+    ring = ring + [ring[0]]
+    g = Geom("Polygon", ((tuple((float(x), float(y)) for x, y in ring),),))
+    if abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) == 0:
+        return
+    from geoplane.functions.geometry import point, with_bbox
+    pts = [(i * 9 + j, float(i), float(j)) for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    c = Collection(with_bbox(df.withColumn("geom", point(F.col("x"), F.col("y"))).drop("x", "y")), name="g",
+                   geometry_type="Point")
+    lit = R._literal_shape(g)
+    for op in ("s_intersects", "s_within", "s_touches", "s_disjoint"):
+        fast = {r["id"] for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
+        want = {i for i, x, y in pts if R.relate(R.Shape("Point", [[[(x, y)]]]), lit, op)}
+        assert fast == want, op
