@@ -143,3 +143,37 @@ def test_point_kernels_equal_relate_kernel(spark, verts):
         fast = {r["id"] for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
         want = {i for i, x, y in pts if R.relate(R.Shape("Point", [[[(x, y)]]]), lit, op)}
         assert fast == want, op
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=3, max_size=6, unique=True),
+                min_size=1, max_size=3))
+def test_batch_column_kernels_equal_literal(spark, polys):
+    import math as _m
+    from geoplane.functions.geometry import point, with_bbox
+    from geoplane.operators import joins as J
+    lits = {}
+    for k, verts in enumerate(polys):
+        cx = sum(v[0] for v in verts) / len(verts)
+        cy = sum(v[1] for v in verts) / len(verts)
+        ring = sorted(verts, key=lambda v: _m.atan2(v[1] - cy, v[0] - cx))
+        ring = ring + [ring[0]]
+        if abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) == 0:
+            continue
+        lits[k] = Geom("Polygon", ((tuple((float(x), float(y)) for x, y in ring),),))
+    if not lits:
+        return
+    pts = [(i * 9 + j, float(i), float(j)) for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    c = Collection(with_bbox(df.withColumn("geom", point(F.col("x"), F.col("y"))).drop("x", "y")), name="g",
+                   geometry_type="Point")
+    geoms = None
+    for k, g in lits.items():
+        one = spark.range(1).select(F.lit(k).alias("gid"), g.to_column().alias("geom"))
+        geoms = one if geoms is None else geoms.unionByName(one)
+    for op in ("s_intersects", "s_within", "s_touches"):
+        got = {(r["gid"], r["id"]) for r in J.batch_predicate(c, geoms, op).collect()}
+        want = set()
+        for k, g in lits.items():
+            want |= {(k, r["id"]) for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
+        assert got == want, op
