@@ -177,3 +177,30 @@ def test_batch_column_kernels_equal_literal(spark, polys):
         for k, g in lits.items():
             want |= {(k, r["id"]) for r in c.df.filter(S.relate_literal(c, op, g)).select("id").collect()}
         assert got == want, op
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=3, max_size=7, unique=True),
+       st.sampled_from([1.0, 2.0, 0.5]))
+def test_clipped_lookup_boundaries(spark, verts, cell):
+    """Cell borders on polygon edges and vertices, points on edges: clipped == whole polygon."""
+    import math as _m
+    from geoplane.functions.geometry import with_bbox
+    from geoplane.operators import joins as J
+    cx = sum(v[0] for v in verts) / len(verts)
+    cy = sum(v[1] for v in verts) / len(verts)
+    ring = sorted(verts, key=lambda v: _m.atan2(v[1] - cy, v[0] - cx))
+    ring = ring + [ring[0]]
+    if abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) == 0:
+        return
+    parts = [[[{"x": float(x), "y": float(y)} for x, y in ring]]]
+    df = spark.createDataFrame([(1, parts)], "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    df = with_bbox(df.withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"),
+                                                  F.col("parts"))).drop("parts"))
+    coll = Collection(df, name="p", geometry_type="Polygon")
+    pts = spark.createDataFrame([(i * 100 + j, i / 2.0, j / 2.0) for i in range(-1, 18) for j in range(-1, 18)],
+                                "pid int, x double, y double")
+    for op in ("s_intersects", "s_contains"):
+        a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=True, cell=cell).collect()}
+        b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=False, cell=cell).collect()}
+        assert a == b, (op, cell)
