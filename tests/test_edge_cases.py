@@ -82,3 +82,32 @@ def test_point_pyramid_equals_per_feature_assignment(spark):
     fast = {tuple(r) for r in TL.pyramid_counts(c, range(0, 9)).collect()}
     slow = {tuple(r) for r in TL.assign_tiles(c, range(0, 9)).groupBy("z", "x", "y").count().collect()}
     assert fast == slow
+
+
+def test_box_tile_assignment_brute_force(spark):
+    """Extended features: buffered-envelope tile ranges == checking every tile of the zoom."""
+    import random
+    from geoplane.functions import crs as CRS
+    from geoplane.plans.collection import Collection
+    rnd = random.Random(7)
+    boxes = []
+    for i in range(60):
+        x, y = rnd.uniform(-10, 10), rnd.uniform(40, 52)
+        boxes.append((i, x, y, x + rnd.choice([0.0, 0.05, 0.7, 3.0]), y + rnd.choice([0.0, 0.05, 0.7, 3.0])))
+    df = spark.createDataFrame(boxes, "id int, _xmin double, _ymin double, _xmax double, _ymax double")
+    c = Collection(df, name="b", geometry_type="Polygon")
+    got = {(r["id"], r["z"], r["x"], r["y"]) for r in TL.assign_tiles(c, [4, 6]).select("id", "z", "x", "y").collect()}
+    H = CRS.MERC_HALF_WORLD
+    want = set()
+    for i, x1, y1, x2, y2 in boxes:
+        mx1, my1 = CRS.lonlat_to_mercator(x1, y1)
+        mx2, my2 = CRS.lonlat_to_mercator(x2, y2)
+        for z in (4, 6):
+            w = 2 * H / 2 ** z
+            for tx in range(2 ** z):
+                for ty in range(2 ** z):
+                    ex1, ex2 = tx * w - H - w / 16, (tx + 1) * w - H + w / 16
+                    ey2, ey1 = H - ty * w + w / 16, H - (ty + 1) * w - w / 16
+                    if mx1 <= ex2 and mx2 >= ex1 and my1 <= ey2 and my2 >= ey1:
+                        want.add((i, z, tx, ty))
+    assert got == want
