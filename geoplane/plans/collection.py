@@ -227,8 +227,10 @@ def page_with_count(result: ItemsResult) -> DataFrame:
     counts = {"number_matched": F.lit(n).cast("bigint"), "number_returned": F.lit(returned).cast("bigint")}
     if returned > 0:
         return result.page.withColumns(counts)
+    from pyspark.sql.types import StructField, StructType
     spark = result.page.sparkSession
-    empty = spark.createDataFrame([tuple(None for _ in result.page.columns)], result.page.schema)
+    schema = StructType([StructField(f.name, f.dataType, True) for f in result.page.schema.fields])
+    empty = spark.createDataFrame([tuple(None for _ in result.page.columns)], schema)
     return empty.withColumns(counts)
 
 

@@ -111,3 +111,13 @@ def test_box_tile_assignment_brute_force(spark):
                     if mx1 <= ex2 and mx2 >= ex1 and my1 <= ey2 and my2 >= ey1:
                         want.add((i, z, tx, ty))
     assert got == want
+
+
+def test_empty_page_with_non_nullable_columns(spark):
+    from geoplane.functions.geometry import point, with_bbox
+    from geoplane.plans.collection import Collection
+    df = spark.range(3).select(F.col("id"), F.lit("x").alias("name"))          # non-nullable columns
+    df = with_bbox(df.withColumn("geom", point(F.col("id").cast("double"), F.lit(45.0))))
+    c = Collection(df, name="nn")
+    row = C.page_with_count(C.items(c, bbox=[100, 10, 101, 11])).first()
+    assert row["id"] is None and row["number_matched"] == 0
