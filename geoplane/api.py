@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalog as CT
 from .operators import classify as CL
+from .operators import joins as J  # noqa: F401  (batch forms)
 from .operators import mvt as MV
 from .operators import predicates as P  # noqa: F401  (re-exported builders)
 from .operators import profile as PF
