@@ -4,7 +4,7 @@ One layer per tile, named after the collection; properties as text; no
 feature id; extent 4096; geometry clipped to the tile buffered by 256 units
 and quantised with y pointing down.
 
-Point collections are encoded entirely by JVM expressions (protobuf as hex
+Point and MultiPoint collections are encoded entirely by JVM expressions (protobuf as hex
 text, varints by bit arithmetic); lines and polygons go through a Python
 encoder that clips them.  Both produce the same bytes.
 
@@ -226,7 +226,7 @@ def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer
     lines and polygons, which need clipping, by Arrow-batched Python.
     ``engine="python"`` forces the Python encoder (it produces the same bytes).
     """
-    if engine == "auto" and coll.geometry_type == "Point":
+    if engine == "auto" and coll.geometry_type in ("Point", "MultiPoint"):
         return point_tile_blobs(coll, zooms, props, salt, layer, only)
     if props is None:
         props = [a for _, a in coll.exposed_columns()]
@@ -436,9 +436,10 @@ def _zigzag(c: Column) -> Column:
 
 def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None,
                      only: DataFrame | None = None) -> DataFrame:
-    """TIL-5 for Point collections with no Python: the same bytes as :func:`tile_blobs`.
+    """TIL-5 for Point and MultiPoint collections with no Python: the same bytes as
+    :func:`tile_blobs`.
 
-    Per (tile, feature): quantised coordinates (TIL-4 expressions), tags and
+    Per (tile, feature): the vertices inside the buffered tile, quantised, tags and
     geometry as protobuf hex; the value index of each property is the chunk's
     offset plus a running sum within the chunk (a window over at most one
     chunk of one tile).  Chunks and tiles are concatenated in id / chunk order.
@@ -447,9 +448,23 @@ def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8,
         props = [a for _, a in coll.exposed_columns()]
     sources = dict((a, s) for s, a in coll.exposed_columns())
     layer = layer or coll.name
-    t = TL.point_tile_features(coll, zooms, [sources.get(p, p) for p in props])
-    t = t.select("z", "x", "y", F.col("id").alias("__id"), "qx", "qy",
-                 *[F.col(sources.get(p, p)).alias(p) for p in props])
+    from ..functions.geometry import transform_geom
+    t = TL.assign_tiles(coll, zooms, [coll.id_column, coll.geometry_column, *[sources.get(p, p) for p in props]])
+    merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
+    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), merc.alias("__g"),
+                 *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]).filter(F.col("__g").isNotNull())
+    # tile-local coordinates of every vertex; keep those inside the buffered tile (before rounding)
+    w = TL.tile_width(F.col("z"))
+    txmin = F.col("x") * w - TL.H
+    tymax = F.lit(TL.H) - F.col("y") * w
+    fx = lambda v: (v["x"] - txmin) / w * EXTENT
+    fy = lambda v: (tymax - v["y"]) / w * EXTENT
+    inside = lambda v: ((fx(v) >= -BUFFER) & (fx(v) <= EXTENT + BUFFER)
+                        & (fy(v) >= -BUFFER) & (fy(v) <= EXTENT + BUFFER))
+    vs = F.transform(F.col("__g")["parts"], lambda part: part[0][0])
+    q = F.transform(F.filter(vs, inside), lambda v: F.struct(F.floor(fx(v) + 0.5).alias("qx"),
+                                                             F.floor(fy(v) + 0.5).alias("qy")))
+    t = t.withColumn("__q", q).drop("__g")
     if only is not None:
         t = t.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
     t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(int(salt))).cast("int"))
@@ -471,12 +486,20 @@ def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8,
         value_msg = F.concat(F.lit("0A"), varint_hex(F.octet_length(F.col(p))), F.hex(F.col(p)))
         vals.append(F.when(present, _ld_hex(4, value_msg)).otherwise(F.lit("")))
         before = before + present.cast("int")
-    # one projection per level of nesting: every hex piece is computed once
-    inside = ((F.col("qx") >= -BUFFER) & (F.col("qx") <= EXTENT + BUFFER)
-              & (F.col("qy") >= -BUFFER) & (F.col("qy") <= EXTENT + BUFFER))
-    t = t.select("z", "x", "y", "__chunk", "__id", inside.alias("__in"),
+    # one projection per level of nesting: every hex piece is computed once.
+    # Geometry: MoveTo(n) then zigzag deltas from the previous point (the first from 0, 0).
+    qx = F.transform(F.col("__q"), lambda p: p["qx"])
+    qy = F.transform(F.col("__q"), lambda p: p["qy"])
+    n = F.size(F.col("__q"))
+    rest = F.greatest(n - 1, F.lit(0))
+    prevx = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qx, 1, rest))
+    prevy = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qy, 1, rest))
+    dx = F.zip_with(qx, prevx, lambda a, b: a - b)
+    dy = F.zip_with(qy, prevy, lambda a, b: a - b)
+    deltas = F.array_join(F.zip_with(dx, dy, lambda a, b: F.concat(varint_hex(_zigzag(a)), varint_hex(_zigzag(b)))), "")
+    t = t.select("z", "x", "y", "__chunk", "__id", (n > 0).alias("__in"),
                  (F.concat(*tags) if tags else F.lit("")).alias("__tags"),
-                 F.concat(F.lit("09"), varint_hex(_zigzag(F.col("qx"))), varint_hex(_zigzag(F.col("qy")))).alias("__geom"),
+                 F.concat(varint_hex(F.lit(1).bitwiseOR(F.shiftleft(n.cast("bigint"), 3))), deltas).alias("__geom"),
                  (F.concat(*vals) if vals else F.lit("")).alias("__v"))
     t = t.select("z", "x", "y", "__chunk", "__id", "__in", "__v", F.concat(
         F.when(F.length("__tags") > 0, _ld_hex(2, F.col("__tags"))).otherwise(F.lit("")),

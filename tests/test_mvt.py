@@ -64,3 +64,18 @@ def test_jvm_point_tiles_byte_identical(spark):
         py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [3, 6], salt=salt, engine="python").collect()}
         jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.point_tile_blobs(c, [3, 6], salt=salt).collect()}
         assert py == jvm and len(py) > 3
+
+
+def test_jvm_multipoint_tiles_byte_identical(spark):
+    from pyspark.sql import functions as F
+    rows = []
+    for i in range(200):
+        pts = [(2.0 + (i % 17) * 0.3 + k * 0.9, 45.0 + (i % 11) * 0.2 + k * 0.4) for k in range(1 + i % 3)]
+        rows.append((i, f"n{i % 7}" if i % 5 else None, [[[{"x": x, "y": y}]] for x, y in pts]))
+    df = spark.createDataFrame(rows, "id int, name string, parts array<array<array<struct<x:double,y:double>>>>")
+    df = G.with_bbox(df.withColumn("geom", F.struct(F.lit("MultiPoint").alias("type"), F.lit(4326).alias("srid"),
+                                                    F.col("parts"))).drop("parts"))
+    c = Collection(df, name="mp", geometry_type="MultiPoint")
+    py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [5, 8], ["name"], salt=3, engine="python").collect()}
+    jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [5, 8], ["name"], salt=3).collect()}
+    assert py == jvm and len(py) > 5
