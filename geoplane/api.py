@@ -35,10 +35,15 @@ jobs = CT.list_jobs
 
 
 def collection(df: DataFrame, name: str, **kw) -> C.Collection:
-    """A collection over an imported feature frame (geometry type from the first feature)."""
+    """A collection over an imported feature frame.
+
+    The geometry type is read from one feature with a geometry: imports
+    promote to Multi, so a table is homogeneous, and a plain ``limit(1)``
+    reads only as many partitions as it needs (no full scan or sort).
+    """
     gtype = kw.pop("geometry_type", None)
     if gtype is None:
-        first = df.filter(F.col("geom").isNotNull()).orderBy("id").select("geom.type").limit(1).collect()
+        first = df.filter(F.col("geom").isNotNull()).select("geom.type").limit(1).collect()
         gtype = first[0][0] if first else "Geometry"
     return C.Collection(df, name=name, geometry_type=gtype, **kw)
 
