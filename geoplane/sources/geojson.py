@@ -79,10 +79,14 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_FC_SCHEMA + ", _corrupt_record string").option("multiLine", "true").json(path)
 
 
+def _line_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_FEATURE_SCHEMA).json(path)
+
+
 def read_feature_rows(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
     """(pos, geometry json, properties json) in file order, validated as a FeatureCollection."""
     if line_delimited:
-        raw = spark.read.schema(_FEATURE_SCHEMA).json(path)
+        raw = _line_features(spark, path)
         return with_sequential_id(raw, "pos", start=0).select("pos", "geometry", "properties")
     doc = _documents(spark, path)
     return doc.select(F.col("type").alias("__t"), F.posexplode("features").alias("pos", "f")).select(
@@ -102,8 +106,12 @@ def validate_collection(spark: SparkSession, path: str) -> None:
 
 
 def infer_property_types(rows: DataFrame) -> dict[str, str]:
-    """ING-6: property names and types from the first feature only (one row to the driver)."""
-    first = rows.orderBy("pos").select("properties").limit(1).collect()
+    """ING-6: property names and types from the first feature only (one row to the driver).
+
+    ``rows`` yields the first feature first (file order): ``limit(1)`` then
+    reads only as much input as that takes.
+    """
+    first = rows.select("properties").limit(1).collect()
     if not first or first[0]["properties"] is None:
         return {}
     props = json.loads(first[0]["properties"])
@@ -122,7 +130,9 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimite
     if validate and not line_delimited:
         validate_collection(spark, path)
     rows = read_feature_rows(spark, path, line_delimited)
-    types = infer_property_types(rows)
+    # file order: the raw line-delimited read, or the posexploded document (pos 0 first)
+    ordered = _line_features(spark, path) if line_delimited else rows
+    types = infer_property_types(ordered)
     fields = []
     for name, t in types.items():
         st = TX.SPARK_TYPE.get(t, "string")
@@ -138,8 +148,8 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimite
     out = rows.select((F.col("pos") + 1).cast("bigint").alias("id"), *props, geom.alias("geom"))
     out = G.with_bbox(out)
     # D6: a first feature without geometry is accepted; the type comes from the first one that has one
-    first_type = (rows.select("pos", G.promote_multi(G.from_geojson(F.col("geometry"), srid))["type"].alias("t"))
-                  .filter(F.col("t").isNotNull()).orderBy("pos").limit(1).collect())
+    first_type = (ordered.select(G.promote_multi(G.from_geojson(F.col("geometry"), srid))["type"].alias("t"))
+                  .filter(F.col("t").isNotNull()).limit(1).collect())
     info = {"types": {s: t for (n, s, _), t in zip(fields, types.values())},
             "geometry_type": first_type[0]["t"] if first_type else None}
     return out, info

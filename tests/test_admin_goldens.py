@@ -280,3 +280,13 @@ def test_geojson_export_import_roundtrip(spark, tmp_dir):
     assert got == {1: ('Saint-Étienne "la verte"', 172565, 4.39, 45.43), 2: ("A, B; C", None, -1.55, 47.22),
                    3: ("Nice", 342669, 7.26, 43.70)}
     assert info["types"] == {"name": "TEXT", "population": "INTEGER"}
+
+
+def test_line_delimited_geojson(spark, tmp_dir):
+    lines = [json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 45]},
+                         "properties": {"n": i, "tag": f"t{i}"}}) for i in range(30)]
+    p = _write(os.path.join(tmp_dir, "f.geojsonl"), "\n".join(lines) + "\n")
+    df, info = read_geojson(spark, p, line_delimited=True)
+    assert info["types"] == {"n": "INTEGER", "tag": "TEXT"} and info["geometry_type"] == "MultiPoint"
+    rows = df.orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(1, 31)) and rows[4]["n"] == 4 and rows[4]["_xmin"] == 4.0
