@@ -70,8 +70,10 @@ def plan_csv(spark: SparkSession, path: str, separator: str | None = None, lon:
         F.concat_ws("", *[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(len(names))]) != "")
     rows = rows.withColumn("__mid", F.monotonically_increasing_id())
     lon_i, lat_i = raw_headers.index(geo[0]), raw_headers.index(geo[1])
-    # type inference over the first `sample` data rows in file order (top-n per partition, bounded)
-    first = rows.orderBy("__mid").limit(sample)
+    # type inference over the first `sample` data rows in file order: limit(n).collect() reads
+    # the first split(s) only and returns rows in file order (<= sample rows to the driver)
+    body = rows.drop("__mid")
+    first = spark.createDataFrame(body.limit(sample).collect(), body.schema)
     aggs = []
     for i in range(len(names)):
         if i in (lon_i, lat_i):
