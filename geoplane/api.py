@@ -82,9 +82,11 @@ def preview(spark: SparkSession, path: str) -> dict:
     return preview_geojson(spark, path)
 
 
-def profile(df: DataFrame, geometry_column: str = "geom", approx_distinct: bool = False) -> DataFrame:
+def profile(df: DataFrame, geometry_column: str = "geom", approx_distinct: bool = False,
+            typed: bool = False) -> DataFrame:
+    """AGG-2: one row per column (text min/max as the reference; ``typed`` adds typed min/max)."""
     return PF.column_profile(df, exclude=(geometry_column, "_xmin", "_ymin", "_xmax", "_ymax"),
-                             approx_distinct=approx_distinct)
+                             approx_distinct=approx_distinct, typed=typed)
 
 
 def classify(df: DataFrame, field: str, kind: str, classes: int = 5, method: str = "quantile"):
