@@ -7,9 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoplane.llm import decontaminate as _decontaminate
+from geoplane.llm import langid as _langid
+from geoplane.llm import quality as _quality
 from geoplane.llm import secrets as _secrets
+from geoplane.llm import sentencepiece as _sentencepiece
 from geoplane.llm import simhash as _simhash
-from geoplane.llm.common import table
+from geoplane.llm import toxicity as _toxicity
+from geoplane.llm.common import fold, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _langid.train(_langid.train_rows(docs))
+    found = _langid.predict(docs, model)
+    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "lang_second", "ambiguous")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentencepiece.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _quality.train(docs, _quality.train_labels(table(spark, sf_dir, "labels")))
+    return _judged(_quality.score(docs, model), 0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _toxicity.train(docs, _toxicity.train_labels(table(spark, sf_dir, "labels")))
+    return _judged(_toxicity.score(docs, model), 0.5)
+
+
+def _judged(scores: DataFrame, cut: float) -> DataFrame:
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scores.select("doc_id", held.alias("held_out"), "score",
+                         F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +63,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op3_secrets": op3_secrets,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_decontaminate": _decontaminate.SQL,
+}
