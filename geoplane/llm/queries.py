@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoplane.llm import decontaminate as _decontaminate
+from geoplane.llm import htmltext as _htmltext
 from geoplane.llm import langid as _langid
 from geoplane.llm import quality as _quality
+from geoplane.llm import rpforest as _rpforest
 from geoplane.llm import secrets as _secrets
 from geoplane.llm import sentencepiece as _sentencepiece
 from geoplane.llm import simhash as _simhash
@@ -25,10 +27,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "lang_second", "ambiguous")
 
 
+def op2_rpforest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentencepiece.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,8 +74,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_rpforest": op2_rpforest,
     "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_htmltext": op5_htmltext,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_toxicity": op9_toxicity,
