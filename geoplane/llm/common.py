@@ -38,7 +38,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends at files every executor sees."""
     spark = df.sparkSession
     path = shared_folder(spark, what)
-    df.write.parquet(path)
+    # rows may hold megabytes: look at the size of a row group more often than every hundred rows
+    df.write.option("parquet.block.size.row.check.min", "8").option(
+        "parquet.page.size.row.check.min", "8").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoplane.llm import bwtdedup as _bwtdedup
 from geoplane.llm import decontaminate as _decontaminate
 from geoplane.llm import htmltext as _htmltext
 from geoplane.llm import langid as _langid
@@ -49,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(_quality.score(docs, model), 0.3)
 
 
+def op8_bwtdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bwtdedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = _toxicity.train(docs, _toxicity.train_labels(table(spark, sf_dir, "labels")))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_htmltext": op5_htmltext,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
+    "op8_bwtdedup": op8_bwtdedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
