@@ -195,8 +195,11 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-4, st
 
 def fit(documents: list[tuple[bool, list[list[str]]]], landmarks: int = LANDMARKS,
         negatives: int = NEGATIVES, rounds: int = 3) -> ToxicityModel:
-    """Train on (toxic, sentences as lists of words); without a toxic document every text scores near 0."""
-    docs = [(t, [s for s in ([w for w in words if len(w) > 2] for words in sentences) if s])
+    """Train on (toxic, sentences as lists of words); without a toxic document every text scores near 0.
+
+    Words longer than PIECE take part by their pieces.
+    """
+    docs = [(t, [s for s in ([w for w in _pieces(words)[0] if len(w) > 2] for words in sentences) if s])
             for t, sentences in documents]
     toxic: Counter[str] = Counter()
     clean: Counter[str] = Counter()
@@ -204,7 +207,7 @@ def fit(documents: list[tuple[bool, list[list[str]]]], landmarks: int = LANDMARK
         (toxic if t else clean).update({w for s in sentences for w in s})
     n_toxic = sum(t for t, _ in docs)
     n_clean = len(docs) - n_toxic
-    if not n_toxic or not n_clean:
+    if not toxic or not clean:
         return ToxicityModel(np.zeros(ALPHABET ** 3), -1.0, 4.0, 0.0 if n_clean or not docs else 8.0)
     marks = _landmarks(toxic, clean, n_toxic, n_clean, landmarks)
     value, vector = np.linalg.eigh(kernel(marks, marks))
@@ -220,10 +223,10 @@ def fit(documents: list[tuple[bool, list[list[str]]]], landmarks: int = LANDMARK
     small[at + 1, row] = weight / np.maximum(norm[row], 1e-12)
 
     def similarity(words: list[str]) -> np.ndarray:
-        """Nyström features of words (the first piece of a very long one)."""
+        """Nyström features of words."""
         out = np.zeros((len(words), len(marks)))
         for lo in range(0, len(words), 2000):
-            part = [w[:PIECE] for w in words[lo:lo + 2000]]
+            part = words[lo:lo + 2000]
             r, c, g = subsequences(part)
             hit = place[c] > 0
             np.add.at(out[lo:lo + 2000], r[hit], small[place[c[hit]]] * g[hit, None])
@@ -306,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Tox
                 seen: set[str] = set()
                 sentences = []
                 for s in _SENTENCE.split(t or ""):
-                    words = {bare(w) for w in sentence_words(s)} - seen
+                    words = set(_pieces([bare(w) for w in sentence_words(s)])[0]) - seen
                     seen |= words
                     sentences.append(sorted(w for w in words if len(w) > 2))
                 rows.append((i, bool(toxic), [" ".join(s) for s in sentences if s]))
