@@ -7,6 +7,7 @@ from one aggregate on the driver and applied to the features either as a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,33 +90,20 @@ def graduated(df: DataFrame, field: str, classes=DEFAULT_CLASSES, method: str =
 
 # ---------------------------------------------------------------- CLS-6
 def interpolate_palette(palette, count: int) -> list[str]:
-    """CLS-6: pick ``count`` colours evenly, interpolating in RGB when more are needed."""
-    if isinstance(palette, str):
-        palette = PALETTES[palette]
+    """CLS-6: ``count`` colours at even steps over the palette.
+
+    A palette that is long enough gives its nearest stops (its middle stop for
+    a single colour); a shorter one is interpolated per RGB channel.
+    """
+    stops = PALETTES[palette] if isinstance(palette, str) else palette
     if count <= 0:
         return []
-    if count == 1:
-        return [palette[len(palette) // 2]]
-    if count <= len(palette):
-        return [palette[_round_half_up(i / (count - 1) * (len(palette) - 1))] for i in range(count)]
-    out = []
-    for i in range(count):
-        t = i / (count - 1)
-        idx = t * (len(palette) - 1)
-        lo = int(idx // 1)
-        hi = min(lo + 1, len(palette) - 1)
-        out.append(palette[lo] if lo == hi else _lerp(palette[lo], palette[hi], idx - lo))
-    return out
-
-
-def _round_half_up(x: float) -> int:
-    return int((x + 0.5) // 1)
-
-
-def _lerp(a: str, b: str, t: float) -> str:
-    ca = [int(a[i:i + 2], 16) for i in (1, 3, 5)]
-    cb = [int(b[i:i + 2], 16) for i in (1, 3, 5)]
-    return "#" + "".join(f"{_round_half_up(x + (y - x) * t):02x}" for x, y in zip(ca, cb))
+    at = np.linspace(0, len(stops) - 1, count) if count > 1 else np.array([len(stops) // 2])
+    if count <= len(stops):
+        return [stops[i] for i in np.floor(at + 0.5).astype(int)]
+    rgb = np.array([list(bytes.fromhex(s.lstrip("#"))) for s in stops], dtype=float)
+    channels = [np.interp(at, np.arange(len(stops)), rgb[:, c]) for c in range(3)]
+    return ["#" + bytes(row).hex() for row in np.floor(np.stack(channels, axis=1) + 0.5).astype(np.uint8)]
 
 
 def with_colors(classes: list[dict], palette: str = "blues") -> list[dict]:

@@ -260,79 +260,52 @@ def batch_bbox(coll, requests: DataFrame, req_id: str = "req_id", cell: float |
 
 
 # ---------------------------------------------------------------- JN-7
-CLIP_MIN_VERTICES = 48
+GEOMETRY_BROADCAST_BYTES = 64 << 20
+
+
+def attach_geometry(pairs: DataFrame, geoms: DataFrame, key: str, geom_col: str) -> DataFrame:
+    """Add ``geom_col`` of ``geoms`` to candidate pairs by ``key``.
+
+    The grid rows carry no geometry, so a polygon is not copied into each of
+    its cells.  The table is broadcast only when its vertices (16 bytes each)
+    and rows are proven to stay below ``GEOMETRY_BROADCAST_BYTES``; otherwise
+    the pairs are shuffled on the key (AQE splits hot ones).
+    """
+    vertices = F.size(F.flatten(F.flatten(F.col(geom_col)["parts"])))
+    size = geoms.agg(F.sum(F.coalesce(vertices, F.lit(0)) * 16 + 64).alias("b")).first()["b"] or 0
+    side = F.broadcast(geoms) if size <= GEOMETRY_BROADCAST_BYTES else geoms.hint("merge")
+    return pairs.join(side, key)
+
+
+def point_in_parts(parts: Column, px: Column, py: Column, op: str) -> Column:
+    """One test for every polygon size: ray casting and boundary test over the original edges."""
+    inside, edge = K.pip_inside(parts, px, py), K.on_boundary(parts, px, py)
+    if op == "s_intersects":
+        return inside | edge
+    if op == "s_touches":
+        return edge
+    return inside & ~edge                       # interior only (contains / within)
 
 
 def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str = "x", y: str = "y",
-                       op: str = "s_intersects", cell: float | None = None, clip: bool | None = None,
-                       **kw) -> DataFrame:
+                       op: str = "s_intersects", cell: float | None = None, **kw) -> DataFrame:
     """JN-7: probe points x (multi)polygon features -> (pid, id) of the feature(s) containing each point.
 
     ``op``: ``s_intersects`` (boundary counts, SPA-3) or ``s_contains``
-    (feature contains the point: interior only, SPA-7).  ``clip``: test points
-    against the polygons clipped to their grid cells (:mod:`cellclip`);
-    by default on when the polygons average at least ``CLIP_MIN_VERTICES``.
+    (feature contains the point: interior only, SPA-7).  The grid gives
+    candidate pairs; each is tested against the feature's original edges, so
+    the answer depends neither on the cell size nor on the polygon's size,
+    and the feature id keeps its type.
     """
-    if clip is None or cell is None:
-        # one aggregate: median polygon side (cell size) and mean vertex count (clip or not)
-        g = F.col(coll.geometry_column)
-        side = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"))
-        row = coll.df.agg(F.percentile_approx(side, 0.5, 1000).alias("m"),
-                          F.avg(F.size(F.flatten(F.flatten(g["parts"])))).alias("v")).first()
-        if cell is None:
-            cell = float(row["m"]) if row["m"] and row["m"] > 0 else DEFAULT_CELL
-            cell_given = False
-        else:
-            cell_given = True
-        if clip is None:
-            clip = float(row["v"] or 0.0) >= CLIP_MIN_VERTICES
-        if clip and not cell_given:
-            cell = cell / 4          # clipped pieces: cells a quarter of the median polygon side
-    if clip:
-        return _clipped_point_lookup(coll, points, point_id, x, y, op, cell)
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"), *_BOX)
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+    geoms = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"))
     probes = points.select(point_id, F.col(x).alias("__px"), F.col(y).alias("__py"),
                            F.col(x).alias("_xmin"), F.col(y).alias("_ymin"),
                            F.col(x).alias("_xmax"), F.col(y).alias("_ymax"))
-
-    def refine():
-        parts = F.col("__geom")["parts"]
-        inside = K.pip_inside(parts, F.col("__px"), F.col("__py"))
-        edge = K.on_boundary(parts, F.col("__px"), F.col("__py"))
-        return (inside | edge) if op == "s_intersects" else (inside & ~edge)
-
-    out = grid_join(feats, probes, refine, cell=cell, requests_are_points=True, **kw)
-    return out.select(point_id, "id")
-
-
-def _clipped_point_lookup(coll, points, point_id, x, y, op, cell):
-    from .cellclip import clipped_polygon_cells, refine_clipped
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"), *_BOX)
-    fbox = [F.col(c) for c in _BOX]
-    # cells about a quarter of the median polygon side keep each clipped piece small
-    cell = cell or suggest_cell(feats) / 4
-    level = level_of(fbox, cell)
-    cells = clipped_polygon_cells(feats, cell, level, LEVEL_FACTOR)
-    levels, _, env = side_stats(feats, fbox, level, cell, with_envelope=True)
-    px, py = F.col(x), F.col(y)
-    # probe points outside the polygons' envelope can match nothing: a pushable literal filter
-    points = points.filter((px >= env[0]) & (px <= env[2]) & (py >= env[1]) & (py <= env[3])) if env else \
-        points.filter(F.lit(False))
-    pcells = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(px / _cell_size(cell, F.lit(lv))).alias("cx"),
-                                F.floor(py / _cell_size(cell, F.lit(lv))).alias("cy")) for lv in (levels or [0])])
-    probes = points.select(point_id, px.alias("__px"), py.alias("__py"), F.explode(pcells).alias("__c")).select(
-        point_id, "__px", "__py", F.col("__c.lv").alias("lv"), F.col("__c.cx").alias("cx"), F.col("__c.cy").alias("cy"))
-    n_cells = bounded_count(cells, BROADCAST_MAX_ROWS)
-    side = F.broadcast(cells) if n_cells is not None else cells.hint("merge")
-    joined = probes.join(side, ["lv", "cx", "cy"], "inner")
-    from .cellclip import _on_seg
-    hit = refine_clipped(F.col("__px"), F.col("__py"))
-    on_edge = F.exists(F.col("edges"), lambda s: _on_seg(s, F.col("__px"), F.col("__py")))
-    if op == "s_touches":                     # boundary only
-        hit = on_edge
-    elif op != "s_intersects":                # interior only (contains / within)
-        hit = hit & ~on_edge
-    return joined.filter(hit).select(point_id, "id")
+    pairs = grid_join(feats, probes, None, cell=cell or suggest_cell(feats), requests_are_points=True, **kw)
+    pairs = attach_geometry(pairs.select(point_id, "id", "__px", "__py"), geoms, "id", "__geom")
+    hit = point_in_parts(F.col("__geom")["parts"], F.col("__px"), F.col("__py"), op)
+    return pairs.filter(hit).select(point_id, "id")
 
 
 # ---------------------------------------------------------------- JN-8
@@ -385,40 +358,22 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
         # polygon requests: ray casting as Catalyst expressions; other request kinds: relate kernel
         is_poly = F.col("__rgeom")["type"].isin("Polygon", "MultiPolygon")
         feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
-
-        def refine():
-            parts = F.col("__rgeom")["parts"]
-            px, py = F.col("_xmin"), F.col("_ymin")
-            inside = K.pip_inside(parts, px, py)
-            edge = K.on_boundary(parts, px, py)
-            if op == "s_intersects":
-                return inside | edge
-            if op == "s_within":
-                return inside & ~edge
-            if op == "s_touches":
-                return edge
-            return F.lit(False)                 # contains / crosses / overlaps / equals: point vs area
         parts = []
         polys_req = req.filter(is_poly)
-        if not polys_req.isEmpty():
-            from .cellclip import mean_vertices
-            if op in ("s_intersects", "s_within", "s_touches") and mean_vertices(polys_req, "__rgeom") >= CLIP_MIN_VERTICES:
-                # large request polygons: clipped to cells once, points tested against local edges
-                from ..plans.collection import Collection
-                rp = Collection(polys_req.select(F.col(geom_id).alias("id"), F.col("__rgeom").alias("geom"), *_BOX),
-                                name="requests", geometry_type="Polygon")
-                pts = feats.select(F.col("id").alias("__pid"), F.col("_xmin").alias("__x"), F.col("_ymin").alias("__y"))
-                hits = _clipped_point_lookup(rp, pts, "__pid", "__x", "__y", op, cell)
-                parts.append(hits.select(F.col("id").alias(geom_id), F.col("__pid").alias("id")))
-            else:
-                parts.append(grid_join(feats, polys_req, refine, cell=cell, features_are_points=True, **kw))
+        if op in ("s_intersects", "s_within", "s_touches") and not polys_req.isEmpty():
+            # contains / crosses / overlaps / equals never hold between a point and an area
+            pairs = grid_join(feats, polys_req.drop("__rgeom"), None, cell=cell, features_are_points=True, **kw)
+            pairs = attach_geometry(pairs.select(geom_id, "id", F.col("_xmin").alias("__px"), F.col("_ymin").alias("__py")),
+                                    polys_req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
+            parts.append(pairs.filter(point_in_parts(F.col("__rgeom")["parts"], F.col("__px"), F.col("__py"), op)))
         if not req.filter(~is_poly).isEmpty():
             pfeats = feats.withColumn("__fgeom", G.point(F.col("_xmin"), F.col("_ymin")))
             parts.append(grid_join(pfeats, req.filter(~is_poly),
                                    lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),
                                    cell=cell, features_are_points=True, **kw))
         if not parts:
-            return geoms.sparkSession.createDataFrame([], geoms.select(geom_id).schema.add("id", "long"))
+            schema = geoms.select(geom_id).schema.add("id", coll.df.schema[coll.id_column].dataType)
+            return geoms.sparkSession.createDataFrame([], schema)
         out = parts[0].select(geom_id, "id")
         for extra in parts[1:]:
             out = out.unionByName(extra.select(geom_id, "id"))

@@ -19,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import spatial as K
 from ..operators import joins as J
 from ..session import ensure_checkpoint_dir
 
@@ -78,7 +77,7 @@ def drop_folder_ingest(spark: SparkSession, folder: str, out_root: str, history_
                 # file for a retry, as the reference keeps it when an import fails
                 _quarantine(spark, path, f"{history_path.rstrip('/')}_failed/batch_id={batch_id}")
                 records.append((path, _workspace_of(path, root), detect.collection_name(path), None, "failed", 0,
-                                str(e)[:500]))
+                                str(e)))
         if records:
             hist = spark.createDataFrame(records, "source_file string, workspace string, collection string, "
                                                   "table_path string, status string, feature_count bigint, "
@@ -135,14 +134,12 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     The static side decides the grid (cell size, levels) once; each streamed
     point is mapped to its cell at every level the polygons use and joined
     to the exploded static cells (a stream-static equi-join), then refined
-    by ray casting.  The static side is broadcast only behind a row count.
+    by the same point test as the batch lookup, whatever the polygon's size.
+    The cells (without geometry) are broadcast only behind a row count, the
+    geometries only behind a byte bound.
     """
-    from ..operators.cellclip import mean_vertices
-    if mean_vertices(polygons.df, polygons.geometry_column) >= J.CLIP_MIN_VERTICES:
-        # large polygons: clipped per cell once on the static side (it never sizes the stream)
-        return J._clipped_point_lookup(polygons, points, point_id, x, y, "s_intersects", cell)
-    feats = polygons.df.select(F.col(polygons.id_column).alias("id"), F.col(polygons.geometry_column).alias("__geom"),
-                               "_xmin", "_ymin", "_xmax", "_ymax")
+    feats = polygons.df.select(F.col(polygons.id_column).alias("id"), "_xmin", "_ymin", "_xmax", "_ymax")
+    geoms = polygons.df.select(F.col(polygons.id_column).alias("id"), F.col(polygons.geometry_column).alias("__geom"))
     box = [F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")]
     cell = cell or J.suggest_cell(feats)
     level = J.level_of(box, cell)
@@ -150,7 +147,7 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     if env:
         points = points.filter((F.col(x) >= env[0]) & (F.col(x) <= env[2]) & (F.col(y) >= env[1]) & (F.col(y) <= env[3]))
     static = J.explode_cells(feats, box, cell, level, [], "__f").select(
-        "id", "__geom", F.col("__clv").alias("__lv"), F.col("__cx").alias("__kx"), F.col("__cy").alias("__ky"))
+        "id", F.col("__clv").alias("__lv"), F.col("__cx").alias("__kx"), F.col("__cy").alias("__ky"))
     if J.bounded_count(static, J.BROADCAST_MAX_ROWS) is not None:
         static = F.broadcast(static)
     px, py = F.col(x), F.col(y)
@@ -161,9 +158,9 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
         point_id, "__px", "__py", F.col("__c.lv").alias("__lv"), F.col("__c.cx").alias("__kx"),
         F.col("__c.cy").alias("__ky"))
     joined = probes.join(static, ["__lv", "__kx", "__ky"], "inner")
-    parts = F.col("__geom")["parts"]
-    hit = K.pip_inside(parts, F.col("__px"), F.col("__py")) | K.on_boundary(parts, F.col("__px"), F.col("__py"))
-    return joined.filter(hit).select(point_id, "id")
+    pairs = J.attach_geometry(joined.select(point_id, "id", "__px", "__py"), geoms, "id", "__geom")
+    hit = J.point_in_parts(F.col("__geom")["parts"], F.col("__px"), F.col("__py"), "s_intersects")
+    return pairs.filter(hit).select(point_id, "id")
 
 
 def run_available_now(df: DataFrame, sink_dir: str, mode: str = "append", fmt: str = "parquet",

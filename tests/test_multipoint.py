@@ -77,8 +77,8 @@ def test_batch_radius_on_polygons_matches_literal(spark):
     assert got == want and len(got) > 0
 
 
-def test_clipped_point_lookup_equals_whole_polygon(spark):
-    """Large polygons: cell-clipped refine == whole-polygon refine (with holes, concave, boundaries)."""
+def test_point_lookup_of_large_polygons_does_not_depend_on_cells(spark):
+    """Large polygons (holes, concave): every cell size gives the pairs of the literal test, ids keep their type."""
     import math as _m
     from geoplane.functions.geometry import with_bbox
     from geoplane.operators import joins as J
@@ -90,15 +90,17 @@ def test_clipped_point_lookup_equals_whole_polygon(spark):
         star.append(star[0])
         hole = [(cx - 0.1, cy - 0.1), (cx + 0.1, cy - 0.1), (cx + 0.1, cy + 0.1), (cx - 0.1, cy + 0.1), (cx - 0.1, cy - 0.1)]
         polys.append((k, [[[{"x": a, "y": b} for a, b in star], [{"x": a, "y": b} for a, b in hole]]]))
-    df = spark.createDataFrame(polys, "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    df = spark.createDataFrame([(f"star-{k}", parts) for k, parts in polys],
+                               "id string, parts array<array<array<struct<x:double,y:double>>>>")
     df = with_bbox(df.withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.col("parts"))).drop("parts"))
     coll = Collection(df, name="stars", geometry_type="Polygon")
     pts = spark.range(20000).select(F.col("id").alias("pid"), (F.lit(-0.5) + (F.col("id") * 7919 % 12000) / 1000.0).alias("x"),
                                     (F.lit(43.5) + (F.col("id") * 104729 % 4000) / 1000.0).alias("y"))
     for op in ("s_intersects", "s_contains"):
-        a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=True).collect()}
-        b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=False).collect()}
-        assert a == b and len(a) > 100, op
+        found = [{tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, cell=cell).collect()}
+                 for cell in (None, 0.37, 5.0)]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 100, op
+        assert {i for _, i in found[0]} <= {f"star-{k}" for k in range(6)}
 
 
 def test_batch_predicate_large_polygon_requests(spark):
@@ -182,8 +184,8 @@ def test_batch_column_kernels_equal_literal(spark, polys):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=3, max_size=7, unique=True),
        st.sampled_from([1.0, 2.0, 0.5]))
-def test_clipped_lookup_boundaries(spark, verts, cell):
-    """Cell borders on polygon edges and vertices, points on edges: clipped == whole polygon."""
+def test_lookup_boundaries_for_every_cell_size(spark, verts, cell):
+    """Cell borders on polygon edges and vertices, points on edges: one answer for all cell sizes."""
     import math as _m
     from geoplane.functions.geometry import with_bbox
     from geoplane.operators import joins as J
@@ -201,6 +203,6 @@ def test_clipped_lookup_boundaries(spark, verts, cell):
     pts = spark.createDataFrame([(i * 100 + j, i / 2.0, j / 2.0) for i in range(-1, 18) for j in range(-1, 18)],
                                 "pid int, x double, y double")
     for op in ("s_intersects", "s_contains"):
-        a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=True, cell=cell).collect()}
-        b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, clip=False, cell=cell).collect()}
+        a = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, cell=cell).collect()}
+        b = {tuple(r) for r in J.batch_point_lookup(coll, pts, op=op, cell=cell * 3).collect()}
         assert a == b, (op, cell)
