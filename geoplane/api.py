@@ -54,8 +54,9 @@ def ingest(spark: SparkSession, path: str, fmt: str | None = None, srid: int = 4
 
     The report holds imported / skipped counts (skips exist for CSV only).
     """
-    fmt = fmt or detect.detect_format(path)
+    fmt = fmt or detect.format_of(spark, path)
     if fmt == "csv":
+        detect.require_csv(spark, path)
         from .sources.csv import read_csv_points
         feats, report, _plan = read_csv_points(spark, path, separator=sep, lon=lon, lat=lat, srid=srid)
         return feats, report
@@ -71,7 +72,7 @@ def ingest(spark: SparkSession, path: str, fmt: str | None = None, srid: int = 4
 
 def preview(spark: SparkSession, path: str) -> dict:
     """SRC-9..11: a file preview by format."""
-    fmt = detect.detect_format(path)
+    fmt = detect.format_of(spark, path)
     if fmt == "csv":
         from .sources.csv import preview_csv
         return preview_csv(spark, path)

@@ -59,14 +59,16 @@ def list_jobs(history: DataFrame, collections: DataFrame, status: str | None = N
 
     The limit has no lower clamp (as in the reference); a non-positive limit returns nothing.
     """
-    df = jobs_with_collection(history, collections)
+    df = history
     if status:
         df = df.filter(F.col("status") == F.lit(status))
     if collection_id is not None:
         df = df.filter(F.col("collection_id") == F.lit(collection_id))
-    lim = min(int(limit), JOB_MAX_LIMIT)
-    df = df.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).offset(max(int(offset), 0))
-    return df.limit(max(lim, 0))
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    lim = max(min(int(limit), JOB_MAX_LIMIT), 0)
+    page = df.orderBy(*order).offset(max(int(offset), 0)).limit(lim)
+    # only the page meets the collections; the join does not keep its order
+    return jobs_with_collection(page, collections).orderBy(*order)
 
 
 def collection_history(history: DataFrame, collection_id) -> DataFrame:

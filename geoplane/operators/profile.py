@@ -2,7 +2,7 @@
 
 All of them are global aggregates with partial (map-side) aggregation; none
 gathers a column into one task.  Exact ``percentile_cont`` is computed by
-:func:`exact_quantiles` with iterative narrowing instead of Spark's
+:func:`exact_quantiles` by distributed rank selection instead of Spark's
 ``percentile`` (whose buffer holds every distinct value in one final task).
 """
 
@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crs as _crs
 from ..schema import BBOX_COLUMNS, pg_type
 
-COLLECT_MAX = 50_000          # values fetched to the driver in the last narrowing step
 APPROX_ACCURACY = 10_000
 
 
@@ -31,12 +30,12 @@ def column_profile(df: DataFrame, exclude=("geom", *BBOX_COLUMNS), approx_distin
     """Per column: type, non-null / null counts, distinct count, min / max as text.
 
     Text min/max compare lexicographically ('10' < '9') as the reference's
-    ``::text`` does.  Exact plan: every row is stacked into (column ordinal,
-    value as text) pairs, aggregated by (ordinal, value) -- map-side
-    partial aggregation collapses repeated values, hot values included --
-    and then by ordinal, again partially aggregated, so no task ever receives
-    a column's distinct values.  One scan, two shuffles of de-duplicated
-    pairs.  ``approx_distinct`` uses one HyperLogLog++ aggregate instead.
+    ``::text`` does.  Counts, minima and maxima come from one map-side
+    combined aggregate; for the distinct counts, a 128-bit hash of every
+    (column, value) is de-duplicated, map-side first, so neither texts nor a
+    hot value cross the shuffle more than once a task.  An empty table gives
+    its columns with zero counts.  ``approx_distinct`` uses one HyperLogLog++
+    aggregate instead.
     ``typed`` adds ``min_typed`` / ``max_typed``: min / max in the column's own
     order (numbers numerically, dates chronologically), shown as text.
     """
@@ -75,19 +74,30 @@ def _column_profile(df: DataFrame, exclude, approx_distinct: bool) -> DataFrame:
         z = F.arrays_zip(meta.alias("m"), rows.alias("r"))
         return wide.select(F.col("__total").alias("total_count"), F.explode(z).alias("e")).select(
             "total_count", "e.m.*", "e.r.*")
-    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{f.name}`").cast("string").alias("v"))
-                                         for i, f in enumerate(cols)])))
-    per_value = pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    per_col = per_value.groupBy("k").agg(
-        F.sum("n").alias("total_count"),
-        F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("non_null_count"),
-        F.count("v").alias("distinct_count"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
-    info = df.sparkSession.range(1).select(F.inline(meta))           # one row per column, a literal
-    out = per_col.join(F.broadcast(info), per_col["k"] == info["ordinal"]).drop("k")
+    # counts, minima and maxima: one aggregate row, present for an empty table too
+    aggs = [F.count(F.lit(1)).alias("__total")]
+    for i, f in enumerate(cols):
+        c = F.col(f"`{f.name}`").cast("string")
+        aggs += [F.count(c).alias(f"nn{i}"), F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}")]
+    stats = F.array(*[F.struct(F.col(f"nn{i}").alias("non_null_count"), F.col(f"mn{i}").alias("min_value"),
+                               F.col(f"mx{i}").alias("max_value")) for i in range(len(cols))])
+    z = F.arrays_zip(meta.alias("m"), stats.alias("r"))
+    per_col = df.agg(*aggs).select(F.col("__total").alias("total_count"), F.explode(z).alias("e")).select(
+        "total_count", "e.m.*", "e.r.*")
+    # distinct values: only a 128-bit hash of (column, value) is shuffled
+    hashed = []
+    for i, f in enumerate(cols):
+        v = F.col(f"`{f.name}`").cast("string")
+        hashed.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("k"), F.xxhash64(v).alias("h"),
+                                                     F.xxhash64(F.lit(i), v, F.lit("distinct")).alias("g"))))
+    pairs = df.select(F.explode(F.array_compact(F.array(*hashed))).alias("p")).select("p.*").distinct()
+    distinct = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("distinct_count"))
+    out = per_col.join(distinct, per_col["ordinal"] == distinct["k"], "left")
     return out.select("total_count", "ordinal", "column_name", "data_type", "nullable",
                       F.col("non_null_count").cast("bigint").alias("non_null_count"),
                       (F.col("total_count") - F.col("non_null_count")).cast("bigint").alias("null_count"),
-                      "distinct_count", "min_value", "max_value")
+                      F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"),
+                      "min_value", "max_value")
 
 
 def geometry_profile(coll) -> dict:
@@ -144,122 +154,48 @@ def temporal_extent(coll) -> DataFrame:
 
 # ---------------------------------------------------------------- AGG-7 exact quantiles
 def exact_quantiles(df: DataFrame, field: str, probs: list[float], n: int | None = None) -> list[float | None]:
-    """Exact ``percentile_cont`` (linear interpolation, nulls excluded).
+    """Exact ``percentile_cont`` (linear interpolation, nulls and NaN excluded).
 
-    Iterative narrowing: an approximate-percentile pass brackets every needed
-    rank, a counting pass locates the rank inside the bracket, and once a
-    bracket holds at most ``COLLECT_MAX`` values those few values are fetched
-    and the rank is read exactly.  Each pass is one global aggregate with
-    bounded buffers, so no task ever holds a whole column.
+    Two ranks a probability are read by :func:`select_ranks`; only those values
+    reach the driver.
     """
     v = F.col(f"`{field}`").cast("double")
     base = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     n = base.count() if n is None else n
     if n == 0:
         return [None for _ in probs]
-    ranks = set()
-    for p in probs:
-        h = (n - 1) * float(p)
-        ranks.add(int(math.floor(h)))
-        ranks.add(min(int(math.floor(h)) + 1, n - 1))
-    values = select_ranks(base, "v", sorted(ranks), n)
-    out = []
-    for p in probs:
-        h = (n - 1) * float(p)
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        a, b = values[lo], values[hi]
-        out.append(a + (h - lo) * (b - a))
-    return out
-
-
-def select_ranks(base: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
-    """Values at 0-based ranks of the ascending order of ``col`` (distributed selection).
-
-    Each rank keeps an open/closed value interval known to hold it, the
-    number of values below that interval and the number inside it.  While an
-    interval holds more than ``COLLECT_MAX`` values, one pass brackets the
-    rank with two approximate quantiles a <= b and a second pass counts the
-    values < and <= each of them: ties at a or b settle the rank at once,
-    otherwise the interval shrinks to (lo, a), (a, b) or (b, hi), whose size
-    those counts already give -- every round excludes a and b, so it makes
-    progress even on heavily duplicated data.  Small intervals are fetched.
+    at = [(n - 1) * float(p) for p in probs]
+    low = [math.floor(h) for h in at]
+    values = select_ranks(base, "v", sorted({*low, *(min(k + 1, n - 1) for k in low)}))
+    return [values[k] + (h - k) * (values[min(k + 1, n - 1)] - values[k]) for h, k in zip(at, low)]
+
+
+def select_ranks(base: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """Values at 0-based ranks of the ascending order of ``col`` (distributed selection, one path for every size).
+
+    Equal values are counted first (map-side, so a hot value is one row), the
+    distinct values are range-partitioned and checkpointed, and each
+    partition's count tells which partition holds a rank.  Only those
+    partitions -- one for each rank at most -- are ordered, each in its own
+    window, and the row whose running count passes the rank is read.
     """
-    v = F.col(col)
-    # state per rank: [lo, lo_inclusive, hi, hi_inclusive, values below, values inside]
-    state = {k: [None, False, None, True, 0, n] for k in ranks}
-    result: dict[int, float] = {}
-    for _ in range(64):
-        todo = [k for k in ranks if k not in result]
-        if not todo:
-            break
-        small = [k for k in todo if state[k][5] <= COLLECT_MAX]
-        big = [k for k in todo if state[k][5] > COLLECT_MAX]
-        if small:
-            cond = None
-            for k in small:
-                c = _in_interval(v, *state[k][:4])
-                cond = c if cond is None else (cond | c)
-            vals = sorted(r[0] for r in base.filter(cond).select(col).collect())   # <= COLLECT_MAX per rank
-            for k in small:
-                lo, lo_in, hi, hi_in, below, _cnt = state[k]
-                inside = [x for x in vals if _inside(x, lo, lo_in, hi, hi_in)]
-                result[k] = float(inside[k - below])
-        if not big:
-            continue
-        # pass 1: approximate bracket of each rank inside its interval
-        margin = 3.0 / APPROX_ACCURACY
-        aggs = []
-        for k in big:
-            lo, lo_in, hi, hi_in, below, cnt = state[k]
-            rel = (k - below) / max(cnt - 1, 1)
-            ps = [max(rel - margin, 0.0), min(rel + margin, 1.0)]
-            aggs.append(F.percentile_approx(F.when(_in_interval(v, lo, lo_in, hi, hi_in), v), ps,
-                                            APPROX_ACCURACY).alias(f"q{k}"))
-        qrow = base.agg(*aggs).first()
-        # pass 2: exact counts below / at the bracket values
-        aggs = []
-        for k in big:
-            a, b = qrow[f"q{k}"]
-            inner = _in_interval(v, *state[k][:4])
-            aggs += [F.count_if(inner & (v < a)).alias(f"la{k}"), F.count_if(inner & (v <= a)).alias(f"ea{k}"),
-                     F.count_if(inner & (v < b)).alias(f"lb{k}"), F.count_if(inner & (v <= b)).alias(f"eb{k}")]
-        crow = base.agg(*aggs).first()
-        for k in big:
-            a, b = (float(x) for x in qrow[f"q{k}"])
-            lo, lo_in, hi, hi_in, below, cnt = state[k]
-            la, ea, lb, eb = (crow[f"{p}{k}"] for p in ("la", "ea", "lb", "eb"))
-            if below + la <= k < below + ea:
-                result[k] = a
-            elif below + lb <= k < below + eb:
-                result[k] = b
-            elif k < below + la:
-                state[k] = [lo, lo_in, a, False, below, la]
-            elif k < below + lb:
-                state[k] = [a, False, b, False, below + ea, lb - ea]
-            else:
-                state[k] = [b, False, hi, hi_in, below + eb, cnt - eb]
-    missing = [k for k in ranks if k not in result]
-    if missing:
-        raise RuntimeError(f"rank selection did not converge for ranks {missing[:5]}")
-    return result
-
-
-def _in_interval(v: Column, lo, lo_in, hi, hi_in) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & ((v >= F.lit(float(lo))) if lo_in else (v > F.lit(float(lo))))
-    if hi is not None:
-        cond = cond & ((v <= F.lit(float(hi))) if hi_in else (v < F.lit(float(hi))))
-    return cond
-
-
-def _inside(x, lo, lo_in, hi, hi_in) -> bool:
-    if lo is not None and (x < lo or (x == lo and not lo_in)):
-        return False
-    if hi is not None and (x > hi or (x == hi and not hi_in)):
-        return False
-    return True
+    counted = base.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = (counted.repartitionByRange("v").withColumn("p", F.spark_partition_id()).checkpoint())
+    sums = sorted((r["p"], r["n"]) for r in parts.groupBy("p").agg(F.sum("n").alias("n")).collect())   # one row each
+    wanted, below, at = [], 0, 0
+    for p, n in sums:
+        while at < len(ranks) and ranks[at] < below + n:
+            wanted.append((p, ranks[at], ranks[at] - below))
+            at += 1
+        below += n
+    if at < len(ranks):
+        raise ValueError(f"rank {ranks[at]} of {below} values")
+    asked = base.sparkSession.createDataFrame(wanted, "p int, rank bigint, inside bigint")    # the caller's ranks
+    running = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    inside = parts.filter(F.col("p").isin(sorted({w[0] for w in wanted}))).withColumn("upto", running)
+    hit = inside.join(F.broadcast(asked), "p").filter(
+        (F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+    return {r["rank"]: float(r["v"]) for r in hit.select("rank", "v").collect()}
 
 
 def quantile_breaks(df: DataFrame, field: str, classes: int = 5, exact: bool = True,

@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we create one under the system
-    temporary directory.
+    is; without it the call fails, since a folder of this machine would be
+    another folder on each executor.  Only a local master gets one under the
+    system temporary directory.
     """
     try:
         sc = spark.sparkContext
@@ -52,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="geoplane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is None:

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import text as TX
-from .ids import with_sequential_id
+from .ids import FILE_PIECE, with_file_piece, with_sequential_id
 
 # Fixed value: rows sampled for CSV type inference.
 CSV_SAMPLE_ROWS = 100
@@ -48,7 +48,7 @@ def _read_rows(spark, path, sep, names) -> DataFrame:
           .option("multiLine", "false").option("ignoreLeadingWhiteSpace", "false")
           .option("ignoreTrailingWhiteSpace", "false").option("mode", "PERMISSIVE")
           .schema(schema).csv(path))
-    return df
+    return with_file_piece(df)
 
 
 def plan_csv(spark: SparkSession, path: str, separator: str | None = None, lon: str | None = None,
@@ -66,13 +66,12 @@ def plan_csv(spark: SparkSession, path: str, separator: str | None = None, lon:
         if geo is None:
             raise ValueError("Could not detect longitude/latitude columns")
     names = [TX.sanitize_name(h) for h in raw_headers]
-    rows = _read_rows(spark, path, sep, names).filter(
-        F.concat_ws("", *[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(len(names))]) != "")
-    rows = rows.withColumn("__mid", F.monotonically_increasing_id())
+    # blank lines are left out by the source; a line of separators only is a row like any other
+    rows = _read_rows(spark, path, sep, names)
     lon_i, lat_i = raw_headers.index(geo[0]), raw_headers.index(geo[1])
     # type inference over the first `sample` data rows in file order: limit(n).collect() reads
     # the first split(s) only and returns rows in file order (<= sample rows to the driver)
-    body = rows.drop("__mid")
+    body = rows.drop(*FILE_PIECE)
     first = spark.createDataFrame(body.limit(sample).collect(), body.schema)
     aggs = []
     for i in range(len(names)):
@@ -111,16 +110,13 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
     rejected = [(F.col(f"c{i}") != "") & TX.coerce(F.col(f"c{i}"), plan.types[n]).isNull()
                 for i, n in enumerate(plan.columns) if i not in (lon_i, lat_i)]
     n_rejected = sum((r.cast("int") for r in rejected), F.lit(0))
-    staged = rows.select("__mid", ok.alias("__ok"), x.alias("__x"), y.alias("__y"), n_rejected.alias("__rej"), *props)
-    # AGG-13 / ING-19 counts are observed while the id pass scans the rows: no extra pass
-    obs = Observation("csv_import")
-    staged = staged.observe(obs, F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"),
-                            F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__rej"))), F.lit(0)).cast("bigint")
-                            .alias("rejected_values"))
-    kept = with_sequential_id(staged.filter("__ok").drop("__mid", "__rej"), "id")
-    m = obs.get
-    report = spark.createDataFrame([(int(m["imported"]), int(m["skipped"]), int(m["rejected_values"]))],
-                                   "imported bigint, skipped bigint, rejected_values bigint")
+    staged = rows.select(*FILE_PIECE, ok.alias("__ok"), x.alias("__x"), y.alias("__y"), n_rejected.alias("__rej"), *props)
+    # AGG-13 / ING-19 counts: one aggregate row
+    m = staged.agg(F.count_if("__ok").alias("imported"), F.count_if(~F.col("__ok")).alias("skipped"),
+                   F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__rej"))), F.lit(0)).cast("bigint")
+                   .alias("rejected_values"))
+    report = m.select("imported", "skipped", "rejected_values")
+    kept = with_sequential_id(staged.filter("__ok").drop("__rej"), "id", order_by=FILE_PIECE)
     geom = G.point(F.col("__x"), F.col("__y"), srid, multi=True)
     feats = kept.select("id", *[p for p in plan.columns if p in plan.types], geom.alias("geom"),
                         F.col("__x").alias("_xmin"), F.col("__y").alias("_ymin"),

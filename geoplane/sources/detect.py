@@ -21,6 +21,15 @@ def detect_format(path: str, head: bytes | None = None) -> str:
     return "geojson"
 
 
+def format_of(spark: SparkSession, path: str) -> str:
+    """SRC-7 for one file: its first two bytes are read only when the name does not decide."""
+    by_name = detect_format(path)
+    if by_name != "geojson":
+        return by_name
+    from .geojson import head_bytes
+    return detect_format(path, head_bytes(spark, path))
+
+
 def formats_of(listing: DataFrame) -> DataFrame:
     """SRC-7 over a file listing (``binaryFile`` rows): path -> format, using the
     first bytes only when the extension does not decide."""
@@ -46,13 +55,17 @@ def check_csv(spark: SparkSession, path: str) -> tuple[bool, str | None]:
     return True, None
 
 
+def require_csv(spark: SparkSession, path: str) -> None:
+    ok, reason = check_csv(spark, path)
+    if not ok:
+        raise ValueError(reason)
+
+
 def import_file(spark: SparkSession, path: str, srid: int = 4326, **kw):
     """Route one file to its importer; returns (features, info)."""
-    fmt = detect_format(path)
+    fmt = format_of(spark, path)
     if fmt == "csv":
-        ok, reason = check_csv(spark, path)
-        if not ok:
-            raise ValueError(reason)
+        require_csv(spark, path)
         from .csv import read_csv_points
         feats, report, plan = read_csv_points(spark, path, srid=srid, **kw)
         return feats, {"format": "csv", "plan": plan, "report": report}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import text as TX
-from .ids import with_sequential_id
+from .ids import FILE_PIECE, with_file_piece, with_sequential_id
 
 _FC_SCHEMA = ("type string, features array<struct<type:string, id:string, geometry:string, properties:string>>")
 _FEATURE_SCHEMA = "type string, id string, geometry string, properties string"
@@ -75,8 +75,10 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     if is_hidden_gzip(spark, path):
         raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_gunzip_docs, "value string")
         return raw.select(F.from_json("value", _FC_SCHEMA + ", _corrupt_record string",
-                                      {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).select("d.*")
-    return spark.read.schema(_FC_SCHEMA + ", _corrupt_record string").option("multiLine", "true").json(path)
+                                      {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).select(
+            "d.*", F.lit(path).alias(FILE_PIECE[0]), F.lit(0).cast("bigint").alias(FILE_PIECE[1]))
+    return with_file_piece(
+        spark.read.schema(_FC_SCHEMA + ", _corrupt_record string").option("multiLine", "true").json(path))
 
 
 def _line_features(spark: SparkSession, path: str) -> DataFrame:
@@ -86,13 +88,20 @@ def _line_features(spark: SparkSession, path: str) -> DataFrame:
 def read_feature_rows(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
     """(pos, geometry json, properties json) in file order, validated as a FeatureCollection."""
     if line_delimited:
-        raw = _line_features(spark, path)
-        return with_sequential_id(raw, "pos", start=0).select("pos", "geometry", "properties")
+        raw = with_file_piece(_line_features(spark, path))
+        return with_sequential_id(raw, "pos", start=0, order_by=FILE_PIECE).select("pos", "geometry", "properties")
+    # several documents: positions go on from file to file
     doc = _documents(spark, path)
-    return doc.select(F.col("type").alias("__t"), F.posexplode("features").alias("pos", "f")).select(
+    rows = doc.select(F.col("type").alias("__t"), *FILE_PIECE, F.explode("features").alias("f"))
+    return with_sequential_id(rows, "pos", start=0, order_by=FILE_PIECE).select(
         "__t", "pos", "f.geometry", "f.properties")
 
 
+def _features_in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """Features as the documents hold them, without numbering (for the first few)."""
+    return _documents(spark, path).select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
+
+
 def validate_collection(spark: SparkSession, path: str) -> None:
     """SRC-8: must parse, be a FeatureCollection and hold a non-empty features array."""
     doc = _documents(spark, path)
@@ -130,8 +139,8 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimite
     if validate and not line_delimited:
         validate_collection(spark, path)
     rows = read_feature_rows(spark, path, line_delimited)
-    # file order: the raw line-delimited read, or the posexploded document (pos 0 first)
-    ordered = _line_features(spark, path) if line_delimited else rows
+    # file order: the raw line-delimited read, or the exploded document
+    ordered = _line_features(spark, path) if line_delimited else _features_in_file_order(spark, path)
     types = infer_property_types(ordered)
     fields = []
     for name, t in types.items():
