@@ -223,6 +223,30 @@ def collection_metadata(collections: DataFrame, workspaces: DataFrame) -> DataFr
         _crs.srid_to_uri(F.col("srid")).alias("storage_crs"))
 
 
+def collection_view(collections: DataFrame, workspaces: DataFrame, base_url: str = "") -> DataFrame:
+    """PRJ-8 in full: the metadata plus description, item type, temporal extent and links.
+
+    ``description``, ``temporal_start`` and ``temporal_end`` are taken from the
+    catalog where it has them; an extent is null when it is not stored.
+    """
+    have = set(collections.columns)
+
+    def stored(name: str, kind: str) -> Column:
+        return F.col(name) if name in have else F.lit(None).cast(kind)
+
+    extra = collections_with_workspace(collections, workspaces).select(
+        F.col("collection_id").alias("id"), F.col("id").alias("__key"), F.col("name").alias("title"),
+        stored("description", "string").alias("description"), F.lit("feature").alias("item_type"),
+        F.when(F.col("xmin").isNotNull(), F.array("xmin", "ymin", "xmax", "ymax")).alias("extent_bbox"),
+        F.when(stored("temporal_start", "timestamp").isNotNull() | stored("temporal_end", "timestamp").isNotNull(),
+               F.array(stored("temporal_start", "timestamp"), stored("temporal_end", "timestamp"))).alias("temporal_interval"),
+        _crs.supported_crs(F.col("srid")).alias("crs"), _crs.srid_to_uri(F.col("srid")).alias("storage_crs"))
+    here = F.concat(F.lit(base_url + "/collections/"), F.col("id"))
+    links = F.array(*[F.struct(F.lit(rel).alias("rel"), F.concat(here, F.lit(path)).alias("href"))
+                      for rel, path in (("self", ""), ("items", "/items"), ("queryables", "/queryables"), ("tiles", "/tiles"))])
+    return extra.withColumn("links", links).drop("__key")
+
+
 def tileset_metadata(collections: DataFrame, workspaces: DataFrame, base_url: str = "") -> DataFrame:
     """PRJ-9: tile URL template + bounding box from the stored bbox."""
     c = collections_with_workspace(collections, workspaces)

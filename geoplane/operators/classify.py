@@ -145,3 +145,17 @@ def legend(classes: list[dict]) -> list[dict]:
     """CLS-7: one row per class with label ``min – max`` (2 decimals) and colour."""
     return [{"class_index": c["class_index"], "label": f"{c['min']:.2f} – {c['max']:.2f}",
              "color": c.get("color")} for c in classes]
+
+
+def legend_frame(spark, classes: list[dict]) -> DataFrame:
+    """CLS-7: the legend of graduated classes as rows (kind, position, label, color)."""
+    rows = [("class", int(r["class_index"]), r["label"], r["color"]) for r in legend(classes)]       # at most 20
+    return spark.createDataFrame(rows, "kind string, position int, label string, color string")
+
+
+def category_legend(categories: DataFrame) -> DataFrame:
+    """CLS-7: the legend of categories (value, color; at most 50): one row each in value order, labelled by its text."""
+    from pyspark.sql import Window
+    position = F.row_number().over(Window.orderBy("value")) - 1
+    return categories.select(F.lit("category").alias("kind"), position.alias("position"),
+                             F.col("value").cast("string").alias("label"), "color")
