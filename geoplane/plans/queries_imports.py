@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as CT
 from ..operators import classify as CL
 from ..operators import joins as J
+from ..operators import mvt as MV
 from ..operators import profile as PF
 from ..operators import tiles as TL
 from ..session import ensure_checkpoint_dir
@@ -27,7 +28,7 @@ from ..sources.export import write_feature_table
 from ..streaming import streams as ST
 from . import collection as C
 from . import tables as T
-from .queries import CUST, ORD, query, s_geojson_point
+from .queries import _H, CUST, LINE, ORD, query, s_geojson_point, s_tiles
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -421,3 +422,81 @@ def _str4_combs(spark, sf_dir):
 
 
 query("str4_stream_large_polygons", _comb_sql("events", "event_id"))(_str4_combs)
+
+
+# ============================================================ TIL-5 / AGG-12: what the tile bytes say
+def _varints(data: bytes) -> list[int]:
+    out, value, shift = [], 0, 0
+    for b in data:
+        value |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            out.append(value)
+            value = shift = 0
+    return out
+
+
+def _messages(data: bytes):
+    """(field, value) pairs of a protobuf message with varint and length-delimited fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        start = at
+        while data[at] > 127:
+            at += 1
+        at += 1
+        return _varints(data[start:at])[0]
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = varint()
+            yield tag >> 3, data[at:at + n]
+            at += n
+
+
+def decoded_tile(mvt: bytes) -> tuple[int, int, int, float, int]:
+    """Features, sums of their point coordinates, sum of ``qty`` and number of ``flag`` R of a one-layer tile."""
+    n = sx = sy = returned = 0
+    qty = 0.0
+    for _, layer in _messages(mvt):
+        fields = list(_messages(layer))
+        keys = [v.decode() for k, v in fields if k == 3]
+        values = [dict(_messages(v))[1].decode() for k, v in fields if k == 4]
+        for feature in (dict(_messages(v)) for k, v in fields if k == 2):
+            n += 1
+            _, x, y = _varints(feature[4])
+            sx += (x >> 1) ^ -(x & 1)
+            sy += (y >> 1) ^ -(y & 1)
+            tags = _varints(feature[2])
+            for k, v in zip(tags[::2], tags[1::2]):
+                if keys[k] == "qty":
+                    qty += float(values[v])
+                elif keys[k] == "flag":
+                    returned += values[v] == "R"
+    return n, sx, sy, qty, returned
+
+
+def _til5_decoded(spark, sf_dir):
+    import pandas as pd
+    li = T.lineitems(spark, sf_dir)
+    li.exposed_fields = [("l_returnflag", "flag"), ("l_quantity", "qty")]
+
+    def run(batches):
+        for b in batches:
+            rows = [decoded_tile(bytes(m)) for m in b["mvt"]]
+            yield pd.concat([b[["z", "x", "y"]].reset_index(drop=True),
+                             pd.DataFrame(rows, columns=["n_features", "sum_x", "sum_y", "sum_qty", "n_returned"])], axis=1)
+
+    return MV.tile_blobs(li, range(3, 9)).mapInPandas(
+        run, "z int, x bigint, y bigint, n_features bigint, sum_x bigint, sum_y bigint, sum_qty double, n_returned bigint")
+
+
+_QX = f"CAST(floor((mx - (x * w - {_H})) / w * 4096 + 0.5) AS BIGINT)"
+_QY = f"CAST(floor(({_H} - y * w - my) / w * 4096 + 0.5) AS BIGINT)"
+query("til5_agg12_decoded_tiles", f"""SELECT z, x, y, count(*) AS n_features, CAST(sum({_QX}) AS BIGINT) AS sum_x, CAST(sum({_QY}) AS BIGINT) AS sum_y,
+  CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned
+FROM {s_tiles(LINE, range(3, 9), 'l_returnflag, l_quantity')} GROUP BY z, x, y""")(_til5_decoded)

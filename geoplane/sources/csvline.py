@@ -18,8 +18,8 @@ def parse_line(line: str, sep: str) -> list[str]:
 
 
 def split_fields(line: Column, sep: str, n: int) -> Column:
-    """The first ``n`` fields of a column of lines as an array of texts (missing fields: null)."""
+    """The first ``n`` fields of a column of lines as an array of texts (empty and missing fields: empty)."""
     schema = ", ".join(f"f{i} string" for i in range(n))
     row = F.from_csv(line, schema, {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000",
                                     "emptyValue": ""})
-    return F.array(*[row[f"f{i}"] for i in range(n)])
+    return F.array(*[F.coalesce(row[f"f{i}"], F.lit("")) for i in range(n)])
