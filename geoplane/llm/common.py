@@ -13,8 +13,8 @@ from geoplane.session import ensure_checkpoint_dir, ship_package
 
 # One Arrow batch holds at most this many bytes, so that a run of very long
 # texts cannot fill a Python worker.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 BUCKETS = 4096          # hashed n-grams of 1 to 3 characters
 TRAIN_DOCS = 3000       # bound of the training sample, shared by the languages
 MIN_GAP = 0.05          # ambiguity: loss gap of the two nearest codewords over the weights' sum
-CHUNK = 1 << 20         # code points hashed at once
+CHUNK = 1 << 18         # code points hashed at once
 
 
 @functools.cache
@@ -62,7 +62,7 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     at = 0
     while at < len(lowered):
         end, size = at, 0
-        while end < len(lowered) and (end == at or (size + len(lowered[end]) <= CHUNK and end - at < 256)):
+        while end < len(lowered) and (end == at or (size + len(lowered[end]) <= CHUNK and end - at < 128)):
             size += len(lowered[end])
             end += 1
         chars, ends = code_points(lowered[at:end])

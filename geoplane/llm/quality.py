@@ -28,7 +28,7 @@ from geoplane.llm.common import code_points, fold, hash_sample, prepare, sample_
 CLASSES = 12
 TRAIN_POSITIVES = 2500      # bounds of the two training samples
 TRAIN_UNLABELLED = 5000
-CHUNK = 1 << 20             # code points counted at once
+CHUNK = 1 << 18             # code points counted at once
 _MARKS = {".": 5, ",": 6, "|": 7, "!": 8}
 _WORD_STATS = 6
 WIDTH = CLASSES + CLASSES ** 2 + CLASSES ** 3 + _WORD_STATS
@@ -77,7 +77,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or (size + len(texts[end] or "") <= CHUNK and end - at < 512)):
+        while end < len(texts) and (end == at or (size + len(texts[end] or "") <= CHUNK and end - at < 128)):
             size += len(texts[end] or "")
             end += 1
         n = end - at

@@ -154,7 +154,11 @@ def default_model() -> str:
 
 
 # Distinct words whose ids a worker keeps; the table starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+# Words encoded in one multithreaded call (an encoding takes far more memory than its ids).
+CALL_WORDS = 4096
+# Threads of a worker's encoding calls: the cores that an executor of the usual shape gives a task.
+THREADS = 2
 
 
 def splits_at_markers(spec: Spec) -> bool:
@@ -207,15 +211,19 @@ class Coder:
         cut = self.spec.add_dummy_prefix
         good = [b == (w[1:] if cut and w[0] == " " else w) for b, w in zip(back, words, strict=True)]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        at = self.start[-1]
+        at = self.start[len(self.index)]
         ends = at + np.cumsum(lengths)
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(2 * int(ends[-1]) - len(self.flat), dtype=np.int32)])
         self.flat[at:ends[-1]] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32,
                                              count=int(ends[-1] - at))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, ends])
-        self.good = np.concatenate([self.good, np.array(good, dtype=bool)])
+        k = len(self.index)
+        if k + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.empty(k + 1, dtype=np.int64)])
+            self.good = np.concatenate([self.good, np.empty(k + 1, dtype=bool)])
+        self.start[k - len(words) + 1:k + 1] = ends
+        self.good[k - len(words):k] = good
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Token ids of each whole text, and whether decoding them gives the text back."""
@@ -228,8 +236,8 @@ class Coder:
             self._reset()
         words = [self._words(t) for t in texts]
         new = list(set(itertools.chain.from_iterable(words)) - self.index.keys())
-        if new:
-            self._learn(new)
+        for lo in range(0, len(new), CALL_WORDS):
+            self._learn(new[lo:lo + CALL_WORDS])
         ids, restored = [], []
         for text, own in zip(texts, words, strict=True):
             at = np.fromiter(map(self.index.__getitem__, own), dtype=np.int64, count=len(own))
@@ -298,6 +306,7 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))      # read when the first call starts the threads
         coder, reference = _load(data)
         for b in batches:
             texts = [t or "" for t in b["__t"]]

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest test tables."""
 
 import math
+import re
 from collections import Counter
 
 import duckdb
@@ -51,8 +52,7 @@ def test_query_matches_oracle(spark, con, name):
     assert rows == orows
 
 
-def test_every_query_has_oracle_or_is_listed():
-    no_oracle = set(E.queries()) - set(E.oracle_sql())
-    assert no_oracle <= {"str1_drop_folder_ingest", "spa9_s_crosses_lines",
-                         "spa10_s_overlaps_polygons",
-                         "src4_shapefile_scan"}
+def test_every_query_of_the_inventory_has_an_oracle():
+    """Only the training-data operators may go without (SQL cannot express most of them)."""
+    without = set(E.queries()) - set(E.oracle_sql())
+    assert [n for n in sorted(without) if not re.fullmatch(r"op\d+_\w+|pipeline", n)] == []
