@@ -2,7 +2,7 @@
 
 * even-odd ray casting (point in polygon) and on-boundary tests, either
   against a polygon *column* (higher-order functions over ``parts``) or a
-  driver-side literal whose edges are unrolled into plain arithmetic so the
+  driver-side literal whose edges are one constant array so the
   whole test stays inside whole-stage codegen;
 * great-circle distance (haversine, mean Earth radius);
 * bbox overlap on the four top-level columns (Parquet-pushable).
@@ -24,10 +24,6 @@ from .geometry import Geom
 # Fixed value: mean Earth radius (IUGG) used for every metric distance.
 EARTH_RADIUS_M = 6371008.8
 
-# Literals with more edges than this are tested with array functions instead
-# of unrolled arithmetic (keeps generated code small).
-UNROLL_MAX_EDGES = 256
-
 
 def bbox_overlaps(xmin: float, ymin: float, xmax: float, ymax: float, prefix: str = "") -> Column:
     """SPA-1 ``&&``: inclusive envelope overlap on the top-level bbox columns.
@@ -134,42 +130,32 @@ def on_boundary(parts: Column, px: Column, py: Column) -> Column:
 
 
 # ---------------------------------------------------------------- ray casting, literal polygon
-def _lit_edges(g: Geom):
-    return [(a, b) for a, b in g.edges()]
+def _edge_array(edges) -> Column:
+    """Literal segments as one constant array (folded by the optimizer), whatever their number."""
+    return F.array(*[F.struct(F.lit(float(x1)).alias("x1"), F.lit(float(y1)).alias("y1"),
+                              F.lit(float(x2)).alias("x2"), F.lit(float(y2)).alias("y2"))
+                     for (x1, y1), (x2, y2) in edges])
 
 
 def pip_inside_literal(g: Geom, px: Column, py: Column) -> Column:
-    """Ray casting against a literal polygon; edges unrolled into arithmetic."""
-    edges = [(a, b) for a, b in _lit_edges(g) if a[1] != b[1]]   # horizontal edges never cross
+    """Even-odd ray casting against a literal polygon: the crossed segments of one constant array."""
+    edges = [(a, b) for a, b in g.edges() if a[1] != b[1]]       # horizontal edges never cross
     if not edges:
         return F.lit(False)
-    if len(edges) > UNROLL_MAX_EDGES:
-        return pip_inside(g.to_column()["parts"], px, py)
-    terms = []
-    for (x1, y1), (x2, y2) in edges:
-        cond = ((F.lit(y1) > py) != (F.lit(y2) > py)) & (px < F.lit(x2 - x1) * (py - F.lit(y1)) / F.lit(y2 - y1) + F.lit(x1))
-        terms.append(F.when(cond, 1).otherwise(0))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return (total % 2) == 1
+    crossed = F.filter(_edge_array(edges), lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (
+        px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    return (F.size(crossed) % 2) == 1
 
 
 def on_boundary_literal(g: Geom, px: Column, py: Column) -> Column:
-    """Exact on-segment test against the literal's segments (unrolled)."""
-    edges = _lit_edges(g)
+    """Exact on-segment test against the literal's segments."""
+    edges = list(g.edges())
     if not edges:
         return F.lit(False)
-    if len(edges) > UNROLL_MAX_EDGES:
-        return on_boundary(g.to_column()["parts"], px, py)
-    conds = []
-    for (x1, y1), (x2, y2) in edges:
-        cross = F.lit(x2 - x1) * (py - F.lit(y1)) - F.lit(y2 - y1) * (px - F.lit(x1))
-        conds.append((cross == 0) & px.between(min(x1, x2), max(x1, x2)) & py.between(min(y1, y2), max(y1, y2)))
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+    return F.exists(_edge_array(edges), lambda e: (
+        ((e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) == 0)
+        & (px >= F.least(e["x1"], e["x2"])) & (px <= F.greatest(e["x1"], e["x2"]))
+        & (py >= F.least(e["y1"], e["y2"])) & (py <= F.greatest(e["y1"], e["y2"]))))
 
 
 def point_equals_literal(g: Geom, px: Column, py: Column) -> Column:

@@ -115,10 +115,12 @@ def with_colors(classes: list[dict], palette: str = "blues") -> list[dict]:
 def style_categorized(df: DataFrame, field: str, categories: DataFrame, default: str = DEFAULT_COLOR) -> DataFrame:
     """CLS-4 ``match``: compare the *text* of the value to each category value; no match / null -> default.
 
-    ``categories`` (value, color) holds at most 50 rows: broadcast left join.
+    ``categories`` (value, color) is broadcast when it is counted to hold at most
+    ``MAX_CATEGORIES`` rows; a longer table is joined as Catalyst chooses.
     """
     cats = categories.select(F.col("value").cast("string").alias("__cv"), F.col("color").alias("__cc"))
-    out = df.join(F.broadcast(cats), F.col(f"`{field}`").cast("string") == F.col("__cv"), "left")
+    few = cats.limit(MAX_CATEGORIES + 1).count() <= MAX_CATEGORIES
+    out = df.join(F.broadcast(cats) if few else cats, F.col(f"`{field}`").cast("string") == F.col("__cv"), "left")
     return out.withColumn("color", F.coalesce(F.col("__cc"), F.lit(default))).drop("__cv", "__cc")
 
 

@@ -45,7 +45,8 @@ from ..functions import spatial as K
 LEVEL_FACTOR = 8
 N_LEVELS = 10
 MAX_CELLS = 1024
-BROADCAST_MAX_ROWS = 2_000_000
+# Grid rows hold ids, boxes and cell numbers only (about 100 bytes): geometries are attached after the join.
+BROADCAST_MAX_ROWS = 500_000     # 50 MB
 SMALL_BROADCAST_ROWS = 200_000   # proven this small: broadcast without sizing the other side
 DEFAULT_CELL = 0.05            # degrees, when neither side suggests a size
 
@@ -326,14 +327,16 @@ def batch_radius(coll, probes: DataFrame, probe_id: str = "pid", lon: str = "lon
         dist = K.haversine_m(F.col("_xmin"), F.col("_ymin"), F.col("__plon"), F.col("__plat"))
         out = grid_join(feats, req, lambda: dist <= F.col("__prad"), cell=cell, features_are_points=True, **kw)
         return out.select(probe_id, "id", dist.alias("distance_m"))
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"), *_BOX)
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+    geoms = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"))
     if coll.geometry_type == "MultiPoint":
         vs = F.flatten(F.flatten(F.col("__fgeom")["parts"]))
         dist = F.array_min(F.transform(vs, lambda v: K.haversine_m(v["x"], v["y"], F.col("__plon"), F.col("__plat"))))
     else:
         from .relate import distance_to_point_column
         dist = distance_to_point_column(F.col("__fgeom"), F.col("__plon"), F.col("__plat"))
-    out = grid_join(feats, req, None, cell=cell, **kw).withColumn("distance_m", dist)
+    pairs = grid_join(feats, req, None, cell=cell, **kw).select(probe_id, "id", "__plon", "__plat", "__prad")
+    out = attach_geometry(pairs, geoms, "id", "__fgeom").withColumn("distance_m", dist)
     return out.filter(F.col("distance_m") <= F.col("__prad")).select(probe_id, "id", "distance_m")
 
 
@@ -367,10 +370,11 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
                                     polys_req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
             parts.append(pairs.filter(point_in_parts(F.col("__rgeom")["parts"], F.col("__px"), F.col("__py"), op)))
         if not req.filter(~is_poly).isEmpty():
-            pfeats = feats.withColumn("__fgeom", G.point(F.col("_xmin"), F.col("_ymin")))
-            parts.append(grid_join(pfeats, req.filter(~is_poly),
-                                   lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),
-                                   cell=cell, features_are_points=True, **kw))
+            others = req.filter(~is_poly)
+            pairs = grid_join(feats, others.drop("__rgeom"), None, cell=cell, features_are_points=True, **kw)
+            pairs = attach_geometry(pairs.select(geom_id, "id", G.point(F.col("_xmin"), F.col("_ymin")).alias("__fgeom")),
+                                    others.select(geom_id, "__rgeom"), geom_id, "__rgeom")
+            parts.append(pairs.filter(relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom"))))
         if not parts:
             schema = geoms.select(geom_id).schema.add("id", coll.df.schema[coll.id_column].dataType)
             return geoms.sparkSession.createDataFrame([], schema)
@@ -378,10 +382,12 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
         for extra in parts[1:]:
             out = out.unionByName(extra.select(geom_id, "id"))
         return out
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"), *_BOX)
-    out = grid_join(feats, req, lambda: relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom")),
-                    cell=cell, **kw)
-    return out.select(geom_id, "id")
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+    geoms_f = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"))
+    pairs = grid_join(feats, req.drop("__rgeom"), None, cell=cell, **kw).select(geom_id, "id")
+    pairs = attach_geometry(pairs, geoms_f, "id", "__fgeom")
+    pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
+    return pairs.filter(relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom"))).select(geom_id, "id")
 
 
 def batch_disjoint_counts(coll, geoms: DataFrame, geom_id: str = "gid", geom_col: str = "geom", **kw) -> DataFrame:

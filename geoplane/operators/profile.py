@@ -166,20 +166,22 @@ def exact_quantiles(df: DataFrame, field: str, probs: list[float], n: int | None
         return [None for _ in probs]
     at = [(n - 1) * float(p) for p in probs]
     low = [math.floor(h) for h in at]
-    values = select_ranks(base, "v", sorted({*low, *(min(k + 1, n - 1) for k in low)}))
+    found = select_ranks(base, "v", sorted({*low, *(min(k + 1, n - 1) for k in low)}))
+    values = {k: float(v) for k, (v, _) in found.items()}
     return [values[k] + (h - k) * (values[min(k + 1, n - 1)] - values[k]) for h, k in zip(at, low)]
 
 
-def select_ranks(base: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ranks of the ascending order of ``col`` (distributed selection, one path for every size).
+def select_ranks(base: DataFrame, col: str, ranks: list[int]) -> dict[int, tuple]:
+    """``rank: (value, values below it)`` for ascending 0-based ranks of ``col``; one path for every size.
 
     Equal values are counted first (map-side, so a hot value is one row), the
     distinct values are range-partitioned and checkpointed, and each
     partition's count tells which partition holds a rank.  Only those
     partitions -- one for each rank at most -- are ordered, each in its own
-    window, and the row whose running count passes the rank is read.
+    window, and the row whose running count passes the rank is read.  Nulls
+    are left out.
     """
-    counted = base.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = base.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     parts = (counted.repartitionByRange("v").withColumn("p", F.spark_partition_id()).checkpoint())
     sums = sorted((r["p"], r["n"]) for r in parts.groupBy("p").agg(F.sum("n").alias("n")).collect())   # one row each
     wanted, below, at = [], 0, 0
@@ -195,7 +197,8 @@ def select_ranks(base: DataFrame, col: str, ranks: list[int]) -> dict[int, float
     inside = parts.filter(F.col("p").isin(sorted({w[0] for w in wanted}))).withColumn("upto", running)
     hit = inside.join(F.broadcast(asked), "p").filter(
         (F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
-    return {r["rank"]: float(r["v"]) for r in hit.select("rank", "v").collect()}
+    ends = hit.select("rank", "v", (F.col("rank") - F.col("inside") + F.col("upto") - F.col("n")).alias("below"))
+    return {r["rank"]: (r["v"], r["below"]) for r in ends.collect()}
 
 
 def quantile_breaks(df: DataFrame, field: str, classes: int = 5, exact: bool = True,

@@ -3,7 +3,7 @@
 Every builder returns ``bbox prefilter AND exact refine``.  The prefilter is
 four comparisons on the top-level bbox columns, which Catalyst pushes into
 the Parquet scan.  The refine is a Catalyst expression for Point and
-MultiPoint features (unrolled literal tests, quantified over the vertices)
+MultiPoint features (literal tests, quantified over the vertices)
 and for point literals against (multi)polygon features; line/polygon pairs
 use the vectorised relate kernel (:mod:`geoplane.operators.relate`).
 
@@ -188,7 +188,7 @@ def _point_locations(g: Geom):
 def _refine_multipoint_feature(op: str, g: Geom, vs: Column) -> Column:
     """DE-9IM outcomes for a (multi)point feature given as its vertex array, against any literal.
 
-    Quantifiers over the vertices (``exists`` / ``forall``) with the unrolled
+    Quantifiers over the vertices (``exists`` / ``forall``) with the
     literal tests inside -- Catalyst expressions, no Python.
     """
     interior, boundary = _point_locations(g)

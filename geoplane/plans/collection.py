@@ -197,6 +197,28 @@ def page_links(n: int, limit: int, offset: int) -> dict:
     return out
 
 
+# Offsets up to this are skipped by one top-k task; deeper ones are found by rank first.
+TOP_OFFSET = 10_000
+
+
+def page_of(df: DataFrame, order_col: str, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset .. offset + limit`` of the ascending order of ``order_col`` (nulls last).
+
+    A plain top-k keeps offset + limit rows in one task.  Behind ``TOP_OFFSET``
+    the value at the offset is located by :func:`select_ranks` instead, and
+    only rows from that value on are ordered; the page is the same.
+    """
+    if offset > TOP_OFFSET:
+        from ..operators.profile import select_ranks
+        filled = df.filter(F.col(order_col).isNotNull()).count()
+        if offset >= filled:
+            return df.filter(F.col(order_col).isNull()).offset(offset - filled).limit(limit)
+        value, below = select_ranks(df.select(order_col), order_col, [offset])[offset]
+        df = df.filter((F.col(order_col) >= F.lit(value)) | F.col(order_col).isNull())
+        offset -= below
+    return df.orderBy(F.col(order_col).asc_nulls_last()).offset(offset).limit(limit)
+
+
 def items(coll: Collection, where: Column | None = None, *, bbox=None, bbox_crs=None, lon=None, lat=None,
           radius=None, datetime=None, crs: str | None = None, limit=DEFAULT_LIMIT, offset=0,
           geometry_as: str = "geojson") -> ItemsResult:
@@ -208,8 +230,7 @@ def items(coll: Collection, where: Column | None = None, *, bbox=None, bbox_crs=
     geom_text = G.to_geojson(geom) if geometry_as == "geojson" else G.to_wkt(geom)
     page = (filtered
             .select(F.col(coll.id_column).alias("id"), *project_properties(coll), geom_text.alias("geometry"))
-            .orderBy(F.col("id").asc_nulls_last())
-            .offset(off).limit(lim))
+            .transform(lambda d: page_of(d, "id", off, lim)))
     matched = filtered.select(F.count(F.lit(1)).alias("number_matched"))
     return ItemsResult(page=page, matched=matched, limit=lim, offset=off)
 

@@ -71,3 +71,15 @@ def test_no_machine_local_folder_off_local_masters():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_deep_pages_equal_the_plain_order(spark):
+    from pyspark.sql import functions as F
+
+    from geoplane.plans.collection import TOP_OFFSET, page_of
+    n = TOP_OFFSET + 500
+    df = spark.range(n).select(F.when(F.col("id") % 7 == 0, F.lit(3)).otherwise((F.col("id") * 7919) % 100003).alias("k"))
+    df = df.unionByName(spark.range(5).select(F.lit(None).cast("long").alias("k")))
+    every = sorted(r["k"] for r in df.collect() if r["k"] is not None) + [None] * 5
+    for off in (0, 40, TOP_OFFSET, TOP_OFFSET + 1, n - 3, n + 2, n + 50):
+        assert [r["k"] for r in page_of(df, "k", off, 6).collect()] == every[off:off + 6], off
