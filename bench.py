@@ -29,13 +29,17 @@ from pyspark.sql import functions as F  # noqa: E402
 from geoplane.functions.geometry import Geom  # noqa: E402
 from geoplane.operators import classify as CL  # noqa: E402
 from geoplane.operators import joins as J  # noqa: E402
+from geoplane.operators import mvt as MV  # noqa: E402
 from geoplane.operators import predicates as P  # noqa: E402
 from geoplane.operators import profile as PF  # noqa: E402
 from geoplane.operators import spatial as S  # noqa: E402
 from geoplane.operators import tiles as TL  # noqa: E402
 from geoplane.plans import collection as C  # noqa: E402
+from geoplane.plans import queries_imports as QI  # noqa: E402
 from geoplane.plans import tables as T  # noqa: E402
 from geoplane.session import local_session  # noqa: E402
+from geoplane.sources import csv as CSVS  # noqa: E402
+from geoplane.sources import geojson as GJ  # noqa: E402
 from geoplane.sources.export import write_feature_table  # noqa: E402
 
 POLY = Geom.from_wkt("POLYGON((-1.2345 43.1111, 4.4321 42.7777, 1.6543 45.5555, 6.1234 48.2222, "
@@ -124,6 +128,23 @@ def run_suite(spark, sf_dir, work, parts):
         res = C.items(cu, where, bbox=[0.0, 44.0, 6.0, 49.0], limit=25)
         run(C.page_with_count(res))
 
+    def q_til5_tile_bytes():
+        run(MV.tile_blobs(od, range(4, 9), ["o_orderstatus"]))
+
+    def q_spa6_within_areas():
+        areas = T.customer_areas(spark, sf_dir)
+        run(areas.df.filter(S.relate_literal(areas, "s_within", POLY)).select("id"))
+
+    def q_jn10_within_polygons():
+        n = T.nations(spark, sf_dir).df.select(F.col("id").alias("gid"), "geom")
+        run(J.batch_predicate(T.customer_areas(spark, sf_dir), n, "s_within"))
+
+    def q_src3_csv_import():
+        run(CSVS.read_csv_points(spark, QI._csv_folder(spark, sf_dir))[0])
+
+    def q_src1_geojson_import():
+        run(GJ.read_geojson(spark, QI._geojson_folder(spark, sf_dir))[0])
+
     queries = {
         "prd_scan_filter": q_prd_scan_filter,
         "spa1_bbox": q_spa1_bbox,
@@ -135,6 +156,11 @@ def run_suite(spark, sf_dir, work, parts):
         "cls2_quantile_classes": q_cls2_quantile_classes,
         "til7_tile_pyramid": q_til7_tile_pyramid,
         "items_page": q_items_page,
+        "til5_tile_bytes": q_til5_tile_bytes,
+        "spa6_within_areas": q_spa6_within_areas,
+        "jn10_within_polygons": q_jn10_within_polygons,
+        "src3_csv_import": q_src3_csv_import,
+        "src1_geojson_import": q_src1_geojson_import,
     }
     times = {}
     for name, fn in queries.items():
