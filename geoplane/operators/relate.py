@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Geom
 from ..functions.spatial import EARTH_RADIUS_M
 
-EPS_REL = 1e-9
 
 
 # ================================================================ geometry access
 class Shape:
     """Points, polylines and polygon rings of one geometry."""
 
-    __slots__ = ("dim", "points", "lines", "rings", "polys", "scale")
+    __slots__ = ("dim", "points", "lines", "rings", "polys")
 
     def __init__(self, gtype: str, parts):
         self.points, self.lines, self.rings, self.polys = [], [], [], []
@@ -48,9 +47,6 @@ class Shape:
                 if rings:
                     self.polys.append(rings)
                     self.rings.extend(rings)
-        vs = self.points + [v for ln in self.lines for v in ln] + [v for r in self.rings for v in r]
-        span = max((abs(c) for v in vs for c in v), default=1.0)
-        self.scale = max(span, 1.0)
 
     def segments(self):
         for ln in self.lines:
@@ -192,8 +188,26 @@ def _matrix(a: Shape, b: Shape) -> dict:
     return m
 
 
+def _interior_side(shape: Shape, mid, d, side: float) -> bool:
+    """Whether the area's interior lies on one side (1 left, -1 right) of its boundary at ``mid``.
+
+    Even-odd count of the segments that a ray from ``mid`` across the boundary
+    meets, the segments through ``mid`` left out: no step away from the
+    boundary, so no area is too thin to tell.
+    """
+    (mx, my), (dx, dy) = mid, d
+    odd = False
+    for p, q in shape.segments():
+        up, uq = (p[0] - mx) * dx + (p[1] - my) * dy, (q[0] - mx) * dx + (q[1] - my) * dy
+        if (up > 0) == (uq > 0) or _on_segment(mid, p, q):
+            continue
+        vp, vq = (p[1] - my) * dx - (p[0] - mx) * dy, (q[1] - my) * dx - (q[0] - mx) * dy
+        if side * (vp + (vq - vp) * up / (up - uq)) > 0:
+            odd = not odd
+    return odd
+
+
 def _side(a: Shape, b: Shape, mark) -> None:
-    eps = b.scale * EPS_REL * 100 + a.scale * EPS_REL * 100
     if a.dim == 0:
         for p in a.points:
             loc = b.locate(p)
@@ -217,22 +231,20 @@ def _side(a: Shape, b: Shape, mark) -> None:
                 mark("IB")
         return
     # polygon: boundary pieces, and the interior next to each piece
-    for mid, (dx, dy) in _pieces(a, b):
+    for mid, d in _pieces(a, b):
         loc = b.locate(mid)
         mark("B" + loc)
-        n = math.hypot(dx, dy) or 1.0
-        off = eps
-        left = (mid[0] - dy / n * off, mid[1] + dx / n * off)
-        right = (mid[0] + dy / n * off, mid[1] - dx / n * off)
-        inner = left if a.locate(left) == "I" else right
-        iloc = b.locate(inner)
-        if iloc == "B":
-            iloc = loc if loc != "B" else "I"
-        mark("I" + iloc, 2) if iloc == "I" else mark("I" + iloc)
-    # a polygon entirely inside the other one without boundary contact: its interior is b's
-    for r in a.rings[:1]:
-        if b.dim == 2 and b.locate(r[0]) == "I":
+        if b.dim < 2 or loc == "E":
+            mark("IE")                      # an area's interior next to a line or point is outside of it
+        elif loc == "I":
             mark("II", 2)
+        else:                               # a shared piece of boundary: compare the sides of the interiors
+            for side in (1.0, -1.0):
+                if _interior_side(a, mid, d, side):
+                    if _interior_side(b, mid, d, side):
+                        mark("II", 2)
+                    else:
+                        mark("IE")
     for p in _contacts(a, b):
         loc = b.locate(p)
         if loc != "E":

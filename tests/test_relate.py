@@ -187,3 +187,36 @@ def test_horizontal_segment_vs_box_closed_form(xs, c, b):
     assert relate(line, shp, "s_crosses") == (ii and (x1 < bx1 or x2 > bx2))
     assert relate(shp, line, "s_contains") == within
     assert relate(line, shp, "s_overlaps") is False and relate(line, shp, "s_equals") is False
+
+
+def test_thin_and_metric_areas_that_share_an_edge():
+    """Sides are told apart at any size: boxes from 1e-9 degrees to kilometres, and rotated ones."""
+    import math
+
+    from geoplane.operators.relate import Shape, relate
+
+    def box(x, y, w, h, turn=0.0):
+        pts = [(0, 0), (w, 0), (w, h), (0, h), (0, 0)]
+        c, s = math.cos(turn), math.sin(turn)
+        return Shape("Polygon", [[[(x + a * c - b * s, y + a * s + b * c) for a, b in pts]]])
+
+    for x, y, w in ((2.0, 48.0, 1e-6), (2.0, 48.0, 1e-9), (260000.0, 6250000.0, 3.0), (-5.0, 41.0, 2.0)):
+        left, right, both = box(x, y, w, w), box(x + w, y, w, w), box(x, y, 2 * w, w)
+        assert relate(left, both, "s_within") and not relate(left, both, "s_overlaps")
+        assert relate(both, left, "s_contains") and not relate(left, both, "s_touches")
+        shifted = box(x + w / 2, y, w, w)
+        assert relate(left, shifted, "s_overlaps") and not relate(left, shifted, "s_touches")
+        if x + w == left.rings[0][1][0]:
+            assert relate(left, right, "s_touches") and not relate(left, right, "s_overlaps")
+
+
+def test_holes_and_parts_that_share_edges():
+    from geoplane.operators.relate import Shape, relate
+    ring = lambda x1, y1, x2, y2: [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
+    holed = Shape("Polygon", [[ring(0, 0, 10, 10), ring(4, 4, 6, 6)]])
+    plug = Shape("Polygon", [[ring(4, 4, 6, 6)]])
+    assert relate(plug, holed, "s_touches") and not relate(plug, holed, "s_within")
+    assert relate(Shape("Polygon", [[ring(1, 1, 3, 3)]]), holed, "s_within")
+    two = Shape("MultiPolygon", [[ring(20, 0, 21, 1)], [ring(0, 0, 1, 1)]])
+    assert relate(two, Shape("Polygon", [[ring(0, 0, 1, 1)]]), "s_contains")
+    assert relate(Shape("MultiPolygon", [[ring(50, 50, 51, 51)], [ring(1, 1, 2, 2)]]), holed, "s_overlaps")
