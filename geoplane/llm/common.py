@@ -40,7 +40,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(spark, what)
     # rows may hold megabytes: look at the size of a row group more often than every hundred rows
     df.write.option("parquet.block.size.row.check.min", "8").option(
-        "parquet.page.size.row.check.min", "8").parquet(path)
+        "parquet.page.size.row.check.min", "8").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
