@@ -199,14 +199,21 @@ def scan_secrets(docs: DataFrame, rules: EntropyRules | None = None, id_col: str
 
 
 def redact_secrets(docs: DataFrame, rules: EntropyRules | None = None, text_col: str = "text",
-                   mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; all other columns and all rows stay as they are."""
+                   mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``mask``; all other columns and all rows stay as they are.
+
+    ``length_col``, where given and not null, gets the code points of texts that changed.
+    """
     prepare(docs.sparkSession)
     rules = rules or EntropyRules()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[text_col] = [redacted(t, find_spans(t, rules)[1], mask) for t in b[text_col]]
+            texts = [redacted(t, find_spans(t, rules)[1], mask) for t in b[text_col]]
+            if length_col:
+                b[length_col] = [n if t == old or pd.isna(n) else len(t)
+                                 for n, t, old in zip(b[length_col], texts, b[text_col], strict=True)]
+            b[text_col] = texts
             yield b
 
     return docs.mapInPandas(run, docs.schema)
