@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ _U = np.uint64
 def sizes(length: int) -> tuple[int, int, int]:
     """(gram, longest loop, window of grams) for strings of ``length`` bytes."""
     gram = max(4, length // 6)
-    loop = min(16, gram // 2)
+    loop = gram // 2
     return gram, loop, max(1, (length - gram - loop + 1) * 4 // 5)
 
 
@@ -105,7 +106,6 @@ class Cut:
         k, w, n = self.gram, self.window, self.n
         self.pos = np.zeros(0, dtype=np.int64)
         self.loops = np.zeros(0, dtype=np.int64)                 # starts of strings without an anchor
-        self.first = self.last = self.loops
         if n < k + w:
             return
         with np.errstate(over="ignore"):
@@ -199,6 +199,14 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[start], hi[np.concatenate([start[1:] - 1, [len(hi) - 1]])]
 
 
+def _packed(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text)
+
+
+def _unpacked(text: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(text) if text else b""
+
+
 def _i64(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, dtype=np.int64).tobytes()
 
@@ -207,6 +215,18 @@ def _from(b: bytes | None, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(b, dtype=kind) if b else np.zeros(0, dtype=kind)
 
 
+def _runs(at: np.ndarray) -> bytes:
+    """Ascending places as runs of neighbours: starts, then ends (exclusive)."""
+    return _i64(np.concatenate(_merged(at, at + 1)))
+
+
+def _places(runs: bytes | None) -> np.ndarray:
+    """The places of :func:`_runs`."""
+    lo, hi = _from(runs).reshape(2, -1)
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _counted(shard: int, keys: np.ndarray) -> pd.DataFrame:
     key, n = np.unique(keys.view(np.int64), return_counts=True)
     return pd.DataFrame({"key": key, "shard": np.full(len(key), shard), "n": n.astype(np.int64)})
@@ -214,8 +234,9 @@ def _counted(shard: int, keys: np.ndarray) -> pd.DataFrame:
 
 _KEYS = "key long, shard long, n long"
 _SHARDS = ("shard long, ids array<string>, bytes binary, sha array<string>, text binary, pos binary, grams binary, "
-           "pieces binary, loops binary")
-_PARTS = "shard long, ids array<string>, bytes binary, sha array<string>, which binary, text binary, ends binary, state binary"
+           "pieces binary, loops binary, loop_keys binary")
+_PARTS = ("shard long, ids array<string>, bytes binary, sha array<string>, which binary, text binary, ends binary, "
+          "anchors binary, grams binary, loops binary, live binary, copies binary")
 
 
 def _repeated(keys: DataFrame, what: str) -> DataFrame:
@@ -231,10 +252,11 @@ def _shards(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         c = Cut(data, np.cumsum(lengths), length)
         c.find()
         some = len(c.pos) > 0
+        keys, n = np.unique(c.loop_keys().view(np.int64), return_counts=True)       # a loop has few distinct strings
         return {"ids": [i for i, _ in rows], "bytes": _i64(lengths),
-                "sha": [hashlib.sha256(t).hexdigest() for _, t in rows], "text": data, "pos": _i64(c.pos),
+                "sha": [hashlib.sha256(t).hexdigest() for _, t in rows], "text": _packed(data), "pos": _i64(c.pos),
                 "grams": c.grams.tobytes() if some else b"", "pieces": c.pieces.tobytes() if some else b"",
-                "loops": _i64(c.loops)}
+                "loops": _runs(c.loops), "loop_keys": _i64(np.concatenate([keys, n]))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
@@ -255,47 +277,75 @@ def _shards(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return written(src.mapInPandas(run, _SHARDS), "shards")
 
 
-def _gram_keys(shards: DataFrame, length: int) -> DataFrame:
+def _copies(shards: DataFrame, length: int) -> DataFrame:
+    """``shard, key, total``: places of texts of ``length`` bytes and more that occur whole more than once.
+
+    ``total`` is 1 for the one place of each such text that stands for all of
+    them in the search; every byte of every copy is covered, whatever else
+    repeats, so the others need not be searched.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                keys = [mixed(_from(r.grams, "<u8"), 3)]
-                if r.loops:
-                    c = Cut(r.text, np.cumsum(_from(r.bytes)), length)
-                    c.loops = _from(r.loops)
-                    keys.append(c.loop_keys())
-                yield _counted(r.shard, np.concatenate(keys))
+            for shard, sizes_of, sha in zip(b["shard"], b["bytes"], b["sha"], strict=True):
+                at = np.flatnonzero(_from(sizes_of) >= length)
+                if len(at):
+                    yield pd.DataFrame({"shard": np.full(len(at), shard), "key": at, "sha": [sha[i] for i in at]})
+
+    texts = shards.select("shard", "bytes", "sha").mapInPandas(run, "shard long, key long, sha string")
+    # a text's copies are one row each of three numbers and a hash; a hot one is counted map-side first
+    many = texts.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("shard", "key")).alias("one")).filter("n > 1")
+    first = (F.col("shard") == F.col("one.shard")) & (F.col("key") == F.col("one.key"))
+    return written(texts.join(many, "sha").select("shard", "key", first.cast("long").alias("total")), "copies")
+
+
+def _searched(pos: np.ndarray, ends: np.ndarray, copies: pd.DataFrame) -> np.ndarray:
+    """Which positions of a shard lie in texts that are searched."""
+    left_out = copies["key"][copies["total"] == 0].to_numpy(dtype=np.int64)
+    return ~np.isin(np.searchsorted(ends, pos, "right"), left_out)
+
+
+def _gram_keys(shards: DataFrame, copies: DataFrame) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["key", "shard", "n"])
+        r = left.iloc[0]
+        grams = _from(r["grams"], "<u8")[_searched(_from(r["pos"]), np.cumsum(_from(r["bytes"])), right)]
+        keys, n = _from(r["loop_keys"]).reshape(2, -1)
+        loops = pd.DataFrame({"key": keys, "shard": np.full(len(keys), r["shard"]), "n": n})
+        return pd.concat([_counted(r["shard"], mixed(grams, 3)), loops])
 
-    # the text is read again only for shards with looping strings
-    need = F.when(F.length("loops") > 0, F.col("text")).alias("text")
-    return shards.select("shard", "bytes", need, "grams", "loops").mapInPandas(run, _KEYS)
+    return shards.select("shard", "bytes", "pos", "grams", "loop_keys").groupBy("shard").cogroup(
+        copies.groupBy("shard")).applyInPandas(run, _KEYS)
 
 
-def _parts(shards: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+def _parts(shards: DataFrame, hits: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """Each shard with the texts that may hold a repeat, and the transform of their repeated anchors."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=[c.split()[0] for c in _PARTS.split(", ")])
         r = left.iloc[0]
-        twice = np.sort(right["key"].to_numpy(dtype=np.int64))
+        twice = np.sort(right["key"][right["kind"] == 0].to_numpy(dtype=np.int64))
+        places = right[right["kind"] == 1]
         lengths = _from(r["bytes"])
         ends = np.cumsum(lengths)
         starts = ends - lengths
+        whole = _unpacked(r["text"])
         pos, grams, pieces = _from(r["pos"]), _from(r["grams"], "<u8"), _from(r["pieces"], "<u8")
         keys = mixed(grams, 3).view(np.int64)
-        live = np.isin(keys, twice)
+        live = np.isin(keys, twice) & _searched(pos, ends, places)
         owner = np.searchsorted(ends, pos, "right")
-        loops = _from(r["loops"])
+        loops = _places(r["loops"])
+        loops = loops[_searched(loops, ends, places)]
         looped = np.zeros(0, dtype=np.int64)
         if len(loops):
-            c = Cut(r["text"], ends, length)
+            c = Cut(whole, ends, length)
             c.loops = loops
             looped = loops[np.isin(c.loop_keys().view(np.int64), twice)]
         which = np.unique(np.concatenate([owner[live], np.searchsorted(ends, looped, "right")]))
         shift = np.zeros(len(lengths), dtype=np.int64)           # from the shard's to the part's offsets
         part_ends = np.cumsum(lengths[which])
         shift[which] = part_ends - lengths[which] - starts[which]
-        text = b"".join(r["text"][starts[i]:ends[i]] for i in which)
+        text = b"".join(whole[starts[i]:ends[i]] for i in which)
         i = np.flatnonzero(live)
         chained = np.zeros(len(i), dtype=bool)
         if len(i) > 1:
@@ -307,78 +357,93 @@ def _parts(shards: DataFrame, hits: DataFrame, length: int) -> DataFrame:
         end = a + sizes(length)[0]
         goes_on = np.full(len(i), -1, dtype=np.int64)
         goes_on[:-1] = np.where(chained[:-1], a[1:], -1)
-        state = {"a": a[rows], "key": keys[i][rows], "gram": keys[i][rows], "end": end[rows], "proven": end[rows],
-                 "prev": np.where(first[rows], -1, lf), "before": np.roll(pieces[i], 1)[rows], "next": goes_on[rows],
-                 "live": np.ones(len(i), dtype=bool), "loops": looped + shift[np.searchsorted(ends, looped, "right")]}
+        live = {"row": np.arange(len(i)), "a": a[rows], "prev": np.where(first[rows], -1, lf),
+                "before": np.roll(pieces[i], 1)[rows], "next": goes_on[rows], "key": keys[i][rows], "end": end[rows]}
         return pd.DataFrame([{"shard": r["shard"], "ids": r["ids"], "bytes": r["bytes"], "sha": r["sha"],
-                              "which": _i64(which), "text": text, "ends": _i64(part_ends),
-                              "state": pickle.dumps(state)}])
+                              "which": _i64(which), "text": _packed(text), "ends": _i64(part_ends), "anchors": _i64(a),
+                              "grams": _i64(keys[i]), "loops": _runs(looped + shift[np.searchsorted(ends, looped, "right")]),
+                              "live": pickle.dumps(_narrow(live)), "copies": _i64(places["key"].to_numpy(dtype=np.int64))}])
 
-    out = shards.groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(run, _PARTS)
+    right = hits.select("shard", "key", F.lit(0).alias("kind")).unionByName(
+        copies.select("shard", "key", F.lit(1).alias("kind"), "total"), allowMissingColumns=True)
+    out = shards.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(run, _PARTS)
     return written(out, "parts")
 
 
-def _live_keys(state: DataFrame) -> DataFrame:
+def _narrow(live: dict) -> dict:
+    """The same rows with positions and row numbers in four bytes where they fit."""
+    return {k: v.astype(np.int32) if k not in ("before", "key") and (not len(v) or v.max() < 1 << 31) else v
+            for k, v in live.items()}
+
+
+_LIVE = "shard long, kind int, rows binary"
+
+
+def _live_keys(live: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, raw in zip(b["shard"], b["state"], strict=True):
-                s = pickle.loads(raw)
-                if s["live"].any():
-                    yield _counted(shard, s["key"][s["live"]])
+            for shard, raw in zip(b["shard"], b["rows"], strict=True):
+                yield _counted(shard, pickle.loads(raw)["key"])
 
-    return state.mapInPandas(run, _KEYS)
+    return live.mapInPandas(run, _KEYS)
 
 
-def _step(s: dict, twice: np.ndarray | None, length: int) -> dict:
-    """One refinement of a shard's rows: settle the blocks counted once, extend the others by the symbol before.
+def _step(s: dict, twice: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray, dict]:
+    """One refinement of a shard's live rows.
 
-    ``twice`` holds the repeated keys of this depth (None at the start, whose blocks are all repeated).
+    ``twice`` holds the repeated keys of this depth (None at the start, whose
+    blocks are all repeated).  Rows in blocks counted once are settled and
+    leave; the others prove their run repeated, and each goes on to the suffix
+    one symbol longer, unless that one's own block is settled or its proven run
+    is long enough.  Returns the proven runs of ``length`` bytes and more, and
+    the rows of the next depth.
     """
-    rows = np.flatnonzero(s["live"])
-    if twice is not None:
-        rows = rows[np.isin(s["key"][rows], twice)]
-    proven = s["proven"].copy()
-    proven[rows] = s["end"][rows]
-    member = np.zeros(len(proven), dtype=bool)
-    member[rows] = True
-    to = s["prev"][rows]
-    rows, to = rows[to >= 0], to[to >= 0]
-    # the longer suffix goes on only while it is in a repeated block itself and its proven run is short
-    more = member[to] & (proven[to] < s["next"][to] + length)
-    rows, to = rows[more], to[more]
-    out = dict(s)
-    out["proven"] = proven
-    out["live"] = np.zeros(len(proven), dtype=bool)
-    out["live"][to] = True
-    out["key"], out["end"] = s["key"].copy(), s["end"].copy()
-    out["key"][to] = mixed(s["before"][rows], s["key"][rows].view(np.uint64)).view(np.int64)
-    out["end"][to] = s["end"][rows]
-    return out
-
-
-def _refined(parts: DataFrame, length: int) -> DataFrame:
-    """``shard, state`` after the last refinement."""
-    schema = "shard long, state binary"
+    keep = np.arange(len(s["key"])) if twice is None else np.flatnonzero(np.isin(s["key"], twice))
+    s = {k: v[keep] for k, v in s.items()}
+    far = s["end"].astype(np.int64) - s["a"] >= length
+    lo, hi = _merged(s["a"][far].astype(np.int64), s["end"][far].astype(np.int64))
+    order = np.argsort(s["row"])
+    place = np.searchsorted(s["row"], s["prev"], sorter=order)
+    to = order[np.minimum(place, len(order) - 1)] if len(order) else place
+    goes = (s["prev"] >= 0) & (s["row"][to] == s["prev"]) if len(order) else np.zeros(0, dtype=bool)
+    goes &= s["end"][to].astype(np.int64) < s["next"][to].astype(np.int64) + length if len(order) else goes
+    rows, to = np.flatnonzero(goes), to[goes]
+    longer = {k: s[k][to] for k in ("row", "a", "prev", "before", "next")}
+    longer["key"] = mixed(s["before"][rows], s["key"][rows].view(np.uint64)).view(np.int64)
+    longer["end"] = s["end"][rows]
+    return lo, hi, longer
+
+
+def _refined(parts: DataFrame, length: int) -> list[DataFrame]:
+    """``shard, rows`` tables of the runs that the refinement of the interleave proves repeated (starts, then ends)."""
+    columns = ["shard", "kind", "rows"]
+
+    def settled(shard: int, s: dict, twice: np.ndarray | None) -> list[tuple]:
+        lo, hi, longer = _step(s, twice, length)
+        out = [(shard, 0, _i64(np.concatenate([lo, hi])))] if len(lo) else []
+        return out + ([(shard, 1, pickle.dumps(longer))] if len(longer["key"]) else [])
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["state"] = [pickle.dumps(_step(pickle.loads(x), None, length)) for x in b["state"]]
-            yield b
+            rows = [x for shard, raw in zip(b["shard"], b["live"], strict=True)
+                    for x in settled(shard, pickle.loads(raw), None)]
+            yield pd.DataFrame(rows, columns=columns)
 
     def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=["shard", "state"])
         twice = np.sort(right["key"].to_numpy(dtype=np.int64))
-        left["state"] = [pickle.dumps(_step(pickle.loads(x), twice, length)) for x in left["state"]]
-        return left
+        rows = [x for shard, raw in zip(left["shard"], left["rows"], strict=True)
+                for x in settled(shard, pickle.loads(raw), twice)]
+        return pd.DataFrame(rows, columns=columns)
 
-    state = written(parts.select("shard", "state").mapInPandas(start, schema), "interleave")
+    now = written(parts.select("shard", "live").mapInPandas(start, _LIVE), "interleave")
+    proven = []
     while True:
-        keys = _live_keys(state)
-        if keys.isEmpty():
-            return state
-        hits = _repeated(keys, "blocks")
-        state = written(state.groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(step, schema), "interleave")
+        proven.append(now.filter("kind = 0").select("shard", "rows"))
+        live = now.filter("kind = 1")
+        if live.isEmpty():
+            return proven
+        hits = _repeated(_live_keys(live.select("shard", "rows")), "blocks")
+        now = written(live.groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(step, _LIVE), "interleave")
 
 
 def _around(a: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -388,28 +453,31 @@ def _around(a: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     return np.maximum(start, a - (length - gram)), np.minimum(ends[text], a + length)
 
 
-def _open_keys(parts_state: DataFrame, length: int) -> DataFrame:
-    """``gram``: first blocks of the anchors around which proven runs leave a byte open; each shard's once."""
+def _open_keys(parts: DataFrame, proven: DataFrame, length: int) -> DataFrame:
+    """``key``: first blocks of the anchors around which proven runs leave a byte open; each shard's once."""
     gram = sizes(length)[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for ends, raw in zip(b["ends"], b["state"], strict=True):
-                s = pickle.loads(raw)
-                if not len(s["a"]):
-                    continue
-                ends = _from(ends)
-                far = s["proven"] - s["a"] >= length
-                covered = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
-                np.add.at(covered, s["a"][far], 1)
-                np.add.at(covered, s["proven"][far], -1)
-                np.add.at(covered, s["loops"], 1)
-                np.add.at(covered, s["loops"] + length, -1)
-                holes = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) == 0)])
-                lo, hi = _around(s["a"], ends, length, gram)
-                yield pd.DataFrame({"key": np.unique(s["gram"][(holes[hi] > holes[lo]) & (hi - lo >= length)])})
-
-    return parts_state.mapInPandas(run, "key long")
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys = np.zeros(0, dtype=np.int64)
+        for x in left.itertuples():
+            a, ends = _from(x.anchors), _from(x.ends)
+            loops, loops_end = _from(x.loops).reshape(2, -1)
+            if not len(a):
+                continue
+            covered = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
+            for raw in right["rows"]:
+                lo, hi = _from(raw).reshape(2, -1)
+                np.add.at(covered, lo, 1)
+                np.add.at(covered, hi, -1)
+            np.add.at(covered, loops, 1)
+            np.add.at(covered, loops_end - 1 + length, -1)
+            holes = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) == 0)])
+            lo, hi = _around(a, ends, length, gram)
+            keys = np.unique(_from(x.grams)[(holes[hi] > holes[lo]) & (hi - lo >= length)])
+        return pd.DataFrame({"key": keys})
+
+    return parts.select("shard", "ends", "anchors", "grams", "loops").groupBy("shard").cogroup(
+        proven.groupBy("shard")).applyInPandas(run, "key long")
 
 
 _FOUND = "kind int, key long, shard long, n long, rows binary, left long, around binary"
@@ -424,7 +492,7 @@ def _compared(parts: DataFrame, asked: DataFrame, length: int, paired: int) -> D
         if not len(left) or not len(right):
             return empty
         r = left.iloc[0]
-        s, ends, text = pickle.loads(r["state"]), _from(r["ends"]), r["text"]
+        s, ends, text = {"a": _from(r["anchors"]), "gram": _from(r["grams"])}, _from(r["ends"]), _unpacked(r["text"])
         few = np.sort(right["key"][right["total"] <= paired].to_numpy(dtype=np.int64))
         many = np.sort(right["key"][right["total"] > paired].to_numpy(dtype=np.int64))
         lo, hi = _around(s["a"], ends, length, gram)
@@ -518,10 +586,11 @@ def _removed(parts: DataFrame, results: DataFrame, length: int) -> DataFrame:
         if not len(left):
             return pd.DataFrame(columns=columns)
         r = left.iloc[0]
-        s, ends, text = pickle.loads(r["state"]), _from(r["ends"]), r["text"]
+        s, ends, text = {"a": _from(r["anchors"]), "gram": _from(r["grams"])}, _from(r["ends"]), _unpacked(r["text"])
+        loops, loops_end = _from(r["loops"]).reshape(2, -1)
         # runs that the merge proved, looping strings, and the ends of runs
         proven = right[right["kind"] == 0]
-        lo, hi = [s["loops"]], [s["loops"] + length]
+        lo, hi = [loops], [loops_end - 1 + length]
         for raw in proven["rows"]:
             a, e = _from(raw).reshape(2, -1)
             lo.append(a)
@@ -542,7 +611,14 @@ def _removed(parts: DataFrame, results: DataFrame, length: int) -> DataFrame:
         lengths = _from(r["bytes"])
         out = [(i, int(n), 0, 0, h, []) for i, n, h in zip(r["ids"], lengths, r["sha"], strict=True)]
         which = _from(r["which"])
+        nothing = hashlib.sha256(b"").hexdigest()
+        for k in _from(r["copies"]):
+            n = int(lengths[k])
+            out[k] = (r["ids"][k], n, n, 1, nothing, [{"start": 0, "end": n}])
+        settled = set(_from(r["copies"]).tolist())
         for t in np.unique(owner):
+            if int(which[t]) in settled:
+                continue
             a, b = _merged(lo[owner == t], hi[owner == t])
             start, end = int(ends[t - 1]) if t else 0, int(ends[t])
             edge = np.concatenate([[start], np.ravel(np.column_stack([a, b])), [end]])
@@ -557,21 +633,6 @@ def _removed(parts: DataFrame, results: DataFrame, length: int) -> DataFrame:
     return parts.groupBy("shard").cogroup(results.groupBy("shard")).applyInPandas(run, _RESULT)
 
 
-def _proven(state: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for shard, raw in zip(b["shard"], b["state"], strict=True):
-                s = pickle.loads(raw)
-                far = s["proven"] - s["a"] >= length
-                lo, hi = _merged(s["a"][far], s["proven"][far])
-                if len(lo):
-                    rows.append((shard, 0, 0, _i64(np.concatenate([lo, hi])), 0, 0))
-            yield pd.DataFrame(rows, columns=["shard", "kind", "key", "rows", "l", "r"])
-
-    return state.mapInPandas(run, _EXTENT)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
                    paired: int = PAIRED) -> DataFrame:
     """One row per row of ``docs``: which bytes a string of ``length`` bytes covers that also starts elsewhere.
@@ -591,19 +652,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         raise ValueError("strings of at least 16 bytes")
     prepare(docs.sparkSession)
     shards = _shards(docs, length, shard_bytes)
-    hits = _repeated(_gram_keys(shards, length), "grams")
-    parts = _parts(shards, hits.select("shard", "key"), length)
-    state = _refined(parts, length)
-    with_ends = state.join(parts.select("shard", "ends"), "shard")
-    open_keys = _open_keys(with_ends, length).distinct()
+    copies = _copies(shards, length)
+    hits = _repeated(_gram_keys(shards, copies), "grams")
+    parts = _parts(shards, hits.select("shard", "key"), copies, length)
+    proven = functools.reduce(DataFrame.unionByName, _refined(parts, length))
+    open_keys = _open_keys(parts, proven, length).distinct()
     asked = written(hits.join(open_keys, "key", "left_semi"), "asked")
-    found = _compared(parts.select("shard", "text", "ends", "state"), asked, length, paired)
+    found = _compared(parts.select("shard", "text", "ends", "anchors", "grams"), asked, length, paired)
     counted = _repeated(found.filter("kind = 2").select("key", "shard", "n"), "strings")
-    none = F.lit(None).cast("binary")
-    results = (_extents(found, length).unionByName(_proven(state, length))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    results = (_extents(found, length)
+               .unionByName(proven.select("shard", F.lit(0).alias("kind"), zero.alias("key"), "rows",
+                                          zero.alias("l"), zero.alias("r")))
                .unionByName(counted.select("shard", F.lit(2).alias("kind"), "key", none.alias("rows"),
-                                           F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r")))
+                                           zero.alias("l"), zero.alias("r")))
                .unionByName(asked.filter(F.col("total") > paired).select(
-                   "shard", F.lit(3).alias("kind"), "key", none.alias("rows"),
-                   F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))))
-    return _removed(parts, results, length)
+                   "shard", F.lit(3).alias("kind"), "key", none.alias("rows"), zero.alias("l"), zero.alias("r"))))
+    return _removed(parts.drop("live"), results, length)
