@@ -29,6 +29,8 @@ from geoplane.llm.components import connected_components
 
 SEGMENT_BITS = 32
 MAX_BITS = 2
+# Ids dropped by broadcast up to this many (8 bytes each); beyond it the anti join shuffles.
+BROADCAST_IDS = 1_000_000
 # Variants with more members than this are linked through one-flip codes.
 PAIRED_MEMBERS = 24
 
@@ -142,12 +144,16 @@ def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -
     without an id cannot be named as copies of another and are all kept.
     """
     prepare(docs.sparkSession)
-    groups = simhash_groups(docs, shingle, max_bits).filter("doc_id = component_id")
-    stay = written(groups.groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n")), "stay")
-    unnamed = docs.filter("doc_id is null")
-    kept = docs.join(stay.select("__keep"), F.col("doc_id") == F.col("__keep"), "left_semi").unionByName(unnamed)
-    if stay.filter("__n > 1").isEmpty():
+    ids = simhash_groups(docs, shingle, max_bits).filter("doc_id is not null").groupBy(
+        F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__stays"),
+                                           F.count(F.lit(1)).alias("__n"))
+    ids = written(ids, "stay")
+    gone = ids.filter("not __stays").select("__id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    if ids.filter("__stays and __n > 1").isEmpty():
         return kept
     w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     named = kept.filter("doc_id is not null").withColumn("__r", F.row_number().over(w)).filter("__r = 1")
-    return named.select(*docs.columns).unionByName(unnamed)
+    return named.select(*docs.columns).unionByName(kept.filter("doc_id is null"))
