@@ -6,6 +6,8 @@ tree halves space between two random points of a bounded sample until a leaf
 holds few of them.  A query walks all trees through one shared priority queue,
 the least distance to a crossed boundary first, and takes leaves until they
 hold a given number of vectors; the members of those leaves are ranked exactly.
+That number is measured on the table itself: some of the queries are answered
+by brute force first, and the queue goes on until it holds their neighbours.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ TREES = 16
 SAMPLE = 20_000             # vectors that the trees are fitted on
 LEAF = 24                   # sample points in a leaf at most
 BLOCK = 4096                # vectors that a task ranks at once
-FACTOR, POWER = 8.0, 0.75   # a query's leaves hold FACTOR * n ** POWER vectors (all of a small table)
+FACTOR, POWER = 8.0, 0.75   # a query's leaves hold at least FACTOR * n ** POWER vectors (all of a small table)
+PROBES = 128                # queries answered by brute force before the search
+RECALL = 0.95               # share of their neighbours that the leaves must hold
 SPARE = 6                   # more sample neighbours than asked for that set a query's pruning bound
 
 
@@ -134,10 +138,67 @@ def fit(sample: np.ndarray, max_norm: float, trees: int = TREES, leaf: int = LEA
 
 
 def budget(n: int, trees: int) -> int:
-    """How many vectors, counted once a tree, a query's leaves hold; everything up to 2,000 vectors."""
+    """How many vectors, counted once a tree, a query's leaves hold at least; everything up to 2,000 vectors."""
     return max(int(FACTOR * n ** POWER), min(n, 2000) * trees)
 
 
+def needed(forest: Forest, query: np.ndarray, sizes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """The least budget with which ``query`` visits each vector, given the vectors' leaves (rows x trees)."""
+    order = np.array(forest.visited(query, sizes, int(sizes.sum()) + 1), dtype=np.int64)
+    before = np.full(len(sizes), sizes.sum(), dtype=np.int64)
+    before[order] = np.cumsum(sizes[order]) - sizes[order]
+    return before[leaves].min(axis=1) + 1
+
+
+def measured_budget(placed: DataFrame, shared, sizes: np.ndarray, k: int, probes: int = PROBES,
+                    recall: float = RECALL) -> int:
+    """The least budget whose leaves hold ``recall`` of the ``k`` nearest vectors of ``probes`` queries.
+
+    The probes are chosen by hash of the id; their neighbours are found by brute force in one scan.
+    """
+    spark = placed.sparkSession
+    chosen = (placed.filter("asks").select("rep", "v").orderBy(F.xxhash64("rep", F.lit(11)), "rep")
+              .limit(probes).collect())
+    if not chosen:
+        return 0
+    own = np.array([r["rep"] for r in chosen], dtype=np.int64)
+    plan = spark.sparkContext.broadcast((own, np.array([np.frombuffer(r["v"]) for r in chosen]), sizes))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q, _ = plan.value
+        score = np.full((len(q), k), -np.inf)
+        places = None
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.frombuffer(b"".join(b["v"])).reshape(len(b), -1)
+            leaf = np.array(b["leaves"].tolist(), dtype=np.int64).reshape(len(b), -1)
+            if places is None:
+                places = np.zeros((len(q), k, leaf.shape[1]), dtype=np.int64)
+            new = q @ x.T
+            new[own[:, None] == b["rep"].to_numpy()[None, :]] = -np.inf
+            both = np.hstack([score, new])
+            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            score = np.take_along_axis(both, top, axis=1)
+            old = top < k
+            places = np.where(old[:, :, None],
+                              np.take_along_axis(places, np.minimum(top, k - 1)[:, :, None], axis=1),
+                              leaf[np.maximum(top - k, 0)])
+        if places is not None:
+            i, j = np.nonzero(score > -np.inf)
+            yield pd.DataFrame({"probe": i, "score": score[i, j], "leaves": list(places[i, j])})
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        _, q, sizes = plan.value
+        near = rows.nlargest(k, "score")
+        leaves = np.array(near["leaves"].tolist(), dtype=np.int64)
+        return pd.DataFrame({"need": needed(shared.value, q[int(near["probe"].iloc[0])], sizes, leaves)})
+
+    found = placed.select("rep", "v", "leaves").mapInPandas(scan, "probe long, score double, leaves array<long>")
+    need = np.sort([r["need"] for r in found.groupBy("probe").applyInPandas(walk, "need long").collect()])
+    return int(need[int(np.ceil(recall * len(need))) - 1]) if len(need) else 0
+
+
 def usable(vec: Column, dim: int) -> Column:
     """Vectors of ``dim`` finite, non-null components that are not all zero."""
     return ((F.size(vec) == dim)
@@ -168,7 +229,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     query never finds its own id; fewer candidates than ``k`` are all returned.
 
     The trees are fitted on at most about ``sample`` distinct vectors, chosen
-    by hash of the id; every vector is indexed.  Equal vectors are one entry
+    by hash of the id; every vector is indexed.  How many leaves a query takes
+    is measured on a sample of the queries (``measured_budget``).  Equal vectors are one entry
     with their k + 1 smallest ids (no query can need more), so a group of
     copies of any size costs one candidate.  Vectors that are null, zero, of
     another length than most, or hold a null or non-finite component, and rows
@@ -217,6 +279,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     group, parts = _packed(sizes, tree_of, block)
     plan = spark.sparkContext.broadcast((sizes, group, parts))
     wanted = budget(n, trees)
+    if n > 2000:
+        wanted = max(wanted, measured_budget(placed, shared, sizes, k))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, group, parts = plan.value

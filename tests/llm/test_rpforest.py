@@ -57,6 +57,21 @@ def test_a_bounded_sample_still_indexes_every_row(spark):
     assert np.mean(hit) >= 0.9
 
 
+def test_recall_holds_where_the_search_prunes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    took = []
+    measured = R.measured_budget
+    monkeypatch.setattr(R, "measured_budget", lambda *a: took.append(measured(*a)) or took[-1])
+    got = R.nearest(df, F.col("vec_id") % 80 == 0, k=20, trees=4, sample=2000).toPandas()
+    hit = [np.isin(np.argsort(-np.where(np.arange(8000) == q, -np.inf, x @ x[q]))[:20], got.vec_id[got.query_id == q]).mean()
+           for q in range(0, 8000, 80)]
+    assert np.mean(hit) >= 0.95
+    assert R.budget(8000, 4) < took[0] < 4 * 8000
+
+
 def test_leaves_hold_the_sample_and_the_queue_visits_everything_on_demand():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 4))
