@@ -175,9 +175,14 @@ class Coder:
     worker has not met are encoded in one multithreaded call, decoded again
     and kept; texts are gathered from the table.  Other models encode whole
     texts in one multithreaded call.
+
+    With a ``reference`` processor, each word is also encoded by the reference
+    as it is learnt, and each text's words must join to the reference's
+    normalised text: no piece goes past a marker, so the reference's ids of a
+    text are those of its words one after the other.
     """
 
-    def __init__(self, spec: Spec, cache_words: int = CACHE_WORDS):
+    def __init__(self, spec: Spec, cache_words: int = CACHE_WORDS, reference=None):
         from tokenizers import Tokenizer
 
         self.spec, self.cache_words = spec, cache_words
@@ -186,6 +191,9 @@ class Coder:
         self.word_tok = Tokenizer(self.full.model)
         self.word_tok.decoder = self.full.decoder
         self.plain = not spec.charsmap and not spec.remove_extra_whitespaces
+        # normalising a word again must change nothing, and a marker alone must be a piece
+        self.reference = reference if (reference is not None and self.by_word and self.plain and reference.piece_to_id(
+            META) != reference.unk_id()) else None
         self._reset()
 
     def _reset(self) -> None:
@@ -193,6 +201,7 @@ class Coder:
         self.flat = np.empty(1 << 16, dtype=np.int32)
         self.start = np.zeros(1, dtype=np.int64)
         self.good = np.zeros(0, dtype=bool)
+        self.same = np.zeros(0, dtype=bool)
 
     def _words(self, text: str) -> list[str]:
         """The marker-bounded words of the normalised text, with spaces for markers."""
@@ -210,6 +219,7 @@ class Coder:
         back = self.word_tok.decode_batch(ids, skip_special_tokens=False)
         cut = self.spec.add_dummy_prefix
         good = [b == (w[1:] if cut and w[0] == " " else w) for b, w in zip(back, words, strict=True)]
+        same = self._agrees(words, ids)
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         at = self.start[len(self.index)]
         ends = at + np.cumsum(lengths)
@@ -222,24 +232,40 @@ class Coder:
         if k + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.empty(k + 1, dtype=np.int64)])
             self.good = np.concatenate([self.good, np.empty(k + 1, dtype=bool)])
+            self.same = np.concatenate([self.same, np.empty(k + 1, dtype=bool)])
         self.start[k - len(words) + 1:k + 1] = ends
         self.good[k - len(words):k] = good
+        self.same[k - len(words):k] = same
+
+    def _agrees(self, words: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the reference gives each word the same ids (it puts the first marker itself)."""
+        if self.reference is None:
+            return [False] * len(words)
+        cut = self.spec.add_dummy_prefix
+        expected = self.reference.encode([w[1:] if cut else w for w in words], num_threads=1)
+        marker = [self.reference.piece_to_id(META)]
+        return [i == (marker if w == " " else e) for i, e, w in zip(ids, expected, words, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Token ids of each whole text, and whether decoding them gives the text back."""
+        return self.checked(texts)[:2]
+
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool] | None]:
+        """``encode``, and whether the reference agrees on each text (None: it was not asked word by word)."""
         if not self.by_word:
             coded = self.full.encode_batch_fast(texts, add_special_tokens=False)
             back = self.full.decode_batch([e.ids for e in coded], skip_special_tokens=False)
             return ([np.asarray(e.ids, dtype=np.int32) for e in coded],
-                    [b == t for b, t in zip(back, texts, strict=True)])
+                    [b == t for b, t in zip(back, texts, strict=True)], None)
         if len(self.index) > self.cache_words:
             self._reset()
         words = [self._words(t) for t in texts]
         new = list(set(itertools.chain.from_iterable(words)) - self.index.keys())
         for lo in range(0, len(new), CALL_WORDS):
             self._learn(new[lo:lo + CALL_WORDS])
-        ids, restored = [], []
-        for text, own in zip(texts, words, strict=True):
+        normal = None if self.reference is None else self.reference.normalize(texts)
+        ids, restored, same = [], [], []
+        for i, (text, own) in enumerate(zip(texts, words, strict=True)):
             at = np.fromiter(map(self.index.__getitem__, own), dtype=np.int64, count=len(own))
             lo = self.start[at]
             n = self.start[at + 1] - lo
@@ -247,10 +273,12 @@ class Coder:
             total = int(ends[-1]) if len(ends) else 0
             ids.append(self.flat[np.repeat(lo - (ends - n), n) + np.arange(total)])
             whole = "".join(own)
+            if normal is not None:
+                same.append(bool(self.same[at].all()) and whole.replace(" ", META) == normal[i])
             if self.spec.add_dummy_prefix:
                 whole = whole[1:]
             restored.append(bool(self.good[at].all()) and whole == text)
-        return ids, restored
+        return ids, restored, None if normal is None else same
 
 
 _NORMAL_WORD = re.compile(" *[^ ]+| +")
@@ -263,7 +291,8 @@ def _load(data: bytes) -> tuple:
 
     key = hashlib.sha256(data).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = (Coder(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data))
+        reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        _LOADED[key] = (Coder(parse_model(data), reference=reference), reference)
     return _LOADED[key]
 
 
@@ -273,20 +302,26 @@ def read_model(path: str | None = None) -> bytes:
 
 
 def _checked(text: str, every: int) -> bool:
-    """Whether the text belongs to the rows whose parity is verified: 1 in ``every`` by its content's hash."""
+    """Whether the text belongs to the rows also compared as a whole: 1 in ``every`` by its content's hash."""
     return every == 1 or (every > 0 and int.from_bytes(
         hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") % every == 0)
 
 
 def encode_batch(texts: list[str], coder: Coder, reference, parity_every: int) -> list[tuple]:
-    """(ids, restored, parity) of each text; parity is None for rows that are not compared."""
-    ids, restored = coder.encode(texts)
+    """(ids, restored, parity) of each text.
+
+    Parity is verified on every text: word by word where the coder can, and on
+    1 text in ``parity_every`` (0: none) as a whole too; otherwise all as a whole.
+    """
+    ids, restored, same = coder.checked(texts)
+    if same is None:
+        same, parity_every = [True] * len(texts), 1
     picked = [i for i, t in enumerate(texts) if _checked(t, parity_every)]
-    same: dict[int, bool] = {}
     if picked:
         for i, expected in zip(picked, reference.encode([texts[i] for i in picked], num_threads=1), strict=True):
-            same[i] = len(expected) == len(ids[i]) and bool((ids[i] == np.asarray(expected, dtype=np.int32)).all())
-    return [(v, r, same.get(i)) for i, (v, r) in enumerate(zip(ids, restored, strict=True))]
+            same[i] = same[i] and len(expected) == len(ids[i]) and bool(
+                (ids[i] == np.asarray(expected, dtype=np.int32)).all())
+    return list(zip(ids, restored, same, strict=True))
 
 
 def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every: int = 8,
@@ -295,9 +330,9 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every:
 
     ``ids`` are the whole text's token ids (null or empty text: none, restored);
     ``restored`` says that decoding gives the text back; ``parity`` that the
-    sentencepiece library gives the same ids, verified on one row in
-    ``parity_every`` (1: every row, 0: none) chosen by the text's hash, null
-    elsewhere.  ``strict`` fails the job on a row without parity.  Null ids and
+    sentencepiece library gives the same ids, verified on every row
+    (``encode_batch``), on one in ``parity_every`` (1: every row, 0: none),
+    chosen by the text's hash, as a whole text too.  ``strict`` fails the job on a row without parity.  Null ids and
     repeated rows keep their rows, an empty table gives none, other columns
     are not read.  No shuffle.
     """
@@ -311,7 +346,7 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every:
         for b in batches:
             texts = [t or "" for t in b["__t"]]
             rows = encode_batch(texts, coder, reference, parity_every)
-            if strict and any(p is False for _, _, p in rows):
+            if strict and not all(p for _, _, p in rows):
                 raise ValueError("the rebuilt tokenizer and the model disagree")
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [r[0] for r in rows],
                                 "n_tokens": np.array([len(r[0]) for r in rows], dtype=np.int64),

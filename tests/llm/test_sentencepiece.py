@@ -84,6 +84,31 @@ def test_documents(spark):
     assert S.encode_documents(df.limit(0)).count() == 0
 
 
+def test_parity_is_verified_on_every_row(spark):
+    data = S.read_model()
+    spec, ref = S.parse_model(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [f"number {i} goes  on " for i in range(40)] + ["", " ", "x " * 9]
+    assert [r[2] for r in S.encode_batch(texts, S.Coder(spec, reference=ref), ref, 8)] == [True] * 43
+    a, b = ref.piece_to_id("▁number"), ref.piece_to_id("▁people")
+    pieces = list(spec.pieces)
+    pieces[a], pieces[b] = pieces[b], pieces[a]                                   # two ids change places
+    other = S.Coder(S.Spec(**{**vars(spec), "pieces": tuple(pieces)}), reference=ref)
+    assert [r[2] for r in S.encode_batch(texts, other, ref, 8)] == [False] * 40 + [True] * 3
+    broken = S.Coder(spec, reference=ref)
+    words = broken._words
+    broken._words = lambda t: words(t)[:-1]                                       # words that lose the text's end
+    assert [r[2] for r in S.encode_batch(texts[:40], broken, ref, 0)] == [False] * 40
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    assert [r["parity"] for r in S.encode_documents(df).collect()] == [True] * 44
+
+
+@pytest.mark.parametrize("byte_fallback,squeeze", [(True, False), (True, True), (False, False)])
+def test_unigram_rows_have_parity(byte_fallback, squeeze):
+    coder, ref = S._load(unigram_model(byte_fallback, squeeze))
+    rows = S.encode_batch(["abc cab", "a  b ", " ", "cabab abcab bca", "  ab c ", "", "abc" * 40], coder, ref, 0)
+    assert all(r[2] for r in rows)
+
+
 def test_bad_models_are_refused():
     with pytest.raises(ValueError):
         S.parse_model(b"")
