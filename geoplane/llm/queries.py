@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoplane.llm import bpetree as _bpetree
 from geoplane.llm import bwtdedup as _bwtdedup
 from geoplane.llm import decontaminate as _decontaminate
 from geoplane.llm import htmltext as _htmltext
@@ -71,6 +72,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_bpetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _bpetree.encode_documents(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bwtdedup": op8_bwtdedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op12_bpetree": op12_bpetree,
 }
 ORACLE: dict[str, str] = {
     "op6_decontaminate": _decontaminate.SQL,
