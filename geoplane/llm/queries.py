@@ -12,6 +12,7 @@ from geoplane.llm import bwtdedup as _bwtdedup
 from geoplane.llm import decontaminate as _decontaminate
 from geoplane.llm import htmltext as _htmltext
 from geoplane.llm import langid as _langid
+from geoplane.llm import merkle as _merkle
 from geoplane.llm import quality as _quality
 from geoplane.llm import rpforest as _rpforest
 from geoplane.llm import secrets as _secrets
@@ -79,6 +80,12 @@ def op12_bpetree(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _merkle.manifest(table(spark, sf_dir, "documents"), _merkle.one_in_five(F.col("doc_id")))
+    return rows.select("doc_id", "leaf", "subroot", "root", _merkle.proof(F.col("path")).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
@@ -97,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op12_bpetree": op12_bpetree,
+    "op13_merkle": op13_merkle,
 }
 ORACLE: dict[str, str] = {
     "op6_decontaminate": _decontaminate.SQL,
+    "op13_merkle": _merkle.SQL,
 }
