@@ -11,6 +11,7 @@ from geoplane.llm import bpetree as _bpetree
 from geoplane.llm import bwtdedup as _bwtdedup
 from geoplane.llm import decontaminate as _decontaminate
 from geoplane.llm import htmltext as _htmltext
+from geoplane.llm import kmeans as _kmeans
 from geoplane.llm import langid as _langid
 from geoplane.llm import merkle as _merkle
 from geoplane.llm import quality as _quality
@@ -73,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:")[0]
+
+
 def op12_bpetree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = _bpetree.encode_documents(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -103,10 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bwtdedup": op8_bwtdedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_kmeans": op11_kmeans,
     "op12_bpetree": op12_bpetree,
     "op13_merkle": op13_merkle,
 }
 ORACLE: dict[str, str] = {
     "op6_decontaminate": _decontaminate.SQL,
+    "op11_kmeans": _kmeans.SQL,
     "op13_merkle": _merkle.SQL,
 }
