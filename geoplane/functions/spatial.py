@@ -108,12 +108,12 @@ def _edge_touches(a, b, px, py) -> Column:
             & (py >= F.least(a["y"], b["y"])) & (py <= F.greatest(a["y"], b["y"])))
 
 
-def _segment_indexes(ring: Column) -> Column:
+def segment_indexes(ring: Column) -> Column:
     return F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
 
 
 def ring_crossings(ring: Column, px: Column, py: Column) -> Column:
-    return F.size(F.filter(_segment_indexes(ring),
+    return F.size(F.filter(segment_indexes(ring),
                            lambda i: _edge_crosses(F.get(ring, i), F.get(ring, i + 1), px, py)))
 
 
@@ -126,7 +126,7 @@ def pip_inside(parts: Column, px: Column, py: Column) -> Column:
 def on_boundary(parts: Column, px: Column, py: Column) -> Column:
     """True when (px, py) lies exactly on a ring segment (or a linestring segment)."""
     return F.exists(F.flatten(parts), lambda ring: F.exists(
-        _segment_indexes(ring), lambda i: _edge_touches(F.get(ring, i), F.get(ring, i + 1), px, py)))
+        segment_indexes(ring), lambda i: _edge_touches(F.get(ring, i), F.get(ring, i + 1), px, py)))
 
 
 # ---------------------------------------------------------------- ray casting, literal polygon

@@ -315,7 +315,7 @@ def batch_radius(coll, probes: DataFrame, probe_id: str = "pid", lon: str = "lon
     """JN-8: probes(pid, lon, lat, radius_m) x features (4326) -> (pid, id, distance_m) within the radius.
 
     Points: haversine; MultiPoints: the nearest vertex (Catalyst ``aggregate``);
-    lines and polygons: true minimum distance from the relate kernel (D1),
+    lines and polygons: true minimum distance over their segments (D1),
     evaluated only on grid candidates.
     """
     bx = K.radius_box_columns(F.col(lon), F.col(lat), F.col(radius))
@@ -346,7 +346,7 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     """JN-10: a table of literal geometries x features under one S_* predicate -> (gid, id).
 
     Point features against (multi)polygon request geometries run as Catalyst
-    expressions; any other pairing goes to the vectorised relate kernel.
+    expressions; any other pairing to the exact relations of ``relate``.
     ``s_disjoint`` would be (almost) all pairs, so it is answered as a count
     per request geometry instead of pairs (see :func:`batch_disjoint_counts`).
     """
@@ -358,7 +358,7 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     req = geoms.select(geom_id, F.col(geom_col).alias("__rgeom"), *[bb[c].alias(c) for c in _BOX])
     from .relate import relate_pair_column
     if coll.geometry_type == "Point":
-        # polygon requests: ray casting as Catalyst expressions; other request kinds: relate kernel
+        # polygon requests: ray casting as Catalyst expressions; other request kinds: exact relations
         is_poly = F.col("__rgeom")["type"].isin("Polygon", "MultiPolygon")
         feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
         parts = []
@@ -374,7 +374,7 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
             pairs = grid_join(feats, others.drop("__rgeom"), None, cell=cell, features_are_points=True, **kw)
             pairs = attach_geometry(pairs.select(geom_id, "id", G.point(F.col("_xmin"), F.col("_ymin")).alias("__fgeom")),
                                     others.select(geom_id, "__rgeom"), geom_id, "__rgeom")
-            parts.append(pairs.filter(relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom"))))
+            parts.append(pairs.filter(relate_pair_column(op, "__fgeom", "__rgeom")))
         if not parts:
             schema = geoms.select(geom_id).schema.add("id", coll.df.schema[coll.id_column].dataType)
             return geoms.sparkSession.createDataFrame([], schema)
@@ -387,7 +387,7 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     pairs = grid_join(feats, req.drop("__rgeom"), None, cell=cell, **kw).select(geom_id, "id")
     pairs = attach_geometry(pairs, geoms_f, "id", "__fgeom")
     pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
-    return pairs.filter(relate_pair_column(op, F.col("__fgeom"), F.col("__rgeom"))).select(geom_id, "id")
+    return pairs.filter(relate_pair_column(op, "__fgeom", "__rgeom")).select(geom_id, "id")
 
 
 def batch_disjoint_counts(coll, geoms: DataFrame, geom_id: str = "gid", geom_col: str = "geom", **kw) -> DataFrame:

@@ -5,7 +5,7 @@ four comparisons on the top-level bbox columns, which Catalyst pushes into
 the Parquet scan.  The refine is a Catalyst expression for Point and
 MultiPoint features (literal tests, quantified over the vertices)
 and for point literals against (multi)polygon features; line/polygon pairs
-use the vectorised relate kernel (:mod:`geoplane.operators.relate`).
+use the exact relations of :mod:`geoplane.operators.relate`.
 
 The literal is transformed to the storage SRID on the driver (the column is
 never transformed), as the reference does to keep its index usable.
@@ -62,7 +62,7 @@ def radius(coll, lon: float, lat: float, radius_m: float) -> Column:
     """SPA-4: features within ``radius_m`` metres of a lon/lat point.
 
     Points: haversine distance <= r behind a lon/lat box prefilter.  Lines and
-    polygons: true minimum distance (deviation D1), via the relate kernel.
+    polygons: true minimum distance (deviation D1).
     """
     if radius_m is None or radius_m <= 0:
         raise ValueError("radius must be > 0")

@@ -1187,7 +1187,7 @@ query("str1_drop_folder_ingest", "SELECT lower(c_mktsegment) AS collection, 'com
       "FROM customer GROUP BY c_mktsegment")(_str1)
 
 
-# ============================================================ SPA-5..11 on polygon features (relate kernel)
+# ============================================================ SPA-5..12 on polygon features (exact relations)
 AREA_RECT = Geom.from_wkt("POLYGON((1 44, 3 44, 3 46, 1 46, 1 44))")
 CROSS_LINE = Geom.from_wkt("LINESTRING(0 45.0005, 4 45.0005)")
 _INTER = "xmin <= 3 AND xmax >= 1 AND ymin <= 46 AND ymax >= 44"

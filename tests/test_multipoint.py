@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoplane.functions.geometry import Geom
-from geoplane.operators import relate as R
+from tests import relate_kernel as R
 from geoplane.operators import spatial as S
 from geoplane.plans.collection import Collection
 
