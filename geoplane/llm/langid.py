@@ -34,8 +34,11 @@ def _letters() -> np.ndarray:
                        count=sys.maxunicode + 1)
 
 
-def _count(chars: np.ndarray, rows: np.ndarray, n_rows: int, buckets: int) -> np.ndarray:
-    """Counts of the hashed 1-, 2- and 3-grams of each row; grams do not cross rows or start at a gap."""
+def _count(chars: np.ndarray, rows: np.ndarray, n_rows: int, buckets: int, lead: int = 0) -> np.ndarray:
+    """Counts of the hashed 1-, 2- and 3-grams of each row; grams do not cross rows or start at a gap.
+
+    Grams that end in the first ``lead`` characters were counted before.
+    """
     out = np.zeros(n_rows * buckets, dtype=np.float64)
     h = chars.astype(np.uint64)
     base = rows * buckets
@@ -45,6 +48,7 @@ def _count(chars: np.ndarray, rows: np.ndarray, n_rows: int, buckets: int) -> np
                 break
             h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + chars[order - 1:].astype(np.uint64)
         inside = (rows[:len(h)] == rows[order - 1:]) & ((chars[:len(h)] != 0) | (order > 1))
+        inside[:max(lead - order + 1, 0)] = False
         slot = ((h + np.uint64(order)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - buckets.bit_length() + 1)
         out += np.bincount((base[:len(h)] + slot.astype(np.int64))[inside], minlength=n_rows * buckets)
     return out.reshape(n_rows, buckets)
@@ -54,7 +58,7 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     """Row-normalised square-root counts of each whole text, and whether it has a letter.
 
     ``buckets`` is a power of two.  Non-letters become one gap symbol; a very
-    long text is counted in chunks (n-grams across a chunk's end are left out).
+    long text is counted in chunks that overlap by two characters, every n-gram once.
     """
     lowered = [(t or "").lower() for t in texts]
     x = np.zeros((len(texts), buckets), dtype=np.float32)
@@ -71,7 +75,8 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
         rows = np.repeat(np.arange(end - at), np.diff(ends))
         counts = np.zeros((end - at, buckets))
         for lo in range(0, max(1, len(chars)), CHUNK):
-            counts += _count(chars[lo:lo + CHUNK], rows[lo:lo + CHUNK], end - at, buckets)
+            lead = min(lo, 2)
+            counts += _count(chars[lo - lead:lo + CHUNK], rows[lo - lead:lo + CHUNK], end - at, buckets, lead)
         total = counts.sum(axis=1, keepdims=True)
         x[at:end] = np.sqrt(counts / np.maximum(total, 1))
         has[at:end] = np.bincount(rows[letter], minlength=end - at) > 0

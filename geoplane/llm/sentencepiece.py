@@ -202,6 +202,22 @@ class Coder:
         self.start = np.zeros(1, dtype=np.int64)
         self.good = np.zeros(0, dtype=bool)
         self.same = np.zeros(0, dtype=bool)
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the words met most often, half of what the table may hold at most, with what was proven of them."""
+        words, k = list(self.index), len(self.index)
+        most = np.argsort(-self.met[:k], kind="stable")[:self.cache_words // 2]
+        keep = np.sort(most[self.met[most] > 1])
+        lo, n = self.start[keep], self.start[keep + 1] - self.start[keep]
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        good, same, met = self.good[keep], self.same[keep], self.met[keep] // 2
+        self._reset()
+        self.index = {words[i]: j for j, i in enumerate(keep.tolist())}
+        self.flat = np.concatenate([flat, self.flat])
+        self.start = np.concatenate([[0], ends])
+        self.good, self.same, self.met = good, same, met
 
     def _words(self, text: str) -> list[str]:
         """The marker-bounded words of the normalised text, with spaces for markers."""
@@ -258,15 +274,17 @@ class Coder:
             return ([np.asarray(e.ids, dtype=np.int32) for e in coded],
                     [b == t for b, t in zip(back, texts, strict=True)], None)
         if len(self.index) > self.cache_words:
-            self._reset()
+            self._shrink()
         words = [self._words(t) for t in texts]
         new = list(set(itertools.chain.from_iterable(words)) - self.index.keys())
         for lo in range(0, len(new), CALL_WORDS):
             self._learn(new[lo:lo + CALL_WORDS])
         normal = None if self.reference is None else self.reference.normalize(texts)
         ids, restored, same = [], [], []
+        used = [np.zeros(0, dtype=np.int64)]
         for i, (text, own) in enumerate(zip(texts, words, strict=True)):
             at = np.fromiter(map(self.index.__getitem__, own), dtype=np.int64, count=len(own))
+            used.append(at)
             lo = self.start[at]
             n = self.start[at + 1] - lo
             ends = np.cumsum(n)
@@ -278,6 +296,9 @@ class Coder:
             if self.spec.add_dummy_prefix:
                 whole = whole[1:]
             restored.append(bool(self.good[at].all()) and whole == text)
+        met = np.bincount(np.concatenate(used), minlength=len(self.index))
+        met[:len(self.met)] += self.met
+        self.met = met
         return ids, restored, None if normal is None else same
 
 
@@ -324,15 +345,16 @@ def encode_batch(texts: list[str], coder: Coder, reference, parity_every: int) -
     return list(zip(ids, restored, same, strict=True))
 
 
-def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every: int = 8,
+def encode_documents(docs: DataFrame, model: bytes | None = None, parity_every: int = 0,
                      id_col: str = "doc_id", text_col: str = "text", strict: bool = True) -> DataFrame:
     """``doc_id, ids, n_tokens, restored, parity`` for every row of ``docs``.
 
     ``ids`` are the whole text's token ids (null or empty text: none, restored);
     ``restored`` says that decoding gives the text back; ``parity`` that the
     sentencepiece library gives the same ids, verified on every row
-    (``encode_batch``), on one in ``parity_every`` (1: every row, 0: none),
-    chosen by the text's hash, as a whole text too.  ``strict`` fails the job on a row without parity.  Null ids and
+    (``encode_batch``): word by word, and for models that do not split at markers
+    as whole texts; one text in ``parity_every`` (1: every row, 0: none), chosen
+    by its hash, is also compared as a whole where its words are proven.  ``strict`` fails the job on a row without parity.  Null ids and
     repeated rows keep their rows, an empty table gives none, other columns
     are not read.  No shuffle.
     """

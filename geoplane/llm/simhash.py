@@ -66,6 +66,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     return src.mapInPandas(run, "doc_id long, fp long")
 
 
+def _named_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, name, fp``: the name is the text's MD5, so that rows with one id and unlike texts stay apart."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, shingle) for t in b["__t"]), dtype=np.uint64, count=len(b))
+            yield pd.DataFrame({"id": b["id"], "name": b["name"], "fp": fp.view(np.int64)})
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # the id as text: an id column with nulls would reach pandas as floats
+    src = docs.select(F.col("doc_id").cast("string").alias("id"), F.md5(text.cast("binary")).alias("name"), text.alias("__t"))
+    return src.mapInPandas(run, "id string, name string, fp long").select(
+        F.col("id").cast("long").alias("doc_id"), "name", "fp")
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """``key, fp``: the one-wildcard variants of both segments of each fingerprint."""
     v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("v"))
@@ -127,33 +141,43 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     """
     prepare(docs.sparkSession)
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    return fps.join(_labels(fps, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     edges = links(classes.select("fp"), max_bits)
     comp = connected_components(edges, "a", "b")
     rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: the one with the smallest id of each group.
 
-    Rows that repeat the staying id leave one row (the smallest text).  Rows
-    without an id cannot be named as copies of another and are all kept.
+    Rows are named by (id, MD5 of the text): rows that share an id are judged by
+    their own texts, of rows with the smallest id the one with the smallest name
+    stays, and of equal rows one.  Null ids come last, so such a row stays only
+    where its group has no id.
     """
     prepare(docs.sparkSession)
-    ids = simhash_groups(docs, shingle, max_bits).filter("doc_id is not null").groupBy(
-        F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__stays"),
-                                           F.count(F.lit(1)).alias("__n"))
-    ids = written(ids, "stay")
-    gone = ids.filter("not __stays").select("__id")
+    fps = written(_named_fingerprints(docs, shingle), "simhash")
+    rows = fps.join(_labels(fps, max_bits), "fp").groupBy("root", F.col("doc_id").alias("__id"), F.col("name").alias("__name")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    rows = written(rows, "stay")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"),
+                                                   F.col("__name").alias("c"))).alias("best"))
+    judged = written(rows.join(best, "root").select("__id", "__name", "__n", (
+        F.col("__id").eqNullSafe(F.col("best.b")) & (F.col("__name") == F.col("best.c"))).alias("__stays")), "judged")
+    gone = judged.filter("not __stays").select("__id", "__name")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    if ids.filter("__stays and __n > 1").isEmpty():
-        return kept
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    named = kept.filter("doc_id is not null").withColumn("__r", F.row_number().over(w)).filter("__r = 1")
-    return named.select(*docs.columns).unionByName(kept.filter("doc_id is null"))
+    named = docs.withColumn("__key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    kept = named.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__name")),
+                      "left_anti")
+    if not judged.filter("__stays and __n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,3 +56,15 @@ def test_edges(spark):
     kept = L.identified(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 2, 6}
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({3, 4, 5})
+
+
+def test_chunks_change_no_feature(monkeypatch):
+    import numpy as np
+
+    from geoplane.llm import langid as L
+
+    texts = ["the quick brown fox, " * 40, "ab", "", None, "zażółć gęślą jaźń " * 33]
+    whole = L.features(texts)[0]
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(L, "CHUNK", size)
+        assert np.array_equal(L.features(texts)[0], whole)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_is_registered_once():
     names = sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(Q.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in P.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan",
                                         "sentencepiece"]
@@ -39,7 +39,7 @@ def test_each_stage_takes_effect_on_what_its_predecessor_kept(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(Q.ORACLE[name]).df()
     got = Q.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
@@ -55,3 +55,17 @@ def test_stages_take_rows_with_nulls_and_empty_tables(spark):
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() <= 5
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """(1, A), (5, A), (5, B): the copy goes, both texts stay; of (7, item), (7, clean) the clean one stays."""
+    a, b = "first text " * 30 + "of the little corpus", "quite another " * 25 + "piece of prose here"
+    item = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ((1, a), (5, a), (5, b), (5, b), (None, a))], schema)
+    got = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (5, b)])
+    rows = [(7, item), (7, a), (None, item), (None, b), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    got = [(r["doc_id"], r["text"]) for r in P.benchmark_overlap(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(7, a), (None, b), (8, None), (9, "")], key=str)

@@ -85,8 +85,9 @@ def test_one_per_group_and_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     kept = S.one_per_group(df)
     assert kept.columns == df.columns
+    # the row without an id is a copy of one that has an id
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [
-        (0, "a b c d"), (2, "A b c d"), (7, ""), (8, "quite another text here")]
+        (2, "A b c d"), (7, ""), (8, "quite another text here")]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_groups(empty).count() == 0
     assert S.one_per_group(empty).count() == 0
