@@ -101,9 +101,8 @@ def read_csv_points(spark: SparkSession, path: str, separator: str | None = None
     """
     plan, rows = plan_csv(spark, path, separator, lon, lat, sample)
     lon_i, lat_i = plan.headers.index(plan.lon_column), plan.headers.index(plan.lat_column)
-    x = F.trim(F.col(f"c{lon_i}")).try_cast("double")
-    y = F.trim(F.col(f"c{lat_i}")).try_cast("double")
-    ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    x, y = TX.number(F.trim(F.col(f"c{lon_i}"))), TX.number(F.trim(F.col(f"c{lat_i}")))
+    ok = x.isNotNull() & y.isNotNull()
     props = [TX.coerce(F.col(f"c{i}"), plan.types[n]).alias(n)
              for i, n in enumerate(plan.columns) if i not in (lon_i, lat_i)]
     # D2: a non-empty value that does not fit its inferred type becomes null and is counted

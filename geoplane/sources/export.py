@@ -32,7 +32,8 @@ def geojson_features(coll, where: Column | None = None, bbox=None) -> DataFrame:
     df = _filtered(coll, where, bbox)
     geom = G.to_geojson(C.output_geometry(coll, 4326))
     # id as JSON scalar: to_json of a one-field struct is {"v":<json>}, keep <json>
-    idj = F.regexp_extract(F.to_json(F.struct(F.col(coll.id_column).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    idj = F.regexp_extract(F.to_json(F.struct(F.col(coll.id_column).alias("v")), {"ignoreNullFields": "false"}),
+                           r'^\{"v":(.*)\}$', 1)
     feature = F.concat(F.lit('{"type":"Feature","id":'), idj, F.lit(',"geometry":'),
                        F.coalesce(geom, F.lit("null")), F.lit(',"properties":'), C.properties_json(coll), F.lit("}"))
     return df.select(F.col(coll.id_column).alias("id"), feature.alias("feature"))
@@ -56,10 +57,11 @@ def export_geojson(coll, path: str, where: Column | None = None, bbox=None, limi
             doc.coalesce(1).write.mode("overwrite").text(path)
             return
         # unlimited: ordered part files that concatenate (in name order) into one document --
-        # a header part, features with a leading comma except the first, a footer part
+        # a header part, features with a leading comma except the first, a footer part.  The first
+        # is told by its place (row 0 of partition 0), whatever the ids: a range partitioning's
+        # bounds are keys of the data, so its first partition holds the least of them.
         spark = coll.df.sparkSession
-        first = rows.agg(F.min("id").alias("m")).first()["m"]               # one scalar
-        body = rows.select(F.when(F.col("id") == F.lit(first), F.col("feature"))
+        body = rows.select(F.when(F.monotonically_increasing_id() == 0, F.col("feature"))
                            .otherwise(F.concat(F.lit(","), F.col("feature"))).alias("value"))
         head = spark.createDataFrame([('{"type":"FeatureCollection","features":[',)], "value string")
         foot = spark.createDataFrame([("]}",)], "value string")
