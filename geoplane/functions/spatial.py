@@ -96,12 +96,12 @@ def radius_box_columns(lon: Column, lat: Column, radius_m: Column) -> tuple[Colu
 
 
 # ---------------------------------------------------------------- ray casting, column polygon
-def _edge_crosses(a, b, px, py) -> Column:
+def edge_crosses(a, b, px, py) -> Column:
     return (((a["y"] > py) != (b["y"] > py))
             & (px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]))
 
 
-def _edge_touches(a, b, px, py) -> Column:
+def edge_touches(a, b, px, py) -> Column:
     cross = (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
     return ((cross == 0)
             & (px >= F.least(a["x"], b["x"])) & (px <= F.greatest(a["x"], b["x"]))
@@ -114,7 +114,7 @@ def segment_indexes(ring: Column) -> Column:
 
 def ring_crossings(ring: Column, px: Column, py: Column) -> Column:
     return F.size(F.filter(segment_indexes(ring),
-                           lambda i: _edge_crosses(F.get(ring, i), F.get(ring, i + 1), px, py)))
+                           lambda i: edge_crosses(F.get(ring, i), F.get(ring, i + 1), px, py)))
 
 
 def pip_inside(parts: Column, px: Column, py: Column) -> Column:
@@ -126,7 +126,7 @@ def pip_inside(parts: Column, px: Column, py: Column) -> Column:
 def on_boundary(parts: Column, px: Column, py: Column) -> Column:
     """True when (px, py) lies exactly on a ring segment (or a linestring segment)."""
     return F.exists(F.flatten(parts), lambda ring: F.exists(
-        segment_indexes(ring), lambda i: _edge_touches(F.get(ring, i), F.get(ring, i + 1), px, py)))
+        segment_indexes(ring), lambda i: edge_touches(F.get(ring, i), F.get(ring, i + 1), px, py)))
 
 
 # ---------------------------------------------------------------- ray casting, literal polygon

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import spatial as K
+from . import strips
 
 LEVEL_FACTOR = 8
 N_LEVELS = 10
@@ -278,35 +279,24 @@ def attach_geometry(pairs: DataFrame, geoms: DataFrame, key: str, geom_col: str)
     return pairs.join(side, key)
 
 
-def point_in_parts(parts: Column, px: Column, py: Column, op: str) -> Column:
-    """One test for every polygon size: ray casting and boundary test over the original edges."""
-    inside, edge = K.pip_inside(parts, px, py), K.on_boundary(parts, px, py)
-    if op == "s_intersects":
-        return inside | edge
-    if op == "s_touches":
-        return edge
-    return inside & ~edge                       # interior only (contains / within)
-
-
 def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str = "x", y: str = "y",
                        op: str = "s_intersects", cell: float | None = None, **kw) -> DataFrame:
     """JN-7: probe points x (multi)polygon features -> (pid, id) of the feature(s) containing each point.
 
     ``op``: ``s_intersects`` (boundary counts, SPA-3) or ``s_contains``
     (feature contains the point: interior only, SPA-7).  The grid gives
-    candidate pairs; each is tested against the feature's original edges, so
-    the answer depends neither on the cell size nor on the polygon's size,
-    and the feature id keeps its type.
+    candidate pairs; each is tested against the original edges at the point's
+    height (:mod:`.strips`), so the answer depends neither on the cell size nor
+    on the polygon's size, and the feature id keeps its type.
     """
-    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
+    feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX, strips.layout(F.col(coll.geometry_column)).alias("__at"))
     geoms = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__geom"))
     probes = points.select(point_id, F.col(x).alias("__px"), F.col(y).alias("__py"),
                            F.col(x).alias("_xmin"), F.col(y).alias("_ymin"),
                            F.col(x).alias("_xmax"), F.col(y).alias("_ymax"))
     pairs = grid_join(feats, probes, None, cell=cell or suggest_cell(feats), requests_are_points=True, **kw)
-    pairs = attach_geometry(pairs.select(point_id, "id", "__px", "__py"), geoms, "id", "__geom")
-    hit = point_in_parts(F.col("__geom")["parts"], F.col("__px"), F.col("__py"), op)
-    return pairs.filter(hit).select(point_id, "id")
+    pairs = pairs.select(point_id, "id", "__px", "__py", "__at")
+    return strips.point_hits(pairs, geoms, "id", "__geom", op).select(point_id, "id")
 
 
 # ---------------------------------------------------------------- JN-8
@@ -365,10 +355,10 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
         polys_req = req.filter(is_poly)
         if op in ("s_intersects", "s_within", "s_touches") and not polys_req.isEmpty():
             # contains / crosses / overlaps / equals never hold between a point and an area
-            pairs = grid_join(feats, polys_req.drop("__rgeom"), None, cell=cell, features_are_points=True, **kw)
-            pairs = attach_geometry(pairs.select(geom_id, "id", F.col("_xmin").alias("__px"), F.col("_ymin").alias("__py")),
-                                    polys_req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
-            parts.append(pairs.filter(point_in_parts(F.col("__rgeom")["parts"], F.col("__px"), F.col("__py"), op)))
+            asked = polys_req.withColumn("__at", strips.layout(F.col("__rgeom"))).drop("__rgeom")
+            pairs = grid_join(feats, asked, None, cell=cell, features_are_points=True, **kw)
+            pairs = pairs.select(geom_id, "id", F.col("_xmin").alias("__px"), F.col("_ymin").alias("__py"), "__at")
+            parts.append(strips.point_hits(pairs, polys_req.select(geom_id, "__rgeom"), geom_id, "__rgeom", op))
         if not req.filter(~is_poly).isEmpty():
             others = req.filter(~is_poly)
             pairs = grid_join(feats, others.drop("__rgeom"), None, cell=cell, features_are_points=True, **kw)

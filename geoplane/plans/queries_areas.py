@@ -8,6 +8,7 @@ from ..functions.geometry import Geom
 from ..operators import joins as J
 from ..operators import relate as R
 from ..operators import spatial as S
+from . import collection as C
 from . import tables as T
 from .queries import CBOX, CUST, SUPP, query
 
@@ -100,3 +101,43 @@ _DIST = (f"sqrt(pow(greatest(c.xmin - s.x, 0.0, s.x - c.xmax) * cos(radians(s.y)
          f"pow(greatest(c.ymin - s.y, 0.0, s.y - c.ymax) * {_M}, 2))")
 query("jn8_batch_radius_areas", f"SELECT s.id AS pid, c.id, round({_DIST}, 3) AS distance_m FROM {SUPP} s JOIN {CBOX} c "
       f"ON {_DIST} <= 5000.0 + CAST(s.id % 10 AS DOUBLE) * 2000.0")(_radius_areas)
+
+
+# ============================================================ JN-7 on polygons of thousands of vertices
+BLOCK = 2000
+
+
+def skylines(spark, sf_dir) -> C.Collection:
+    """One polygon for each block of 2000 customer keys: a flat base and a ragged upper line through the block."""
+    c = T.read(spark, sf_dir, "customer").selectExpr(
+        f"floor((c_custkey - 1) / {BLOCK}) AS id", "c_custkey AS k", f"{_SKY_X} AS x", f"{_SKY_Y} AS y")
+    line = F.array_sort(F.collect_list(F.struct("k", "x", "y")))        # at most BLOCK rows a group
+    poly = c.groupBy("id").agg(line.alias("v"), F.min("x").alias("_xmin"), F.max("x").alias("_xmax"),
+                               (F.floor(F.col("id") / 10) * 30.0).alias("_ymin"), F.max("y").alias("_ymax"))
+
+    def corner(x):
+        return F.array(F.struct(F.col(x).alias("x"), F.col("_ymin").alias("y")))
+    ring = F.concat(corner("_xmin"), F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))),
+                    corner("_xmax"), corner("_xmin"))
+    geom = F.struct(F.lit("Polygon").alias("type"), F.lit(4326).alias("srid"), F.array(F.array(ring)).alias("parts"))
+    return C.Collection(poly.select("id", geom.alias("geom"), "_xmin", "_ymin", "_xmax", "_ymax"), name="skylines",
+                        geometry_type="Polygon")
+
+
+_SKY_X = f"(floor((c_custkey - 1) / {BLOCK}) % 10 * 21.0 - 100.0 + CAST((c_custkey - 1) % {BLOCK} AS DOUBLE) / 128.0)"
+_SKY_Y = f"(floor(floor((c_custkey - 1) / {BLOCK}) / 10) * 30.0 + 4.0 + CAST(c_custkey * 7919 % 1009 AS DOUBLE) / 128.0)"
+_SKY_PX = "(CAST(o_orderkey * 104729 % 13440 AS DOUBLE) / 64.0 - 100.0)"
+_SKY_PY = "(CAST(o_orderkey * 7919 % 1153 AS DOUBLE) / 64.0 - 1.0)"
+
+
+def _jn7_skylines(spark, sf_dir):
+    pts = T.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS pid", f"{_SKY_PX} AS x", f"{_SKY_PY} AS y")
+    return J.batch_point_lookup(skylines(spark, sf_dir), pts)
+
+
+query("jn7_skyline_polygons", f"""WITH v AS (SELECT CAST(floor((c_custkey - 1) / {BLOCK}) AS BIGINT) AS id, c_custkey AS k,
+  {_SKY_X} AS x, {_SKY_Y} AS y FROM customer),
+e AS (SELECT id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY id ORDER BY k))
+SELECT DISTINCT p.pid, e.id FROM (SELECT o_orderkey AS pid, {_SKY_PX} AS x, {_SKY_PY} AS y FROM orders) p
+JOIN e ON p.x >= e.x1 AND p.x <= e.x2 AND (e.x2 - e.x1) * (p.y - e.y1) - (e.y2 - e.y1) * (p.x - e.x1) <= 0
+  AND p.y >= floor(e.id / 10) * 30.0""")(_jn7_skylines)

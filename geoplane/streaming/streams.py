@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import strips
 from ..session import ensure_checkpoint_dir
 
 
@@ -138,7 +139,8 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     The cells (without geometry) are broadcast only behind a row count, the
     geometries only behind a byte bound.
     """
-    feats = polygons.df.select(F.col(polygons.id_column).alias("id"), "_xmin", "_ymin", "_xmax", "_ymax")
+    feats = polygons.df.select(F.col(polygons.id_column).alias("id"), "_xmin", "_ymin", "_xmax", "_ymax",
+                               strips.layout(F.col(polygons.geometry_column)).alias("__at"))
     geoms = polygons.df.select(F.col(polygons.id_column).alias("id"), F.col(polygons.geometry_column).alias("__geom"))
     box = [F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")]
     cell = cell or J.suggest_cell(feats)
@@ -147,7 +149,7 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     if env:
         points = points.filter((F.col(x) >= env[0]) & (F.col(x) <= env[2]) & (F.col(y) >= env[1]) & (F.col(y) <= env[3]))
     static = J.explode_cells(feats, box, cell, level, [], "__f").select(
-        "id", F.col("__clv").alias("__lv"), F.col("__cx").alias("__kx"), F.col("__cy").alias("__ky"))
+        "id", "__at", F.col("__clv").alias("__lv"), F.col("__cx").alias("__kx"), F.col("__cy").alias("__ky"))
     if J.bounded_count(static, J.BROADCAST_MAX_ROWS) is not None:
         static = F.broadcast(static)
     px, py = F.col(x), F.col(y)
@@ -158,9 +160,8 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
         point_id, "__px", "__py", F.col("__c.lv").alias("__lv"), F.col("__c.cx").alias("__kx"),
         F.col("__c.cy").alias("__ky"))
     joined = probes.join(static, ["__lv", "__kx", "__ky"], "inner")
-    pairs = J.attach_geometry(joined.select(point_id, "id", "__px", "__py"), geoms, "id", "__geom")
-    hit = J.point_in_parts(F.col("__geom")["parts"], F.col("__px"), F.col("__py"), "s_intersects")
-    return pairs.filter(hit).select(point_id, "id")
+    pairs = joined.select(point_id, "id", "__px", "__py", "__at")
+    return strips.point_hits(pairs, geoms, "id", "__geom", "s_intersects").select(point_id, "id")
 
 
 def run_available_now(df: DataFrame, sink_dir: str, mode: str = "append", fmt: str = "parquet",
