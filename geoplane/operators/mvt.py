@@ -19,6 +19,7 @@ per tile -- a hot tile never puts all its features through one task.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -233,9 +234,11 @@ def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer
     sources = dict((a, s) for s, a in coll.exposed_columns())
     layer = layer or coll.name
     from ..functions.geometry import transform_geom
-    t = TL.assign_tiles(coll, zooms, [coll.id_column, coll.geometry_column, *[sources.get(p, p) for p in props]])
+    # reprojected once a feature, before it is copied into its tiles
     merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
-    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), merc.alias("__g"),
+    t = TL.assign_tiles(replace(coll, df=coll.df.withColumn("__g", merc)), zooms,
+                        [coll.id_column, "__g", *[sources.get(p, p) for p in props]])
+    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), "__g",
                  *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props])
     t = t.filter(F.col("__g").isNotNull())
     points = coll.geometry_type == "Point"
@@ -449,9 +452,11 @@ def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8,
     sources = dict((a, s) for s, a in coll.exposed_columns())
     layer = layer or coll.name
     from ..functions.geometry import transform_geom
-    t = TL.assign_tiles(coll, zooms, [coll.id_column, coll.geometry_column, *[sources.get(p, p) for p in props]])
+    # reprojected once a feature, before it is copied into its tiles
     merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
-    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), merc.alias("__g"),
+    t = TL.assign_tiles(replace(coll, df=coll.df.withColumn("__g", merc)), zooms,
+                        [coll.id_column, "__g", *[sources.get(p, p) for p in props]])
+    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), "__g",
                  *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]).filter(F.col("__g").isNotNull())
     # tile-local coordinates of every vertex; keep those inside the buffered tile (before rounding)
     w = TL.tile_width(F.col("z"))
