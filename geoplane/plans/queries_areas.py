@@ -12,9 +12,9 @@ from . import collection as C
 from . import tables as T
 from .queries import CBOX, CUST, SUPP, query
 
-# A diagonal and a box in the middle of the customers' coordinates.
-LINE = Geom.from_wkt("LINESTRING(2.99 45.01, 3.01 45.03, 3.02 45.01)")
-RECT = Geom.from_wkt("POLYGON((3 45, 3.01 45, 3.01 45.01, 3 45.01, 3 45))")
+# A zigzag and a box at the place of a customer that every scale factor has.
+LINE = Geom.from_wkt("LINESTRING(1.68 43.78, 1.7 43.8, 1.71 43.78)")
+RECT = Geom.from_wkt("POLYGON((1.68 43.78, 1.7 43.78, 1.7 43.8, 1.68 43.8, 1.68 43.78))")
 HALF = "(0.02 + CAST(id % 11 AS DOUBLE) * 0.01)"
 
 
@@ -39,8 +39,8 @@ def _covers(x1, y1, x2, y2):
     return f"xmin <= {x1} AND ymin <= {y1} AND xmax >= {x2} AND ymax >= {y2}"
 
 
-query("spa7_s_contains_line_literal", f"SELECT id FROM {CBOX} WHERE {_covers(2.99, 45.01, 3.02, 45.03)}")(_literal(LINE))
-query("spa7_s_contains_polygon_literal", f"SELECT id FROM {CBOX} WHERE {_covers(3.0, 45.0, 3.01, 45.01)}")(_literal(RECT))
+query("spa7_s_contains_line_literal", f"SELECT id FROM {CBOX} WHERE {_covers(1.68, 43.78, 1.71, 43.8)}")(_literal(LINE))
+query("spa7_s_contains_polygon_literal", f"SELECT id FROM {CBOX} WHERE {_covers(1.68, 43.78, 1.7, 43.8)}")(_literal(RECT))
 
 
 # Each supplier asks for the areas that hold a zigzag, or a triangle, at its place.
