@@ -1,31 +1,29 @@
-"""Mapbox Vector Tile bytes for a whole pyramid (TIL-4 clipping, TIL-5, AGG-12).
+"""Mapbox Vector Tile bytes for a whole pyramid (TIL-5, AGG-12).
 
 One layer per tile, named after the collection; properties as text; no
 feature id; extent 4096; geometry clipped to the tile buffered by 256 units
 and quantised with y pointing down.
 
-Point and MultiPoint collections are encoded entirely by JVM expressions (protobuf as hex
-text, varints by bit arithmetic); lines and polygons go through a Python
-encoder that clips them.  Both produce the same bytes.
+Everything is JVM expressions (protobuf as hex text, varints by bit
+arithmetic): points take the tiles of their bbox, lines and areas come clipped
+from the quadtree descent (:mod:`quadtree`).
 
 Scale plan: a tile's features are spread over ``salt`` chunks.  A small
 aggregate counts the property values of each chunk, so every chunk knows
 the offset of its values in the layer's value table before encoding.  The
-chunks are encoded in parallel (``applyInPandas`` over (tile, chunk)), and
-the last step only concatenates at most ``salt`` pre-encoded byte strings
-per tile -- a hot tile never puts all its features through one task.
+chunks are encoded in parallel, and the last step only concatenates at most
+``salt`` pre-encoded texts per tile.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quadtree as QT
 from . import tiles as TL
 
 EXTENT = TL.EXTENT
@@ -46,17 +44,6 @@ def varint(n: int) -> bytes:
             return bytes(out)
 
 
-_SMALL_VARINTS = None
-
-
-def small_varint(n: int) -> bytes:
-    """Varint with a lookup table for the small values tile coordinates produce."""
-    global _SMALL_VARINTS
-    if _SMALL_VARINTS is None:
-        _SMALL_VARINTS = [varint(i) for i in range(1 << 15)]
-    return _SMALL_VARINTS[n] if 0 <= n < (1 << 15) else varint(n)
-
-
 def field_key(num: int, wire: int) -> bytes:
     return varint((num << 3) | wire)
 
@@ -65,287 +52,24 @@ def ld(num: int, payload: bytes) -> bytes:
     return field_key(num, 2) + varint(len(payload)) + payload
 
 
-def packed(num: int, values) -> bytes:
-    return ld(num, b"".join(varint(v) for v in values))
-
-
-def zigzag(n: int) -> int:
-    return (n << 1) ^ (n >> 63)
-
-
-# ---------------------------------------------------------------- geometry: clip + commands
-def _clip_ring(ring: list[tuple[float, float]], lo: float, hi: float) -> list[tuple[float, float]]:
-    """Sutherland-Hodgman against the square [lo, hi]^2 (tile units)."""
-    def clip(pts, inside, inter):
-        out = []
-        for i, cur in enumerate(pts):
-            prev = pts[i - 1]
-            if inside(cur):
-                if not inside(prev):
-                    out.append(inter(prev, cur))
-                out.append(cur)
-            elif inside(prev):
-                out.append(inter(prev, cur))
-        return out
-
-    def ix(a, b, x):
-        t = (x - a[0]) / (b[0] - a[0])
-        return (x, a[1] + t * (b[1] - a[1]))
-
-    def iy(a, b, y):
-        t = (y - a[1]) / (b[1] - a[1])
-        return (a[0] + t * (b[0] - a[0]), y)
-
-    pts = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else list(ring)
-    for inside, inter in ((lambda p: p[0] >= lo, lambda a, b: ix(a, b, lo)),
-                          (lambda p: p[0] <= hi, lambda a, b: ix(a, b, hi)),
-                          (lambda p: p[1] >= lo, lambda a, b: iy(a, b, lo)),
-                          (lambda p: p[1] <= hi, lambda a, b: iy(a, b, hi))):
-        if not pts:
-            break
-        pts = clip(pts, inside, inter)
-    return pts
-
-
-def _clip_line(line, lo, hi):
-    """Liang-Barsky per segment; consecutive inside pieces are chained."""
-    out, cur = [], []
-    for a, b in zip(line, line[1:]):
-        t0, t1 = 0.0, 1.0
-        dx, dy = b[0] - a[0], b[1] - a[1]
-        ok = True
-        for p, q in ((-dx, a[0] - lo), (dx, hi - a[0]), (-dy, a[1] - lo), (dy, hi - a[1])):
-            if p == 0:
-                if q < 0:
-                    ok = False
-                    break
-            else:
-                t = q / p
-                if p < 0:
-                    t0 = max(t0, t)
-                else:
-                    t1 = min(t1, t)
-        if not ok or t0 > t1:
-            if cur:
-                out.append(cur)
-                cur = []
-            continue
-        s = (a[0] + t0 * dx, a[1] + t0 * dy)
-        e = (a[0] + t1 * dx, a[1] + t1 * dy)
-        if not cur:
-            cur = [s]
-        elif cur[-1] != s:
-            out.append(cur)
-            cur = [s]
-        cur.append(e)
-        if t1 < 1.0:
-            out.append(cur)
-            cur = []
-    if cur:
-        out.append(cur)
-    return out
-
-
-def _q(pts):
-    out = []
-    for x, y in pts:
-        p = (int(math.floor(x + 0.5)), int(math.floor(y + 0.5)))
-        if not out or out[-1] != p:
-            out.append(p)
-    return out
-
-
-def _area2(ring) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
-
-
-def encode_geometry(gtype: str, parts, tx: float, ty: float, w: float) -> tuple[int, list[int]]:
-    """(MVT geometry type, command integers) of one feature in one tile; (0, []) when clipped away.
-
-    ``parts`` are EPSG:3857 coordinates; (tx, ty) is the tile's north-west corner.
-    """
-    def to_tile(v):
-        return ((v[0] - tx) / w * EXTENT, (ty - v[1]) / w * EXTENT)
-
-    lo, hi = -BUFFER, EXTENT + BUFFER
-    cmds, cx, cy = [], 0, 0
-
-    def move_line(pts, close):
-        nonlocal cx, cy
-        cmds.append((1 & 0x7) | (1 << 3))
-        cmds.extend([zigzag(pts[0][0] - cx), zigzag(pts[0][1] - cy)])
-        cx, cy = pts[0]
-        if len(pts) > 1:
-            cmds.append((2 & 0x7) | ((len(pts) - 1) << 3))
-            for p in pts[1:]:
-                cmds.extend([zigzag(p[0] - cx), zigzag(p[1] - cy)])
-                cx, cy = p
-        if close:
-            cmds.append((7 & 0x7) | (1 << 3))
-
-    if gtype in ("Point", "MultiPoint"):
-        pts = []
-        for part in parts:
-            x, y = to_tile(part[0][0])
-            if lo <= x <= hi and lo <= y <= hi:
-                pts.append((int(math.floor(x + 0.5)), int(math.floor(y + 0.5))))
-        if not pts:
-            return 0, []
-        cmds.append(1 | (len(pts) << 3))
-        for p in pts:
-            cmds.extend([zigzag(p[0] - cx), zigzag(p[1] - cy)])
-            cx, cy = p
-        return 1, cmds
-    if gtype in ("LineString", "MultiLineString"):
-        for part in parts:
-            for piece in _clip_line([to_tile(v) for v in part[0]], lo, hi):
-                q = _q(piece)
-                if len(q) >= 2:
-                    move_line(q, False)
-        return (2, cmds) if cmds else (0, [])
-    for part in parts:
-        for k, ring in enumerate(part):
-            q = _q(_clip_ring([to_tile(v) for v in ring], lo, hi))
-            if len(q) > 1 and q[0] == q[-1]:
-                q = q[:-1]
-            if len(q) < 3 or _area2(q) == 0:
-                continue
-            # exterior rings positive area (clockwise on screen), holes negative
-            if (k == 0) != (_area2(q) > 0):
-                q = q[::-1]
-            move_line(q, True)
-    return (3, cmds) if cmds else (0, [])
-
-
 # ---------------------------------------------------------------- Spark plan
 def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None,
-               only: DataFrame | None = None, engine: str = "auto") -> DataFrame:
+               only: DataFrame | None = None) -> DataFrame:
     """TIL-5 / AGG-12: (z, x, y, mvt binary) for every non-empty tile of the zoom range
     (or only the tiles listed in ``only``: a semi-join before any encoding work).
 
-    Point collections are encoded by JVM expressions (:func:`point_tile_blobs`);
-    lines and polygons, which need clipping, by Arrow-batched Python.
-    ``engine="python"`` forces the Python encoder (it produces the same bytes).
+    A collection of mixed geometries goes as points, lines and areas, each by its own plan, into the same tiles.
     """
-    if engine == "auto" and coll.geometry_type in ("Point", "MultiPoint"):
-        return point_tile_blobs(coll, zooms, props, salt, layer, only)
     if props is None:
         props = [a for _, a in coll.exposed_columns()]
     sources = dict((a, s) for s, a in coll.exposed_columns())
-    layer = layer or coll.name
-    from ..functions.geometry import transform_geom
-    # reprojected once a feature, before it is copied into its tiles
-    merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
-    t = TL.assign_tiles(replace(coll, df=coll.df.withColumn("__g", merc)), zooms,
-                        [coll.id_column, "__g", *[sources.get(p, p) for p in props]])
-    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), "__g",
-                 *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props])
-    t = t.filter(F.col("__g").isNotNull())
-    points = coll.geometry_type == "Point"
-    if points:
-        # points: quantised in the JVM (TIL-4 expressions); Python only assembles bytes
-        qx, qy = TL.quantize_point(F.col("__g")["parts"][0][0][0]["x"], F.col("__g")["parts"][0][0][0]["y"],
-                                   F.col("z"), F.col("x"), F.col("y"))
-        t = t.withColumn("__qx", qx).withColumn("__qy", qy).drop("__g")
-    if only is not None:
-        t = t.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
-    t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(int(salt))).cast("int"))
-    nvals = sum((F.col(p).isNotNull().cast("int") for p in props), F.lit(0))
-    # per-chunk value counts -> value-index offset of every chunk inside its tile (<= salt rows per tile)
-    counts = t.groupBy("z", "x", "y", "__chunk").agg(F.sum(nvals).cast("long").alias("__nv"))
-    w = Window.partitionBy("z", "x", "y").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__base", F.coalesce(F.sum("__nv").over(w), F.lit(0)).cast("long"))
-    t = t.join(offsets.select("z", "x", "y", "__chunk", "__base"), ["z", "x", "y", "__chunk"])
-    wcol = TL.tile_width(F.col("z"))
-    t = (t.withColumn("__tx", F.col("x") * wcol - TL.H).withColumn("__ty", TL.H - F.col("y") * wcol)
-         .withColumn("__w", wcol))
-
-    chunk_schema = "z int, x bigint, y bigint, __chunk int, features binary, vals binary"
-
-    def encode_points(pdf: pd.DataFrame, base: int):
-        """Vectorised point path: arrays in, one bytes string per feature out."""
-        qx = pdf["__qx"].to_numpy()
-        qy = pdf["__qy"].to_numpy()
-        inside = (qx >= -BUFFER) & (qx <= EXTENT + BUFFER) & (qy >= -BUFFER) & (qy <= EXTENT + BUFFER)
-        zx = (qx.astype(np.int64) << 1) ^ (qx.astype(np.int64) >> 63)
-        zy = (qy.astype(np.int64) << 1) ^ (qy.astype(np.int64) >> 63)
-        cols = [pdf[p].to_numpy(dtype=object) for p in props]
-        feats, vals, nxt = [], [], base
-        type_point = field_key(3, 0) + varint(1)
-        for i in range(len(pdf)):
-            tags = []
-            for k, col in enumerate(cols):
-                v = col[i]
-                if v is None or (isinstance(v, float) and v != v):
-                    continue
-                vals.append(ld(4, ld(1, str(v).encode())))
-                tags.append(small_varint(k) + small_varint(nxt) if nxt < (1 << 15) else varint(k) + varint(nxt))
-                nxt += 1
-            if not inside[i]:
-                continue
-            geom = b"\x09" + small_varint(int(zx[i])) + small_varint(int(zy[i]))
-            body = (ld(2, b"".join(tags)) if tags else b"") + type_point + ld(4, geom)
-            feats.append(ld(2, body))
-        return feats, vals
-
-    def encode_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__id", kind="stable")
-        base = int(pdf["__base"].iloc[0])
-        if points:
-            feats, vals = encode_points(pdf, base)
-            first = pdf.iloc[0]
-            return pd.DataFrame([{"z": int(first["z"]), "x": int(first["x"]), "y": int(first["y"]),
-                                  "__chunk": int(first["__chunk"]), "features": b"".join(feats),
-                                  "vals": b"".join(vals)}])
-        feats, vals = [], []
-        nxt = base
-        for rec in pdf.to_dict("records"):
-            gtype, cmds = encode_geometry(*_row_geom(rec["__g"]), rec["__tx"], rec["__ty"], rec["__w"])
-            if gtype == 0:
-                # feature clipped away: its values still occupy the reserved slots
-                for p in props:
-                    v = rec[p]
-                    if v is not None and not (isinstance(v, float) and np.isnan(v)):
-                        vals.append(ld(4, ld(1, str(v).encode())))
-                        nxt += 1
-                continue
-            tags = []
-            for k, p in enumerate(props):
-                v = rec[p]
-                if v is None or (isinstance(v, float) and np.isnan(v)):
-                    continue
-                tags += [k, nxt]
-                vals.append(ld(4, ld(1, str(v).encode())))
-                nxt += 1
-            body = (packed(2, tags) if tags else b"") + field_key(3, 0) + varint(gtype) + packed(4, cmds)
-            feats.append(ld(2, body))
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"z": int(first["z"]), "x": int(first["x"]), "y": int(first["y"]),
-                              "__chunk": int(first["__chunk"]), "features": b"".join(feats), "vals": b"".join(vals)}])
-
-    chunks = t.groupBy("z", "x", "y", "__chunk").applyInPandas(encode_chunk, chunk_schema)
-
-    header = ld(1, layer.encode()) + b"".join(ld(3, p.encode()) for p in props)
-    trailer = field_key(5, 0) + varint(EXTENT) + field_key(15, 0) + varint(2)
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        feats = b"".join(pdf["features"])
-        if not feats:
-            return pd.DataFrame({"z": [], "x": [], "y": [], "mvt": []}).astype(
-                {"z": "int32", "x": "int64", "y": "int64"})
-        layer_bytes = header + feats + b"".join(pdf["vals"]) + trailer
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"z": int(first["z"]), "x": int(first["x"]), "y": int(first["y"]),
-                              "mvt": ld(3, layer_bytes)}])
-
-    return chunks.groupBy("z", "x", "y").applyInPandas(assemble, "z int, x bigint, y bigint, mvt binary")
-
-
-def _row_geom(g: dict):
-    t = g["type"]
-    parts = [[[(float(v["x"]), float(v["y"])) for v in ring] for ring in part] for part in g["parts"]]
-    return t, parts
+    slim = replace(coll, df=coll.df.select(
+        *[F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")],
+        F.col(coll.id_column).alias("__id"), F.col(coll.geometry_column).alias("__g"),
+        *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]), id_column="__id", geometry_column="__g")
+    parts = [(_point_features if family == "Point" else _shape_features)(c, zooms, props)
+             for family, c in TL.families(slim)]
+    return _assemble(reduce(DataFrame.unionByName, parts), props, salt, layer or coll.name, only)
 
 
 # ---------------------------------------------------------------- decoder (tests, inspection)
@@ -412,7 +136,7 @@ def decode(blob: bytes) -> list[dict]:
     return layers
 
 
-# ---------------------------------------------------------------- point tiles, all in the JVM
+# ---------------------------------------------------------------- hex protobuf
 def varint_hex(v: Column, max_bytes: int = 6) -> Column:
     """Protobuf varint of a non-negative integer Column as upper-case hex text."""
     v = v.cast("bigint")
@@ -437,27 +161,13 @@ def _zigzag(c: Column) -> Column:
     return F.shiftleft(c, 1).bitwiseXOR(F.shiftright(c, 63))
 
 
-def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None,
-                     only: DataFrame | None = None) -> DataFrame:
-    """TIL-5 for Point and MultiPoint collections with no Python: the same bytes as
-    :func:`tile_blobs`.
-
-    Per (tile, feature): the vertices inside the buffered tile, quantised, tags and
-    geometry as protobuf hex; the value index of each property is the chunk's
-    offset plus a running sum within the chunk (a window over at most one
-    chunk of one tile).  Chunks and tiles are concatenated in id / chunk order.
-    """
-    if props is None:
-        props = [a for _, a in coll.exposed_columns()]
-    sources = dict((a, s) for s, a in coll.exposed_columns())
-    layer = layer or coll.name
+def _point_features(coll, zooms, props: list[str]) -> DataFrame:
+    """(tile, point feature) rows for :func:`_assemble`: the vertices inside the buffered tile, quantised, as commands."""
     from ..functions.geometry import transform_geom
     # reprojected once a feature, before it is copied into its tiles
-    merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
-    t = TL.assign_tiles(replace(coll, df=coll.df.withColumn("__g", merc)), zooms,
-                        [coll.id_column, "__g", *[sources.get(p, p) for p in props]])
-    t = t.select("z", "x", "y", F.col(coll.id_column).alias("__id"), "__g",
-                 *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]).filter(F.col("__g").isNotNull())
+    merc = transform_geom(F.col("__g"), coll.srid, 3857)
+    t = TL.assign_tiles(replace(coll, df=coll.df.withColumn("__g", merc)), zooms, ["__id", "__g", *props])
+    t = t.select("z", "x", "y", "__id", "__g", *props).filter(F.col("__g").isNotNull())
     # tile-local coordinates of every vertex; keep those inside the buffered tile (before rounding)
     w = TL.tile_width(F.col("z"))
     txmin = F.col("x") * w - TL.H
@@ -470,6 +180,56 @@ def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8,
     q = F.transform(F.filter(vs, inside), lambda v: F.struct(F.floor(fx(v) + 0.5).alias("qx"),
                                                              F.floor(fy(v) + 0.5).alias("qy")))
     t = t.withColumn("__q", q).drop("__g")
+    # Geometry: MoveTo(n) then zigzag deltas from the previous point (the first from 0, 0).
+    qx = F.transform(F.col("__q"), lambda p: p["qx"])
+    qy = F.transform(F.col("__q"), lambda p: p["qy"])
+    n = F.size(F.col("__q"))
+    rest = F.greatest(n - 1, F.lit(0))
+    prevx = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qx, 1, rest))
+    prevy = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qy, 1, rest))
+    dx = F.zip_with(qx, prevx, lambda a, b: a - b)
+    dy = F.zip_with(qy, prevy, lambda a, b: a - b)
+    deltas = F.array_join(F.zip_with(dx, dy, lambda a, b: F.concat(varint_hex(_zigzag(a)), varint_hex(_zigzag(b)))), "")
+    return t.select("z", "x", "y", "__id", *props, (n > 0).alias("__in"), F.lit("1801").alias("__kind"),
+                    F.concat(varint_hex(F.lit(1).bitwiseOR(F.shiftleft(n.cast("bigint"), 3))), deltas).alias("__geom"))
+
+
+def _commands(rings: Column, areas: bool) -> Column:
+    """The command integers of rings or lines as hex: MoveTo, LineTo and, for rings, ClosePath."""
+    flat = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda v, i: F.struct(
+        v["x"].alias("x"), v["y"].alias("y"), i.alias("i"), F.size(r).alias("n")))))
+
+    def step(v, before):
+        lead = F.when(v["i"] == 0, F.lit("09")).when(
+            v["i"] == 1, varint_hex(F.shiftleft((v["n"] - 1).cast("bigint"), 3).bitwiseOR(F.lit(2)))).otherwise(F.lit(""))
+        close = F.when(v["i"] == v["n"] - 1, F.lit("0F")).otherwise(F.lit("")) if areas else F.lit("")
+        return F.concat(lead, varint_hex(_zigzag(v["x"] - before["x"])), varint_hex(_zigzag(v["y"] - before["y"])), close)
+
+    def hexed(f):
+        origin = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+        at = F.transform(f, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+        return F.zip_with(f, F.concat(F.array(origin), F.slice(at, F.lit(1), F.size(f) - 1)), step)
+
+    return F.array_join(F.get(F.transform(F.array(flat), hexed), F.lit(0)), "")
+
+
+def _shape_features(coll, zooms, props: list[str]) -> DataFrame:
+    """(tile, line or area) rows for :func:`_assemble`, clipped by the quadtree descent; a feature that
+    keeps nothing after quantising has no part in the tile, its values neither."""
+    areas = coll.geometry_type.endswith("Polygon")
+    t = QT.tile_features(coll, zooms, ["__id", *props])
+    return t.select("z", "x", "y", "__id", *props, F.lit(True).alias("__in"), F.lit("1803" if areas else "1802").alias("__kind"),
+                    _commands(F.col("rings"), areas).alias("__geom"))
+
+
+def _assemble(t: DataFrame, props: list[str], salt: int, layer: str, only: DataFrame | None) -> DataFrame:
+    """Tiles from (z, x, y, __id, properties, __in, __kind, __geom): the geometry type field and the
+    commands as hex; a feature with ``__in`` false keeps its values but is not drawn.
+
+    The value index of each property is the chunk's offset plus a running sum
+    within the chunk (a window over at most one chunk of one tile).  Chunks and
+    tiles are concatenated in id / chunk order.
+    """
     if only is not None:
         t = t.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
     t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(int(salt))).cast("int"))
@@ -491,24 +251,13 @@ def point_tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8,
         value_msg = F.concat(F.lit("0A"), varint_hex(F.octet_length(F.col(p))), F.hex(F.col(p)))
         vals.append(F.when(present, _ld_hex(4, value_msg)).otherwise(F.lit("")))
         before = before + present.cast("int")
-    # one projection per level of nesting: every hex piece is computed once.
-    # Geometry: MoveTo(n) then zigzag deltas from the previous point (the first from 0, 0).
-    qx = F.transform(F.col("__q"), lambda p: p["qx"])
-    qy = F.transform(F.col("__q"), lambda p: p["qy"])
-    n = F.size(F.col("__q"))
-    rest = F.greatest(n - 1, F.lit(0))
-    prevx = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qx, 1, rest))
-    prevy = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(qy, 1, rest))
-    dx = F.zip_with(qx, prevx, lambda a, b: a - b)
-    dy = F.zip_with(qy, prevy, lambda a, b: a - b)
-    deltas = F.array_join(F.zip_with(dx, dy, lambda a, b: F.concat(varint_hex(_zigzag(a)), varint_hex(_zigzag(b)))), "")
-    t = t.select("z", "x", "y", "__chunk", "__id", (n > 0).alias("__in"),
+    # one projection per level of nesting: every hex piece is computed once
+    t = t.select("z", "x", "y", "__chunk", "__id", "__in", "__kind", "__geom",
                  (F.concat(*tags) if tags else F.lit("")).alias("__tags"),
-                 F.concat(varint_hex(F.lit(1).bitwiseOR(F.shiftleft(n.cast("bigint"), 3))), deltas).alias("__geom"),
                  (F.concat(*vals) if vals else F.lit("")).alias("__v"))
     t = t.select("z", "x", "y", "__chunk", "__id", "__in", "__v", F.concat(
         F.when(F.length("__tags") > 0, _ld_hex(2, F.col("__tags"))).otherwise(F.lit("")),
-        F.lit("1801"), _ld_hex(4, F.col("__geom"))).alias("__body"))
+        F.col("__kind"), _ld_hex(4, F.col("__geom"))).alias("__body"))
     t = t.select("z", "x", "y", "__chunk", "__id", "__v",
                  F.when(F.col("__in"), _ld_hex(2, F.col("__body"))).otherwise(F.lit("")).alias("__f"))
     chunks = t.groupBy("z", "x", "y", "__chunk").agg(

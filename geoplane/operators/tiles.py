@@ -10,6 +10,9 @@ aggregation (a hot tile costs no more than any other group key).
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,16 +110,31 @@ def point_tile_features(coll, zooms, props: list[str] | None = None) -> DataFram
                     *[F.col(p).cast("string").alias(p) for p in props])
 
 
+def families(coll) -> list[tuple[str, object]]:
+    """A collection as its point, line and area parts; one part where the geometry type tells."""
+    found = [k for k in ("Point", "LineString", "Polygon") if coll.geometry_type in (k, f"Multi{k}")]
+    if found:
+        return [(found[0], coll)]
+    kind = F.col(coll.geometry_column)["type"]
+    return [(k, replace(coll, df=coll.df.filter(kind.isin(k, f"Multi{k}")), geometry_type=f"Multi{k}"))
+            for k in ("Point", "LineString", "Polygon")]
+
+
 def pyramid_counts(coll, zooms) -> DataFrame:
     """TIL-7: features per tile over a zoom range (partial aggregation before the shuffle).
 
     Point collections are pre-aggregated first (:func:`_point_bins`), so the
-    explode runs over occupied bins instead of features.
+    explode runs over occupied bins instead of features.  Lines and areas count
+    in the tiles that still hold some of them after clipping (:mod:`quadtree`).
     """
     zooms = sorted({int(z) for z in zooms})
     if coll.geometry_type == "Point" and zooms:
         return _point_pyramid(coll, zooms)
-    return assign_tiles(coll, zooms).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n_features"))
+    from .quadtree import tile_features
+    keys = ["z", "x", "y"]
+    rows = [(assign_tiles(c, zooms) if family == "Point" else tile_features(c, zooms)).select(*keys)
+            for family, c in families(coll)]
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_features"))
 
 
 def _point_bins(coll, zmax: int) -> DataFrame:

@@ -7,6 +7,7 @@ from geoplane.operators import mvt as M
 from geoplane.operators import tiles as TL
 from geoplane.plans.collection import Collection
 
+from . import mvt_kernel as K
 from .fixtures import sites
 
 
@@ -61,8 +62,8 @@ def test_jvm_point_tiles_byte_identical(spark):
     from .test_skew import _hot_points
     c = _hot_points(spark)
     for salt in (1, 5):
-        py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [3, 6], salt=salt, engine="python").collect()}
-        jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.point_tile_blobs(c, [3, 6], salt=salt).collect()}
+        py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in K.tile_blobs(c, [3, 6], salt=salt).collect()}
+        jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [3, 6], salt=salt).collect()}
         assert py == jvm and len(py) > 3
 
 
@@ -76,6 +77,6 @@ def test_jvm_multipoint_tiles_byte_identical(spark):
     df = G.with_bbox(df.withColumn("geom", F.struct(F.lit("MultiPoint").alias("type"), F.lit(4326).alias("srid"),
                                                     F.col("parts"))).drop("parts"))
     c = Collection(df, name="mp", geometry_type="MultiPoint")
-    py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [5, 8], ["name"], salt=3, engine="python").collect()}
+    py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in K.tile_blobs(c, [5, 8], ["name"], salt=3).collect()}
     jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [5, 8], ["name"], salt=3).collect()}
     assert py == jvm and len(py) > 5

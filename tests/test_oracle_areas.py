@@ -9,7 +9,7 @@ import __spark_entry__ as E
 
 SF_DIR = "/root/testdata/sf0.01"
 NAMES = sorted(n for n in E.oracle_sql() if n.endswith("_areas") or "near_edges" in n or n.startswith("spa7_s_contains_")
-               or n.startswith(("jn10_batch_contains", "jn10_batch_relate")))
+               or n.startswith(("jn10_batch_contains", "jn10_batch_relate", "til3_til4_clipped", "til7_area")))
 
 
 @pytest.mark.parametrize("name", NAMES)
