@@ -1134,8 +1134,8 @@ query("str2_stream_filter", f"""SELECT id, event_type, ts FROM {EVT} WHERE event
 
 def _str3(spark, sf_dir):
     s = _event_stream(spark, sf_dir).withColumnRenamed("event_type", "collection")
-    out = ST.run_available_now(ST.running_collection_stats(s), _sink(spark, "str3"), mode="complete", name="str3")
-    return spark.read.parquet(out)
+    out = ST.run_upserts(ST.running_collection_stats(s), ["collection"], _sink(spark, "str3"), name="str3")
+    return ST.read_upserts(spark, out, ["collection"])
 
 
 query("str3_running_stats", f"SELECT event_type AS collection, count(*) AS feature_count, min(x) AS xmin, min(y) AS ymin, "

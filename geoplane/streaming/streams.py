@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def stream_filter(stream: DataFrame, condition: Column, columns: list[str] | Non
 
 # ---------------------------------------------------------------- STR-3
 def running_collection_stats(stream: DataFrame, collection_col: str = "collection") -> DataFrame:
-    """Feature count and extent per collection, kept up to date (update / complete mode)."""
+    """Feature count and extent per collection, kept up to date (update mode, see :func:`run_upserts`)."""
     return stream.groupBy(collection_col).agg(
         F.count(F.lit(1)).alias("feature_count"),
         F.min("_xmin").alias("xmin"), F.min("_ymin").alias("ymin"),
@@ -164,20 +165,90 @@ def stream_point_lookup(polygons, points: DataFrame, point_id: str = "pid", x: s
     return strips.point_hits(pairs, geoms, "id", "__geom", "s_intersects").select(point_id, "id")
 
 
-def run_available_now(df: DataFrame, sink_dir: str, mode: str = "append", fmt: str = "parquet",
-                      name: str = "stream") -> str:
-    """Run a streaming frame over everything available, into files; returns the sink path.
+# ---------------------------------------------------------------- keyed upsert sink
+FULL_EVERY = 20
 
-    Aggregations use ``complete`` mode into a ``foreachBatch`` overwrite.
+
+def _versions(spark: SparkSession, sink_dir: str) -> list[tuple[int, str, str]]:
+    """(batch id, kind, path) of the complete versions of a sink, oldest first; unfinished ones are left out."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sink_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for status in fs.listStatus(root):
+        kind, _, batch = status.getPath().getName().partition("-")
+        if kind in ("full", "delta") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            out.append((int(batch), kind, status.getPath().toString()))
+    return sorted(out)
+
+
+def _merged(spark: SparkSession, versions: list[tuple[int, str, str]], keys: list[str]) -> DataFrame | None:
+    """The newest row of each key (null is a key too) over the last full version and the changes after it."""
+    fulls = [n for n, kind, _ in versions if kind == "full"]
+    live = [v for v in versions if not fulls or v[0] >= fulls[-1]]
+    if not live:
+        return None
+    parts = [spark.read.parquet(path).withColumn("__batch", F.lit(n).cast("bigint")) for n, _, path in live]
+    rows = reduce(DataFrame.unionByName, parts)
+    value = F.struct(*[c for c in rows.columns if c not in (*keys, "__batch")])
+    return rows.groupBy(*keys).agg(F.max_by(value, F.col("__batch")).alias("__v")).select(*keys, "__v.*")
+
+
+def read_upserts(spark: SparkSession, sink_dir: str, keys: list[str]) -> DataFrame:
+    """The state a reader sees: whole batches only, the newest complete row of each key."""
+    state = _merged(spark, _versions(spark, sink_dir), keys)
+    if state is None:
+        raise ValueError(f"no complete batch in {sink_dir}")
+    return state
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, sink_dir: str, keys: list[str], full_every: int = FULL_EVERY) -> None:
+    """One micro-batch of changed rows (one a key) as a new version; nothing readers use is overwritten.
+
+    The path names the batch, so a replayed batch that was complete writes
+    nothing and one that was not is written again.  Every ``full_every``-th
+    batch writes the merged state; versions older than the full one before it
+    are then removed, so a reader that has just listed the folder keeps its files.
+    """
+    spark = batch.sparkSession
+    done = _versions(spark, sink_dir)
+    if any(n == batch_id for n, _, _ in done):
+        return
+    earlier = [v for v in done if v[0] < batch_id]
+    if not earlier or batch_id % full_every:
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/delta-{batch_id}")
+        return
+    old = _merged(spark, earlier, keys)
+    newest = old.withColumn("__new", F.lit(0)).unionByName(batch.select(*old.columns).withColumn("__new", F.lit(1)))
+    value = F.struct(*[c for c in old.columns if c not in keys])
+    (newest.groupBy(*keys).agg(F.max_by(value, F.col("__new")).alias("__v")).select(*keys, "__v.*")
+     .write.mode("overwrite").parquet(f"{sink_dir}/full-{batch_id}"))
+    fulls = [n for n, kind, _ in earlier if kind == "full"]
+    jvm = spark.sparkContext._jvm
+    for n, _, path in earlier:
+        if fulls and n < fulls[-1]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def run_upserts(df: DataFrame, keys: list[str], sink_dir: str, name: str = "upserts", full_every: int = FULL_EVERY,
+                checkpoint: str | None = None) -> str:
+    """Run a streaming aggregation in update mode over everything available: each batch writes its changed keys only."""
+    q = (df.writeStream.outputMode("update")
+         .foreachBatch(lambda batch, n: upsert_batch(batch, n, sink_dir, keys, full_every))
+         .option("checkpointLocation", checkpoint or checkpoint_location(df.sparkSession, name)))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return sink_dir
+
+
+def run_available_now(df: DataFrame, sink_dir: str, fmt: str = "parquet", name: str = "stream") -> str:
+    """Run a streaming frame over everything available, appending files; returns the sink path.
+
+    Aggregations go through :func:`run_upserts`.
     """
-    spark = df.sparkSession
-    ckpt = checkpoint_location(spark, name)
-    if mode == "complete":
-        def write(batch, _bid):
-            batch.write.mode("overwrite").format(fmt).save(sink_dir)
-        q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-    else:
-        q = (df.writeStream.outputMode("append").format(fmt).option("path", sink_dir)
-             .option("checkpointLocation", ckpt))
+    q = (df.writeStream.outputMode("append").format(fmt).option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_location(df.sparkSession, name)))
     q.trigger(availableNow=True).start().awaitTermination()
     return sink_dir
