@@ -94,6 +94,30 @@ query("src10_csv_preview", " UNION ALL ".join(f"""SELECT '{f}' AS field, '{t}' A
                                               for f, t in (("code", "INTEGER"), ("name", "TEXT"), ("nation_id", "INTEGER"))))(_src10)
 
 
+_BUCKET = 20       # customer keys of a file to check
+
+
+def _src8(spark, sf_dir):
+    """A CSV file for every 20 customer keys; by turns whole, a header alone, a header and blank lines, and nothing."""
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.floor(F.col("c_custkey") / _BUCKET).alias("file"))
+    rows = F.transform(F.sort_array(F.collect_list("c_name")), lambda v: F.concat(v, F.lit(",2.5,48.5")))   # _BUCKET at most
+    head = F.lit("name,lon,lat")
+    text = c.groupBy("file").agg(
+        F.when(F.col("file") % 4 == 0, F.array_join(F.concat(F.array(head), rows), "\n"))
+        .when(F.col("file") % 4 == 1, head).when(F.col("file") % 4 == 2, F.concat(head, F.lit("\n  \n\n")))
+        .otherwise(F.lit("")).alias("value"))
+    base = _folder(spark, "checks")
+    text.repartition(8, "file").write.partitionBy("file").text(base)
+    checked = detect.check_csv_files(spark, base, recursive=True)
+    return checked.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "n_lines", "ok", "reason")
+
+
+query("src8_csv_file_checks", f"""SELECT file, CAST(n AS BIGINT) AS n_lines, n > 1 AS ok,
+  CASE WHEN n < 2 THEN '{detect.TOO_SHORT}' END AS reason FROM (
+  SELECT CAST(c_custkey // {_BUCKET} AS BIGINT) AS file, CASE WHEN c_custkey // {_BUCKET} % 4 = 0 THEN count(*) + 1
+    WHEN c_custkey // {_BUCKET} % 4 = 3 THEN 0 ELSE 1 END AS n FROM customer GROUP BY c_custkey // {_BUCKET})""")(_src8)
+
+
 # ============================================================ GeoJSON documents (SRC-1, SRC-2, SRC-9, ING-6)
 _DOC = 500         # features of a document
 

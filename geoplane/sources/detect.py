@@ -47,14 +47,37 @@ def collection_name(path: str) -> str:
     return TX.sanitize_name(base)
 
 
+TOO_SHORT = "CSV file needs a header and at least one data row"
+
+
 def check_csv(spark: SparkSession, path: str) -> tuple[bool, str | None]:
     """SRC-8: a CSV needs a header line and at least one data row."""
     lines = spark.read.text(path).filter(F.trim("value") != "").limit(2).count()
     if lines < 2:
-        return False, "CSV file needs a header and at least one data row"
+        return False, TOO_SHORT
     return True, None
 
 
+def _uri(path):
+    """``file:///a`` and ``file:/a`` name the same file: the shorter form."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+
+
+def check_csv_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """SRC-8 over many files in one job: (path, n_lines, ok, reason), one row a file, empty files too.
+
+    Lines that hold more than spaces count; the counts are partial before the shuffle, so a large file is many tasks.
+    """
+    text = spark.read.option("recursiveFileLookup", str(bool(recursive)).lower()).text(path)
+    # the listing that Spark keeps on the driver for any read; a scan leaves files of no bytes out
+    files = spark.createDataFrame([(p,) for p in text.inputFiles()], "path string").select(_uri(F.col("path")).alias("path"))
+    lines = (text.filter(F.trim("value") != "")
+             .groupBy(_uri(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("n_lines")))
+    n = F.coalesce("n_lines", F.lit(0))
+    return files.join(lines, "path", "left").select("path", n.alias("n_lines"), (n > 1).alias("ok"),
+                                                    F.when(n < 2, F.lit(TOO_SHORT)).alias("reason"))
+
+
 def require_csv(spark: SparkSession, path: str) -> None:
     ok, reason = check_csv(spark, path)
     if not ok:

@@ -51,3 +51,17 @@ def test_reimport_writes_new_version(spark, tmp_dir):
     a = write_feature_table(s.df, tmp_dir, "sites", workspace="ws1", version="v1")
     b = write_feature_table(s.df, tmp_dir, "sites", workspace="ws2", version="v1")
     assert a != b and "/ws1/sites/" in a and "/ws2/sites/" in b
+
+
+def test_csv_files_checked_in_one_job(spark, tmp_dir):
+    from pathlib import Path
+
+    from geoplane.sources import detect
+    texts = {"empty.csv": "", "blank.csv": "\n  \n", "head.csv": "a,b\n", "ok.csv": "a,b\n\n1,2\n", "long.csv": "a\n" + "1\n" * 5000}
+    for name, text in texts.items():
+        Path(tmp_dir, name).write_text(text)
+    got = {Path(r["path"]).name: (r["n_lines"], r["ok"], r["reason"]) for r in detect.check_csv_files(spark, tmp_dir).collect()}
+    bad = detect.TOO_SHORT
+    assert got == {"empty.csv": (0, False, bad), "blank.csv": (0, False, bad), "head.csv": (1, False, bad),
+                   "ok.csv": (2, True, None), "long.csv": (5001, True, None)}
+    assert all(detect.check_csv(spark, str(Path(tmp_dir, n)))[0] == v[1] for n, v in got.items())
