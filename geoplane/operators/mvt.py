@@ -11,8 +11,10 @@ from the quadtree descent (:mod:`quadtree`).
 Scale plan: a tile's features are spread over ``salt`` chunks.  A small
 aggregate counts the property values of each chunk, so every chunk knows
 the offset of its values in the layer's value table before encoding.  The
-chunks are encoded in parallel, and the last step only concatenates at most
-``salt`` pre-encoded texts per tile.
+chunks are encoded in parallel.  :func:`tile_parts` returns them as they are,
+with as many chunks a tile as keep each one small, so a tile of any size is
+never in one row or task; :func:`tile_blobs` concatenates the ``salt`` texts of
+each tile to the bytes that one request answers.
 """
 
 from __future__ import annotations
@@ -53,23 +55,75 @@ def ld(num: int, payload: bytes) -> bytes:
 
 
 # ---------------------------------------------------------------- Spark plan
+PART_FEATURES = 2048           # mean features of a part in the fullest tile of a zoom
+
+
+def _features(coll, zooms, props: list[str]) -> DataFrame:
+    """(tile, feature) rows; mixed geometries go as points, lines and areas, each by its own plan."""
+    parts = [(_point_features if family == "Point" else _shape_features)(c, zooms, props)
+             for family, c in TL.families(coll)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _slim(coll, props: list[str] | None):
+    """The collection with its id, geometry, box and the properties as text; and the properties' names."""
+    if props is None:
+        props = [a for _, a in coll.exposed_columns()]
+    sources = dict((a, s) for s, a in coll.exposed_columns())
+    return replace(coll, df=coll.df.select(
+        *[F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")],
+        F.col(coll.id_column).alias("__id"), F.col(coll.geometry_column).alias("__g"),
+        *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]), id_column="__id", geometry_column="__g"), props
+
+
 def tile_blobs(coll, zooms, props: list[str] | None = None, salt: int = 8, layer: str | None = None,
                only: DataFrame | None = None) -> DataFrame:
     """TIL-5 / AGG-12: (z, x, y, mvt binary) for every non-empty tile of the zoom range
     (or only the tiles listed in ``only``: a semi-join before any encoding work).
 
     A collection of mixed geometries goes as points, lines and areas, each by its own plan, into the same tiles.
+    A tile is one value here; whole pyramids of large collections go by :func:`tile_parts`.
     """
-    if props is None:
-        props = [a for _, a in coll.exposed_columns()]
-    sources = dict((a, s) for s, a in coll.exposed_columns())
-    slim = replace(coll, df=coll.df.select(
-        *[F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")],
-        F.col(coll.id_column).alias("__id"), F.col(coll.geometry_column).alias("__g"),
-        *[F.col(sources.get(p, p)).cast("string").alias(p) for p in props]), id_column="__id", geometry_column="__g")
-    parts = [(_point_features if family == "Point" else _shape_features)(c, zooms, props)
-             for family, c in TL.families(slim)]
-    return _assemble(reduce(DataFrame.unionByName, parts), props, salt, layer or coll.name, only)
+    slim, props = _slim(coll, props)
+    return _assemble(_features(slim, zooms, props), props, salt, layer or coll.name, only)
+
+
+def part_counts(coll, zooms, features: int = PART_FEATURES) -> dict[int, int]:
+    """Parts of a tile at each zoom: its fullest tile's features over ``features`` (at most 31 rows come back)."""
+    zooms = sorted({int(z) for z in zooms})
+    total = coll.df.count()
+    if total <= features:
+        return dict.fromkeys(zooms, 1)
+    peak = TL.pyramid_counts(coll, zooms).groupBy("z").agg(F.max("n_features").alias("n")).collect()
+    return dict.fromkeys(zooms, 1) | {int(r["z"]): -(-int(r["n"]) // features) for r in peak}
+
+
+def tile_parts(coll, zooms, props: list[str] | None = None, salt: int | dict[int, int] | None = None,
+               only: DataFrame | None = None) -> DataFrame:
+    """TIL-5 / AGG-12 for tiles of any size: (z, x, y, part, first_value, features, values), each part a bounded row.
+
+    ``features`` and ``values`` are encoded messages of the layer; the tags of
+    a part's features name only values of that part, which start at index
+    ``first_value`` of the tile's value table.  A tile's bytes are
+    :func:`layer_head` of its size, the features of its parts in order, their
+    values in order, and :data:`LAYER_TAIL`: those of :func:`tile_blobs` with
+    the same ``salt``.  Without ``salt``, :func:`part_counts` says how many
+    parts each zoom has.
+    """
+    slim, props = _slim(coll, props)
+    salt = part_counts(slim, zooms) if salt is None else salt
+    return _chunks(_features(slim, zooms, props), props, salt, only).select(
+        "z", "x", "y", F.col("__chunk").alias("part"), F.col("__base").alias("first_value"),
+        F.unhex("__f").alias("features"), F.unhex("__v").alias("values"))
+
+
+LAYER_TAIL = field_key(5, 0) + varint(EXTENT) + field_key(15, 0) + varint(2)
+
+
+def layer_head(layer: str, props: list[str], n_bytes: int) -> bytes:
+    """What stands before a tile's features, whose features and values have ``n_bytes`` bytes."""
+    names = ld(1, layer.encode()) + b"".join(ld(3, p.encode()) for p in props)
+    return field_key(3, 2) + varint(len(names) + n_bytes + len(LAYER_TAIL)) + names
 
 
 # ---------------------------------------------------------------- decoder (tests, inspection)
@@ -138,22 +192,25 @@ def decode(blob: bytes) -> list[dict]:
 
 # ---------------------------------------------------------------- hex protobuf
 def varint_hex(v: Column, max_bytes: int = 6) -> Column:
-    """Protobuf varint of a non-negative integer Column as upper-case hex text."""
+    """Protobuf varint of a non-negative integer Column as upper-case hex text.
+
+    Two bytes and more are one number whose first byte is 0x80 at least, so its hex has every digit.
+    """
     v = v.cast("bigint")
-    parts = []
-    for i in range(max_bytes):
-        rest = F.shiftright(v, 7 * i)
-        more = F.shiftright(v, 7 * (i + 1)) > 0
-        byte = rest.bitwiseAND(F.lit(0x7F)).bitwiseOR(F.when(more, F.lit(0x80)).otherwise(F.lit(0)))
-        hexbyte = F.lpad(F.hex(byte), 2, "0")
-        parts.append(F.when((i == 0) | (rest > 0), hexbyte).otherwise(F.lit("")))
-    return F.concat(*parts)
+    out = F.when(v < 0x80, F.lpad(F.hex(v), 2, "0"))
+    for n in range(2, max_bytes + 1):
+        number = F.shiftright(v, 7 * (n - 1))
+        for i in range(n - 1):
+            byte = F.shiftright(v, 7 * i).bitwiseAND(F.lit(0x7F)).bitwiseOR(F.lit(0x80)).cast("bigint")
+            number = number.bitwiseOR(F.shiftleft(byte, 8 * (n - 1 - i)))
+        out = out.when(v < 1 << 7 * n, F.hex(number)) if n < max_bytes else out.otherwise(F.hex(number))
+    return out
 
 
 def _ld_hex(field: int, payload_hex: Column) -> Column:
     """Length-delimited field (hex) around a hex payload."""
     key = f"{(field << 3) | 2:02X}"
-    return F.concat(F.lit(key), varint_hex(F.length(payload_hex) / 2), payload_hex)
+    return F.concat(F.lit(key), varint_hex(F.shiftright(F.octet_length(payload_hex), 1)), payload_hex)
 
 
 def _zigzag(c: Column) -> Column:
@@ -163,6 +220,8 @@ def _zigzag(c: Column) -> Column:
 
 def _point_features(coll, zooms, props: list[str]) -> DataFrame:
     """(tile, point feature) rows for :func:`_assemble`: the vertices inside the buffered tile, quantised, as commands."""
+    if coll.geometry_type == "Point":
+        return _single_points(coll, zooms, props)
     from ..functions.geometry import transform_geom
     # reprojected once a feature, before it is copied into its tiles
     merc = transform_geom(F.col("__g"), coll.srid, 3857)
@@ -194,6 +253,20 @@ def _point_features(coll, zooms, props: list[str]) -> DataFrame:
                     F.concat(varint_hex(F.lit(1).bitwiseOR(F.shiftleft(n.cast("bigint"), 3))), deltas).alias("__geom"))
 
 
+def _single_points(coll, zooms, props: list[str]) -> DataFrame:
+    """:func:`_point_features` of features of one vertex, which their box holds: plain columns, no arrays."""
+    t = TL.assign_wide(coll, zooms, ["__id", *props])
+    w = F.col("__w")
+    fx = (F.col("mx1") - (F.col("x") * w - TL.H)) / w * EXTENT
+    fy = ((F.lit(TL.H) - F.col("y") * w) - F.col("my1")) / w * EXTENT
+    t = t.select("z", "x", "y", "__id", *props, fx.alias("__fx"), fy.alias("__fy"))
+    inside = F.col("__fx").between(-BUFFER, EXTENT + BUFFER) & F.col("__fy").between(-BUFFER, EXTENT + BUFFER)
+    t = t.select("z", "x", "y", "__id", *props, F.coalesce(inside, F.lit(False)).alias("__in"),
+                 *[_zigzag(F.floor(F.col(f"__f{a}") + 0.5)).alias(f"__q{a}") for a in "xy"])
+    return t.select("z", "x", "y", "__id", *props, "__in", F.lit("1801").alias("__kind"),
+                    F.concat(F.lit("09"), varint_hex(F.col("__qx")), varint_hex(F.col("__qy"))).alias("__geom"))
+
+
 def _commands(rings: Column, areas: bool) -> Column:
     """The command integers of rings or lines as hex: MoveTo, LineTo and, for rings, ClosePath."""
     flat = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda v, i: F.struct(
@@ -222,55 +295,60 @@ def _shape_features(coll, zooms, props: list[str]) -> DataFrame:
                     _commands(F.col("rings"), areas).alias("__geom"))
 
 
-def _assemble(t: DataFrame, props: list[str], salt: int, layer: str, only: DataFrame | None) -> DataFrame:
-    """Tiles from (z, x, y, __id, properties, __in, __kind, __geom): the geometry type field and the
-    commands as hex; a feature with ``__in`` false keeps its values but is not drawn.
+def _chunks(t: DataFrame, props: list[str], salt: int | dict[int, int], only: DataFrame | None) -> DataFrame:
+    """Encoded chunks (z, x, y, __chunk, __base, __f, __v) from (z, x, y, __id, properties, __in, __kind,
+    __geom): the geometry type field and the commands as hex; a feature with ``__in`` false keeps its
+    values but is not drawn.
 
     The value index of each property is the chunk's offset plus a running sum
-    within the chunk (a window over at most one chunk of one tile).  Chunks and
-    tiles are concatenated in id / chunk order.
+    within the chunk (a window over at most one chunk of one tile).
     """
     if only is not None:
         t = t.join(only.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
-    t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(int(salt))).cast("int"))
+    n = F.lit(int(salt)) if isinstance(salt, int) else F.element_at(
+        F.create_map(*[F.lit(int(k)) for pair in sorted(salt.items()) for k in pair]), F.col("z"))
+    t = t.withColumn("__chunk", F.pmod(F.xxhash64("__id"), n).cast("int"))
+    keys = ["z", "x", "y", "__chunk"]
     nonnull = [F.col(p).isNotNull().cast("int") for p in props]
     t = t.withColumn("__nv", sum(nonnull, F.lit(0)))
-    # value-index base of every chunk inside its tile (<= salt rows per tile)
-    counts = t.groupBy("z", "x", "y", "__chunk").agg(F.sum("__nv").cast("long").alias("__cnv"))
+    # value-index base of every chunk inside its tile (one slim row a chunk)
+    counts = t.groupBy(*keys).agg(F.sum("__nv").cast("long").alias("__cnv"))
     wc = Window.partitionBy("z", "x", "y").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__base", F.coalesce(F.sum("__cnv").over(wc), F.lit(0)).cast("long"))
-    t = t.join(offsets.select("z", "x", "y", "__chunk", "__base"), ["z", "x", "y", "__chunk"])
-    wf = (Window.partitionBy("z", "x", "y", "__chunk").orderBy("__id")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("__vstart", F.col("__base") + F.coalesce(F.sum("__nv").over(wf), F.lit(0)))
-    tags, vals, before = [], [], F.lit(0)
+    wf = Window.partitionBy(*keys).orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("__before", F.coalesce(F.sum("__nv").over(wf), F.lit(0)))
+    t = t.join(offsets.select(*keys, "__base").hint("merge"), keys)         # in the window's order: no other sort
+    t = t.withColumn("__vstart", F.col("__base") + F.col("__before"))
+    tags, texts, vals, before = [], [], [], F.lit(0)
     for k, p in enumerate(props):
         present = F.col(p).isNotNull()
         idx = F.col("__vstart") + before
         tags.append(F.when(present, F.concat(varint_hex(F.lit(k)), varint_hex(idx))).otherwise(F.lit("")))
-        value_msg = F.concat(F.lit("0A"), varint_hex(F.octet_length(F.col(p))), F.hex(F.col(p)))
-        vals.append(F.when(present, _ld_hex(4, value_msg)).otherwise(F.lit("")))
+        texts.append(F.when(present, F.concat(F.lit("0A"), varint_hex(F.octet_length(F.col(p))), F.hex(F.col(p))))
+                     .alias(f"__m{k}"))
+        vals.append(F.when(F.col(f"__m{k}").isNotNull(), _ld_hex(4, F.col(f"__m{k}"))).otherwise(F.lit("")))
         before = before + present.cast("int")
     # one projection per level of nesting: every hex piece is computed once
-    t = t.select("z", "x", "y", "__chunk", "__id", "__in", "__kind", "__geom",
-                 (F.concat(*tags) if tags else F.lit("")).alias("__tags"),
-                 (F.concat(*vals) if vals else F.lit("")).alias("__v"))
-    t = t.select("z", "x", "y", "__chunk", "__id", "__in", "__v", F.concat(
-        F.when(F.length("__tags") > 0, _ld_hex(2, F.col("__tags"))).otherwise(F.lit("")),
+    t = t.select(*keys, "__base", "__id", "__in", "__kind", "__geom", *texts,
+                 (F.concat(*tags) if tags else F.lit("")).alias("__tags"))
+    t = t.select(*keys, "__base", "__id", "__in", (F.concat(*vals) if vals else F.lit("")).alias("__v"), F.concat(
+        F.when(F.octet_length("__tags") > 0, _ld_hex(2, F.col("__tags"))).otherwise(F.lit("")),
         F.col("__kind"), _ld_hex(4, F.col("__geom"))).alias("__body"))
-    t = t.select("z", "x", "y", "__chunk", "__id", "__v",
+    t = t.select(*keys, "__base", "__id", "__v",
                  F.when(F.col("__in"), _ld_hex(2, F.col("__body"))).otherwise(F.lit("")).alias("__f"))
-    chunks = t.groupBy("z", "x", "y", "__chunk").agg(
+    chunks = t.groupBy(*keys, "__base").agg(
         F.sort_array(F.collect_list(F.struct("__id", "__f", "__v"))).alias("__rows"))
-    chunks = chunks.select("z", "x", "y", "__chunk",
-                           F.array_join(F.transform("__rows", lambda r: r["__f"]), "").alias("__f"),
-                           F.array_join(F.transform("__rows", lambda r: r["__v"]), "").alias("__v"))
-    tiles = chunks.groupBy("z", "x", "y").agg(
+    return chunks.select(*keys, "__base", F.array_join(F.transform("__rows", lambda r: r["__f"]), "").alias("__f"),
+                         F.array_join(F.transform("__rows", lambda r: r["__v"]), "").alias("__v"))
+
+
+def _assemble(t: DataFrame, props: list[str], salt: int, layer: str, only: DataFrame | None) -> DataFrame:
+    """Whole tiles from the rows of :func:`_chunks`, concatenated in chunk order (in a chunk: in id order)."""
+    tiles = _chunks(t, props, salt, only).groupBy("z", "x", "y").agg(
         F.sort_array(F.collect_list(F.struct("__chunk", "__f", "__v"))).alias("__c"))
     feats = F.array_join(F.transform("__c", lambda c: c["__f"]), "")
     values = F.array_join(F.transform("__c", lambda c: c["__v"]), "")
     header_hex = (ld(1, layer.encode()) + b"".join(ld(3, p.encode()) for p in props)).hex().upper()
-    trailer_hex = (field_key(5, 0) + varint(EXTENT) + field_key(15, 0) + varint(2)).hex().upper()
     tiles = tiles.select("z", "x", "y", feats.alias("__f"), values.alias("__v")).filter(F.length("__f") > 0)
-    tiles = tiles.select("z", "x", "y", F.concat(F.lit(header_hex), "__f", "__v", F.lit(trailer_hex)).alias("__l"))
+    tiles = tiles.select("z", "x", "y", F.concat(F.lit(header_hex), "__f", "__v", F.lit(LAYER_TAIL.hex().upper())).alias("__l"))
     return tiles.select("z", "x", "y", F.unhex(_ld_hex(3, F.col("__l"))).alias("mvt"))

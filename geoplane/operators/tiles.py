@@ -80,15 +80,24 @@ def assign_tiles(coll, zooms, keep: list[str] | None = None) -> DataFrame:
     ``zooms``: an iterable of zoom levels.  ``keep``: feature columns to carry.
     """
     keep = list(keep or [coll.id_column])
+    return assign_wide(coll, zooms, keep).select(*keep, "z", "x", "y", "mx1", "my1", "mx2", "my2")
+
+
+def assign_wide(coll, zooms, keep: list[str]) -> DataFrame:
+    """:func:`assign_tiles` with the tile's width ``__w``: each zoom's numbers are literals, and every range bound
+    is a column of its own, since generated code beyond 8,000 bytes a method is never compiled."""
     mb = mercator_bbox(coll)
     df = coll.df.select(*keep, *[v.alias(k) for k, v in mb.items()]).filter(F.col("mx1").isNotNull())
-    df = df.withColumn("z", F.explode(F.array(*[F.lit(int(z)) for z in zooms])))
-    w = tile_width(F.col("z"))
-    n = F.pow(F.lit(2.0), F.col("z").cast("double")).cast("bigint")
-    xs = _range((F.col("mx1") + H) / w - 1 - MARGIN, (F.col("mx2") + H) / w + MARGIN, n)
-    ys = _range((H - F.col("my2")) / w - 1 - MARGIN, (H - F.col("my1")) / w + MARGIN, n)
-    return (df.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-            .select(*keep, "z", "x", "y", "mx1", "my1", "mx2", "my2"))
+    levels = [F.struct(F.lit(int(z)).alias("z"), F.lit(2 * H / 2.0 ** int(z)).alias("__w"),
+                       F.lit(2 ** int(z)).cast("bigint").alias("__n")) for z in zooms]
+    df = df.select("*", F.inline(F.array(*levels)))
+    w, n = F.col("__w"), F.col("__n")
+    df = df.select("*", F.ceil((F.col("mx1") + H) / w - 1 - MARGIN).alias("__xa"), F.floor((F.col("mx2") + H) / w + MARGIN).alias("__xb"),
+                   F.ceil((H - F.col("my2")) / w - 1 - MARGIN).alias("__ya"), F.floor((H - F.col("my1")) / w + MARGIN).alias("__yb"))
+    xs, ys = (_range(F.col(f"__{a}a"), F.col(f"__{a}b"), n) for a in "xy")
+    df = df.select(*keep, *mb, "z", "__w", xs.alias("__xs"), ys.alias("__ys"))
+    return (df.withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys"))
+            .select(*keep, "z", "x", "y", *mb, "__w"))
 
 
 def quantize_point(mx: Column, my: Column, z: Column, x: Column, y: Column) -> tuple[Column, Column]:

@@ -460,63 +460,83 @@ def _varints(data: bytes) -> list[int]:
     return out
 
 
-def _messages(data: bytes):
-    """(field, value) pairs of a protobuf message with varint and length-delimited fields."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
+def part_values(values: bytes) -> list[str]:
+    """The texts of the value messages of a tile part."""
+    out, i, n = [], 0, len(values)
+    while i < n:
+        at = i + 1
+        while values[at] > 127:                 # length of the message
+            at += 1
+        at += 2                                 # and the key of its text
         start = at
-        while data[at] > 127:
+        while values[at] > 127:
             at += 1
-        at += 1
-        return _varints(data[start:at])[0]
-
-    while at < len(data):
-        tag = varint()
-        if tag & 7 == 0:
-            yield tag >> 3, varint()
-        else:
-            n = varint()
-            yield tag >> 3, data[at:at + n]
-            at += n
-
-
-def decoded_tile(mvt: bytes) -> tuple[int, int, int, float, int]:
-    """Features, sums of their point coordinates, sum of ``qty`` and number of ``flag`` R of a one-layer tile."""
-    n = sx = sy = returned = 0
-    qty = 0.0
-    for _, layer in _messages(mvt):
-        fields = list(_messages(layer))
-        keys = [v.decode() for k, v in fields if k == 3]
-        values = [dict(_messages(v))[1].decode() for k, v in fields if k == 4]
-        for feature in (dict(_messages(v)) for k, v in fields if k == 2):
-            n += 1
-            _, x, y = _varints(feature[4])
-            sx += (x >> 1) ^ -(x & 1)
-            sy += (y >> 1) ^ -(y & 1)
-            tags = _varints(feature[2])
-            for k, v in zip(tags[::2], tags[1::2]):
-                if keys[k] == "qty":
-                    qty += float(values[v])
-                elif keys[k] == "flag":
-                    returned += values[v] == "R"
-    return n, sx, sy, qty, returned
+        size = _varints(values[start:at + 1])[0] if at > start else values[start]
+        i = at + 1 + size
+        out.append(values[at + 1:i].decode())
+    return out
+
+
+def part_features(features: bytes):
+    """All varints of a tile part's features, and for each feature the positions where its tags start and
+    end and where its commands start and end."""
+    import numpy as np
+    raw = np.frombuffer(features, dtype=np.uint8)
+    last = raw < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    which = np.concatenate([[0], np.cumsum(last)])               # byte -> varint that holds it
+    shift = 7 * (np.arange(len(raw)) - starts[which[:-1]])
+    v = np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
+    body, at, total = [], 0, len(raw)
+    numbers, first, place = v.tolist(), starts.tolist(), which.tolist()
+    while at < total:                                            # feature by feature: key, length, body
+        k = place[at] + 2
+        body.append(k)
+        at = first[k] + numbers[k - 1]
+    body = np.array(body, dtype=np.int64)
+    tagged = v[body] == 0x12
+    tag0 = np.where(tagged, body + 2, body)
+    tag1 = np.where(tagged, which[np.where(tagged, starts[tag0] + v[body + 1], 0)], body)
+    geom0 = tag1 + 4                                             # after the kind and the key and length of the geometry
+    geom1 = which[starts[geom0] + v[geom0 - 1]]
+    return v, tag0, tag1, geom0, geom1
+
+
+def decoded_part(features: bytes, values: bytes, first_value: int, props: list[str]) -> tuple[int, int, int, float, int]:
+    """Features, sums of their point coordinates, sum of ``qty`` and number of ``flag`` R of a part of a tile."""
+    import numpy as np
+    if not features:
+        return 0, 0, 0, 0.0, 0
+    v, tag0, tag1, geom0, _ = part_features(features)
+    texts = part_values(values)
+    xy = [(v[geom0 + k] >> 1) ^ -(v[geom0 + k] & 1) for k in (1, 2)]
+    qty, returned = 0.0, 0
+    for pair in range(int((tag1 - tag0).max(initial=0)) // 2):
+        at = tag0[tag0 + 2 * pair < tag1] + 2 * pair
+        for key, value in zip(v[at].tolist(), (v[at + 1] - first_value).tolist()):
+            if props[key] == "qty":
+                qty += float(texts[value])
+            elif props[key] == "flag":
+                returned += texts[value] == "R"
+    return len(tag0), int(np.sum(xy[0])), int(np.sum(xy[1])), qty, returned
 
 
 def _til5_decoded(spark, sf_dir):
     import pandas as pd
     li = T.lineitems(spark, sf_dir)
     li.exposed_fields = [("l_returnflag", "flag"), ("l_quantity", "qty")]
+    names = ["n_features", "sum_x", "sum_y", "sum_qty", "n_returned"]
 
     def run(batches):
         for b in batches:
-            rows = [decoded_tile(bytes(m)) for m in b["mvt"]]
-            yield pd.concat([b[["z", "x", "y"]].reset_index(drop=True),
-                             pd.DataFrame(rows, columns=["n_features", "sum_x", "sum_y", "sum_qty", "n_returned"])], axis=1)
+            rows = [decoded_part(bytes(f), bytes(v), k, ["flag", "qty"])
+                    for f, v, k in zip(b["features"], b["values"], b["first_value"])]
+            yield pd.concat([b[["z", "x", "y"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return MV.tile_blobs(li, range(3, 9)).mapInPandas(
+    read = MV.tile_parts(li, range(3, 9)).mapInPandas(
         run, "z int, x bigint, y bigint, n_features bigint, sum_x bigint, sum_y bigint, sum_qty double, n_returned bigint")
+    return read.groupBy("z", "x", "y").agg(*[F.sum(n).alias(n) for n in names]).filter("n_features > 0")
 
 
 _QX = f"CAST(floor((mx - (x * w - {_H})) / w * 4096 + 0.5) AS BIGINT)"

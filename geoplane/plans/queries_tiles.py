@@ -12,7 +12,7 @@ from ..operators import tiles as TL
 from . import tables as T
 from .collection import Collection
 from .queries import _2H, _H, CBOX, CUST, query
-from .queries_imports import _messages, _varints
+from .queries_imports import part_features, part_values
 
 # Each customer's line leaves its place by a step between -0.3 and 0.3 degrees on each axis; one in 35 has no length.
 DX = "(CAST(id % 7 AS DOUBLE) - 3) * 0.1"
@@ -111,23 +111,25 @@ query("til7_area_pyramid", f"SELECT z, x, y, count(*) AS n_features FROM {_clipp
 
 
 # ---------------------------------------------------------------- the bytes
-def decoded_shapes(mvt: bytes) -> tuple[int, int, int, int, int]:
-    """Features, vertices, sums of x and y, and number of features with segment BUILDING of a one-layer tile."""
+def decoded_shapes(features: bytes, values: bytes, first_value: int) -> tuple[int, int, int, int, int]:
+    """Features, vertices, sums of x and y, and number of features with segment BUILDING of a part of a tile."""
     n = points = sx = sy = building = 0
-    for _, layer in _messages(mvt):
-        fields = list(_messages(layer))
-        values = [dict(_messages(v))[1].decode() for k, v in fields if k == 4]
-        for feature in (dict(_messages(v)) for k, v in fields if k == 2):
-            n += 1
-            building += any(values[v] == "BUILDING" for v in _varints(feature[2])[1::2])
-            cmds, i, x, y = _varints(feature[4]), 0, 0, 0
-            while i < len(cmds):
-                steps = cmds[i] >> 3 if cmds[i] & 7 != 7 else 0
-                i += 1
-                for _ in range(steps):
-                    x += (cmds[i] >> 1) ^ -(cmds[i] & 1)
-                    y += (cmds[i + 1] >> 1) ^ -(cmds[i + 1] & 1)
-                    points, sx, sy, i = points + 1, sx + x, sy + y, i + 2
+    if not features:
+        return n, points, sx, sy, building
+    texts = part_values(values)
+    v, *at = part_features(features)
+    cmds = v.tolist()
+    for tag0, tag1, i, end in zip(*[a.tolist() for a in at]):
+        n += 1
+        building += any(texts[k - first_value] == "BUILDING" for k in cmds[tag0 + 1:tag1:2])
+        x = y = 0
+        while i < end:
+            steps = cmds[i] >> 3 if cmds[i] & 7 != 7 else 0
+            i += 1
+            for _ in range(steps):
+                x += (cmds[i] >> 1) ^ -(cmds[i] & 1)
+                y += (cmds[i + 1] >> 1) ^ -(cmds[i + 1] & 1)
+                points, sx, sy, i = points + 1, sx + x, sy + y, i + 2
     return n, points, sx, sy, building
 
 
@@ -139,10 +141,12 @@ def _decoded(make):
 
         def read(batches):
             for b in batches:
-                rows = pd.DataFrame([decoded_shapes(bytes(m)) for m in b["mvt"]], columns=names)
+                rows = pd.DataFrame([decoded_shapes(bytes(f), bytes(v), k) for f, v, k in
+                                     zip(b["features"], b["values"], b["first_value"])], columns=names)
                 yield pd.concat([b[["z", "x", "y"]].reset_index(drop=True), rows], axis=1)
-        return MV.tile_blobs(coll, range(4, 10)).mapInPandas(
+        parts = MV.tile_parts(coll, range(4, 10)).mapInPandas(
             read, "z int, x bigint, y bigint, " + ", ".join(f"{n} bigint" for n in names))
+        return parts.groupBy("z", "x", "y").agg(*[F.sum(n).alias(n) for n in names]).filter("n_features > 0")
     return run
 
 

@@ -80,3 +80,39 @@ def test_jvm_multipoint_tiles_byte_identical(spark):
     py = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in K.tile_blobs(c, [5, 8], ["name"], salt=3).collect()}
     jvm = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [5, 8], ["name"], salt=3).collect()}
     assert py == jvm and len(py) > 5
+
+
+def _joined(parts, layer, props):
+    """The tiles that their parts make."""
+    tiles = {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        f, v = tiles.setdefault((r["z"], r["x"], r["y"]), (bytearray(), bytearray()))
+        f += r["features"]
+        v += r["values"]
+    return {k: M.layer_head(layer, props, len(f) + len(v)) + bytes(f) + bytes(v) + M.LAYER_TAIL
+            for k, (f, v) in tiles.items() if f}
+
+
+def test_parts_make_the_same_tiles(spark):
+    from .test_skew import _hot_points
+    c = _hot_points(spark)
+    props = [a for _, a in c.exposed_columns()]
+    for salt in (1, 5):
+        whole = {(r["z"], r["x"], r["y"]): bytes(r["mvt"]) for r in M.tile_blobs(c, [3, 6], salt=salt).collect()}
+        assert _joined(M.tile_parts(c, [3, 6], salt=salt).collect(), c.name, props) == whole
+
+
+def test_a_part_is_bounded_whatever_the_tile_holds(spark, monkeypatch):
+    from geoplane.plans import queries_imports as QI
+    from geoplane.plans import tables as T
+    c = T.orders(spark, "/root/testdata/sf0.001")
+    c.exposed_fields = [("o_orderstatus", "flag"), ("o_custkey", "qty")]
+    n = c.df.count()
+    counts = M.part_counts(c, [0, 4], 50)
+    assert counts[0] == -(-n // 50) and 1 <= counts[4] <= counts[0] and M.part_counts(c, [0, 4], n) == {0: 1, 4: 1}
+    parts = M.tile_parts(c, [0, 4], salt=counts).collect()
+    read = {(r["z"], r["x"], r["y"], r["part"]): QI.decoded_part(bytes(r["features"]), bytes(r["values"]), r["first_value"],
+                                                                 ["flag", "qty"]) for r in parts}
+    assert max(v[0] for v in read.values()) < 120
+    assert sum(v[0] for k, v in read.items() if k[0] == 0) == n
+    assert sum(v[3] for k, v in read.items() if k[0] == 0) == c.df.agg(F.sum("o_custkey")).first()[0]
