@@ -8,8 +8,10 @@ children: no join, no group, no Python.  Coordinates are tile units; going down
 doubles them and subtracts a multiple of 4096, both exact in floating point, so
 only the cut points are rounded.
 
-Scale: rounds are narrow.  After every ``spread`` levels the rows are hashed by
-(feature, tile), so a feature that covers the world is not one task's work.
+Scale: rounds are narrow.  For more than ``spread`` levels the features are dealt
+over all partitions first, however few files hold them; after every ``spread``
+levels the rows are hashed by (feature, tile), so a feature that covers the
+world is not one task's work.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions.geometry import transform_geom
 from . import tiles as TL
 
@@ -38,8 +41,8 @@ _SIDES = "array(" + ", ".join(
     for h in ("true", "false") for m, c, b in (("1D", f"{-LO}D", f"{LO}D"), ("-1D", f"{HI}D", f"{HI}D"))) + ")"
 
 
-def _ring_clip(pts: str) -> str:
-    """A ring without its closing vertex, cut by the four sides one after the other."""
+def _ring_clip(pts: str, sides: str) -> str:
+    """A ring without its closing vertex, cut by ``sides`` one after the other."""
     def dist(v):
         return f"(s.m * if(s.h, {v}.x, {v}.y) + s.c)"
 
@@ -48,7 +51,7 @@ def _ring_clip(pts: str) -> str:
     kept = (f"CASE WHEN {dist('v')} >= 0 THEN if({dist('v0')} >= 0, array(v), array({cut}, v)) "
             f"WHEN {dist('v0')} >= 0 THEN array({cut}) ELSE slice(array(v), 1, 0) END")
     before = "concat(slice(acc, -1, 1), slice(acc, 1, size(acc) - 1))"
-    return (f"aggregate({_SIDES}, {pts}, (acc, s) -> "
+    return (f"aggregate({sides}, {pts}, (acc, s) -> "
             f"if(size(acc) = 0, acc, flatten(zip_with(acc, {before}, (v, v0) -> {kept}))))")
 
 
@@ -81,19 +84,26 @@ def _line_clip(pts: str) -> str:
     return _let("c", cut, pieces)
 
 
-def _clip(rings: str, areas: bool) -> str:
+def _crossed(scale: int, cx: str, cy: str) -> str:
+    """The sides that the box ``b`` goes over; a cut by any other changes no ring."""
+    def nearest(axis, c):
+        return f"if(s.m > 0, {scale} * b.{axis}1, -({scale} * b.{axis}2)) - s.m * 4096 * {c} + s.c < 0"
+    return f"filter({_SIDES}, s -> if(s.h, {nearest('x', cx)}, {nearest('y', cy)}))"
+
+
+def _clip(rings: str, areas: bool, sides: str) -> str:
     if not areas:
         return f"flatten(transform({rings}, r -> {_line_clip('r.p')}))"
     following = "concat(slice(r.p, 2, size(r.p)), slice(r.p, 1, 1))"
     on_side = " OR ".join(f"(u.{a} = v.{a} AND u.{a} IN ({LO}D, {HI}D))" for a in "xy")
     border = f"forall(zip_with(r.p, {following}, (u, v) -> {on_side}), e -> e)"
     area2 = f"aggregate(zip_with(r.p, {following}, (u, v) -> u.x * v.y - v.x * u.y), 0D, (a, c) -> a + c)"
-    cut = f"transform({rings}, r -> named_struct('hole', r.hole, 'k', r.k, 'p', {_ring_clip('r.p')}))"
+    cut = f"transform({rings}, r -> named_struct('hole', r.hole, 'k', r.k, 'p', {_ring_clip('r.p', 'sides')}))"
     # a ring along the border alone holds the whole square (1) or nothing of it (-1), here and in every deeper tile
     marked = (f"transform(filter({cut}, r -> size(r.p) >= 3), r -> named_struct('r', r, 's', "
               f"CASE WHEN NOT {border} THEN 0 WHEN abs({area2}) > {(HI - LO) ** 2}D THEN 1 ELSE -1 END))")
-    return _let("c", marked, "transform(filter(c, m -> m.s >= 0 AND NOT exists(c, o -> o.s = 1 AND o.r.hole AND o.r.k = m.r.k)), "
-                             "m -> m.r)")
+    return _let("sides", sides, _let("c", marked, "transform(filter(c, m -> m.s >= 0 AND NOT exists(c, o -> o.s = 1 AND o.r.hole AND o.r.k = m.r.k)), "
+                             "m -> m.r)"))
 
 
 def _into(t: str, scale: int, cx: str, cy: str, areas: bool) -> str:
@@ -105,7 +115,7 @@ def _into(t: str, scale: int, cx: str, cy: str, areas: bool) -> str:
     meets = " AND ".join(f"{scale} * b.{a}1 - 4096 * {c} <= {HI}D AND {scale} * b.{a}2 - 4096 * {c} >= {LO}D"
                          for a, c in (("x", cx), ("y", cy)))
     none = f"slice({t}.g, 1, 0)"
-    return f"CASE WHEN {inside} THEN {moved} WHEN {meets} THEN {_let('m', moved, _clip('m', areas))} ELSE {none} END"
+    return f"CASE WHEN {inside} THEN {moved} WHEN {meets} THEN {_let('m', moved, _clip('m', areas, _crossed(scale, cx, cy)))} ELSE {none} END"
 
 
 def _box(t: str) -> str:
@@ -137,7 +147,7 @@ def descend(coll, zooms, keep: list[str] | None = None, spread: int = SPREAD) ->
         return coll.df.select(*keep, F.expr(f"CAST(NULL AS {TILE})").alias("__t")).limit(0).select(*keep, "__t.*")
     if wanted[0] < 0 or wanted[-1] > TL.MAX_ZOOM:
         raise ValueError(f"zoom levels lie between 0 and {TL.MAX_ZOOM}")
-    merc = transform_geom(F.col(coll.geometry_column), coll.srid, 3857)
+    merc = transform_geom(F.col("__f"), coll.srid, 3857)
     world = 2 * TL.H
 
     def ring(pts, i, part):
@@ -149,7 +159,10 @@ def descend(coll, zooms, keep: list[str] | None = None, spread: int = SPREAD) ->
         return F.struct((F.lit(areas) & (i > 0)).alias("hole"), part.cast("int").alias("k"), pts.alias("p"))
 
     rings = F.filter(F.flatten(F.transform("__m", lambda part, j: F.transform(part, lambda pts, i: ring(pts, i, j)))), lambda r: F.size(r["p"]) > 0)
-    df = coll.df.select(*keep, merc["parts"].alias("__m")).filter(F.size("__m") > 0)
+    df = coll.df.select(*keep, F.col(coll.geometry_column).alias("__f"))
+    if wanted[-1] > spread:
+        df = session.spread(df, keep[0], "__f")
+    df = df.select(*keep, merc["parts"].alias("__m")).filter(F.size("__m") > 0)
     df = df.select(*keep, F.struct(F.lit(0).alias("z"), F.lit(0).cast("bigint").alias("x"),
                                    F.lit(0).cast("bigint").alias("y"), rings.alias("g")).cast(TILE).alias("__w"))
     root = f"CAST(named_struct('z', 0, 'x', 0, 'y', 0, 'g', {_into('__w', 1, '0', '0', areas)}) AS {TILE})"
@@ -157,7 +170,7 @@ def descend(coll, zooms, keep: list[str] | None = None, spread: int = SPREAD) ->
         *keep, F.explode(F.expr("filter(" + _let("b", _box("__w"), f"array({root})") + ", k -> size(k.g) > 0)")).alias("__t"))
     for z in range(1, wanted[-1] + 1):
         if z > spread and (z - 1) % spread == 0:
-            df = df.repartition(*keep[:1], F.col("__t.z"), F.col("__t.x"), F.col("__t.y"))
+            df = session.spread(df, keep[0], F.col("__t.z"), F.col("__t.x"), F.col("__t.y"))
         down = _children("__t", areas)
         grown = f"concat(array(__t), {down})" if z - 1 in wanted else down
         df = df.select(*keep, F.explode(F.expr(f"if(__t.z = {z - 1}, {grown}, array(__t))")).alias("__t"))

@@ -165,3 +165,13 @@ def test_edge_cases(spark):
                                 (3, "a", "Polygon", [[around]]), (4, None, "Polygon", None)], "Geometry")
     assert TL.pyramid_counts(mixed, [0]).first()["n_features"] == 3
     assert sorted(k for _, k, _ in _tiles(M.tile_blobs(mixed, [0], ["name"]))[(0, 0, 0)]) == [1, 2, 3]
+
+
+def test_few_features_are_dealt_over_the_partitions(spark):
+    """Adaptive execution joins small shuffle partitions again unless their number is given."""
+    c = _collection(spark, _stars(80), "Polygon")
+    c = c.with_df(c.df.coalesce(1))
+    d = Q.descend(c, [9])
+    assert d._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2      # first, and after eight
+    met = d.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert met == int(spark.conf.get("spark.sql.shuffle.partitions"))
