@@ -26,6 +26,9 @@ Join strategy:
   cell totals for extended sides, ``count()`` for point sides) -- the
   smaller bounded side wins; otherwise both sides are shuffled on the cell
   key in a sort-merge join;
+* the streamed side of a broadcast join is dealt over all partitions first
+  where its rows meet ``DEAL_PARTNERS`` or more on the mean: its few files
+  would otherwise do the work of all pairs in as few tasks;
 * hot cells (one cell holding a large share of the features) are split by
   AQE's skew-join handling, and ``salt > 1`` additionally spreads every
   cell's features over ``salt`` buckets while replicating the request rows
@@ -34,11 +37,13 @@ Join strategy:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import geometry as G
 from ..functions import spatial as K
 from . import strips
@@ -50,6 +55,7 @@ MAX_CELLS = 1024
 BROADCAST_MAX_ROWS = 500_000     # 50 MB
 SMALL_BROADCAST_ROWS = 200_000   # proven this small: broadcast without sizing the other side
 DEFAULT_CELL = 0.05            # degrees, when neither side suggests a size
+DEAL_PARTNERS = 4              # mean partners of a streamed row from which dealing it first costs less than it saves
 
 _BOX = ("_xmin", "_ymin", "_xmax", "_ymax")
 _RBOX = ("__r_xmin", "__r_ymin", "__r_xmax", "__r_ymax")
@@ -162,6 +168,14 @@ def _exploded_bound(df: DataFrame, own_cells: int | None, other_levels: list[int
     return bound if bound <= max_rows else None
 
 
+def _partners(rows: int, env, base: float) -> float:
+    """Mean rows of a cell when ``rows`` grid rows lie in the envelope."""
+    if env is None:
+        return 0.0
+    return rows / ((math.floor(env[2] / base) - math.floor(env[0] / base) + 1)
+                   * (math.floor(env[3] / base) - math.floor(env[1] / base) + 1))
+
+
 def _levels_used(df: DataFrame, level: Column) -> list[int]:
     """Distinct grid levels of one side (at most N_LEVELS values)."""
     row = df.select(F.collect_set(level).alias("l")).first()
@@ -202,17 +216,6 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
     if not features_are_points:
         req = req.filter(K.bbox_overlaps(*f_env, prefix="__r") if f_env else F.lit(False))
 
-    fc = (explode_point_cells(features, fbox[0], fbox[1], cell, [0, *r_levels], "__f") if features_are_points
-          else explode_cells(features, fbox, cell, f_level, r_levels, "__f"))
-    rc = (explode_point_cells(req, rbox[0], rbox[1], cell, [0, *f_levels], "__r") if requests_are_points
-          else explode_cells(req, rbox, cell, r_level, f_levels, "__r"))
-    fc = fc.withColumnRenamed("__clv", "__f_clv").withColumnRenamed("__cx", "__f_cx").withColumnRenamed("__cy", "__f_cy")
-
-    keys = [F.col("__f_clv") == F.col("__clv"), F.col("__f_cx") == F.col("__cx"), F.col("__f_cy") == F.col("__cy")]
-    if salt > 1:
-        fc = fc.withColumn("__f_salt", F.pmod(F.xxhash64(*[F.col(c) for c in features.columns[:1]]), F.lit(salt)))
-        rc = rc.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        keys.append(F.col("__f_salt") == F.col("__salt"))
     # Broadcast a side only behind a proven bound on its exploded rows: an extended
     # side emits at most its own-level cells again at each coarser level of the
     # other side (bound free from its stats); a point side emits one row per level
@@ -228,9 +231,27 @@ def grid_join(features: DataFrame, requests: DataFrame, refine: Callable[[], Col
             bound_r = None if bound_r is None else bound_r * salt
         if f_cells is None:
             bound_f = _exploded_bound(features, None, r_levels, broadcast_max_rows)
-    if bound_r is not None and bound_r <= broadcast_max_rows and (bound_f is None or bound_r <= bound_f):
+    small_r = bound_r is not None and bound_r <= broadcast_max_rows and (bound_f is None or bound_r <= bound_f)
+    small_f = not small_r and bound_f is not None and bound_f <= broadcast_max_rows
+    if small_r and _partners(bound_r, r_env or f_env, cell) >= DEAL_PARTNERS:
+        features = session.spread(features, *features.columns)
+    elif small_f and _partners(bound_f, f_env or r_env, cell) >= DEAL_PARTNERS:
+        req = session.spread(req, *req.columns)
+
+    fc = (explode_point_cells(features, fbox[0], fbox[1], cell, [0, *r_levels], "__f") if features_are_points
+          else explode_cells(features, fbox, cell, f_level, r_levels, "__f"))
+    rc = (explode_point_cells(req, rbox[0], rbox[1], cell, [0, *f_levels], "__r") if requests_are_points
+          else explode_cells(req, rbox, cell, r_level, f_levels, "__r"))
+    fc = fc.withColumnRenamed("__clv", "__f_clv").withColumnRenamed("__cx", "__f_cx").withColumnRenamed("__cy", "__f_cy")
+
+    keys = [F.col("__f_clv") == F.col("__clv"), F.col("__f_cx") == F.col("__cx"), F.col("__f_cy") == F.col("__cy")]
+    if salt > 1:
+        fc = fc.withColumn("__f_salt", F.pmod(F.xxhash64(*[F.col(c) for c in features.columns[:1]]), F.lit(salt)))
+        rc = rc.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        keys.append(F.col("__f_salt") == F.col("__salt"))
+    if small_r:
         rc = F.broadcast(rc)
-    elif bound_f is not None and bound_f <= broadcast_max_rows:
+    elif small_f:
         fc = F.broadcast(fc)
     else:
         # neither side is provably small: a shuffled sort-merge join on the cell key,
@@ -265,18 +286,21 @@ def batch_bbox(coll, requests: DataFrame, req_id: str = "req_id", cell: float |
 GEOMETRY_BROADCAST_BYTES = 64 << 20
 
 
-def attach_geometry(pairs: DataFrame, geoms: DataFrame, key: str, geom_col: str) -> DataFrame:
+def attach_geometry(pairs: DataFrame, geoms: DataFrame, key: str, geom_col: str, deal: bool = False) -> DataFrame:
     """Add ``geom_col`` of ``geoms`` to candidate pairs by ``key``.
 
     The grid rows carry no geometry, so a polygon is not copied into each of
     its cells.  The table is broadcast only when its vertices (16 bytes each)
     and rows are proven to stay below ``GEOMETRY_BROADCAST_BYTES``; otherwise
-    the pairs are shuffled on the key (AQE splits hot ones).
+    the pairs are shuffled on the key (AQE splits hot ones).  ``deal``: pairs
+    for a test that costs far more than a shuffled row are dealt over all
+    partitions before a broadcast join.
     """
     vertices = F.size(F.flatten(F.flatten(F.col(geom_col)["parts"])))
     size = geoms.agg(F.sum(F.coalesce(vertices, F.lit(0)) * 16 + 64).alias("b")).first()["b"] or 0
-    side = F.broadcast(geoms) if size <= GEOMETRY_BROADCAST_BYTES else geoms.hint("merge")
-    return pairs.join(side, key)
+    if size > GEOMETRY_BROADCAST_BYTES:
+        return pairs.join(geoms.hint("merge"), key)
+    return (session.spread(pairs, *pairs.columns) if deal else pairs).join(F.broadcast(geoms), key)
 
 
 def batch_point_lookup(coll, points: DataFrame, point_id: str = "pid", x: str = "x", y: str = "y",
@@ -326,8 +350,9 @@ def batch_radius(coll, probes: DataFrame, probe_id: str = "pid", lon: str = "lon
         from .relate import distance_to_point_column
         dist = distance_to_point_column(F.col("__fgeom"), F.col("__plon"), F.col("__plat"))
     pairs = grid_join(feats, req, None, cell=cell, **kw).select(probe_id, "id", "__plon", "__plat", "__prad")
-    out = attach_geometry(pairs, geoms, "id", "__fgeom").withColumn("distance_m", dist)
-    return out.filter(F.col("distance_m") <= F.col("__prad")).select(probe_id, "id", "distance_m")
+    # exploded, not filtered: a filter would be moved below the projection and the distance worked out twice
+    near = F.explode(F.filter(F.array(dist), lambda d: d <= F.col("__prad")))
+    return attach_geometry(pairs, geoms, "id", "__fgeom").select(probe_id, "id", near.alias("distance_m"))
 
 
 # ---------------------------------------------------------------- JN-10
@@ -374,8 +399,12 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
         return out
     feats = coll.df.select(F.col(coll.id_column).alias("id"), *_BOX)
     geoms_f = coll.df.select(F.col(coll.id_column).alias("id"), F.col(coll.geometry_column).alias("__fgeom"))
-    pairs = grid_join(feats, req.drop("__rgeom"), None, cell=cell, **kw).select(geom_id, "id")
-    pairs = attach_geometry(pairs, geoms_f, "id", "__fgeom")
+    # what holds a geometry holds its box: the other pairs need no geometry
+    holds = (F.col("_xmin") <= F.col("__r_xmin")) & (F.col("_ymin") <= F.col("__r_ymin")) & (
+        F.col("_xmax") >= F.col("__r_xmax")) & (F.col("_ymax") >= F.col("__r_ymax"))
+    pairs = grid_join(feats, req.drop("__rgeom"), (lambda: holds) if op == "s_contains" else None, cell=cell,
+                      **kw).select(geom_id, "id")
+    pairs = attach_geometry(pairs, geoms_f, "id", "__fgeom", deal=True)
     pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
     return pairs.filter(relate_pair_column(op, "__fgeom", "__rgeom")).select(geom_id, "id")
 

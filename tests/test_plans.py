@@ -57,3 +57,17 @@ def test_batch_pages_use_group_limit(spark):
     pairs = J.batch_bbox(T.orders(spark, SF), _boxes(spark))
     p = plan_of(C.batch_pages(pairs, "req_id", "id", limit=10, offset=0))
     assert "WindowGroupLimit" in p
+
+
+def test_work_of_few_rows_is_dealt_over_the_partitions(spark):
+    """One file is one scan task: rows with many partners, and pairs with a costly test, are dealt first."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = T.orders(spark, SF).df.limit(400).select(F.col("id").alias("req_id"), *[
+        (F.col(c) + d).alias(c) for c, d in (("_xmin", -0.5), ("_ymin", -0.5), ("_xmax", 0.5), ("_ymax", 0.5))])
+    met = J.batch_bbox(T.orders(spark, SF), wide)
+    assert "REPARTITION_BY_NUM" in plan_of(met) and met.select(F.spark_partition_id()).distinct().count() == n
+    areas = T.customer_areas(spark, SF)
+    asked = areas.df.select(F.col("id").alias("gid"), "geom")
+    pairs = J.batch_predicate(areas, asked, "s_contains")
+    assert "REPARTITION_BY_NUM" in plan_of(pairs)
+    assert {(r["gid"], r["gid"]) for r in asked.collect()} <= {tuple(r) for r in pairs.collect()}
