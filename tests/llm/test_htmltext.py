@@ -74,3 +74,22 @@ def test_hosts_in_parts_and_edges(spark):
     assert {r["page_id"]: r["text"] for r in got}[3] == "text 3 " + ("x " * 50).strip()
     assert {r["page_id"]: r["n_chars"] for r in got}[None] == 0
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+def test_repeats_are_counted_over_the_whole_host_whatever_its_parts(spark):
+    def page(i):
+        own = " ".join(f"w{i}x{k}" for k in range(30))
+        rare = "<div>This offer is shown to readers of three of the pages only</div>" if i in (3, 11, 17) else ""
+        twice = "<div>Two of the pages hold this very sentence and no other one</div>" if i in (4, 12) else ""
+        links = "".join(f"<li><a href=q>some page of this site number {k}</a>" for k in range(3))
+        marked = f"<article><p>{own}</p><ul>{links}</ul></article>" if i % 5 == 0 else f"<p>{own}</p>"
+        return f"<body><div>Welcome to our site where all the best offers can be found</div>{rare}{twice}{marked}</body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(20)] + [(50, "http://b.example/1", page(51))] + [
+        (60 + i, f"http://c.example/{i}", "<article><p>" + "plain " * 200 + "</p></article>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, H.extract_text(df).collect()))
+    for part_bytes in (300, 2000):
+        assert sorted(map(tuple, H.extract_text(df, part_bytes=part_bytes).collect())) == whole
+    text = {r[0]: r[2] for r in whole}
+    assert "offer" not in text[3] and text[4].startswith("Two of") and text[1].startswith("w1x0")
+    assert "some page" not in text[0] and text[50].startswith("Welcome")
