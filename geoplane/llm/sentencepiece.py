@@ -276,14 +276,19 @@ class Coder:
         if len(self.index) > self.cache_words:
             self._shrink()
         words = [self._words(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(words)) - self.index.keys())
+        places = [np.fromiter(map(self.index.get, own, itertools.repeat(-1)), dtype=np.int64, count=len(own))
+                  for own in words]
+        unmet = [np.flatnonzero(at < 0).tolist() for at in places]
+        new = list(dict.fromkeys(own[j] for own, js in zip(words, unmet, strict=True) for j in js))
         for lo in range(0, len(new), CALL_WORDS):
             self._learn(new[lo:lo + CALL_WORDS])
+        for at, own, js in zip(places, words, unmet, strict=True):
+            if js:
+                at[js] = [self.index[own[j]] for j in js]
         normal = None if self.reference is None else self.reference.normalize(texts)
         ids, restored, same = [], [], []
         used = [np.zeros(0, dtype=np.int64)]
-        for i, (text, own) in enumerate(zip(texts, words, strict=True)):
-            at = np.fromiter(map(self.index.__getitem__, own), dtype=np.int64, count=len(own))
+        for i, (text, own, at) in enumerate(zip(texts, words, places, strict=True)):
             used.append(at)
             lo = self.start[at]
             n = self.start[at + 1] - lo

@@ -114,3 +114,22 @@ def test_bad_models_are_refused():
         S.parse_model(b"")
     with pytest.raises(ValueError):
         S.build_tokenizer(S.Spec((("a", 0.0, 1),), model_type=4))
+
+
+def test_words_already_met_are_looked_up_once():
+    from geoplane.llm import sentencepiece as S
+
+    class Index(dict):
+        again = 0
+
+        def __getitem__(self, word):
+            Index.again += 1
+            return dict.__getitem__(self, word)
+
+    coder, _ = S._load(S.read_model())
+    texts = ["one word and one word more", "", "one more"]
+    want = coder.checked(texts)
+    coder.index = Index(coder.index)
+    got = coder.checked(texts)
+    assert Index.again == 0 and [a.tolist() for a in got[0]] == [a.tolist() for a in want[0]] and got[1:] == want[1:]
+    assert [a.tolist() for a in want[0]] == [e.ids for e in coder.full.encode_batch_fast(texts, add_special_tokens=False)]
