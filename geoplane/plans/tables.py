@@ -51,6 +51,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Rows of the larger side that a task of a join on a growing key sorts and groups at once.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """``df`` by ``keys`` in so many partitions that one of ``rows`` rows in all stays near ``TASK_ROWS``;
+    unchanged where the session's shuffle partitions do that."""
+    n = -(-rows // TASK_ROWS)
+    return df if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, *keys)
+
+
 def _points(df: DataFrame, key_sql: str, id_col, props: list[str]) -> DataFrame:
     lon = F.expr(lon_sql(key_sql))
     lat = F.expr(lat_sql(key_sql))
@@ -169,6 +180,10 @@ WORKSPACES_SQL = ("(SELECT n_nationkey AS id, lower(n_name) AS name, 'region ' |
 def history(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     li = read(spark, sf_dir, "lineitem")
+    # every join and group below is by the order's key: dealt by it once, whatever the size, a task's share is bounded
+    rows = li.count()
+    li = dealt(li.select("l_orderkey", "l_returnflag", "l_shipdate"), rows, "l_orderkey")
+    o = dealt(o, rows, "o_orderkey")
     status = (F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed")
               .when(F.col("o_orderpriority") == "1-URGENT", "pending").otherwise("running"))
     jobs = o.select(
