@@ -85,13 +85,18 @@ def _line_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_FEATURE_SCHEMA).json(path)
 
 
-def read_feature_rows(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
-    """(pos, geometry json, properties json) in file order, validated as a FeatureCollection."""
+def read_feature_rows(spark: SparkSession, path: str, line_delimited: bool = False, upto: str | None = None) -> DataFrame:
+    """(pos, geometry json, properties json) in file order, validated as a FeatureCollection.
+
+    ``upto``: of the documents up to this file (the filter prunes the files before they are read).
+    """
     if line_delimited:
         raw = with_file_piece(_line_features(spark, path))
         return with_sequential_id(raw, "pos", start=0, order_by=FILE_PIECE).select("pos", "geometry", "properties")
     # several documents: positions go on from file to file
     doc = _documents(spark, path)
+    if upto is not None:
+        doc = doc.filter(F.col(FILE_PIECE[0]) <= upto)
     rows = doc.select(F.col("type").alias("__t"), *FILE_PIECE, F.explode("features").alias("f"))
     return with_sequential_id(rows, "pos", start=0, order_by=FILE_PIECE).select(
         "__t", "pos", "f.geometry", "f.properties")
@@ -128,20 +133,21 @@ def infer_property_types(rows: DataFrame) -> dict[str, str]:
 
 
 def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimited: bool = False,
-                 validate: bool = True) -> tuple[DataFrame, dict]:
+                 validate: bool = True, upto: str | None = None) -> tuple[DataFrame, dict]:
     """Import GeoJSON features.  Returns (features, info).
 
     ``features``: id = file position + 1, properties with sanitised names and
     inferred types (missing keys -> null, bad values -> null), ``geom``
     promoted to Multi and tagged ``srid`` (no reprojection), bbox columns.
     ``info``: inferred types and the geometry type of the first feature.
+    ``upto``: only the documents up to this file.
     """
     if validate and not line_delimited:
         validate_collection(spark, path)
-    rows = read_feature_rows(spark, path, line_delimited)
+    rows = read_feature_rows(spark, path, line_delimited, upto)
     # file order: the raw line-delimited read, or the exploded document
     ordered = _line_features(spark, path) if line_delimited else _features_in_file_order(spark, path)
-    types = infer_property_types(ordered)
+    types = infer_property_types(ordered if upto is None else rows.orderBy("pos"))
     fields = []
     for name, t in types.items():
         st = TX.SPARK_TYPE.get(t, "string")
@@ -167,11 +173,22 @@ def read_geojson(spark: SparkSession, path: str, srid: int = 4326, line_delimite
 def preview_geojson(spark: SparkSession, path: str) -> dict:
     """SRC-9: fields of the first feature, first 5 rows, first 100 features, bbox of the
     first 1000, feature count, srid null."""
-    feats, info = read_geojson(spark, path)
+    # one pass over all documents counts their features; the rest needs those that hold the first 1000
+    docs = _documents(spark, path).groupBy(FILE_PIECE[0]).agg(F.sum(F.array_size("features")).alias("n")).filter("n > 0").persist()
+    try:
+        total = docs.agg(F.sum("n")).first()[0] or 0
+        upto, held = "", 0
+        for r in docs.orderBy(FILE_PIECE[0]).limit(1000).collect():        # one row a document, each of one feature at least
+            if held >= 1000:
+                break
+            upto, held = r[FILE_PIECE[0]], held + r["n"]
+    finally:
+        docs.unpersist()
+    feats, info = read_geojson(spark, path, upto=upto)
     first_k = feats.orderBy("id").limit(1000)
     bbox = first_k.agg(F.min("_xmin"), F.min("_ymin"), F.max("_xmax"), F.max("_ymax")).first()
     return {"fields": info["types"], "geometry_type": info["geometry_type"],
             "sample_rows": feats.orderBy("id").drop("geom").limit(5).collect(),
             "features": feats.orderBy("id").limit(100),
             "bbox": list(bbox) if bbox and bbox[0] is not None else None,
-            "feature_count": feats.count(), "srid": None}
+            "feature_count": total, "srid": None}
