@@ -154,7 +154,7 @@ def default_model() -> str:
 
 
 # Distinct words whose ids a worker keeps; the table starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 # Words encoded in one multithreaded call (an encoding takes far more memory than its ids).
 CALL_WORDS = 4096
 # Threads of a worker's encoding calls: the cores that an executor of the usual shape gives a task.
@@ -194,6 +194,7 @@ class Coder:
         # normalising a word again must change nothing, and a marker alone must be a piece
         self.reference = reference if (reference is not None and self.by_word and self.plain and reference.piece_to_id(
             META) != reference.unk_id()) else None
+        self.marker = None if self.reference is None else [reference.piece_to_id(META)]
         self._reset()
 
     def _reset(self) -> None:
@@ -259,8 +260,9 @@ class Coder:
             return [False] * len(words)
         cut = self.spec.add_dummy_prefix
         expected = self.reference.encode([w[1:] if cut else w for w in words], num_threads=1)
-        marker = [self.reference.piece_to_id(META)]
-        return [i == (marker if w == " " else e) for i, e, w in zip(ids, expected, words, strict=True)]
+        if ids == expected:             # the lists as a whole: nearly always
+            return [True] * len(words)
+        return [i == (self.marker if w == " " else e) for i, e, w in zip(ids, expected, words, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Token ids of each whole text, and whether decoding them gives the text back."""

@@ -133,3 +133,22 @@ def test_words_already_met_are_looked_up_once():
     got = coder.checked(texts)
     assert Index.again == 0 and [a.tolist() for a in got[0]] == [a.tolist() for a in want[0]] and got[1:] == want[1:]
     assert [a.tolist() for a in want[0]] == [e.ids for e in coder.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_words_that_agree_are_compared_as_one_list():
+    class Same(list):
+        asked = 0
+
+        def __eq__(self, other):
+            Same.asked += 1
+            return list.__eq__(self, other)
+
+        __hash__ = None
+
+    coder, ref = S._load(S.read_model())
+    words = [" one", " word", " and", " more"]
+    ids = Same(ref.encode([w[1:] for w in words]))
+    assert coder._agrees(words, ids) == [True] * 4 and Same.asked == 1
+    assert coder._agrees([*words, " "], [*ids, [ref.piece_to_id(S.META)]]) == [True] * 5
+    assert coder._agrees(words, [ids[1], *ids[1:]]) == [False, True, True, True]
+    assert S.CACHE_WORDS >= 1_000_000        # words of a worker met once must not crowd out those met again
