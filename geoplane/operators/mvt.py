@@ -108,9 +108,12 @@ def tile_parts(coll, zooms, props: list[str] | None = None, salt: int | dict[int
     :func:`layer_head` of its size, the features of its parts in order, their
     values in order, and :data:`LAYER_TAIL`: those of :func:`tile_blobs` with
     the same ``salt``.  Without ``salt``, :func:`part_counts` says how many
-    parts each zoom has.
+    parts each zoom has; points are then cut in parts where they lie
+    (:func:`_point_parts`), so that a point moves once, not once a tile.
     """
     slim, props = _slim(coll, props)
+    if salt is None and only is None and coll.geometry_type == "Point":
+        return _point_parts(slim, sorted({int(z) for z in zooms}), props)
     salt = part_counts(slim, zooms) if salt is None else salt
     return _chunks(_features(slim, zooms, props), props, salt, only).select(
         "z", "x", "y", F.col("__chunk").alias("part"), F.col("__base").alias("first_value"),
@@ -192,25 +195,38 @@ def decode(blob: bytes) -> list[dict]:
 
 # ---------------------------------------------------------------- hex protobuf
 def varint_hex(v: Column, max_bytes: int = 6) -> Column:
-    """Protobuf varint of a non-negative integer Column as upper-case hex text.
+    """Protobuf varint of a non-negative integer Column below 2^(7 ``max_bytes``) as upper-case hex text.
 
-    Two bytes and more are one number whose first byte is 0x80 at least, so its hex has every digit.
+    All groups of seven bits are laid out once, the lowest first; its length says which bytes are marked and
+    which are cut off.  Two bytes and more are one number whose first byte is 0x80 at least, so its hex has every
+    digit.  A known bound keeps the code short: generated methods beyond 8,000 bytes are never compiled.
     """
     v = v.cast("bigint")
-    out = F.when(v < 0x80, F.lpad(F.hex(v), 2, "0"))
-    for n in range(2, max_bytes + 1):
-        number = F.shiftright(v, 7 * (n - 1))
-        for i in range(n - 1):
-            byte = F.shiftright(v, 7 * i).bitwiseAND(F.lit(0x7F)).bitwiseOR(F.lit(0x80)).cast("bigint")
-            number = number.bitwiseOR(F.shiftleft(byte, 8 * (n - 1 - i)))
-        out = out.when(v < 1 << 7 * n, F.hex(number)) if n < max_bytes else out.otherwise(F.hex(number))
-    return out
-
-
-def _ld_hex(field: int, payload_hex: Column) -> Column:
-    """Length-delimited field (hex) around a hex payload."""
+    one = F.lpad(F.hex(v), 2, "0")
+    if max_bytes == 1:
+        return one
+    laid = reduce(Column.bitwiseOR, [F.shiftleft(F.shiftright(v, 7 * i).bitwiseAND(F.lit(0x7F)).cast("bigint"), 8 * (max_bytes - 1 - i))
+                                     for i in range(max_bytes)])
+
+    def by_length(of) -> Column:
+        if max_bytes == 2:
+            return F.lit(of(2))
+        out = F.when(v < 1 << 14, F.lit(of(2)))
+        for n in range(3, max_bytes):
+            out = out.when(v < 1 << 7 * n, F.lit(of(n)))
+        return out.otherwise(F.lit(of(max_bytes)))
+
+    marks = by_length(lambda n: sum(0x80 << 8 * (max_bytes - 1 - i) for i in range(n - 1))).cast("bigint")
+    number = laid.bitwiseOR(marks)
+    if max_bytes > 2:
+        number = F.call_function("shiftright", number, by_length(lambda n: 8 * (max_bytes - n)))
+    return F.when(v < 0x80, one).otherwise(F.hex(number))
+
+
+def _ld_hex(field: int, payload_hex: Column, max_bytes: int = 6) -> Column:
+    """Length-delimited field (hex) around a hex payload, whose length is a varint of ``max_bytes`` at most."""
     key = f"{(field << 3) | 2:02X}"
-    return F.concat(F.lit(key), varint_hex(F.shiftright(F.octet_length(payload_hex), 1)), payload_hex)
+    return F.concat(F.lit(key), varint_hex(F.shiftright(F.octet_length(payload_hex), 1), max_bytes), payload_hex)
 
 
 def _zigzag(c: Column) -> Column:
@@ -255,16 +271,21 @@ def _point_features(coll, zooms, props: list[str]) -> DataFrame:
 
 def _single_points(coll, zooms, props: list[str]) -> DataFrame:
     """:func:`_point_features` of features of one vertex, which their box holds: plain columns, no arrays."""
-    t = TL.assign_wide(coll, zooms, ["__id", *props])
+    t = _quantised(coll, zooms, props)
+    return t.select("z", "x", "y", "__id", *props, "__in", F.lit("1801").alias("__kind"),
+                    F.concat(F.lit("09"), varint_hex(F.col("__qx")), varint_hex(F.col("__qy"))).alias("__geom"))
+
+
+def _quantised(coll, zooms, keep: list[str]) -> DataFrame:
+    """(tile, point) rows with ``keep``: whether the point is drawn, and its zigzag coordinates there."""
+    t = TL.assign_wide(coll, zooms, ["__id", *keep])
     w = F.col("__w")
     fx = (F.col("mx1") - (F.col("x") * w - TL.H)) / w * EXTENT
     fy = ((F.lit(TL.H) - F.col("y") * w) - F.col("my1")) / w * EXTENT
-    t = t.select("z", "x", "y", "__id", *props, fx.alias("__fx"), fy.alias("__fy"))
+    t = t.select("z", "x", "y", "__id", *keep, fx.alias("__fx"), fy.alias("__fy"))
     inside = F.col("__fx").between(-BUFFER, EXTENT + BUFFER) & F.col("__fy").between(-BUFFER, EXTENT + BUFFER)
-    t = t.select("z", "x", "y", "__id", *props, F.coalesce(inside, F.lit(False)).alias("__in"),
-                 *[_zigzag(F.floor(F.col(f"__f{a}") + 0.5)).alias(f"__q{a}") for a in "xy"])
-    return t.select("z", "x", "y", "__id", *props, "__in", F.lit("1801").alias("__kind"),
-                    F.concat(F.lit("09"), varint_hex(F.col("__qx")), varint_hex(F.col("__qy"))).alias("__geom"))
+    return t.select("z", "x", "y", "__id", *keep, F.coalesce(inside, F.lit(False)).alias("__in"),
+                    *[_zigzag(F.floor(F.col(f"__f{a}") + 0.5)).alias(f"__q{a}") for a in "xy"])
 
 
 def _commands(rings: Column, areas: bool) -> Column:
@@ -342,6 +363,102 @@ def _chunks(t: DataFrame, props: list[str], salt: int | dict[int, int], only: Da
                          F.array_join(F.transform("__rows", lambda r: r["__v"]), "").alias("__v"))
 
 
+# Points of a group: one task sorts their rows in all tiles in some tens of MB.
+GROUP_POINTS = 1 << 15
+# Offsets of parts that are broadcast, at some 100 bytes each; more are joined by a shuffle.
+BROADCAST_PARTS = 500_000
+_GROUP = ("__gx", "__gy", "__gs")
+
+
+def _point_groups(coll, zooms, props: list[str]) -> tuple[DataFrame, int, int]:
+    """The points in Mercator with a group of neighbours each, the groups wanted, and a bound on (group, tile) pairs.
+
+    A group is a tile of the deepest zoom with no more tiles than groups are wanted, dealt by the id where
+    it holds more than ``GROUP_POINTS``: most tiles of deeper zooms lie in one group.
+    """
+    mx, my = TL._crs.transform_xy(F.col("_xmin"), F.col("_ymin"), coll.srid, 3857)
+    df = coll.df.filter(F.col("_xmin").isNotNull()).select("__id", *props, mx.alias("_xmin"), my.alias("_ymin"))
+    wanted = max(1, -(-coll.df.count() // GROUP_POINTS))
+    counts = TL.pyramid_counts(coll, zooms)
+    tiles = {r["z"]: r for r in counts.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.max("n_features").alias("most")).collect()}
+    at = max((z for z, r in tiles.items() if r["n"] <= wanted), default=None)
+    if at is None:
+        df = df.withColumns({"__gx": F.lit(0).cast("bigint"), "__gy": F.lit(0).cast("bigint"), "__gn": F.lit(wanted)})
+        bound = wanted * sum(r["n"] for r in tiles.values())
+    else:
+        w = F.lit(2 * TL.H / 2.0 ** at)
+        cells = counts.filter(F.col("z") == at).select(F.col("x").alias("__gx"), F.col("y").alias("__gy"),
+                                                       F.ceil(F.col("n_features") / GROUP_POINTS).alias("__gn"))
+        df = df.withColumns({"__gx": F.floor((F.col("_xmin") + TL.H) / w), "__gy": F.floor((F.lit(TL.H) - F.col("_ymin")) / w)})
+        df = df.join(F.broadcast(cells) if wanted <= BROADCAST_PARTS else cells, ["__gx", "__gy"], "left")
+        each = -(-tiles[at]["most"] // GROUP_POINTS)
+        # a group meets the tiles beside its own by their margins, a deeper tile the groups around it
+        bound = sum(4 * (2 * wanted + tiles[at]["n"]) if z <= at else 4 * each * r["n"] for z, r in tiles.items())
+    deal = F.pmod(F.xxhash64("__id"), F.coalesce("__gn", F.lit(1))).cast("int")
+    return df.withColumn("__gs", deal).drop("__gn"), wanted, bound
+
+
+def _point_parts(coll, zooms, props: list[str]) -> DataFrame:
+    """:func:`tile_parts` of points: a group's rows in all tiles are made, ordered and encoded in the task that
+    got its points, in parts of at most ``PART_FEATURES`` features; only the points are shuffled."""
+    df, wanted, bound = _point_groups(coll, zooms, props)
+    tile = ["z", "x", "y"]
+    nv = sum([F.col(p).isNotNull().cast("int") for p in props], F.lit(0)).alias("__nv")
+
+    def rows(df: DataFrame, make, keep: list[str]) -> DataFrame:
+        boxed = df.withColumns({"_xmax": F.col("_xmin"), "_ymax": F.col("_ymin")})
+        return make(replace(coll, df=boxed, srid=3857), zooms, keep)
+
+    # where the values and parts of a group's share of a tile start
+    shares = rows(df.select("_xmin", "_ymin", *_GROUP, nv), TL.assign_wide, [*_GROUP, "__nv"]).groupBy(*_GROUP, *tile).agg(
+        F.sum("__nv").alias("__values"), F.ceil(F.count(F.lit(1)) / PART_FEATURES).alias("__parts"))
+    before = Window.partitionBy(*tile).orderBy(*_GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    starts = shares.select(*_GROUP, *tile, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n)
+                                             for c, n in (("__values", "__base"), ("__parts", "__first"))])
+    starts = F.broadcast(starts) if bound <= BROADCAST_PARTS else starts.hint("merge")
+
+    n = max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df = df.repartition(n, *_GROUP)
+    # the values' messages and the keys' presence are the same in all of a point's tiles
+    texts = [F.when(F.col(p).isNotNull(), F.concat(F.lit("0A"), varint_hex(F.octet_length(F.col(p)), 5), F.hex(F.col(p)))).alias(f"__m{k}")
+             for k, p in enumerate(props)]
+    has = [F.col(p).isNotNull().alias(f"__p{k}") for k, p in enumerate(props)]
+    df = df.select("__id", "_xmin", "_ymin", *_GROUP, nv, *has, *texts)
+    vals = [F.when(F.col(f"__p{k}"), _ld_hex(4, F.col(f"__m{k}"), 5)).otherwise(F.lit("")) for k in range(len(props))]
+    flags = [f"__p{k}" for k in range(len(props))]
+    df = df.select("__id", "_xmin", "_ymin", *_GROUP, "__nv", *flags, (F.concat(*vals) if vals else F.lit("")).alias("__v"))
+    keep = [*_GROUP, "__nv", *flags, "__v"]
+    t = rows(df, _quantised, keep)
+    # what is drawn lies in the buffered tile: its zigzag coordinates are below 2 * 4353
+    t = t.select(*tile, "__id", *keep, F.when(F.col("__in"), F.concat(
+        F.lit("09"), varint_hex(F.col("__qx"), 2), varint_hex(F.col("__qy"), 2))).alias("__geom"))
+    t = t.withColumn("__geom", F.coalesce(F.concat(F.lit("1801"), _ld_hex(4, F.col("__geom"), 1)), F.lit("")))
+
+    w = Window.partitionBy(*_GROUP, *tile).orderBy("__id")
+    t = t.select("*", F.row_number().over(w).alias("__row"), F.coalesce(F.sum("__nv").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    t = t.join(starts, [*_GROUP, *tile])
+    number = F.floor((F.col("__row") - 0.5) * (1.0 / PART_FEATURES))
+    t = t.withColumns({"part": (F.col("__first") + number).cast("int"), "__at": F.col("__base") + F.col("__before")})
+    # bytes of a value's index, of the tags' length and of the body's, by the values that all points may have
+    index = len(varint(max(1, wanted * GROUP_POINTS * len(props))))
+    most = sum(len(varint(k)) + index for k in range(len(props)))
+    n_tags, n_body = len(varint(most)), len(varint(most + 14))
+    tags, at = [], F.col("__at")
+    for k in range(len(props)):
+        tags.append(F.when(F.col(f"__p{k}"), F.concat(F.lit(varint(k).hex().upper()), varint_hex(at, index))).otherwise(F.lit("")))
+        at = at + F.col(f"__p{k}").cast("int")
+    own = [*tile, "part", *_GROUP]
+    t = t.select(*own, "__row", "__at", "__v", "__geom", (F.concat(*tags) if tags else F.lit("")).alias("__tags"))
+    t = t.select(*own, "__row", "__at", "__v", "__geom", F.concat(
+        F.when(F.octet_length("__tags") > 0, _ld_hex(2, F.col("__tags"), n_tags)).otherwise(F.lit("")), "__geom").alias("__body"))
+    f = F.when(F.octet_length("__geom") > 0, _ld_hex(2, F.col("__body"), n_body)).otherwise(F.lit(""))
+    parts = t.select(*own, "__row", "__at", "__v", f.alias("__f")).groupBy(*own).agg(
+        F.min("__at").alias("first_value"), F.sort_array(F.collect_list(F.struct("__row", "__f", "__v"))).alias("__rows"))
+    return parts.select(*tile, "part", "first_value", F.unhex(F.array_join(F.col("__rows.__f"), "")).alias("features"),
+                        F.unhex(F.array_join(F.col("__rows.__v"), "")).alias("values"))
+
+
 def _assemble(t: DataFrame, props: list[str], salt: int, layer: str, only: DataFrame | None) -> DataFrame:
     """Whole tiles from the rows of :func:`_chunks`, concatenated in chunk order (in a chunk: in id order)."""
     tiles = _chunks(t, props, salt, only).groupBy("z", "x", "y").agg(

@@ -116,3 +116,38 @@ def test_a_part_is_bounded_whatever_the_tile_holds(spark, monkeypatch):
     assert max(v[0] for v in read.values()) < 120
     assert sum(v[0] for k, v in read.items() if k[0] == 0) == n
     assert sum(v[3] for k, v in read.items() if k[0] == 0) == c.df.agg(F.sum("o_custkey")).first()[0]
+
+
+def test_points_move_once_and_parts_are_bounded(spark, monkeypatch):
+    """Groups of neighbours make the parts of all tiles: same drawn features and values as whole tiles, ids that
+    repeat with other values included; no (tile, feature) row is shuffled."""
+    monkeypatch.setattr(M, "PART_FEATURES", 50)
+    monkeypatch.setattr(M, "GROUP_POINTS", 200)
+    rows = [(i % 700, f"n{i % 7}" if i % 5 else None, i, 2.0 + (i % 37) * 0.11 if i % 3 else 2.0, 45.0 + (i % 23) * 0.07 if i % 3 else 45.0)
+            for i in range(1500)] + [(9000, "edge", -1, -180.0, 85.0), (9001, None, -2, 180.0, -85.0)]
+    df = spark.createDataFrame(rows, "id int, name string, k int, lon double, lat double")
+    df = G.with_bbox(df.select("id", "name", "k", G.point(F.col("lon"), F.col("lat")).alias("geom")))
+    c = Collection(df, name="pts", geometry_type="Point")
+    zooms = [0, 3, 6, 9]
+
+    def drawn(blob):
+        layer = M.decode(bytes(blob))[0]
+        return sorted((tuple(f["geometry"]), tuple(sorted((layer["keys"][k], layer["values"][v]) for k, v in zip(f["tags"][::2], f["tags"][1::2]))))
+                      for f in layer["features"])
+    for bound in (M.BROADCAST_PARTS, 0):
+        monkeypatch.setattr(M, "BROADCAST_PARTS", bound)
+        got = M.tile_parts(c, zooms, ["name", "k"])
+        parts = got.collect()
+        tiles = {k: drawn(v) for k, v in _joined(parts, "pts", ["name", "k"]).items()}
+        for z in zooms:
+            assert sum(len(v) for k, v in tiles.items() if k[0] == z) >= len(rows)
+        # one id a row: whole tiles name the same values
+        ids = Collection(df.withColumn("id", F.col("k")), name="pts", geometry_type="Point")
+        assert tiles == {(r["z"], r["x"], r["y"]): drawn(r["mvt"]) for r in M.tile_blobs(ids, zooms, ["name", "k"], salt=3).collect()}
+        keys = [(r["z"], r["x"], r["y"], r["part"]) for r in parts]
+        assert len(set(keys)) == len(keys)
+        assert max(len(M.decode(M.layer_head("p", [], len(r["features"])) + bytes(r["features"]) + M.LAYER_TAIL)[0]["features"])
+                   for r in parts) <= 50
+        if bound:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(__gx" in plan and "hashpartitioning(z" not in plan.split("BroadcastExchange")[0]
