@@ -383,7 +383,9 @@ def _point_groups(coll, zooms, props: list[str]) -> tuple[DataFrame, int, int]:
     tiles = {r["z"]: r for r in counts.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.max("n_features").alias("most")).collect()}
     at = max((z for z, r in tiles.items() if r["n"] <= wanted), default=None)
     if at is None:
-        df = df.withColumns({"__gx": F.lit(0).cast("bigint"), "__gy": F.lit(0).cast("bigint"), "__gn": F.lit(wanted)})
+        # no constants: a constant key would leave the group out of the partitioning that the windows rely on
+        deal = F.pmod(F.xxhash64("__id"), F.lit(wanted))
+        df = df.withColumns({"__gx": deal, "__gy": F.bitwise_not(deal), "__gn": F.lit(1)})
         bound = wanted * sum(r["n"] for r in tiles.values())
     else:
         w = F.lit(2 * TL.H / 2.0 ** at)

@@ -151,3 +151,11 @@ def test_points_move_once_and_parts_are_bounded(spark, monkeypatch):
         if bound:
             plan = got._jdf.queryExecution().executedPlan().toString()
             assert "hashpartitioning(__gx" in plan and "hashpartitioning(z" not in plan.split("BroadcastExchange")[0]
+
+
+def test_decoded_tiles_shuffle_points_and_sums_only(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["til5_agg12_decoded_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.split("BroadcastExchange")[0].splitlines() if " Exchange " in line or "- Exchange " in line]
+    # the sums of a tile's parts, then the points; the parts' starts are broadcast
+    assert len(rows) == 2 and "hashpartitioning(z" in rows[0] and "hashpartitioning(__gx" in rows[1]
