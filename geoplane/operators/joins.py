@@ -371,7 +371,7 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     from ..functions.geometry import bbox_columns
     bb = bbox_columns(F.col(geom_col))
     req = geoms.select(geom_id, F.col(geom_col).alias("__rgeom"), *[bb[c].alias(c) for c in _BOX])
-    from .relate import relate_pair_column
+    from .relate import contains_box_column, plain_part, relate_pair_column
     if coll.geometry_type == "Point":
         # polygon requests: ray casting as Catalyst expressions; other request kinds: exact relations
         is_poly = F.col("__rgeom")["type"].isin("Polygon", "MultiPolygon")
@@ -402,11 +402,21 @@ def batch_predicate(coll, geoms: DataFrame, op: str, geom_id: str = "gid", geom_
     # what holds a geometry holds its box: the other pairs need no geometry
     holds = (F.col("_xmin") <= F.col("__r_xmin")) & (F.col("_ymin") <= F.col("__r_ymin")) & (
         F.col("_xmax") >= F.col("__r_xmax")) & (F.col("_ymax") >= F.col("__r_ymax"))
+    if op == "s_contains" and cell is None:
+        cell = suggest_cell(feats)              # the larger boxes: the smaller ones meet few cells of any size
     pairs = grid_join(feats, req.drop("__rgeom"), (lambda: holds) if op == "s_contains" else None, cell=cell,
                       **kw).select(geom_id, "id")
     pairs = attach_geometry(pairs, geoms_f, "id", "__fgeom", deal=True)
-    pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
-    return pairs.filter(relate_pair_column(op, "__fgeom", "__rgeom")).select(geom_id, "id")
+    related = relate_pair_column(op, "__fgeom", "__rgeom")
+    if op != "s_contains":
+        pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom"), geom_id, "__rgeom")
+        return pairs.filter(related).select(geom_id, "id")
+    # most pairs are decided by the asked geometry's box; the relation is worked out where an edge can meet it
+    boxes = [F.col(c).alias(f"__r{c}") for c in _BOX]
+    pairs = attach_geometry(pairs, req.select(geom_id, "__rgeom", *boxes, plain_part(F.col("__rgeom")).alias("__plain")),
+                            geom_id, "__rgeom")
+    decided = F.when(F.col("__plain"), contains_box_column(F.col("__fgeom"), *[F.col(c) for c in _RBOX]))
+    return pairs.filter(F.coalesce(decided, related)).select(geom_id, "id")
 
 
 def batch_disjoint_counts(coll, geoms: DataFrame, geom_id: str = "gid", geom_col: str = "geom", **kw) -> DataFrame:

@@ -418,6 +418,35 @@ def relate_pair_column(op: str, a: str, b: str) -> Column:
     return let(pair, lambda p: relation(p["a"], p["b"], op)).column()
 
 
+def plain_part(geom: Column) -> Column:
+    """One point, one line of some length, or one ring of three corners at least: a geometry that is not empty."""
+    rings = SF.flatten(geom["parts"])
+    distinct = SF.size(SF.array_distinct(SF.get(rings, SF.lit(0))))
+    least = SF.when(geom["type"].endswith("Polygon"), 3).when(geom["type"].endswith("Point"), 1).otherwise(2)
+    return SF.coalesce((SF.size(rings) == 1) & (distinct >= least), SF.lit(False))
+
+
+def contains_box_column(geom: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether an area holds a box that none of its edges can meet; null where an edge can, or for other geometries.
+
+    Such a box lies on one side as a whole, and so does all that it bounds.  Edges that cross the height of its
+    lower left corner are left or right of it by their own boxes: the even-odd count needs no orientation.
+    """
+    def code(ring: Column, v: Column, i: Column) -> Column:
+        n = SF.get(ring, i + 1)
+        x1, y1, x2, y2 = v["x"], v["y"], n["x"], n["y"]
+        beside = ((x1 < xmin) & (x2 < xmin)) | ((y1 < ymin) & (y2 < ymin)) | ((y1 > ymax) & (y2 > ymax))
+        return (SF.when(beside | n.isNull(), 0)
+                .when((x1 > xmax) & (x2 > xmax), ((y1 > ymin) != (y2 > ymin)).cast("int")).otherwise(2))
+
+    rings = SF.flatten(geom["parts"])
+    closed = SF.forall(rings, lambda r: (SF.size(r) > 3) & (SF.get(r, SF.lit(0)) == SF.element_at(r, -1)))
+    # in an array of one, so that the edges are looked at once
+    codes = SF.array(SF.flatten(SF.transform(rings, lambda r: SF.transform(r, lambda v, i: code(r, v, i)))))
+    odd = SF.get(SF.transform(codes, lambda c: SF.when(~SF.array_contains(c, 2), SF.size(SF.filter(c, lambda e: e == 1)) % 2 == 1)), SF.lit(0))
+    return SF.when(geom["type"].endswith("Polygon") & closed, odd)
+
+
 def distance_to_point_column(geom: Column, lon: Column, lat: Column) -> Column:
     """Metres from a 4326 geometry to a lon/lat point, in a local equirectangular projection (D1).
 

@@ -183,3 +183,31 @@ def test_distances(spark):
     got = {r[0]: r[1] for r in df.select("i", R.distance_to_point_column(F.col("g"), F.col("x"), F.col("y"))).collect()}
     for i, (g, (x, y)) in enumerate(zip(geoms, probes, strict=True)):
         assert got[i] == pytest.approx(B.min_distance_m(kernel(g), x, y), rel=1e-9, abs=1e-6)
+
+
+def test_a_box_that_no_edge_meets_decides_contains(spark):
+    """Where the box decides, it says what the exact relation says; holes, islands, touching and odd rings included."""
+    rng = random.Random(11)
+    ring = lambda x, y, w, h: ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))
+    star = tuple((5 + (4 if k % 2 else 9) * math.cos(k * math.pi / 7), 5 + (4 if k % 2 else 9) * math.sin(k * math.pi / 7)) for k in range(14))
+    areas = [Geom("Polygon", ((ring(0, 0, 10, 10), ring(3, 3, 4, 4)[::-1]),)), Geom("Polygon", (((*star, star[0]),),)),
+             Geom("MultiPolygon", ((ring(0, 0, 3, 10),), (ring(5, 0, 5, 10), ring(6, 4, 3, 3)[::-1]), (ring(7, 5, 1, 1),)))]
+    small = []
+    for _ in range(250):
+        x, y, w, h = (rng.choice((rng.uniform(-1, 10), rng.randrange(11))) for _ in range(4))
+        w, h = w % 3 + 0.25, h % 3 + 0.25
+        small.append(rng.choice((Geom("Polygon", ((ring(x, y, w, h),),)), Geom("LineString", ((((x, y), (x + w, y + h)),),)),
+                                 Geom("Polygon", ((((x, y), (x + w, y), (x, y + h), (x, y)),),)), Geom("Point", ((((x, y),),),)))))
+    small += [Geom("LineString", ((((1.0, 1.0), (1.0, 1.0)),),)), Geom("Polygon", ((((1.0, 1.0), (2.0, 1.0), (2.0, 1.0), (1.0, 1.0)),),)),
+              Geom("MultiPolygon", ((ring(1, 1, 1, 1),), (ring(2.5, 5, 0.25, 1),)))]
+    pairs = [(a, b) for a in areas for b in small]
+    open_ring = Geom("Polygon", ((ring(0, 0, 10, 10)[:-1],),))
+    df = spark.createDataFrame([(i, row(a), row(b)) for i, (a, b) in enumerate([*pairs, (open_ring, small[0])])], f"i int, a {DDL}, b {DDL}")
+    xs, ys = F.transform(F.flatten(F.flatten("b.parts")), lambda v: v["x"]), F.transform(F.flatten(F.flatten("b.parts")), lambda v: v["y"])
+    said = F.when(R.plain_part(F.col("b")), R.contains_box_column(F.col("a"), F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+    got = {r["i"]: r["s"] for r in df.select("i", said.alias("s")).collect()}
+    told = [i for i in range(len(pairs)) if got[i] is not None]
+    assert len(told) > len(pairs) / 3 and {got[i] for i in told} == {True, False} and got[len(pairs)] is None
+    wrong = [(pairs[i][0].to_wkt(), pairs[i][1].to_wkt()) for i in told if got[i] is not B.relate(kernel(pairs[i][0]), kernel(pairs[i][1]), "s_contains")]
+    assert not wrong, wrong[:3]
+    assert all(got[k * len(small) + i] is None for k in range(3) for i in range(250, 253))
