@@ -211,3 +211,21 @@ def test_a_box_that_no_edge_meets_decides_contains(spark):
     wrong = [(pairs[i][0].to_wkt(), pairs[i][1].to_wkt()) for i in told if got[i] is not B.relate(kernel(pairs[i][0]), kernel(pairs[i][1]), "s_contains")]
     assert not wrong, wrong[:3]
     assert all(got[k * len(small) + i] is None for k in range(3) for i in range(250, 253))
+
+
+def test_lines_away_from_the_edges_need_no_relation(spark, monkeypatch):
+    """JN-10 on lines: with the exact relation left out, only pairs at an edge are missing."""
+    from geoplane.functions import geometry as G
+    from geoplane.operators import joins as J
+    hole = Geom("Polygon", ((((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), ((4, 4), (4, 6), (6, 6), (6, 4), (4, 4))),))
+    df = spark.createDataFrame([(1, row(hole))], f"id int, geom {DDL}")
+    coll = Collection(G.with_bbox(df), name="areas", geometry_type="Polygon")
+    lines = [Geom("LineString", (((a, b),),)) for a, b in (
+        ((1.0, 1.0), (2.0, 2.0)), ((7.0, 7.0), (9.0, 8.0)),          # held
+        ((4.5, 4.5), (5.5, 5.5)), ((20.0, 1.0), (21.0, 2.0)),        # in the hole, outside
+        ((3.5, 3.0), (4.5, 5.0)), ((0.0, 0.0), (1.0, 1.0)))]         # over the hole's edge, from a corner
+    asked = spark.createDataFrame([(i, row(g)) for i, g in enumerate(lines)], f"gid int, geom {DDL}")
+    ask = lambda: sorted(r["gid"] for r in J.batch_predicate(coll, asked, "s_contains").collect())
+    assert ask() == [i for i, g in enumerate(lines) if B.relate(kernel(hole), kernel(g), "s_contains")] == [0, 1, 5]
+    monkeypatch.setattr(R, "relate_pair_column", lambda *a: F.lit(None).cast("boolean"))
+    assert ask() == [0, 1]
